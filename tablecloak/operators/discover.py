@@ -147,15 +147,16 @@ def _entry_struct(entry: str) -> Column:
 def first_match(name: Column | str, dictionary: Sequence[str] | None = None) -> Column:
     """The first dictionary entry contained in a column name, as a struct, or NULL.
 
-    One CASE expression per row: no join, no shuffle, and it stops at the first hit.
+    The dictionary is a constant array in the plan: no join and no shuffle, and the name is
+    normalised once per row.
     """
-    normal = normalize_name(name)
-    out = None
-    for entry in DEFAULT_DICTIONARY if dictionary is None else dictionary:
-        hit = normal.contains(entry.split(":", 1)[0])
-        out = F.when(hit, _entry_struct(entry)) if out is None else out.when(hit, _entry_struct(entry))
-    return out if out is not None else F.lit(None).cast(
-        "struct<pattern:string,strategy:string,param:string>")
+    entries = DEFAULT_DICTIONARY if dictionary is None else dictionary
+    if not entries:
+        return F.lit(None).cast("struct<pattern:string,strategy:string,param:string>")
+    known = F.array(*[_entry_struct(e) for e in entries])
+    hits = F.transform(F.array(normalize_name(name)), lambda n: F.try_element_at(
+        F.filter(known, lambda e: F.contains(n, e["pattern"])), F.lit(1)))
+    return hits[0]
 
 
 def match_columns(catalog: DataFrame, dictionary: Sequence[str] | None = None) -> DataFrame:
