@@ -110,6 +110,7 @@ VIEWS = {
         s_nationkey > 15 AS extends, s_nationkey < 8 AS excludes FROM supplier""",
     "manifests": "SELECT 'h' || s_suppkey AS host FROM supplier WHERE s_acctbal > 500",
     "slots": _slots(0, 7),
+    "target_slots": _slots(2, 9),
     "fleet_catalog": """SELECT 'db' || substr(p_brand, 7, 3) AS database, 't' || p_partkey AS "table",
         name AS "column", CASE WHEN name = 'prefs_json' THEN 'jsonb' WHEN name = 'settings' THEN 'json'
           WHEN name IN ('qty', 'price', 'weight') THEN 'integer' WHEN name = 'dob' THEN 'date'

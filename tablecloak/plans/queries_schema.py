@@ -62,19 +62,19 @@ def d3(spark, sf):
         "database", "table", "column", "pattern")
 
 
-@query("d3_match_columns_by_host", f"""SELECT host, "column", arg_min(pattern, ord) AS pattern FROM (
-      SELECT h.host, s."column", d.ord, d.pattern FROM hosts h, (SELECT DISTINCT "column" FROM fleet_catalog) s,
+@query("d3_match_columns_by_host", f"""SELECT host, "table", "column", arg_min(pattern, ord) AS pattern FROM (
+      SELECT h.host, s."table", s."column", d.ord, d.pattern FROM fleet_catalog s
+        JOIN hosts h ON h.host = replace(s.database, 'db', 'h'),
         {_dict_values(DICT + ["loyalty:redact", "nickname:redact"])}
       WHERE contains(translate(lower("column"), '_-', ''), d.pattern)
         AND (d.ord < {len(DICT)} OR h.extends)
         AND NOT (h.excludes AND d.pattern IN ('address', 'addr', 'pan')))
-    GROUP BY host, "column" """, "hosts", "fleet_catalog")
+    GROUP BY host, "table", "column" """, "hosts", "fleet_catalog")
 def d3_by_host(spark, sf):
-    hosts = v.hosts(spark, sf)
-    names = v.fleet_catalog(spark, sf).select("column").distinct()
-    columns = hosts.select("host").join(names)
-    matched = discover.match_columns_by_host(columns, discover.fleet_dictionary(hosts))
-    return matched.filter(F.col("pattern").isNotNull()).select("host", "column", "pattern")
+    columns = v.fleet_catalog(spark, sf).withColumn(
+        "host", F.replace("database", F.lit("db"), F.lit("h")))
+    matched = discover.match_columns_by_host(columns, discover.fleet_dictionary(v.hosts(spark, sf)))
+    return matched.filter(F.col("pattern").isNotNull()).select("host", "table", "column", "pattern")
 
 
 @query("d4_suggest_strategy", f"""SELECT database, "table", "column", {_SUGGEST} AS suggested
