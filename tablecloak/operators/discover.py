@@ -137,32 +137,47 @@ def fleet_dictionary(hosts: DataFrame) -> DataFrame:
             .drop("exclude"))
 
 
-def _entry_struct(entry: str) -> Column:
-    pattern, strategy, *rest = entry.split(":")
-    param = rest[-1] if rest and strategy in PARAMETER else None
-    return F.struct(F.lit(pattern).alias("pattern"), F.lit(strategy).alias("strategy"),
-                    F.lit(param).cast("string").alias("param"))
+def _entries(dictionary: Sequence[str] | None) -> list[list[str]]:
+    return [e.split(":") for e in (DEFAULT_DICTIONARY if dictionary is None else dictionary)]
 
 
-def first_match(name: Column | str, dictionary: Sequence[str] | None = None) -> Column:
-    """The first dictionary entry contained in a column name, as a struct, or NULL.
+def add_hit(df: DataFrame, name_col: str = "column",
+            dictionary: Sequence[str] | None = None) -> DataFrame:
+    """Add `hit`: the 1-based position of the first dictionary entry contained in a name, or one
+    past the last entry.
 
-    The dictionary is a constant array in the plan: no join and no shuffle, and the name is
-    normalised once per row.
+    Two projections and no join: the name is normalised once, then one CASE expression stops at
+    the first entry that is contained.
     """
-    entries = DEFAULT_DICTIONARY if dictionary is None else dictionary
-    if not entries:
-        return F.lit(None).cast("struct<pattern:string,strategy:string,param:string>")
-    known = F.array(*[_entry_struct(e) for e in entries])
-    hits = F.transform(F.array(normalize_name(name)), lambda n: F.try_element_at(
-        F.filter(known, lambda e: F.contains(n, e["pattern"])), F.lit(1)))
-    return hits[0]
+    entries = _entries(dictionary)
+    position = F.when(F.col("_name").isNull(), len(entries) + 1)
+    for i, e in enumerate(entries, start=1):
+        position = position.when(F.contains("_name", F.lit(e[0])), i)
+    return (df.withColumn("_name", normalize_name(name_col))
+            .withColumn("hit", position.otherwise(len(entries) + 1)).drop("_name"))
+
+
+def hit_fields(dictionary: Sequence[str] | None = None) -> dict[str, Column]:
+    """`pattern`, `strategy` and `param` for a column `hit`, looked up in constant arrays."""
+    entries = _entries(dictionary)
+    params = [e[-1] if len(e) > 2 and e[1] in PARAMETER else None for e in entries]
+
+    def pick(values: Sequence[str | None]) -> Column:
+        return F.element_at(F.array(*[F.lit(x).cast("string") for x in (*values, None)]), F.col("hit"))
+
+    return {"pattern": pick([e[0] for e in entries]), "strategy": pick([e[1] for e in entries]),
+            "param": pick(params)}
+
+
+def add_match(df: DataFrame, name_col: str = "column",
+              dictionary: Sequence[str] | None = None) -> DataFrame:
+    """Add `pattern`, `strategy`, `param` of the first match (NULL without)."""
+    return add_hit(df, name_col, dictionary).withColumns(hit_fields(dictionary)).drop("hit")
 
 
 def match_columns(catalog: DataFrame, dictionary: Sequence[str] | None = None) -> DataFrame:
-    """Catalogue rows with `pattern`, `strategy`, `param` of the first match (NULL without)."""
-    return (catalog.withColumn("_m", first_match(F.col("column"), dictionary))
-            .select(*catalog.columns, "_m.pattern", "_m.strategy", "_m.param"))
+    """Catalogue rows with their first match (NULL without)."""
+    return add_match(catalog, "column", dictionary)
 
 
 def match_columns_by_host(catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -172,8 +187,8 @@ def match_columns_by_host(catalog: DataFrame, dictionary: DataFrame) -> DataFram
     """
     entries = dictionary.groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("ord", "pattern", "strategy", "param"))).alias("_d"))
-    hit = F.filter("_d", lambda e: F.contains(normalize_name("column"), e["pattern"]))
-    return (catalog.join(entries, "host", "left")
+    hit = F.filter("_d", lambda e: F.contains("_name", e["pattern"]))
+    return (catalog.withColumn("_name", normalize_name("column")).join(entries, "host", "left")
             .withColumn("_m", F.try_element_at(hit, F.lit(1)))
             .select(*catalog.columns, "_m.pattern", "_m.strategy", "_m.param"))
 
@@ -252,27 +267,28 @@ def deep_scan_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
 
 
 def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str] = ()) -> DataFrame:
-    """Text leaves of a JSON column at any depth up to `max_depth` as `(path, value)`.
+    """Leaves of a JSON column at any depth up to `max_depth` as `(path, value)` text.
 
     Array positions are written `[*]`. Deeper values are returned whole as JSON text, so
     nothing escapes a scan.
     """
+
+    def step(suffix: Column, v: Column) -> Column:
+        return F.struct(F.concat(F.col("path"), suffix).alias("path"), v.alias("v"))
+
+    # a value that is neither object nor array fails both casts and stays as it is
+    fields = F.transform(F.map_entries(F.col("v").try_cast("map<string,variant>")),
+                         lambda e: step(F.concat(F.lit("."), e["key"]), e["value"]))
+    items = F.transform(F.col("v").try_cast("array<variant>"), lambda e: step(F.lit("[*]"), e))
+    itself = F.array(F.struct(F.col("path").alias("path"), F.col("v").alias("v")))
+
     level = df.select(*keep, F.lit("$").alias("path"), F.try_parse_json(F.col(col)).alias("v")) \
         .filter(F.col("v").isNotNull())
-    kind = F.schema_of_variant("v")
-    fields = F.col("v").try_cast("map<string,variant>")
-    items = F.col("v").try_cast("array<variant>")
     for _ in range(max_depth):
-        children = (
-            F.when(kind.startswith("OBJECT"), F.transform(
-                F.map_entries(fields), lambda e: F.struct(
-                    F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("v"))))
-            .when(kind.startswith("ARRAY"), F.transform(
-                items, lambda e: F.struct(
-                    F.concat(F.col("path"), F.lit("[*]")).alias("path"), e.alias("v"))))
-            .otherwise(F.array(F.struct(F.col("path").alias("path"), F.col("v").alias("v")))))
-        level = level.select(*keep, F.explode(children).alias("_c")).select(*keep, "_c.path", "_c.v")
-    text = F.when(kind == "STRING", F.col("v").cast("string")).otherwise(F.to_json("v"))
+        level = (level.select(*keep, F.explode(F.coalesce(fields, items, itself)).alias("_c"))
+                 .select(*keep, "_c.path", "_c.v"))
+    is_text = F.schema_of_variant("v") == "STRING"
+    text = F.when(is_text, F.col("v").try_cast("string")).otherwise(F.to_json("v"))
     return level.select(*keep, "path", text.alias("value"))
 
 
@@ -293,14 +309,15 @@ def kv_scan(df: DataFrame, key_col: str, value_col: str,
             dictionary: Sequence[str] | None = None) -> DataFrame:
     """Settings rows whose key matches the dictionary or whose value looks like a secret, as
     `(key, found_by, finding, count)`; rows without a value are skipped."""
-    named = first_match(F.col(key_col), dictionary)["pattern"]
-    by_value = [F.when(has_category(value_col, cat), F.struct(
+    rows = (df.filter(F.col(value_col).isNotNull() & (F.col(value_col) != ""))
+            .select(F.col(key_col).alias("key"), F.col(value_col).alias("value")))
+    by_name = F.when(F.col("pattern").isNotNull(), F.struct(
+        F.lit("name").alias("found_by"), F.col("pattern").alias("finding")))
+    by_value = [F.when(has_category("value", cat), F.struct(
         F.lit("value").alias("found_by"), F.lit(cat).alias("finding"))) for cat in CATEGORIES]
-    by_name = F.when(named.isNotNull(), F.struct(
-        F.lit("name").alias("found_by"), named.alias("finding")))
     found = F.filter(F.array(by_name, *by_value), lambda x: x.isNotNull())
-    return (df.filter(F.col(value_col).isNotNull() & (F.col(value_col) != ""))
-            .select(F.col(key_col).alias("key"), F.explode(found).alias("f"))
+    return (add_match(rows, "key", dictionary)
+            .select("key", F.explode(found).alias("f"))
             .groupBy("key", "f.found_by", "f.finding").agg(F.count("*").alias("count")))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablecloak.operators.discover import JSON_TYPES, first_match, manifest_dictionary, suggestion
+from tablecloak.operators.discover import (JSON_TYPES, add_hit, add_match, hit_fields,
+                                            manifest_dictionary, suggestion)
+from tablecloak.session import local_rows
 
 # Kinds of drift; the last one only warns.
 NEW_COLUMN = "new_column"
@@ -29,7 +31,7 @@ def manifest_rows(spark: SparkSession, manifest: Mapping, database: str) -> Data
             rows.append((database, table, None, None, no_pii))
         for column, spec in entry.get("columns", {}).items():
             rows.append((database, table, column, spec.get("strategy"), no_pii))
-    return spark.createDataFrame(rows, MANIFEST_COLUMNS)
+    return local_rows(spark, rows, MANIFEST_COLUMNS)
 
 
 def schema_drift(catalog: DataFrame, manifest: DataFrame,
@@ -38,25 +40,28 @@ def schema_drift(catalog: DataFrame, manifest: DataFrame,
 
     Catalogue and manifest rows meet in one union that is shuffled once by table; the
     per-column merge and the per-table flags both reuse that partitioning. A table's columns
-    are few, so no partition key is hot.
+    are few, so no partition key is hot. Names are matched before the shuffle, which carries
+    the position of the match only.
     """
-    text = F.lit(None).cast("string")
-    live = catalog.select("database", "table", "column", "type", F.lit(True).alias("live"),
-                          F.lit(False).alias("declared"), F.lit(False).alias("no_pii"))
-    said = manifest.select("database", "table", "column", text.alias("type"),
-                           F.lit(False).alias("live"), F.lit(True).alias("declared"),
-                           F.coalesce("no_pii", F.lit(False)).alias("no_pii"))
+    none = F.lit(None)
+    live = add_hit(catalog, "column", dictionary).select(
+        "database", "table", "column", "type", "hit", F.lit(True).alias("live"),
+        F.lit(False).alias("declared"), F.lit(False).alias("no_pii"))
+    said = manifest.select(
+        "database", "table", "column", none.cast("string").alias("type"), none.cast("int").alias("hit"),
+        F.lit(False).alias("live"), F.lit(True).alias("declared"),
+        F.coalesce("no_pii", F.lit(False)).alias("no_pii"))
     per_column = (live.unionByName(said).repartition("database", "table")
                   .groupBy("database", "table", "column")
-                  .agg(F.max("type").alias("type"), F.max("live").alias("live"),
+                  .agg(F.max("type").alias("type"), F.max("hit").alias("hit"), F.max("live").alias("live"),
                        F.max("declared").alias("declared"), F.max("no_pii").alias("no_pii")))
     w = W.partitionBy("database", "table")
     flagged = (per_column
                .withColumn("known", F.max("declared").over(w))
                .withColumn("table_no_pii", F.max("no_pii").over(w))
                .filter(F.col("column").isNotNull())
-               .withColumn("_m", first_match(F.col("column"), dictionary)))
-    matched = F.col("_m.pattern").isNotNull()
+               .withColumns(hit_fields(dictionary)))
+    matched = F.col("pattern").isNotNull()
     is_json = F.col("type").isin(*JSON_TYPES)
     kind = (
         F.when(~F.col("live"), MISSING)
@@ -69,8 +74,8 @@ def schema_drift(catalog: DataFrame, manifest: DataFrame,
     return (flagged.withColumn("kind", kind).filter(F.col("kind").isNotNull())
             .select("database", "table", "kind", "column",
                     F.when(named, F.col("type")).alias("type"),
-                    F.when(named | (F.col("kind") == WARNING), F.col("_m.pattern")).alias("pattern"),
-                    F.when(named, suggestion("_m.strategy", "_m.param")).alias("suggested")))
+                    F.when(named | (F.col("kind") == WARNING), F.col("pattern")).alias("pattern"),
+                    F.when(named, suggestion("strategy", "param")).alias("suggested")))
 
 
 def drift_ok(drift: DataFrame) -> DataFrame:
@@ -113,12 +118,11 @@ def preflight_drift(snapshots: DataFrame, captured: DataFrame, manifest: DataFra
     per_host = declared.groupBy("host").agg(F.count("*").alias("n_declared"))
     tables = manifest.groupBy("host", "table").agg(
         F.max(F.coalesce("no_pii", F.lit(False))).alias("table_no_pii"))
-    rows = (captured.join(declared.withColumn("is_declared", F.lit(True)),
-                          ["host", "table", "column"], "left")
+    rows = (add_match(captured, "column", dictionary)
+            .join(declared.withColumn("is_declared", F.lit(True)), ["host", "table", "column"], "left")
             .join(tables, ["host", "table"], "left"))
     undeclared = F.col("is_declared").isNull() & ~F.coalesce("table_no_pii", F.lit(False))
-    failing = undeclared & (F.col("type").isin(*JSON_TYPES)
-                            | first_match(F.col("column"), dictionary).isNotNull())
+    failing = undeclared & (F.col("type").isin(*JSON_TYPES) | F.col("pattern").isNotNull())
     per_snapshot = rows.groupBy("snapshot_id").agg(
         F.count_if(failing).alias("n_failing"),
         F.count_if(F.col("is_declared")).alias("n_found"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecloak.session import cut_lineage
+from tablecloak.session import cut_lineage, local_rows
 
 # A frontier is broadcast only when it was counted and has at most this many names.
 BROADCAST_ROWS = 200_000
@@ -19,11 +19,16 @@ def _scope(edges: DataFrame) -> list[str]:
     return ["database"] if "database" in edges.columns else []
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def fk_closure(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """Seed tables plus every table that references one of them, directly or not.
 
     Breadth-first: each round joins the edges with the tables found last, so a table is
-    expanded once and cycles end by themselves. Rounds = longest reference chain.
+    expanded once and cycles end by themselves. Rounds = longest reference chain. Sizes are
+    counted each round; a side is broadcast only while its count is small.
     """
     scope = _scope(edges)
     key = [*scope, "table"]
@@ -31,14 +36,15 @@ def fk_closure(edges: DataFrame, seed: DataFrame) -> DataFrame:
         F.col("child").isNotNull() & F.col("parent").isNotNull() & (F.col("child") != "")).persist()
     frontier = cut_lineage(seed.select(*key).filter(
         F.col("table").isNotNull() & (F.col("table") != "")).distinct())
-    found = frontier
+    found, total = frontier, 0
     while (n := frontier.count()) > 0:
-        parents = frontier.withColumnRenamed("table", "parent")
-        if n <= BROADCAST_ROWS:
-            parents = F.broadcast(parents)
+        total += n
+        parents = _bounded(frontier.withColumnRenamed("table", "parent"), n)
         children = (edges.join(parents, [*scope, "parent"], "left_semi")
-                    .select(*scope, F.col("child").alias("table")).distinct())
-        frontier = cut_lineage(children.join(found, key, "left_anti"))
+                    .select(*scope, F.col("child").alias("table")))
+        # dropping what is known before the distinct leaves less to shuffle
+        frontier = cut_lineage(
+            children.join(_bounded(found, total), key, "left_anti").distinct())
         found = found.unionByName(frontier)
     edges.unpersist()
     return found
@@ -93,7 +99,7 @@ def truncate_tables(tables: Mapping[str, DataFrame], names: Sequence[str],
     """
     empty = set(names)
     if edges is not None:
-        seed = edges.sparkSession.createDataFrame([(n,) for n in names], "table string")
+        seed = local_rows(edges.sparkSession, [(n,) for n in names], "table string")
         empty |= {r["table"] for r in fk_closure(edges, seed).collect()}
     return {n: df.limit(0) if n in empty else df for n, df in tables.items()}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +11,9 @@ from pyspark.sql import types as T
 
 from tablecloak.functions import masks
 from tablecloak.operators.masking import LEAF_STRATEGIES, table_columns
+from tablecloak.session import local_rows
 
-REPORT = T.StructType([
-    T.StructField("table", T.StringType()),
-    T.StructField("column", T.StringType()),
-    T.StructField("strategy", T.StringType()),
-    T.StructField("sniff_count", T.LongType()),
-    T.StructField("pass", T.BooleanType()),
-])
+REPORT = "table string, column string, strategy string, sniff_count bigint, pass boolean"
 
 
 def _fake_violation(c: Column, strategy: str, domain: str) -> Column:
@@ -118,8 +113,8 @@ def sniff_report(tables: Mapping[str, DataFrame], manifest: Mapping,
             parts.append(sniff_table(tables[table], table, columns, domain))
         else:
             rows = [(table, c, s["strategy"], -1, False) for c, s in sorted(columns.items())]
-            parts.append(spark.createDataFrame(rows, REPORT))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], REPORT)
+            parts.append(local_rows(spark, rows, REPORT))
+    return reduce(DataFrame.unionByName, parts) if parts else local_rows(spark, [], REPORT)
 
 
 def gate_ok(report: DataFrame) -> DataFrame:
@@ -177,6 +172,3 @@ def mask_stability(a: DataFrame, b: DataFrame, source_col: str,
         F.count_if(F.col("a_min").isNotNull() & F.col("b_min").isNotNull()).alias("shared"),
         F.count_if(unstable).alias("unstable"))
 
-
-def union_reports(reports: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, reports)

@@ -16,10 +16,10 @@ from tablecloak.operators.hooks import apply_hooks, safe_message
 from tablecloak.operators.integrity import keep_recent, prune_cascade, truncate_tables
 from tablecloak.operators.masking import mask_dataset
 from tablecloak.operators.verify import gate_ok, sniff_report
-from tablecloak.session import hide_seed
+from tablecloak.session import hide_seed, local_rows
 from tablecloak.sources.readers import column_catalog
 from tablecloak.sources.snapshot import (delete_path, exists, publish_atomically, read_snapshot,
-                                         verify_snapshot)
+                                         require_intact, write_tables)
 
 log = logging.getLogger("tablecloak")
 
@@ -49,7 +49,7 @@ def seed_of(manifest: Mapping, env: Mapping[str, str] | None = None) -> str:
 
 def _report(spark: SparkSession, folder: str, body: Mapping, rows: DataFrame | None = None) -> None:
     """`summary` is one JSON row; findings are written next to it without passing the driver."""
-    spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1) \
+    local_rows(spark, [(json.dumps(body),)], "value string") \
         .write.mode("overwrite").text(f"{folder}/{REPORT}/summary")
     if rows is not None:
         rows.write.mode("overwrite").json(f"{folder}/{REPORT}/findings")
@@ -78,8 +78,7 @@ def scrub_gate(tables: Mapping[str, DataFrame], manifest: Mapping, final: str, r
     staging = f"{final}.part-{uuid.uuid4().hex}"
     try:
         try:
-            for name, df in mask_dataset(tables, manifest, seed, domain).items():
-                df.write.parquet(f"{staging}/{name}")
+            write_tables(mask_dataset(tables, manifest, seed, domain), staging)
         except Exception as e:
             _report(spark, report_dir, {"ok": False, "phase": "update"})
             raise GateError("update", safe_message(e, seed)) from None
@@ -120,8 +119,7 @@ def guarded_restore(spark: SparkSession, path: str, target: str, manifest: Mappi
                     safety: str = "local", transform: Callable[[DataFrame], DataFrame] | None = None,
                     json_columns: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Verify a snapshot, run hooks over its tables, and publish them through the gate."""
-    if bad := verify_snapshot(spark, path).filter("status in ('mismatch', 'missing')").count():
-        raise OSError(f"{bad} data file(s) of {path} do not match their digest")
+    require_intact(spark, path)
     tables = read_snapshot(spark, path)
     if transform is not None:
         tables = {n: df.transform(transform) for n, df in tables.items()}

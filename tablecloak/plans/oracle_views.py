@@ -129,8 +129,8 @@ VIEWS = {
           ('4-NOT SPECIFIED', 'users', 'id', 'integer', true),
           ('5-LOW', 'users', 'email', 'text', true), ('5-LOW', 'meta', 'prefs', 'jsonb', true)
         ) c(p, t, c, y, n) ON o_orderpriority = c.p""",
-    "fk_edges": """SELECT 't' || p_partkey AS child, 't' || (p_partkey // 2) AS parent FROM part
-        UNION ALL SELECT 't' || (p_partkey // 2), 't' || p_partkey FROM part WHERE p_size = 7""",
+    "fk_edges": """SELECT 't' || p_partkey AS child, 't' || (p_partkey // 8) AS parent FROM part
+        UNION ALL SELECT 't' || (p_partkey // 8), 't' || p_partkey FROM part WHERE p_size = 7""",
     "excluded_tables": """SELECT 't' || p_partkey AS "table" FROM part WHERE p_size = 1""",
     "customers_kept": "SELECT * FROM customer WHERE c_acctbal >= 0",
     "orders_kept": "SELECT * FROM orders WHERE o_orderstatus <> 'P'",

@@ -11,7 +11,7 @@ from tablecloak.plans import gate
 from tablecloak.plans import views as v
 from tablecloak.plans.oracle_views import S, hash_int
 from tablecloak.plans.registry import query
-from tablecloak.session import scratch_path
+from tablecloak.session import local_rows, scratch_path
 from tablecloak.sources.snapshot import roundtrip
 
 KEYED = {"o_orderdate": v.ORDERS_P["o_orderdate"]}
@@ -269,7 +269,7 @@ def v15(spark, sf):
         counted("customer", customer, "rows"))
     expected = counted("orders", orders, "snapshot_rows").unionByName(
         counted("customer", customer, "snapshot_rows")).unionByName(
-        spark.createDataFrame([("labels", None)], "table string, snapshot_rows bigint"))
+        local_rows(spark, [("labels", None)], "table string, snapshot_rows bigint"))
     return verify.restore_drill(counts, expected.withColumn("min_rows", F.lit(1).cast("bigint")))
 
 

@@ -9,6 +9,7 @@ from tablecloak.plans import gate
 from tablecloak.plans import views as v
 from tablecloak.plans.oracle_views import S
 from tablecloak.plans.registry import query
+from tablecloak.session import local_rows
 from tablecloak.sources import readers
 from tablecloak.sources.digests import content_checksum
 
@@ -349,7 +350,7 @@ def _counts(tables, names):
     UNION ALL SELECT 'events', 0""")
 def r6(spark, sf):
     names = ("region", "supplier", "part", "customer", "orders", "lineitem", "events")
-    edges = spark.createDataFrame([(c, p) for c, _, p, _ in v.FK], "child string, parent string")
+    edges = local_rows(spark, [(c, p) for c, _, p, _ in v.FK], "child string, parent string")
     return _counts(integrity.truncate_tables(v.tables(spark, sf, *names), ["customer", "events"], edges),
                    names)
 

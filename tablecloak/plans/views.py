@@ -253,22 +253,22 @@ def pg_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pg_constraint(spark: SparkSession, sf: str) -> DataFrame:
-    """Each table references the table with half its number; some keys point back, which makes
+    """Each table references the table with an eighth of its number; some keys point back, which makes
     cycles; every table also has its own primary key."""
     part = table(spark, sf, "part")
     up = part.selectExpr("'f' AS contype", "p_partkey + 16384 AS conrelid",
-                         "p_partkey div 2 + 16384 AS confrelid")
+                         "p_partkey div 8 + 16384 AS confrelid")
     back = part.filter("p_size = 7").selectExpr(
-        "'f' AS contype", "p_partkey div 2 + 16384 AS conrelid", "p_partkey + 16384 AS confrelid")
+        "'f' AS contype", "p_partkey div 8 + 16384 AS conrelid", "p_partkey + 16384 AS confrelid")
     own = part.selectExpr("'p' AS contype", "p_partkey + 16384 AS conrelid", "0L AS confrelid")
     return up.unionByName(back).unionByName(own)
 
 
 def fk_edges(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    up = part.selectExpr("concat('t', p_partkey) AS child", "concat('t', p_partkey div 2) AS parent")
+    up = part.selectExpr("concat('t', p_partkey) AS child", "concat('t', p_partkey div 8) AS parent")
     back = part.filter("p_size = 7").selectExpr(
-        "concat('t', p_partkey div 2) AS child", "concat('t', p_partkey) AS parent")
+        "concat('t', p_partkey div 8) AS child", "concat('t', p_partkey) AS parent")
     return up.unionByName(back)
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def build_session(app: str = "tablecloak", master: str | None = None,
@@ -52,6 +56,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tablecloak/{name}-{uuid.uuid4().hex}"
 
 
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows (names, declarations) as a local relation, which Catalyst can
+    fold and broadcast; no Python task reads it."""
+    types = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [() for _ in types.fields]
+    data = pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, types.fields)],
+                    names=types.names)
+    return spark.createDataFrame(data, types)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     spark = df.sparkSession

@@ -6,11 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 READ_BYTES = 8 << 20
+# Files up to this size are digested as one value in the JVM; larger ones are streamed.
+WHOLE_BYTES = 512 << 20
 NULL_TOKEN = "\\N"
 
 
@@ -26,9 +28,9 @@ def _digest(path: str) -> str:
     return digest.hexdigest()
 
 
-def file_digests(files: DataFrame, partitions: int | None = None) -> DataFrame:
+def file_digests(files: DataFrame) -> DataFrame:
     """Add `sha256` to rows with a `path` (a file URI). A digest is sequential per file, so the
-    parallelism is over files: spread the list before reading."""
+    parallelism is over files: the list is spread before reading."""
     columns = files.columns
     schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())])
 
@@ -36,29 +38,50 @@ def file_digests(files: DataFrame, partitions: int | None = None) -> DataFrame:
         for batch in batches:
             yield batch.assign(sha256=[_digest(p) for p in batch["path"]])[[*columns, "sha256"]]
 
-    spread = files.repartition(partitions, "path") if partitions else files.repartition("path")
-    return spread.mapInPandas(digest_batches, schema)
+    return files.repartition("path").mapInPandas(digest_batches, schema)
 
 
-def verify_files(files: DataFrame, sidecars: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Recompute digests and compare: `ok`, `mismatch`, `no_meta` or `no_checksum` per file.
+def folder_digests(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """`path, length, sha256` of the Parquet files below a folder. The size limit is pushed into
+    the listing, so the content of a large file is never loaded as one value."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.parquet").load(folder))
+    small = files.filter(F.col("length") <= whole_bytes).select(
+        "path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select("path", "length")
+    return small.unionByName(file_digests(large))
 
-    `sidecars(path, sha256)`. Only files that have an expected digest are read.
-    """
+
+def digest_status(known: Column, expected: Column, actual: Column) -> Column:
+    """`ok`, `mismatch`, `no_meta` (nothing known) or `no_checksum`."""
+    return (F.when(known.isNull(), "no_meta").when(expected.isNull(), "no_checksum")
+            .when(expected == actual, "ok").otherwise("mismatch"))
+
+
+def verify_files(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Recompute digests of listed files and compare them with `sidecars(path, sha256)`. Only
+    files that have an expected digest are read."""
     known = sidecars.select("path", F.col("sha256").alias("expected"), F.lit(True).alias("_meta"))
     joined = files.select("path").join(known, "path", "left")
-    checked = file_digests(joined.filter(F.col("expected").isNotNull()), partitions)
+    checked = file_digests(joined.filter(F.col("expected").isNotNull()))
     rest = joined.filter(F.col("expected").isNull()).withColumn("sha256", F.lit(None).cast("string"))
-    status = (F.when(F.col("_meta").isNull(), "no_meta").when(F.col("expected").isNull(), "no_checksum")
-              .when(F.col("expected") == F.col("sha256"), "ok").otherwise("mismatch"))
+    status = digest_status(F.col("_meta"), F.col("expected"), F.col("sha256"))
     return checked.unionByName(rest).select("path", status.alias("status"), "expected", "sha256")
 
 
-def content_checksum(df: DataFrame) -> DataFrame:
-    """Row count and an order-free sum of row hashes; equal for equal multisets of rows."""
-    sep = "\u001f"
-    text = F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TOKEN))
-                              for c in df.columns])
-    value = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+def content_checksum(df: DataFrame, method: str = "md5") -> DataFrame:
+    """Row count and an order-free sum of row hashes; equal for equal multisets of rows.
+
+    `md5` hashes the rows as text, so another engine can repeat it; `xxhash64` hashes the
+    stored values and is several times faster.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if method == "xxhash64":
+        value = F.xxhash64(*columns).cast("decimal(20,0)")
+    elif method == "md5":
+        text = F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit(NULL_TOKEN)) for c in columns])
+        value = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    else:
+        raise ValueError("method must be md5 or xxhash64")
     return df.agg(F.count("*").alias("rows"),
                   F.coalesce(F.sum(value).cast("string"), F.lit("0")).alias("checksum"))

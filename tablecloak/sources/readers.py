@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablecloak.functions.scalars import SNAPSHOT_NAME, encryption_of, valid_alias
 from tablecloak.operators.catalog import host_safety
+from tablecloak.session import local_rows
 
 # Databases that belong to the engines.
 SYSTEM_DATABASES = ("postgres", "template0", "template1",
@@ -51,8 +52,8 @@ def column_catalog(tables: Mapping[str, DataFrame], json_columns: Sequence[str]
              f.nullable, i)
             for t, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields)]
     spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(
-        rows, "table string, column string, type string, nullable boolean, ordinal int")
+    return local_rows(
+        spark, rows, "table string, column string, type string, nullable boolean, ordinal int")
 
 
 def information_schema_catalog(columns: DataFrame, schema: str = "public") -> DataFrame:

@@ -16,17 +16,19 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecloak.operators.stats import table_stats
-from tablecloak.sources.digests import content_checksum, file_digests, verify_files
-from tablecloak.sources.readers import list_files, union_all
+from tablecloak.session import local_rows
+from tablecloak.sources.digests import content_checksum, digest_status, folder_digests
+from tablecloak.sources.readers import union_all
 
 log = logging.getLogger("tablecloak")
 
 MODES = ("full", "schema", "data")
 META, FILES = "_meta", "_files"
+WRITERS = 4
 
 
 def _fs(spark: SparkSession, path: str):
@@ -67,16 +69,32 @@ def captured_schema(tables: Mapping[str, DataFrame]) -> dict:
         for f in df.schema.fields}} for t, df in tables.items()}}
 
 
+def write_tables(tables: Mapping[str, DataFrame], folder: str, workers: int = WRITERS) -> None:
+    """Write each table below `folder`. Several jobs run side by side, so the last tasks of one
+    table do not leave executors idle; the first failure is raised."""
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+
+    @inheritable_thread_target(spark)
+    def write(item: tuple[str, DataFrame]) -> None:
+        item[1].write.parquet(f"{folder}/{item[0]}")
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        list(pool.map(write, tables.items()))
+
+
+def _table_file(path: str = "path") -> Column:
+    """`<table>/<file>` from a file path."""
+    parts = F.split(path, "/")
+    return F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
+
+
 def sidecar(spark: SparkSession, folder: str, tables: Mapping[str, DataFrame],
             info: Mapping[str, str], with_schema: bool = True) -> DataFrame:
-    """Describe the data files below `folder`: writes `_files` and returns the `_meta` row."""
-    names = list(tables)
-    parts = [list_files(spark, f"{folder}/{t}").withColumn("table", F.lit(t)) for t in names]
-    files = union_all(parts).filter(F.col("path").endswith(".parquet"))
-    # digests are read once and kept with paths relative to the snapshot
-    relative = F.concat(F.col("table"), F.lit("/"), F.element_at(F.split("path", "/"), -1))
-    (file_digests(files.select("path", "length", "table"))
-     .select("table", relative.alias("file"), "length", "sha256")
+    """Describe the data files below `folder`: writes `_files` (read once for the digests) and
+    returns the `_meta` row."""
+    (folder_digests(spark, folder).select(_table_file().alias("file"), "length", "sha256")
      .write.mode("overwrite").parquet(f"{folder}/{FILES}"))
     stored = spark.read.parquet(f"{folder}/{FILES}")
     digest = F.sum(F.conv(F.substring("sha256", 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
@@ -101,11 +119,10 @@ def snapshot(tables: Mapping[str, DataFrame], dest: str, *, mode: str = "full",
     chosen = exclude_data(tables, list(tables) if mode == "schema" else exclude)
     staging = f"{dest}.part-{uuid.uuid4().hex}"
     try:
-        for name, df in chosen.items():
-            df.write.parquet(f"{staging}/{name}")
+        write_tables(chosen, staging)
         info = {"host": host, "database": database, "timestamp": timestamp, "backup_mode": mode}
         meta = sidecar(spark, staging, chosen, info, with_schema=mode != "data")
-        meta.coalesce(1).write.json(f"{staging}/{META}")
+        meta.write.json(f"{staging}/{META}")
         publish_atomically(spark, staging, dest)
     except Exception:
         delete_path(spark, staging)
@@ -128,17 +145,22 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Status per data file of a snapshot: `ok`, `mismatch`, `missing` or `no_meta`."""
-    stored = spark.read.parquet(f"{path}/{FILES}")
-    parts = [list_files(spark, f"{path}/{t}").withColumn("table", F.lit(t))
-             for t in snapshot_tables(spark, path)]
-    found = union_all(parts).filter(F.col("path").endswith(".parquet")).withColumn(
-        "file", F.concat(F.col("table"), F.lit("/"), F.element_at(F.split("path", "/"), -1)))
-    expected = found.select("path", "file").join(stored.select("file", "sha256"), "file")
-    checked = verify_files(found, expected.select("path", "sha256"))
-    missing = stored.join(found.select("file"), "file", "left_anti").select(
-        F.col("file").alias("path"), F.lit("missing").alias("status"),
-        F.col("sha256").alias("expected"), F.lit(None).cast("string").alias("sha256"))
-    return checked.unionByName(missing)
+    expected = spark.read.parquet(f"{path}/{FILES}").select(
+        "file", F.col("sha256").alias("expected"), F.lit(True).alias("_meta"))
+    tables = [f"{path}/{t}" for t in snapshot_tables(spark, path)]
+    actual = union_all([folder_digests(spark, t) for t in tables]).select(
+        _table_file().alias("file"), "sha256", F.lit(True).alias("_there"))
+    status = F.when(F.col("_there").isNull(), "missing").otherwise(
+        digest_status(F.col("_meta"), F.col("expected"), F.col("sha256")))
+    return expected.join(actual, "file", "full").select(
+        F.col("file").alias("path"), status.alias("status"), "expected", "sha256")
+
+
+def require_intact(spark: SparkSession, path: str) -> None:
+    """Raise when a data file of a snapshot is missing or does not match its digest."""
+    bad = verify_snapshot(spark, path).filter(F.col("status").isin("mismatch", "missing")).count()
+    if bad:
+        raise OSError(f"{bad} data file(s) of {path} do not match their digest")
 
 
 def restore(spark: SparkSession, path: str, target: str, *, verify: bool = True) -> dict[str, DataFrame]:
@@ -147,12 +169,11 @@ def restore(spark: SparkSession, path: str, target: str, *, verify: bool = True)
     A digest that does not match stops the restore before anything is written.
     """
     tables = read_snapshot(spark, path)
-    if verify and (bad := verify_snapshot(spark, path).filter("status in ('mismatch', 'missing')").count()):
-        raise OSError(f"{bad} data file(s) of {path} do not match their digest")
+    if verify:
+        require_intact(spark, path)
     staging = f"{target}.part-{uuid.uuid4().hex}"
     try:
-        for name, df in tables.items():
-            df.write.parquet(f"{staging}/{name}")
+        write_tables(tables, staging)
         publish_atomically(spark, staging, target)
     except Exception:
         delete_path(spark, staging)
@@ -175,18 +196,19 @@ def snapshot_all(spark: SparkSession, databases: Mapping[str, Mapping[str, DataF
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         rows = list(pool.map(one, sorted(databases)))
-    return spark.createDataFrame(rows, "database string, outcome string, error string")
+    return local_rows(spark, rows, "database string, outcome string, error string")
 
 
 def snapshot_counts(spark: SparkSession, path: str) -> DataFrame:
     return table_stats(read_snapshot(spark, path)).select("table", "rows")
 
 
-def roundtrip(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame]) -> DataFrame:
-    """Row counts and content checksums of tables next to those of their copies."""
+def roundtrip(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame],
+              method: str = "xxhash64") -> DataFrame:
+    """Row counts of tables next to whether their copies hold the same rows."""
 
     def sums(group: Mapping[str, DataFrame], side: str) -> DataFrame:
-        return union_all([content_checksum(df).select(
+        return union_all([content_checksum(df, method).select(
             F.lit(t).alias("table"), F.col("rows").alias(f"{side}_rows"),
             F.col("checksum").alias(f"{side}_checksum")) for t, df in sorted(group.items())])
 
