@@ -141,6 +141,11 @@ def _entries(dictionary: Sequence[str] | None) -> list[list[str]]:
     return [e.split(":") for e in (DEFAULT_DICTIONARY if dictionary is None else dictionary)]
 
 
+def _quoted(text: str) -> str:
+    """A string literal in Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def add_hit(df: DataFrame, name_col: str = "column",
             dictionary: Sequence[str] | None = None) -> DataFrame:
     """Add `hit`: the 1-based position of the first dictionary entry contained in a name, or one
@@ -150,11 +155,12 @@ def add_hit(df: DataFrame, name_col: str = "column",
     the first entry that is contained.
     """
     entries = _entries(dictionary)
-    position = F.when(F.col("_name").isNull(), len(entries) + 1)
-    for i, e in enumerate(entries, start=1):
-        position = position.when(F.contains("_name", F.lit(e[0])), i)
+    cases = " ".join(f"WHEN contains(_name, {_quoted(e[0])}) THEN {i}"
+                     for i, e in enumerate(entries, start=1))
+    nothing = len(entries) + 1
     return (df.withColumn("_name", normalize_name(name_col))
-            .withColumn("hit", position.otherwise(len(entries) + 1)).drop("_name"))
+            .withColumn("hit", F.expr(f"CASE WHEN _name IS NULL THEN {nothing} {cases} ELSE {nothing} END"))
+            .drop("_name"))
 
 
 def hit_fields(dictionary: Sequence[str] | None = None) -> dict[str, Column]:
@@ -163,7 +169,8 @@ def hit_fields(dictionary: Sequence[str] | None = None) -> dict[str, Column]:
     params = [e[-1] if len(e) > 2 and e[1] in PARAMETER else None for e in entries]
 
     def pick(values: Sequence[str | None]) -> Column:
-        return F.element_at(F.array(*[F.lit(x).cast("string") for x in (*values, None)]), F.col("hit"))
+        known = ", ".join("CAST(NULL AS string)" if x is None else _quoted(x) for x in (*values, None))
+        return F.expr(f"element_at(array({known}), hit)")
 
     return {"pattern": pick([e[0] for e in entries]), "strategy": pick([e[1] for e in entries]),
             "param": pick(params)}
