@@ -16,27 +16,27 @@ WHOLE_BYTES = 512 << 20
 NULL_TOKEN = "\\N"
 
 
-def _digest(path: str) -> str:
-    """SHA-256 of a file, read piece by piece so that size does not matter."""
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri(path)
-    digest = hashlib.sha256()
-    with system.open_input_stream(name) as stream:
-        while piece := stream.read(READ_BYTES):
-            digest.update(piece)
-    return digest.hexdigest()
-
-
 def file_digests(files: DataFrame) -> DataFrame:
     """Add `sha256` to rows with a `path` (a file URI). A digest is sequential per file, so the
-    parallelism is over files: the list is spread before reading."""
+    parallelism is over files: the list is spread before reading. Files are read piece by
+    piece, so their size does not matter."""
     columns = files.columns
     schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())])
 
+    # local functions travel with the task, so executors need no copy of this package
+    def digest(path: str) -> str:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path)
+        out = hashlib.sha256()
+        with system.open_input_stream(name) as stream:
+            while piece := stream.read(READ_BYTES):
+                out.update(piece)
+        return out.hexdigest()
+
     def digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(sha256=[_digest(p) for p in batch["path"]])[[*columns, "sha256"]]
+            yield batch.assign(sha256=[digest(p) for p in batch["path"]])[[*columns, "sha256"]]
 
     return files.repartition("path").mapInPandas(digest_batches, schema)
 

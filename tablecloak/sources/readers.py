@@ -92,7 +92,7 @@ def parse_sidecars(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def read_sidecars(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All sidecar files of a fleet, one row per file."""
-    texts = spark.read.option("wholetext", True).text(paths).select(
+    texts = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("sidecar_path"), F.col("value").alias("text"))
     return parse_sidecars(texts)
 

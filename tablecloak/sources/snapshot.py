@@ -224,30 +224,28 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def _remove(uri: str) -> bool:
-    """Delete a file or folder; one that is already gone is no error."""
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri(uri)
-    kind = system.get_file_info(name).type
-    if kind == fs.FileType.Directory:
-        system.delete_dir(name)
-    elif kind == fs.FileType.File:
-        system.delete_file(name)
-    return kind != fs.FileType.NotFound
-
-
 def apply_retention(marked: DataFrame, dry_run: bool = True) -> int:
     """Delete marked snapshots (rows with a `path`) and their sidecars in parallel tasks; return
     how many were marked. A repeated or retried run finds less to do and is safe."""
     if dry_run:
         return marked.count()
 
+    # local functions travel with the task, so executors need no copy of this package
+    def remove_one(uri: str) -> None:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(uri)
+        kind = system.get_file_info(name).type
+        if kind == fs.FileType.Directory:
+            system.delete_dir(name)
+        elif kind == fs.FileType.File:
+            system.delete_file(name)
+
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
                 for suffix in ("", ".meta.json", ".globals.sql"):
-                    _remove(path + suffix)
+                    remove_one(path + suffix)
             yield pd.DataFrame({"marked": [len(batch)]})
 
     removed = marked.select("path").repartition("path").mapInPandas(remove, "marked bigint")
