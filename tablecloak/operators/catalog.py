@@ -51,30 +51,53 @@ def latest_by_name(catalog: DataFrame) -> DataFrame:
             .agg(F.max("file").alias("file")))
 
 
+# Above this many rows per pair Spark does not limit ranks before a shuffle by itself.
+RANK_LIMIT = 1000
+SALTS = 64
+
+
+def _newest(catalog: DataFrame, most: int, key: str) -> DataFrame:
+    """The newest `most` rows of each pair with their `_rank`; equal times are ordered by `key`.
+
+    A rank limit is applied before the shuffle, so only `most` rows per pair and task travel.
+    For larger limits the same is done in two steps: the newest of each pair and salt, then
+    the newest of those.
+    """
+    order = [F.desc_nulls_last("mtime"), F.asc(key)]
+    rows = catalog.select(*PAIR, "mtime", key)
+
+    def limited(df: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= most)
+
+    if most > RANK_LIMIT:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        rows = limited(salted, *PAIR, "_salt").drop("_salt", "_rank")
+    return limited(rows, *PAIR)
+
+
 def _beyond_newest(catalog: DataFrame, keep: DataFrame | int, key: str) -> DataFrame:
-    """Rows of each pair after its newest `keep` ones; equal times are ordered by `key`.
+    """Rows of each pair after its newest `keep` ones.
 
-    The `keep`-th newest row of a pair is its threshold. Finding it is a rank limit, which
-    Spark applies before the shuffle (only `keep` rows per pair and task travel); the other
-    rows are then compared with the threshold, so a pair that holds a third of the
-    catalogue is never sorted in one task.
+    The `keep`-th newest row of a pair is its threshold; all rows are compared with it. So a
+    pair that holds a third of the catalogue is never sorted in one task.
     """
     if isinstance(keep, int):
         if keep <= 0:
             return catalog
-        ranked, limit, most = catalog.select(*PAIR, "mtime", key), F.lit(keep), keep
+        nth = _newest(catalog, keep, key).filter(F.col("_rank") == keep)
     else:
         keep = keep.filter(F.col("keep").isNotNull()).select(*PAIR, "keep")
-        ranked, limit = catalog.select(*PAIR, "mtime", key).join(keep, [*PAIR]), F.col("keep")
         most = keep.agg(F.max("keep")).first()[0] or 0
-    rank = F.row_number().over(
-        W.partitionBy(*PAIR).orderBy(F.desc_nulls_last("mtime"), F.asc(key)))
-    nth = (ranked.withColumn("_rank", rank)
-           .filter((F.col("_rank") <= most) & (F.col("_rank") == limit))
-           .select(*PAIR, F.col("mtime").alias("_mtime"), F.col(key).alias("_key")))
+        nth = _newest(catalog, most, key).join(keep, [*PAIR]).filter(F.col("_rank") == F.col("keep"))
+    nth = nth.select(*PAIR, F.col("mtime").alias("_mtime"), F.col(key).alias("_key"))
     older = (F.col("_mtime").isNotNull() & F.col("mtime").isNull()) | (F.col("mtime") < F.col("_mtime"))
     same = F.col("mtime").eqNullSafe(F.col("_mtime")) & (F.col(key) > F.col("_key"))
-    return catalog.join(nth, [*PAIR]).filter(older | same).select(*catalog.columns)
+    marked = catalog.join(nth, [*PAIR]).filter(older | same).select(*catalog.columns)
+    if isinstance(keep, int):
+        return marked
+    none = keep.filter(F.col("keep") <= 0).select(*PAIR)
+    return marked.unionByName(catalog.join(none, [*PAIR], "left_semi").select(*catalog.columns))
 
 
 def retention_keep(catalog: DataFrame, keep: int, key: str = "path") -> DataFrame:

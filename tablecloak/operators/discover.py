@@ -331,12 +331,12 @@ def kv_scan(df: DataFrame, key_col: str, value_col: str,
 def framework_fingerprint(catalog: DataFrame, signatures: DataFrame) -> DataFrame:
     """Databases that hold every signature table `(framework, table)` of a framework.
 
-    The join meets only catalogue rows that are signature tables.
+    Rows that are no signature table leave at the join, and repeated rows (one per column)
+    are combined before the shuffle of the count.
     """
     wanted = signatures.distinct()
     sizes = wanted.groupBy("framework").agg(F.count("*").alias("needed"))
-    hits = (catalog.select("database", "table").distinct()
-            .join(wanted, "table")
-            .groupBy("database", "framework").agg(F.count("*").alias("found")))
+    hits = (catalog.select("database", "table").join(wanted, "table")
+            .groupBy("database", "framework").agg(F.count_distinct("table").alias("found")))
     return (hits.join(sizes, "framework").filter(F.col("found") == F.col("needed"))
             .select("database", "framework"))

@@ -35,42 +35,50 @@ def strip_definer(lines: DataFrame, mode: str = "strip") -> DataFrame:
         c.contains("DEFINER="), F.regexp_replace(c, F.lit(pattern), F.lit(new))).otherwise(c))
 
 
-def copy_state(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Add `copy_start`: the line number of the COPY statement whose data block a line belongs
-    to (its end marker included), or NULL for lines outside any block.
+def _marked(lines: DataFrame, chunk_lines: int) -> DataFrame:
+    start, end = F.col("line").rlike(COPY_START), F.col("line") == COPY_END
+    return (lines.withColumn("_chunk", F.floor(F.col("line_no") / chunk_lines))
+            .withColumn("_start", F.when(start, F.col("line_no")))
+            .withColumn("_end", F.when(end, F.col("line_no"))))
 
-    The first COPY statement after an end marker opens a block; a start inside a block is data,
-    an end outside one means nothing. Lines are worked on in chunks of a file, so a huge file
-    is spread over many tasks; the block left open by the chunks before is carried over from
-    one short row per chunk.
+
+def _carried(marked: DataFrame) -> DataFrame:
+    """Per chunk of a file: the line number of the COPY statement still open when it begins.
+
+    Everything here is one short row per chunk; lines are only read to find their markers.
     """
     chunk = ["file", "_chunk"]
-    start, end = F.col("line").rlike(COPY_START), F.col("line") == COPY_END
-    tagged = (lines.withColumn("_chunk", F.floor(F.col("line_no") / chunk_lines))
-              .repartition(*chunk)
-              .withColumn("_start", F.when(start, F.col("line_no")))
-              .withColumn("_end", F.when(end, F.col("line_no")))
-              .withColumn("_chunk_end", F.max("_end").over(W.partitionBy(*chunk))))
-
+    chunks = marked.groupBy(*chunk).agg(F.max("_end").alias("_chunk_end"))
+    starts = marked.filter(F.col("_start").isNotNull()).select(*chunk, "_start")
     # what a chunk leaves open: its first start after its last end
-    after_end = F.col("_start") > F.coalesce("_chunk_end", F.lit(-1))
-    per_chunk = tagged.groupBy(*chunk).agg(
-        F.max("_chunk_end").alias("_chunk_end"),
-        F.min(F.when(after_end, F.col("_start"))).alias("_left_open"))
+    left_open = (starts.join(chunks, chunk)
+                 .filter(F.col("_start") > F.coalesce("_chunk_end", F.lit(-1)))
+                 .groupBy(*chunk).agg(F.min("_start").alias("_left_open")))
     in_file = W.partitionBy("file").orderBy("_chunk")
     since_end = W.partitionBy("file", "_ends").orderBy("_chunk")
-    carried = (per_chunk
-               .withColumn("_ends", F.count("_chunk_end").over(in_file))
-               .withColumn("_open_after", F.min("_left_open").over(since_end))
-               .withColumn("_carried", F.lag("_open_after").over(in_file))
-               .select(*chunk, "_carried"))
+    return (chunks.join(left_open, chunk, "left")
+            .withColumn("_ends", F.count("_chunk_end").over(in_file))
+            .withColumn("_open_after", F.min("_left_open").over(since_end))
+            .withColumn("_carried", F.lag("_open_after").over(in_file))
+            .select(*chunk, "_carried"))
+
+
+def copy_state(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Add `copy_start`: the line number of the COPY statement whose data block a line belongs
+    to (its end marker included), or NULL for lines outside any block.
+
+    The first COPY statement after an end marker opens a block; a start inside a block is data,
+    an end outside one means nothing. Lines are shuffled once, by chunk of a file, so a huge
+    file is spread over many tasks; the block left open by earlier chunks is carried over.
+    """
+    marked = _marked(lines, chunk_lines)
 
     def before(*keys: str):
         return W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
 
-    state = (tagged.join(carried, chunk)
-             .withColumn("_last_end", F.coalesce(F.max("_end").over(before(*chunk)), F.lit(-1)))
-             .withColumn("_local", F.min("_start").over(before(*chunk, "_last_end"))))
+    state = (marked.join(_carried(marked), ["file", "_chunk"])
+             .withColumn("_last_end", F.coalesce(F.max("_end").over(before("file", "_chunk")), F.lit(-1)))
+             .withColumn("_local", F.min("_start").over(before("file", "_chunk", "_last_end"))))
     opened = F.when(F.col("_last_end") < 0, F.coalesce("_carried", "_local")) \
         .otherwise(F.col("_local"))
     return state.select(*lines.columns, opened.alias("copy_start"))
@@ -89,15 +97,21 @@ def drop_extension_statements(lines: DataFrame, names: Sequence[str],
 
 
 def copy_block_stats(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Table name and data rows of every COPY block; a block without an end counts as it is."""
-    table = F.regexp_extract("line", r"^COPY ([^ (]+)", 1)
-    state = copy_state(lines, chunk_lines)
-    opened = state.filter(F.col("copy_start").isNull() & F.col("line").rlike(COPY_START)).select(
-        "file", F.col("line_no").alias("copy_start"), table.alias("table"))
-    rows = (state.filter(F.col("copy_start").isNotNull()).groupBy("file", "copy_start")
-            .agg(F.count_if(F.col("line") != COPY_END).alias("rows")))
-    return opened.join(rows, ["file", "copy_start"], "left").select(
-        "file", "copy_start", "table", F.coalesce("rows", F.lit(0)).alias("rows"))
+    """Table name and data rows of every COPY block; a block without an end counts as it is.
+
+    Rows are counted per block before the shuffle; the names come from the few COPY lines.
+    """
+    is_start = F.col("line").rlike(COPY_START)
+    block = F.coalesce("copy_start", F.when(is_start, F.col("line_no")))
+    data = F.col("copy_start").isNotNull() & (F.col("line") != COPY_END)
+    counts = (copy_state(lines, chunk_lines).withColumn("_block", block)
+              .filter(F.col("_block").isNotNull())
+              .groupBy("file", F.col("_block").alias("copy_start"))
+              .agg(F.count_if(data).alias("rows")))
+    names = lines.filter(is_start).select(
+        "file", F.col("line_no").alias("copy_start"),
+        F.regexp_extract("line", r"^COPY ([^ (]+)", 1).alias("table"))
+    return names.join(counts, ["file", "copy_start"]).select("file", "copy_start", "table", "rows")
 
 
 def clean_mysql_dump(lines: DataFrame) -> DataFrame:

@@ -19,10 +19,6 @@ def _scope(edges: DataFrame) -> list[str]:
     return ["database"] if "database" in edges.columns else []
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def fk_closure(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """Seed tables plus every table that references one of them, directly or not.
 
@@ -39,12 +35,16 @@ def fk_closure(edges: DataFrame, seed: DataFrame) -> DataFrame:
     found, total = frontier, 0
     while (n := frontier.count()) > 0:
         total += n
-        parents = _bounded(frontier.withColumnRenamed("table", "parent"), n)
+        parents = frontier.withColumnRenamed("table", "parent")
+        if n <= BROADCAST_ROWS:
+            parents = F.broadcast(parents)
         children = (edges.join(parents, [*scope, "parent"], "left_semi")
                     .select(*scope, F.col("child").alias("table")))
-        # dropping what is known before the distinct leaves less to shuffle
-        frontier = cut_lineage(
-            children.join(_bounded(found, total), key, "left_anti").distinct())
+        if total <= BROADCAST_ROWS:  # dropping what is known first leaves less to shuffle
+            fresh = children.join(F.broadcast(found), key, "left_anti").distinct()
+        else:  # repeated names are combined before the shuffle that the join then reuses
+            fresh = children.distinct().join(found, key, "left_anti")
+        frontier = cut_lineage(fresh)
         found = found.unionByName(frontier)
     edges.unpersist()
     return found
@@ -84,8 +84,12 @@ def fk_edges(constraints: DataFrame, tables: DataFrame) -> DataFrame:
 
 def orphan_rows(child: DataFrame, parent: DataFrame,
                 on: Sequence[tuple[str, str]]) -> DataFrame:
-    """Child rows whose foreign key has no parent row; rows with a NULL key are no orphans."""
-    keys = parent.select(*[F.col(p).alias(c) for c, p in on]).distinct()
+    """Child rows whose foreign key has no parent row; rows with a NULL key are no orphans.
+
+    The parent keys go into the join as they are: an aggregate in between would keep Spark from
+    splitting a key that many children share.
+    """
+    keys = parent.select(*[F.col(p).alias(c) for c, p in on])
     names = [c for c, _ in on]
     set_key = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
     return child.filter(set_key).join(keys, names, "left_anti").select(*child.columns)
@@ -139,7 +143,7 @@ def prune_cascade(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, st
         for child_col, parent, parent_col in children.get(name, []):
             if parent not in doomed:
                 continue
-            keys = doomed[parent].select(F.col(parent_col).alias(child_col)).distinct()
+            keys = doomed[parent].select(F.col(parent_col).alias(child_col))
             part = kept.join(keys, child_col, "left_semi").select(*tables[name].columns)
             hit = part if hit is None else hit.unionByName(part)
             kept = kept.join(keys, child_col, "left_anti").select(*tables[name].columns)

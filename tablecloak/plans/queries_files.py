@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablecloak.operators import catalog, dumptext, hooks
+from tablecloak.operators import catalog, dumptext, hooks, manifest
 from tablecloak.plans import views as v
 from tablecloak.plans.queries_catalog import KEY, NOTIFY_SQL
 from tablecloak.plans.registry import query
@@ -262,6 +262,14 @@ def u2(spark, sf):
     return hooks.stamp_provenance(v.table(spark, sf, "customer").select("c_custkey"), _VARS)
 
 
+@query("u4_validate_hooks", """SELECT 'h' || s_suppkey AS scope, s_suppkey::INTEGER AS idx, CASE WHEN s_nationkey BETWEEN 6 AND 9
+      THEN 'both_file_and_sql' WHEN s_nationkey >= 20 THEN 'neither_file_nor_sql' ELSE 'file_not_found' END AS rule
+    FROM supplier WHERE s_nationkey BETWEEN 6 AND 9 OR s_nationkey >= 20
+      OR (s_nationkey >= 10 AND NOT (s_acctbal > 0 AND s_acctbal < 5000))""")
+def u4(spark, sf):
+    return manifest.validate_hooks(v.hook_entries(spark, sf))
+
+
 _EVENTS = {"event_type": {"strategy": "fake_name"}, "props": {"strategy": "truncate", "length": 5},
            "ts": {"strategy": "shift_date", "max_days": 5, "key_cols": ["event_id"]}}
 

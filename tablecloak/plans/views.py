@@ -349,6 +349,15 @@ def stderr_lines(spark: SparkSession, sf: str) -> DataFrame:
              WHEN '4-NOT SPECIFIED' THEN '' ELSE concat('ERROR 1064 (42000) at line ', o_orderkey) END AS line""")
 
 
+def hook_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """One configured hook per supplier, some malformed."""
+    return table(spark, sf, "supplier").selectExpr(
+        "concat('h', s_suppkey) AS scope", "cast(s_suppkey AS int) AS idx",
+        "CASE WHEN s_nationkey < 10 THEN 'SELECT 1' END AS sql",
+        "CASE WHEN s_nationkey > 5 AND s_nationkey < 20 THEN concat('hooks/', s_suppkey, '.sql') END AS file",
+        "s_acctbal > 0 AND s_acctbal < 5000 AS file_exists")
+
+
 def customers_kept(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").filter("c_acctbal >= 0")
 

@@ -13,6 +13,9 @@ from tablecloak.functions.scalars import SNAPSHOT_NAME, encryption_of, valid_ali
 from tablecloak.operators.catalog import host_safety
 from tablecloak.session import local_rows
 
+# Rows of at most about 200 bytes: a file path and three numbers.
+BROADCAST_BLOCKS = 400_000
+
 # Databases that belong to the engines.
 SYSTEM_DATABASES = ("postgres", "template0", "template1",
                     "mysql", "information_schema", "performance_schema", "sys")
@@ -136,16 +139,36 @@ def read_audit(spark: SparkSession, path: str | Sequence[str], schema: str = AUD
             .filter(F.col("timestamp").isNotNull() | F.col("action").isNotNull()))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def _block_bound(spark: SparkSession, paths: str | Sequence[str]) -> int:
+    """Upper bound for the number of splits of a text scan, from the file listing alone."""
+    files = spark.read.format("binaryFile").load(paths).agg(
+        F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+    def size(key: str) -> int:
+        text = spark.conf.get(key).lower()
+        unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+        digits = text.rstrip("bkmg")
+        return int(digits) * unit[text[len(digits):][:1] or "b"]
+
+    per_core = files[1] // max(spark.sparkContext.defaultParallelism, 1)
+    split = min(size("spark.sql.files.maxPartitionBytes"),
+                max(size("spark.sql.files.openCostInBytes"), per_core))
+    return files[0] + files[1] // max(split, 1)
+
+
+def number_lines(lines: DataFrame, blocks: int | None = None) -> DataFrame:
     """Line numbers for rows `(file, block, pos, line)`, where `pos` grows inside a block.
 
     A block is one split of a file, read in order by one task. Its lines are numbered from
     the lines of the blocks before it: one short row per block is ordered, never the lines.
+    With a known small bound on `blocks` those rows are broadcast and no line is shuffled.
     """
-    blocks = lines.groupBy("file", "block").agg(
+    starts = lines.groupBy("file", "block").agg(
         F.min("pos").alias("_first"), F.count("*").alias("_n"))
     w = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    if blocks is not None and blocks <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
     return lines.join(starts, ["file", "block"]).select(
         "file", (F.col("_before") + F.col("pos") - F.col("_first") + 1).alias("line_no"), "line")
 
@@ -161,7 +184,7 @@ def read_dump_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
                      F.col("_metadata.file_block_start").alias("block"),
                      F.col("value").alias("line"))
              .withColumn("pos", F.monotonically_increasing_id()))
-    return number_lines(lines)
+    return number_lines(lines, _block_bound(spark, paths))
 
 
 def list_user_databases(names: DataFrame, col: str = "database") -> DataFrame:
