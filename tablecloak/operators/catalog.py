@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablecloak.functions.scalars import SNAPSHOT_NAME, epoch_seconds, iso_z
+from tablecloak.operators.skew import salted_join
 
 PAIR = ("host", "database")
 DAY = 86400
@@ -79,8 +80,8 @@ def _newest(catalog: DataFrame, most: int, key: str) -> DataFrame:
 def _beyond_newest(catalog: DataFrame, keep: DataFrame | int, key: str) -> DataFrame:
     """Rows of each pair after its newest `keep` ones.
 
-    The `keep`-th newest row of a pair is its threshold; all rows are compared with it. So a
-    pair that holds a third of the catalogue is never sorted in one task.
+    The `keep`-th newest row of a pair is its threshold; all rows are compared with it in a
+    salted join. So a pair that holds a third of the catalogue is never sorted in one task.
     """
     if isinstance(keep, int):
         if keep <= 0:
@@ -93,7 +94,7 @@ def _beyond_newest(catalog: DataFrame, keep: DataFrame | int, key: str) -> DataF
     nth = nth.select(*PAIR, F.col("mtime").alias("_mtime"), F.col(key).alias("_key"))
     older = (F.col("_mtime").isNotNull() & F.col("mtime").isNull()) | (F.col("mtime") < F.col("_mtime"))
     same = F.col("mtime").eqNullSafe(F.col("_mtime")) & (F.col(key) > F.col("_key"))
-    marked = catalog.join(nth, [*PAIR]).filter(older | same).select(*catalog.columns)
+    marked = salted_join(catalog, nth, PAIR, [key]).filter(older | same).select(*catalog.columns)
     if isinstance(keep, int):
         return marked
     none = keep.filter(F.col("keep") <= 0).select(*PAIR)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecloak.operators.masking import EMAIL_DOMAIN, EMAIL_LOCAL
+from tablecloak.operators.skew import salted_join
 
 # Column-name patterns as pattern:strategy[:parameter], first match wins.
 DEFAULT_DICTIONARY = """
@@ -195,7 +196,8 @@ def match_columns_by_host(catalog: DataFrame, dictionary: DataFrame) -> DataFram
     entries = dictionary.groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("ord", "pattern", "strategy", "param"))).alias("_d"))
     hit = F.filter("_d", lambda e: F.contains("_name", e["pattern"]))
-    return (catalog.withColumn("_name", normalize_name("column")).join(entries, "host", "left")
+    named = catalog.withColumn("_name", normalize_name("column"))
+    return (salted_join(named, entries, ["host"], catalog.columns, "left")
             .withColumn("_m", F.try_element_at(hit, F.lit(1)))
             .select(*catalog.columns, "_m.pattern", "_m.strategy", "_m.param"))
 
@@ -276,8 +278,8 @@ def deep_scan_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
 def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str] = ()) -> DataFrame:
     """Leaves of a JSON column at any depth up to `max_depth` as `(path, value)` text.
 
-    Array positions are written `[*]`. Deeper values are returned whole as JSON text, so
-    nothing escapes a scan.
+    Array positions are written `[*]`. Deeper values are returned whole as JSON text, and text
+    that is no valid JSON as one leaf, so nothing escapes a scan.
     """
 
     def step(suffix: Column, v: Column) -> Column:
@@ -289,8 +291,8 @@ def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str]
     items = F.transform(F.col("v").try_cast("array<variant>"), lambda e: step(F.lit("[*]"), e))
     itself = F.array(F.struct(F.col("path").alias("path"), F.col("v").alias("v")))
 
-    level = df.select(*keep, F.lit("$").alias("path"), F.try_parse_json(F.col(col)).alias("v")) \
-        .filter(F.col("v").isNotNull())
+    value = F.coalesce(F.try_parse_json(F.col(col)), F.col(col).cast("variant"))
+    level = df.filter(F.col(col).isNotNull()).select(*keep, F.lit("$").alias("path"), value.alias("v"))
     for _ in range(max_depth):
         level = (level.select(*keep, F.explode(F.coalesce(fields, items, itself)).alias("_c"))
                  .select(*keep, "_c.path", "_c.v"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecloak.operators.discover import (JSON_TYPES, add_hit, add_match, hit_fields,
                                             manifest_dictionary, suggestion)
+from tablecloak.operators.skew import salted_join
 from tablecloak.session import local_rows
 
 # Kinds of drift; the last one only warns.
@@ -118,9 +119,10 @@ def preflight_drift(snapshots: DataFrame, captured: DataFrame, manifest: DataFra
     per_host = declared.groupBy("host").agg(F.count("*").alias("n_declared"))
     tables = manifest.groupBy("host", "table").agg(
         F.max(F.coalesce("no_pii", F.lit(False))).alias("table_no_pii"))
-    rows = (add_match(captured, "column", dictionary)
-            .join(declared.withColumn("is_declared", F.lit(True)), ["host", "table", "column"], "left")
-            .join(tables, ["host", "table"], "left"))
+    named = salted_join(add_match(captured, "column", dictionary),
+                        declared.withColumn("is_declared", F.lit(True)),
+                        ["host", "table", "column"], ["snapshot_id"], "left")
+    rows = salted_join(named, tables, ["host", "table"], ["snapshot_id"], "left")
     undeclared = F.col("is_declared").isNull() & ~F.coalesce("table_no_pii", F.lit(False))
     failing = undeclared & (F.col("type").isin(*JSON_TYPES) | F.col("pattern").isNotNull())
     per_snapshot = rows.groupBy("snapshot_id").agg(
@@ -129,7 +131,8 @@ def preflight_drift(snapshots: DataFrame, captured: DataFrame, manifest: DataFra
     has_schema = F.col("has_schema") if "has_schema" in snapshots.columns \
         else F.col("n_failing").isNotNull()
     zero = F.lit(0).cast("bigint")
-    return (snapshots.join(per_snapshot, "snapshot_id", "left").join(per_host, "host", "left")
+    checked = snapshots.join(per_snapshot, "snapshot_id", "left")
+    return (salted_join(checked, per_host, ["host"], ["snapshot_id"], "left")
             .select("snapshot_id", "host",
                     F.when(~has_schema, "deferred")
                     .when((F.coalesce("n_failing", zero) > 0)

@@ -33,11 +33,16 @@ def _kind(v: Column) -> Column:
             .when(s == "BOOLEAN", "boolean").otherwise("number"))
 
 
+def _is(v: Column, kind: str) -> Column:
+    """Whether a present value is an `OBJECT`, `ARRAY` or `STRING`."""
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
 def _entries(v: Column) -> Column:
     """Entries of an object; none for anything else."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
     return F.map_entries(F.coalesce(
-        F.when(_kind(v) == "object", v.cast("map<string,variant>")), empty))
+        v.try_cast("map<string,variant>"), empty))
 
 
 def _error(cond: Column, rule: str, table: Column | None = None, column: Column | None = None,
@@ -58,11 +63,12 @@ def _document_errors(text: Column, m: Column) -> Column:
     parsed = m.isNotNull()
     version, seed = _text(m, "version"), _text(m, "seed_env")
     has_seed = parsed & _get(m, "seed_env").isNotNull()
-    tables = _kind(_get(m, "tables"))
+    tables = _get(m, "tables")
+    absent = tables.isNull() | _is(tables, "VOID")
 
     def not_array(key: str) -> Column:
         v = F.try_variant_get(m, f"$.dictionary.{key}", "variant")
-        return parsed & v.isNotNull() & (_kind(v) != "array")
+        return parsed & v.isNotNull() & ~_is(v, "ARRAY")
 
     return F.array(
         _error(text.isNull(), "manifest_missing"),
@@ -74,8 +80,8 @@ def _document_errors(text: Column, m: Column) -> Column:
         _error(has_seed & ~_blank(seed) & ~seed.rlike(ENV_NAME), "seed_env_invalid", detail=seed),
         _error(not_array("extend"), "extend_not_array"),
         _error(not_array("exclude"), "exclude_not_array"),
-        _error(parsed & (tables == "null"), "tables_missing"),
-        _error(parsed & ~tables.isin("null", "object"), "tables_not_object", detail=tables),
+        _error(parsed & absent, "tables_missing"),
+        _error(parsed & ~absent & ~_is(tables, "OBJECT"), "tables_not_object", detail=_kind(tables)),
     )
 
 
@@ -104,12 +110,12 @@ def _column_errors(table: Column, column: Column, c: Column) -> Column:
         _error((strategy == "truncate") & ~positive("length"), "truncate_length", table, column),
         _error((strategy == "shift_date") & ~positive("max_days"), "shift_date_max_days",
                table, column),
-        _error(on_paths & (_kind(paths) != "object"), "paths_not_object", table, column),
-        _error(on_paths & (_kind(paths) == "object") & (F.size(_entries(paths)) == 0),
+        _error(on_paths & ~_is(paths, "OBJECT"), "paths_not_object", table, column),
+        _error(on_paths & _is(paths, "OBJECT") & (F.size(_entries(paths)) == 0),
                "paths_empty", table, column),
         _error((strategy == "passthrough") & _blank(_text(c, "reason")), "passthrough_reason",
                table, column),
-        _error((strategy == "redact") & replacement.isNotNull() & (_kind(replacement) != "string"),
+        _error((strategy == "redact") & replacement.isNotNull() & ~_is(replacement, "STRING"),
                "replacement_not_string", table, column),
     )
 

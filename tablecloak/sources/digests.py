@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecloak.session import task_count
+
 READ_BYTES = 8 << 20
 # Files up to this size are digested as one value in the JVM; larger ones are streamed.
 WHOLE_BYTES = 512 << 20
@@ -38,7 +40,8 @@ def file_digests(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(sha256=[digest(p) for p in batch["path"]])[[*columns, "sha256"]]
 
-    return files.repartition("path").mapInPandas(digest_batches, schema)
+    spread = files.repartition(task_count(files.sparkSession), "path")
+    return spread.mapInPandas(digest_batches, schema)
 
 
 def folder_digests(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecloak.operators.stats import table_stats
-from tablecloak.session import local_rows
+from tablecloak.session import local_rows, task_count
 from tablecloak.sources.digests import content_checksum, digest_status, folder_digests
 from tablecloak.sources.readers import union_all
 
@@ -147,8 +147,8 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Status per data file of a snapshot: `ok`, `mismatch`, `missing` or `no_meta`."""
     expected = spark.read.parquet(f"{path}/{FILES}").select(
         "file", F.col("sha256").alias("expected"), F.lit(True).alias("_meta"))
-    tables = [f"{path}/{t}" for t in snapshot_tables(spark, path)]
-    actual = union_all([folder_digests(spark, t) for t in tables]).select(
+    # names that start with "_" are no data and are not listed
+    actual = folder_digests(spark, path).select(
         _table_file().alias("file"), "sha256", F.lit(True).alias("_there"))
     status = F.when(F.col("_there").isNull(), "missing").otherwise(
         digest_status(F.col("_meta"), F.col("expected"), F.col("sha256")))
@@ -181,6 +181,13 @@ def restore(spark: SparkSession, path: str, target: str, *, verify: bool = True)
     return {t: spark.read.parquet(f"{target}/{t}") for t in tables}
 
 
+def load_jdbc(tables: Mapping[str, DataFrame], url: str, options: Mapping[str, str] | None = None) -> None:
+    """Load tables into a new, empty database; a table that exists already is an error."""
+    for name, df in tables.items():
+        (df.write.format("jdbc").option("url", url).option("dbtable", name)
+         .options(**(options or {})).mode("error").save())
+
+
 def snapshot_all(spark: SparkSession, databases: Mapping[str, Mapping[str, DataFrame]], dest: str,
                  workers: int = 4, **options) -> DataFrame:
     """Snapshot every database of a host; a failure does not stop the others. One row each."""
@@ -248,5 +255,6 @@ def apply_retention(marked: DataFrame, dry_run: bool = True) -> int:
                     remove_one(path + suffix)
             yield pd.DataFrame({"marked": [len(batch)]})
 
-    removed = marked.select("path").repartition("path").mapInPandas(remove, "marked bigint")
+    spread = marked.select("path").repartition(task_count(marked.sparkSession), "path")
+    removed = spread.mapInPandas(remove, "marked bigint")
     return removed.agg(F.coalesce(F.sum("marked"), F.lit(0))).first()[0]

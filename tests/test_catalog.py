@@ -1,9 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablecloak.operators import catalog as c
+from tablecloak.operators.skew import salted_join
 
 NOW = "2024-06-01 00:00:00"
 TYPES = "host string, database string, file string, path string, mtime timestamp_ntz, size bigint"
@@ -37,8 +39,7 @@ def test_keep_equals_a_plain_rank_on_skewed_pairs(spark, rows):
         F.concat(F.lit("h"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("host"),
         F.lit("d").alias("database"), F.col("id").cast("string").alias("path"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id * 7919) % 1000)").alias("mtime"))
-    for keep in (1, 7, 2000):
-        from pyspark.sql import Window as W
+    for keep in (1, 7, 900, 2000):
         w = W.partitionBy("host", "database").orderBy(F.desc("mtime"), "path")
         want = rows(df.withColumn("r", F.row_number().over(w)).filter(F.col("r") > keep), "path")
         assert rows(c.retention_keep(df, keep), "path") == want
@@ -142,3 +143,16 @@ def test_restore_diff(spark, rows):
     assert rows(c.restore_diff(new, old, "clone"), "table", "column", "change") == [
         ("", "", "target_replaced"), ("a", "x", "changed"), ("a", "y", "added"), ("b", "z", "removed")]
     assert c.restore_diff(new, old.limit(0), "clone").filter("change = 'target_created'").count() == 1
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_a_plain_join(spark, rows, how):
+    big = spark.range(500).selectExpr("id", "if(id % 3 = 0, 0, id % 40) AS k")
+    small = spark.range(30).selectExpr("id AS k", "id * 10 AS x")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = salted_join(big, small, ["k"], ["id"], how)
+    assert rows(got, "id", "k", "x") == rows(big.join(small, "k", how), "id", "k", "x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with pytest.raises(ValueError):
+        salted_join(big, small, ["k"], ["id"], "full")
