@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -275,16 +275,23 @@ def deep_scan_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     return _found(df, flags, ("table", "column", "category"))
 
 
-def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str] = ()) -> DataFrame:
+def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str] = (),
+                wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """Leaves of a JSON column at any depth up to `max_depth` as `(path, value)` text.
 
     Array positions are written `[*]`. Deeper values are returned whole as JSON text, and text
-    that is no valid JSON as one leaf, so nothing escapes a scan.
+    that is no valid JSON as one leaf, so nothing escapes a scan. `wanted` is a condition on
+    JSON text; parts without it are left out as early as possible.
     """
 
     def step(suffix: Column, v: Column) -> Column:
         return F.struct(F.concat(F.col("path"), suffix).alias("path"), v.alias("v"))
 
+    def prune(level: DataFrame) -> DataFrame:
+        if wanted is None:
+            return level
+        return level.filter(F.exists(F.array(F.to_json("v")), wanted))
+
     # a value that is neither object nor array fails both casts and stays as it is
     fields = F.transform(F.map_entries(F.col("v").try_cast("map<string,variant>")),
                          lambda e: step(F.concat(F.lit("."), e["key"]), e["value"]))
@@ -292,22 +299,31 @@ def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str]
     itself = F.array(F.struct(F.col("path").alias("path"), F.col("v").alias("v")))
 
     value = F.coalesce(F.try_parse_json(F.col(col)), F.col(col).cast("variant"))
-    level = df.filter(F.col(col).isNotNull()).select(*keep, F.lit("$").alias("path"), value.alias("v"))
+    level = prune(df.filter(F.col(col).isNotNull())
+                  .select(*keep, F.lit("$").alias("path"), value.alias("v")))
     for _ in range(max_depth):
-        level = (level.select(*keep, F.explode(F.coalesce(fields, items, itself)).alias("_c"))
-                 .select(*keep, "_c.path", "_c.v"))
+        level = prune(level.select(*keep, F.explode(F.coalesce(fields, items, itself)).alias("_c"))
+                      .select(*keep, "_c.path", "_c.v"))
     is_text = F.schema_of_variant("v") == "STRING"
     text = F.when(is_text, F.col("v").try_cast("string")).otherwise(F.to_json("v"))
     return level.select(*keep, "path", text.alias("value"))
 
 
+def _any_category(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [has_category(text, cat) for cat in CATEGORIES])
+
+
 def deep_scan_json(df: DataFrame, table: str, cols: Sequence[str], max_depth: int = 8) -> DataFrame:
-    """`(table, column, path, category, count)` over the leaves of JSON columns."""
+    """`(table, column, path, category, count)` over the leaves of JSON columns.
+
+    A finding in a leaf also shows in the JSON text around it (escapes only add characters the
+    patterns allow), so documents and branches without any are dropped level by level.
+    """
     parts = []
     for c in cols:
         cats = F.filter(F.array(*[F.when(has_category("value", cat), F.lit(cat))
                                   for cat in CATEGORIES]), lambda x: x.isNotNull())
-        parts.append(json_leaves(df, c, max_depth)
+        parts.append(json_leaves(df, c, max_depth, wanted=_any_category)
                      .select(F.lit(table).alias("table"), F.lit(c).alias("column"), "path",
                              F.explode(cats).alias("category")))
     return (reduce(DataFrame.unionByName, parts)

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Line shapes of dump text.
-COPY_START = r"^COPY .* FROM stdin;$"
-COPY_END = r"\."
+COPY_HEAD, COPY_TAIL = "COPY ", " FROM stdin;"
+COPY_END = "\\."
 DEFINER = "DEFINER=`[^`]+`@`[^`]+`"
 PASSWORD_NOISE = r"^(mysqldump: |mysql: )?\[?[Ww]arning\]?.*Using a password"
 REAL_ERROR = "^(mysqldump: )?(Got error|Error)"
@@ -35,28 +35,33 @@ def strip_definer(lines: DataFrame, mode: str = "strip") -> DataFrame:
         c.contains("DEFINER="), F.regexp_replace(c, F.lit(pattern), F.lit(new))).otherwise(c))
 
 
+def is_copy_start(line: str = "line") -> Column:
+    """`COPY … FROM stdin;` as a whole line; plain text tests, no pattern."""
+    c = F.col(line)
+    return (c.startswith(COPY_HEAD) & c.endswith(COPY_TAIL)
+            & (F.length(c) >= len(COPY_HEAD) + len(COPY_TAIL)))
+
+
 def _marked(lines: DataFrame, chunk_lines: int) -> DataFrame:
-    start, end = F.col("line").rlike(COPY_START), F.col("line") == COPY_END
     return (lines.withColumn("_chunk", F.floor(F.col("line_no") / chunk_lines))
-            .withColumn("_start", F.when(start, F.col("line_no")))
-            .withColumn("_end", F.when(end, F.col("line_no"))))
+            .withColumn("_start", F.when(is_copy_start(), F.col("line_no")))
+            .withColumn("_end", F.when(F.col("line") == COPY_END, F.col("line_no"))))
 
 
 def _carried(marked: DataFrame) -> DataFrame:
     """Per chunk of a file: the line number of the COPY statement still open when it begins.
 
-    Everything here is one short row per chunk; lines are only read to find their markers.
+    One aggregate gives a short row per chunk (its list of COPY lines is bounded by the chunk
+    size); only those rows are ordered file-wide.
     """
     chunk = ["file", "_chunk"]
-    chunks = marked.groupBy(*chunk).agg(F.max("_end").alias("_chunk_end"))
-    starts = marked.filter(F.col("_start").isNotNull()).select(*chunk, "_start")
+    chunks = marked.groupBy(*chunk).agg(F.max("_end").alias("_chunk_end"),
+                                        F.collect_list("_start").alias("_starts"))
     # what a chunk leaves open: its first start after its last end
-    left_open = (starts.join(chunks, chunk)
-                 .filter(F.col("_start") > F.coalesce("_chunk_end", F.lit(-1)))
-                 .groupBy(*chunk).agg(F.min("_start").alias("_left_open")))
+    after_end = F.filter("_starts", lambda s: s > F.coalesce(F.col("_chunk_end"), F.lit(-1)))
     in_file = W.partitionBy("file").orderBy("_chunk")
     since_end = W.partitionBy("file", "_ends").orderBy("_chunk")
-    return (chunks.join(left_open, chunk, "left")
+    return (chunks.withColumn("_left_open", F.array_min(after_end))
             .withColumn("_ends", F.count("_chunk_end").over(in_file))
             .withColumn("_open_after", F.min("_left_open").over(since_end))
             .withColumn("_carried", F.lag("_open_after").over(in_file))
@@ -86,14 +91,21 @@ def copy_state(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
 
 def drop_extension_statements(lines: DataFrame, names: Sequence[str],
                               chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Drop CREATE and COMMENT statements of the named extensions, never data inside COPY."""
+    """Drop CREATE and COMMENT statements of the named extensions, never data inside COPY.
+
+    Most lines cannot be such a statement and pass without a shuffle. The state is worked out
+    for the others alone: it depends on the COPY and end lines only, which go along.
+    """
     if not names:
         return lines
     pattern = ('^(CREATE EXTENSION( IF NOT EXISTS)?|COMMENT ON EXTENSION) "?('
                + "|".join(names) + ')"?[ ;]')
-    return (copy_state(lines, chunk_lines)
-            .filter(F.col("copy_start").isNotNull() | ~F.col("line").rlike(pattern))
-            .select(*lines.columns))
+    c = F.col("line")
+    statement = ((c.startswith("CREATE EXTENSION") | c.startswith("COMMENT ON EXTENSION"))
+                 & c.rlike(pattern))
+    relevant = lines.filter(statement | is_copy_start() | (c == COPY_END))
+    data = copy_state(relevant, chunk_lines).filter(statement & F.col("copy_start").isNotNull())
+    return lines.filter(~F.coalesce(statement, F.lit(False))).unionByName(data.select(*lines.columns))
 
 
 def copy_block_stats(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -101,14 +113,13 @@ def copy_block_stats(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFr
 
     Rows are counted per block before the shuffle; the names come from the few COPY lines.
     """
-    is_start = F.col("line").rlike(COPY_START)
-    block = F.coalesce("copy_start", F.when(is_start, F.col("line_no")))
+    block = F.coalesce("copy_start", F.when(is_copy_start(), F.col("line_no")))
     data = F.col("copy_start").isNotNull() & (F.col("line") != COPY_END)
     counts = (copy_state(lines, chunk_lines).withColumn("_block", block)
               .filter(F.col("_block").isNotNull())
               .groupBy("file", F.col("_block").alias("copy_start"))
               .agg(F.count_if(data).alias("rows")))
-    names = lines.filter(is_start).select(
+    names = lines.filter(is_copy_start()).select(
         "file", F.col("line_no").alias("copy_start"),
         F.regexp_extract("line", r"^COPY ([^ (]+)", 1).alias("table"))
     return names.join(counts, ["file", "copy_start"]).select("file", "copy_start", "table", "rows")

@@ -202,8 +202,7 @@ def x1_user(spark, sf):
 @query("x2_drop_extension_statements", f"""SELECT file, line_no, line FROM {_MARKED}
     WHERE (line_no >= 2 AND line_no <= n - 9) OR NOT {_DROP}""", "dump_lines")
 def x2(spark, sf):
-    return dumptext.drop_extension_statements(v.dump_lines(spark, sf), ["pg_repack", "pg_cron"],
-                                              chunk_lines=7)
+    return dumptext.drop_extension_statements(v.dump_lines(spark, sf), ["pg_repack", "pg_cron"])
 
 
 @query("x4_clean_mysql_dump", r"""SELECT file, line_no, regexp_replace(line, 'VARCHAR\((65000|32000)\)', 'TEXT', 'g') AS line
@@ -241,7 +240,7 @@ def x6(spark, sf):
 @query("x7_copy_block_stats", f"""SELECT file, 2::BIGINT AS copy_start, 'public.t' AS "table",
       count(*) FILTER (WHERE line_no > 2 AND line_no < n - 9) AS rows FROM {_MARKED} GROUP BY file""", "dump_lines")
 def x7(spark, sf):
-    return dumptext.copy_block_stats(v.dump_lines(spark, sf), chunk_lines=7)
+    return dumptext.copy_block_stats(v.dump_lines(spark, sf), chunk_lines=50)
 
 
 _VARS = {"target_db": "clone_v1", "source_host": "h1", "source_db": "sales", "backup_file": "sales.sql.zst",
