@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import logging
 import os
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablecloak.functions.masks import DEFAULT_DOMAIN
 from tablecloak.operators.drift import check_manifest_drift, drift_ok
@@ -17,9 +20,9 @@ from tablecloak.operators.integrity import keep_recent, prune_cascade, truncate_
 from tablecloak.operators.masking import mask_dataset
 from tablecloak.operators.verify import gate_ok, sniff_report
 from tablecloak.session import hide_seed, local_rows
-from tablecloak.sources.readers import column_catalog
-from tablecloak.sources.snapshot import (delete_path, exists, publish_atomically, read_snapshot,
-                                         require_intact, write_tables)
+from tablecloak.sources.readers import column_catalog, explode_captured_schema
+from tablecloak.sources.snapshot import (META, append_audit, delete_path, exists, publish_atomically,
+                                         read_snapshot, require_intact, write_tables)
 
 log = logging.getLogger("tablecloak")
 
@@ -113,15 +116,44 @@ def subset_then_mask(tables: Mapping[str, DataFrame], manifest: Mapping, seed: s
     return mask_dataset(out, manifest, seed)
 
 
+def preflight(spark: SparkSession, path: str, manifest: Mapping,
+              json_columns: Sequence[str] = ()) -> str:
+    """`clean`, `drift` or `deferred` (no captured schema) from a snapshot's sidecar alone."""
+    meta = spark.read.json(f"{path}/{META}")
+    if "scrub_schema" not in meta.columns:
+        return "deferred"
+    catalog = explode_captured_schema(meta, ())
+    named = F.concat_ws(".", "table", "column").isin(*json_columns) if json_columns else F.lit(False)
+    catalog = catalog.withColumn("type", F.when(named, "json").otherwise(F.col("type")))
+    return "clean" if drift_ok(check_manifest_drift(catalog, manifest, "")).first()["ok"] else "drift"
+
+
 def guarded_restore(spark: SparkSession, path: str, target: str, manifest: Mapping, report_dir: str, *,
                     seed: str | None = None, host_hooks: Sequence[Mapping] = (),
                     db_hooks: Sequence[Mapping] = (), variables: Mapping[str, str] | None = None,
                     safety: str = "local", transform: Callable[[DataFrame], DataFrame] | None = None,
-                    json_columns: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Verify a snapshot, run hooks over its tables, and publish them through the gate."""
-    require_intact(spark, path)
-    tables = read_snapshot(spark, path)
-    if transform is not None:
-        tables = {n: df.transform(transform) for n, df in tables.items()}
-    tables = apply_hooks(spark, tables, host_hooks, db_hooks, variables or {}, safety)
-    return scrub_gate(tables, manifest, target, report_dir, seed=seed, json_columns=json_columns)
+                    json_columns: Sequence[str] = (), audit_path: str | None = None) -> dict[str, DataFrame]:
+    """Verify a snapshot, check its schema, run hooks over its tables, publish them through the
+    gate, and append the outcome to the audit log."""
+    start, outcome, error = time.time(), "failure", None
+    try:
+        require_intact(spark, path)
+        if preflight(spark, path, manifest, json_columns) == "drift":
+            raise GateError("drift", "the captured schema is not covered by the manifest")
+        tables = read_snapshot(spark, path)
+        if transform is not None:
+            tables = {n: df.transform(transform) for n, df in tables.items()}
+        tables = apply_hooks(spark, tables, host_hooks, db_hooks, variables or {}, safety)
+        out = scrub_gate(tables, manifest, target, report_dir, seed=seed, json_columns=json_columns)
+        outcome = "success"
+        return out
+    except Exception as e:
+        error = safe_message(e, seed or "").splitlines()[0]
+        raise
+    finally:
+        if audit_path:
+            now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+            row = (now, "restore", outcome, target, path, str(int(time.time() - start)), error)
+            append_audit(local_rows(spark, [row], "timestamp string, action string, outcome string, "
+                                    "target_db string, file string, duration_sec string, error string"),
+                         audit_path)

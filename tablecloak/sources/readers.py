@@ -133,12 +133,6 @@ def backup_catalog(files: DataFrame, hosts: DataFrame | None = None) -> DataFram
     return out
 
 
-def read_audit(spark: SparkSession, path: str | Sequence[str], schema: str = AUDIT) -> DataFrame:
-    """Audit lines; blank, broken and non-object lines are skipped."""
-    return (spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-            .filter(F.col("timestamp").isNotNull() | F.col("action").isNotNull()))
-
-
 def _block_bound(spark: SparkSession, paths: str | Sequence[str]) -> int:
     """Upper bound for the number of splits of a text scan, from the file listing alone."""
     files = spark.read.format("binaryFile").load(paths).agg(
@@ -156,8 +150,9 @@ def _block_bound(spark: SparkSession, paths: str | Sequence[str]) -> int:
     return files[0] + files[1] // max(split, 1)
 
 
-def number_lines(lines: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Line numbers for rows `(file, block, pos, line)`, where `pos` grows inside a block.
+def number_lines(lines: DataFrame, blocks: int | None = None, across: bool = False) -> DataFrame:
+    """Line numbers for rows `(file, block, pos, line)`, where `pos` grows inside a block; with
+    `across` they run through all files in order of their paths.
 
     A block is one split of a file, read in order by one task. Its lines are numbered from
     the lines of the blocks before it: one short row per block is ordered, never the lines.
@@ -165,7 +160,8 @@ def number_lines(lines: DataFrame, blocks: int | None = None) -> DataFrame:
     """
     starts = lines.groupBy("file", "block").agg(
         F.min("pos").alias("_first"), F.count("*").alias("_n"))
-    w = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    order = W.orderBy("file", "block") if across else W.partitionBy("file").orderBy("block")
+    w = order.rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     if blocks is not None and blocks <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
@@ -173,18 +169,34 @@ def number_lines(lines: DataFrame, blocks: int | None = None) -> DataFrame:
         "file", (F.col("_before") + F.col("pos") - F.col("_first") + 1).alias("line_no"), "line")
 
 
+def _text_lines(spark: SparkSession, paths: str | Sequence[str], across: bool = False) -> DataFrame:
+    lines = (spark.read.option("lineSep", "\n").text(paths)
+             .select(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.col("value").alias("line"))
+             .withColumn("pos", F.monotonically_increasing_id()))
+    return number_lines(lines, _block_bound(spark, paths), across)
+
+
 def read_dump_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Dump files (`.sql`, `.sql.gz`) as `(file, line_no, line)`.
 
     Plain files are split into blocks that many tasks read; only `\\n` ends a line, and bytes
     that are no UTF-8 are kept as they are.
     """
-    lines = (spark.read.option("lineSep", "\n").text(paths)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.col("value").alias("line"))
-             .withColumn("pos", F.monotonically_increasing_id()))
-    return number_lines(lines, _block_bound(spark, paths))
+    return _text_lines(spark, paths)
+
+
+def read_audit(spark: SparkSession, paths: str | Sequence[str], schema: str = AUDIT) -> DataFrame:
+    """Audit lines with their place in the log as `seq` (unless they carry one); blank, broken
+    and non-object lines are skipped. Several files follow each other by path."""
+    entry = F.from_json("line", f"{schema}, _corrupt string",
+                        {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = (_text_lines(spark, paths, across=True)
+            .select("line_no", entry.alias("e")).select("line_no", "e.*")
+            .filter(F.col("_corrupt").isNull()
+                    & (F.col("timestamp").isNotNull() | F.col("action").isNotNull())))
+    return rows.withColumn("seq", F.coalesce("seq", "line_no")).drop("line_no", "_corrupt")
 
 
 def list_user_databases(names: DataFrame, col: str = "database") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablecloak.operators import hooks, verify
 from tablecloak.plans import gate
+from tablecloak.sources import readers
 from tablecloak.sources import snapshot as s
 
 
@@ -192,6 +193,22 @@ def test_guarded_restore(spark, users, tmp_path):
     assert verify.sniff_report(out, MANIFEST).filter("NOT pass").count() == 0
 
 
+def test_guarded_restore_checks_the_captured_schema_and_keeps_a_log(spark, users, tmp_path, rows):
+    log = f"{tmp_path}/audit"
+    old = s.snapshot(users, f"{tmp_path}/old", mode="data")
+    good = s.snapshot(users, f"{tmp_path}/good")
+    bad = s.snapshot({"users": users["users"].withColumn("phone", F.lit("1"))}, f"{tmp_path}/bad")
+    assert [gate.preflight(spark, p, MANIFEST) for p in (old, good, bad)] == ["deferred", "clean", "drift"]
+    assert gate.preflight(spark, good, {"tables": {}}, ["users.bio"]) == "drift"
+    broken = [{"sql": "SELECT nothing FROM users", "into": "users"}]
+    with pytest.raises(gate.GateError, match="drift"):  # before any hook runs
+        gate.guarded_restore(spark, bad, f"{tmp_path}/c1", MANIFEST, f"{tmp_path}/r", seed="s", host_hooks=broken,
+                             audit_path=log)
+    gate.guarded_restore(spark, good, f"{tmp_path}/c2", MANIFEST, f"{tmp_path}/r", seed="s", audit_path=log)
+    assert rows(readers.read_audit(spark, log), "action", "outcome", "target_db") == [
+        ("restore", "failure", f"{tmp_path}/c1"), ("restore", "success", f"{tmp_path}/c2")]
+
+
 def test_transform(spark, users):
     assert hooks.transform(users["users"], lambda df: df.limit(1)).count() == 1
     with pytest.raises((TypeError, AssertionError)):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecloak import session
+from tablecloak.operators import audit
 from tablecloak.sources import digests, readers
 
 
@@ -81,7 +82,19 @@ def test_audit_skips_bad_lines(spark, tmp_path):
         '{"timestamp":"2026-05-01T10:00:00Z","action":"backup","duration_sec":"42","extra":1}\n\n'
         'this is not json\n[1,2]\n"text"\n{"timestamp":"2026-05-02T10:00:00Z","action":"restore"}\n{"cut\n')
     got = readers.read_audit(spark, str(tmp_path / "audit.log"))
-    assert [(r["action"], r["duration_sec"]) for r in got.collect()] == [("backup", "42"), ("restore", None)]
+    assert [(r["seq"], r["action"], r["duration_sec"]) for r in got.orderBy("seq").collect()] == [
+        (1, "backup", "42"), (6, "restore", None)]
+
+
+def test_audit_order_runs_through_splits_and_files(spark, tmp_path, small_splits):
+    for f in range(3):
+        (tmp_path / f"audit.{f}.log").write_text("".join(
+            f'{{"timestamp":"2026-05-01T00:00:{i:02d}Z","action":"backup","file":"{f}-{i}"}}\n' for i in range(40)))
+    got = readers.read_audit(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r["file"] for r in got] == [f"{f}-{i}" for f in range(3) for i in range(40)]
+    assert [r["seq"] for r in got] == list(range(1, 121))
+    newest = audit.audit_search(readers.read_audit(spark, str(tmp_path)), limit=2).collect()
+    assert [r["file"] for r in newest] == ["2-39", "2-38"]
 
 
 def test_column_catalog(spark, rows):
