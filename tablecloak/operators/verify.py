@@ -26,13 +26,25 @@ def _fake_violation(c: Column, strategy: str, domain: str) -> Column:
     return c.isNotNull() & ~expected
 
 
-def _leaf_violation(col: Column, path: str, strategy: str, domain: str) -> Column:
-    leaf = F.get_json_object(col, path)
+def _leaf_violation(value: Column, path: str, strategy: str, domain: str) -> Column:
+    leaf = F.try_variant_get(value, path, "string")  # JSON null reads as NULL
     if strategy == "redact":
         return leaf.isNotNull()
     if strategy == "passthrough":
         return F.lit(False)
-    return _fake_violation(leaf, strategy, domain)
+    return F.coalesce(_fake_violation(leaf, strategy, domain), F.lit(False))
+
+
+def _json_violation(c: Column, paths: Mapping[str, str], domain: str, data_type: str) -> Column:
+    """Any leaf violates. A value is parsed once for all paths; text that is no JSON cannot be
+    checked and counts as a violation."""
+
+    def leaves(value: Column) -> Column:
+        broken = [_leaf_violation(value, p, s, domain) for p, s in paths.items()]
+        return value.isNull() | reduce(lambda a, b: a | b, broken)
+
+    value = c if data_type == "variant" else F.try_parse_json(c)
+    return c.isNotNull() & F.exists(F.array(value), leaves)
 
 
 def violation(col: Column | str, spec: Mapping, domain: str = masks.DEFAULT_DOMAIN,
@@ -49,10 +61,7 @@ def violation(col: Column | str, spec: Mapping, domain: str = masks.DEFAULT_DOMA
     if strategy == "truncate":
         return F.char_length(c) > int(spec["length"])
     if strategy == "jsonb_scrub_paths":
-        text = F.to_json(c) if data_type == "variant" else c
-        leaves = [_leaf_violation(text, p, s, domain) for p, s in spec["paths"].items()]
-        return reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)),
-                      leaves) if leaves else None
+        return _json_violation(c, spec["paths"], domain, data_type) if spec["paths"] else None
     if strategy in ("shift_date", "passthrough"):
         return None
     raise ValueError(f"unknown strategy '{strategy}'")

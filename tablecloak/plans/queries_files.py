@@ -292,7 +292,7 @@ def z1(spark, sf):
     UNION ALL SELECT 'props', count(*) FILTER (WHERE length(props) > 5) FROM events UNION ALL SELECT 'ts', 0""")
 def z2(spark, sf):
     out = scratch_path(spark, "z2")
-    streams.run_latest(streams.sniff_stream(_events_stream(spark, sf), _EVENTS), f"{out}/data", f"{out}/ckpt")
+    streams.run_latest(streams.sniff_stream(_events_stream(spark, sf), _EVENTS), f"{out}/data", f"{out}/ckpt", 8)
     return streams.read_latest(spark, f"{out}/data")
 
 
@@ -309,7 +309,7 @@ def z3(spark, sf):
 def z4(spark, sf):
     out = scratch_path(spark, "z4")
     log = streams.read_audit_stream(spark, audit_log(spark, sf))
-    streams.run_latest(streams.freshness_stream(log), f"{out}/data", f"{out}/ckpt")
+    streams.run_latest(streams.freshness_stream(log), f"{out}/data", f"{out}/ckpt", 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "last_success", F.col("last_success").cast("string"))
 
@@ -321,6 +321,6 @@ def z4(spark, sf):
 def z5(spark, sf):
     out = scratch_path(spark, "z5")
     log = streams.read_audit_stream(spark, audit_log(spark, sf))
-    streams.run_latest(streams.weekly_trend_stream(log), f"{out}/data", f"{out}/ckpt")
+    streams.run_latest(streams.weekly_trend_stream(log), f"{out}/data", f"{out}/ckpt", 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "week_start", F.date_format("week_start", "yyyy-MM-dd"))

@@ -46,13 +46,14 @@ def file_digests(files: DataFrame) -> DataFrame:
 
 def folder_digests(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """`path, length, sha256` of the Parquet files below a folder. The size limit is pushed into
-    the listing, so the content of a large file is never loaded as one value."""
+    the listing, so the content of a large file is never loaded as one value; a look at the
+    listing tells whether any file needs to be streamed."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.parquet").load(folder))
     small = files.filter(F.col("length") <= whole_bytes).select(
         "path", "length", F.sha2("content", 256).alias("sha256"))
     large = files.filter(F.col("length") > whole_bytes).select("path", "length")
-    return small.unionByName(file_digests(large))
+    return small if large.isEmpty() else small.unionByName(file_digests(large))
 
 
 def digest_status(known: Column, expected: Column, actual: Column) -> Column:

@@ -82,14 +82,26 @@ def run_append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def run_latest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest full result of an aggregation under `out`, one folder per batch."""
+def run_latest(stream: DataFrame, out: str, checkpoint: str,
+               state_partitions: int | None = None) -> StreamingQuery:
+    """Keep the newest full result of an aggregation under `out`, one folder per batch.
+
+    The number of state partitions is fixed when a query first starts; few suffice when the
+    state is a few counters.
+    """
+    spark, key = stream.sparkSession, "spark.sql.shuffle.partitions"
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:010d}")
 
-    query = (stream.writeStream.outputMode("complete").foreachBatch(save)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    before = spark.conf.get(key)
+    try:
+        if state_partitions:
+            spark.conf.set(key, str(state_partitions))
+        query = (stream.writeStream.outputMode("complete").foreachBatch(save)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
     return query
 

@@ -157,6 +157,10 @@ def test_json_sniff_is_or_over_paths(spark):
     spec = {"strategy": "jsonb_scrub_paths", "paths": PATHS}
     assert verify.sniff(df, "j", spec).first()[0] == 2
     assert verify.sniff(df, "j", {"strategy": "jsonb_scrub_paths", "paths": {}}).first()[0] == 0
+    odd = spark.createDataFrame([("no json",), ('{"contact":{"email":5}}',), ('{"contact":{"email":{"a":1}}}',),
+                                 ('{"contact":"x"}',), ('[]',)], "j string")
+    assert verify.sniff(odd, "j", spec).first()[0] == 3
+    assert verify.sniff(df.select(F.parse_json("j").alias("j")), "j", spec).first()[0] == 2
 
 
 def test_text_sanitize_matches_the_plain_patterns(spark):

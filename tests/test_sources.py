@@ -151,6 +151,19 @@ def test_shared_folder_setting(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
+class FakeSession:
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+
+
+def test_shared_folder_without_setting():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert session.shared_root(local) == session.shared_root(local)
+
+
 def test_seed_is_redacted(spark, capsys):
     from tablecloak.functions import masks
 
