@@ -157,7 +157,10 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def require_intact(spark: SparkSession, path: str) -> None:
-    """Raise when a data file of a snapshot is missing or does not match its digest."""
+    """Raise when a snapshot is incomplete, or a data file is missing or does not match its
+    digest. No table is opened before that."""
+    if not exists(spark, f"{path}/{META}"):
+        raise FileNotFoundError(f"no complete snapshot at {path}")
     bad = verify_snapshot(spark, path).filter(F.col("status").isin("mismatch", "missing")).count()
     if bad:
         raise OSError(f"{bad} data file(s) of {path} do not match their digest")
@@ -168,9 +171,9 @@ def restore(spark: SparkSession, path: str, target: str, *, verify: bool = True)
 
     A digest that does not match stops the restore before anything is written.
     """
-    tables = read_snapshot(spark, path)
     if verify:
         require_intact(spark, path)
+    tables = read_snapshot(spark, path)
     staging = f"{target}.part-{uuid.uuid4().hex}"
     try:
         write_tables(tables, staging)
