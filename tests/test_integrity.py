@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,22 @@ def test_closure_with_cycles_and_without_broadcast(spark, monkeypatch):
         assert got == {"attachment", "message", "order", "user"}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_closure_is_the_least_fixpoint(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"t{rng.randrange(30)}", f"t{rng.randrange(30)}") for _ in range(25)]
+    start = {f"t{rng.randrange(30)}" for _ in range(2)}
+    want, todo = set(start), list(start)
+    while todo:
+        parent = todo.pop()
+        for child, p in pairs:
+            if p == parent and child not in want:
+                want.add(child)
+                todo.append(child)
+    got = [r["table"] for r in integrity.fk_closure(edges(spark, pairs), names(spark, sorted(start))).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_closure_stays_inside_a_database(spark, rows):
     e = spark.createDataFrame([("a", "child", "root"), ("b", "child", "root")],
                               "database string, child string, parent string")
