@@ -7,7 +7,7 @@ when every bin is filled; from round t on a round sends all members to one bin o
 rounds always do. Equal coordinates estimate the Jaccard similarity with concentration like that of
 t independent hash functions, in time near the size of the set instead of t times it.
 
-Bands of `rows` coordinates make buckets. Links are confirmed on the full sets (64-bit hashes of
+Bands of `rows` coordinates make buckets. Links are confirmed on the full sets (52-bit hashes of
 the shingles), and no bucket is expanded into all its pairs:
 1. each member is compared with its bucket's smallest id, and confirmed links are joined up;
 2. buckets that still hold several components compare members with another representative;
@@ -39,6 +39,8 @@ from tablecloak.llm.common import Scratch, ship
 BANDS, ROWS = 42, 6
 #: Bytes of text hashed at once; a longer text is taken alone and its words are hashed in parts.
 CHUNK = 2 << 20
+#: Bits that number the documents hashed at once; a shingle's hash has the others.
+DOC_BITS = 12
 #: Ids that are broadcast to pick documents; beyond it the two sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -96,17 +98,22 @@ def _parts(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of documents that lie one after another in `data`, and the document
-    of each, ordered by document."""
+def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of documents that lie one after another in `data`, the document of each word, and the
+    number of words per document."""
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     found = [(h, s + a) for a, b in _parts(data) for h, s in [_words(data[a:b], first[a:b + 1])]]
-    if not sum(len(h) for h, _ in found):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word, starts = (np.concatenate(x) for x in zip(*found))
+    word, starts = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     doc = np.searchsorted(offsets, starts, "right") - 1
-    per_doc = np.bincount(doc, minlength=len(offsets) - 1)
+    return word, doc, np.bincount(doc, minlength=len(offsets) - 1)
+
+
+def shingles(word: np.ndarray, doc: np.ndarray, per_doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of k words by document, as hashes of 64 - DOC_BITS bits, and the document of each;
+    a document with fewer words has them all as one."""
+    if not len(word):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     left = np.repeat(np.cumsum(per_doc), per_doc) - np.arange(len(word))  # words from here to the end
     opens = np.concatenate(([True], doc[1:] != doc[:-1]))
     heads = np.flatnonzero((left >= k) | opens)
@@ -114,11 +121,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     value = size.astype(np.uint64)
     for j in range(k):
         value = np.where(size > j, mix(value * _BASE + word[np.minimum(heads + j, len(word) - 1)]), value)
-    doc = doc[heads]
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
-    new = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
-    return value[new], doc[new]
+    both = (value >> _U(DOC_BITS)) | (doc[heads].astype(np.uint64) << _U(64 - DOC_BITS))
+    both.sort()
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    return both & _U((1 << (64 - DOC_BITS)) - 1), (both >> _U(64 - DOC_BITS)).astype(np.int64)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingles(*word_table(data, offsets), k)
 
 
 def sketches(value: np.ndarray, doc: np.ndarray, docs: int, t: int) -> np.ndarray:
@@ -150,6 +160,7 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        end = min(end, at + (1 << DOC_BITS))
         yield at, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
 
@@ -204,7 +215,7 @@ def sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """`id, shingles`: the full sets, as sorted 64-bit hashes."""
+    """`id, shingles`: the full sets, as sorted hashes."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

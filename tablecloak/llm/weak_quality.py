@@ -60,22 +60,12 @@ CLASS = _class_table()
 def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Measurements of documents that lie one after another."""
     n = len(offsets) - 1
-    kinds = CLASS[data]
-
-    def count(k: int) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(kinds == k)))
-        return total[offsets[1:]] - total[offsets[:-1]]
-
-    blank = near_dup._BLANK[data]
-    opens = ~blank
-    opens[1:] &= blank[:-1]
-    heads = offsets[:-1][(offsets[:-1] < offsets[1:])]
-    opens[heads] = ~blank[heads]
-    words = np.concatenate(([0], np.cumsum(opens)))
-    words = words[offsets[1:]] - words[offsets[:-1]]
-    distinct = [np.bincount(near_dup.shingle_sets(data, offsets, k)[1], minlength=n) for k in (1, 2)]
-    return {"words": words, "letters": count(1) + count(2), "upper": count(2), "digits": count(3),
-            "symbols": count(6), "bangs": count(7), "bars": count(9), "distinct": distinct[0],
+    doc = np.repeat(np.arange(n) * 10, np.diff(offsets))
+    count = np.bincount(doc + CLASS[data], minlength=n * 10).reshape(n, 10).T
+    word, in_doc, words = near_dup.word_table(data, offsets)
+    distinct = [np.bincount(near_dup.shingles(word, in_doc, words, k)[1], minlength=n) for k in (1, 2)]
+    return {"words": words, "letters": count[1] + count[2], "upper": count[2], "digits": count[3],
+            "symbols": count[6], "bangs": count[7], "bars": count[9], "distinct": distinct[0],
             "distinct_pairs": distinct[1], "pairs": np.maximum(words - 1, 1), "one": np.ones(n, np.int64)}
 
 
