@@ -14,20 +14,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tablecloak.llm.common import ship
 
-#: Pieces of text kept with their ids by each Python worker; at about 150 bytes each.
-CACHE_ENTRIES = 400_000
+#: Bytes of text whose chunks are looked up together, and rows whose ids are laid out at once.
+PORTION, ROWS = 32 << 20, 256
+#: Chunks that are encoded in one call.
+JOINED = 2000
+#: Fixed value: the pattern that the library's own byte-level splitter has.
+BUILT_IN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space (of Unicode, and the separators) before a space.
+_UNSAFE = (r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
 
-_UNSAFE = re.compile(r"\s ")
-_LOADED: dict[tuple, "ChunkEncoder"] = {}
+_LOADED: dict[tuple, "Encoder"] = {}
 
 
 def byte_characters() -> list[str]:
@@ -56,71 +61,103 @@ def tokenizer_of_ranks(ranks: dict[bytes, int], pattern: str):
         merges.extend((shown[a], shown[b]) for a, b in pairs if a in ranks and b in ranks)
     tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges,
                                      ignore_merges=True))
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), "isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    if pattern == BUILT_IN:
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    else:
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(Regex(pattern), "isolated"),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return tokenizer
 
 
-class ChunkEncoder:
-    """Encodes whole texts; ids of chunks seen before come from a bounded cache.
+class Encoder:
+    """Encodes whole texts of Arrow batches; every distinct chunk of a batch is encoded once.
 
     A chunk is a space with what follows up to the next space. Where no white space stands before a
-    space, no match of the pattern crosses the start of a chunk, so chunks can be encoded one by
-    one; other texts are encoded in one call."""
+    space, no match of the pattern crosses the start of a chunk, so a text's ids are those of its
+    chunks. Distinct chunks are encoded many at a time, as one text, and cut by the bytes of the
+    tokens. Texts with white space before a space are encoded one by one."""
 
-    def __init__(self, tokenizer, entries: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer):
         tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.tokenizer, self.entries, self.cache = tokenizer, entries, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        head = self._encode([first])[0] if first else b""
-        found = list(map(self.cache.get, rest))
-        if None in found:
-            missing = list({chunk for chunk, ids in zip(rest, found) if ids is None})
-            if len(self.cache) + len(missing) > self.entries:
-                self.cache.clear()
-            new = dict(zip(missing, self._encode([" " + chunk for chunk in missing])))
-            if len(new) <= self.entries:
-                self.cache.update(new)
-            found = [new.get(chunk) if ids is None else ids for chunk, ids in zip(rest, found)]
-        return head + b"".join(found)
-
-
-def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
+        self.tokenizer = tokenizer
+        self.table = token_bytes(tokenizer)
+        self.lengths = np.array([len(x) for x in self.table], np.int64)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after another, and the count of each."""
+        ids = [np.zeros(0, "<u4")]
+        for k in range(0, len(chunks), JOINED):
+            ids += self.ids([" " + " ".join(chunks.slice(k, JOINED).to_pylist())])
+        ids = np.concatenate(ids)
+        ends = np.cumsum(pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right")
+        return ids, np.diff(at, prepend=0)
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of rows: the first row, the ids of all, and where each row's begin and end."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + PORTION, "right")))
+            yield from ((at + k, ids, ends) for k, ids, ends in self._portion(texts.slice(at, end - at)))
+            at = end
+
+    def _portion(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        alone = pc.match_substring_regex(texts, _UNSAFE)
+        parts = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = len(coded.dictionary)
+        ids, counts = self._chunks(coded.dictionary)
+        # a text's first chunk has no space before it, and some texts are one chunk
+        first = coded.dictionary.take(pa.array(codes[bounds[:-1]])).to_pylist()
+        whole = alone.to_pylist()
+        heads = self.ids([t.as_py() if w else f for t, w, f in zip(texts, whole, first)])
+        starts = np.cumsum(counts) - counts
+        starts = np.concatenate((starts, len(ids) + np.cumsum([0] + [len(h) for h in heads[:-1]])))
+        counts = np.concatenate((counts, [len(h) for h in heads]))
+        ids = np.concatenate((ids, *heads)).astype("<u4")
+        codes[bounds[:-1]] = known + np.arange(len(texts))
+        for k in range(0, len(texts), ROWS):
+            mine = bounds[k:min(k + ROWS, len(texts)) + 1]
+            part = codes[mine[0]:mine[-1]]
+            n = counts[part]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            out = ids[np.repeat(starts[part] - ends[:-1], n) + np.arange(ends[-1])]
+            yield k, out, ends[mine - mine[0]]
+
+
+def rank_encoder(path: str, pattern: str) -> Encoder:
     """The encoder of a rank file, loaded once by each Python worker."""
     key = ("ranks", path, pattern)
     if key not in _LOADED:
-        _LOADED[key] = ChunkEncoder(tokenizer_of_ranks(read_ranks(path), pattern))
+        _LOADED[key] = Encoder(tokenizer_of_ranks(read_ranks(path), pattern))
     return _LOADED[key]
 
 
-def file_encoder(path: str) -> ChunkEncoder:
+def file_encoder(path: str) -> Encoder:
     """The encoder of a tokenizer file, loaded once by each Python worker."""
     from tokenizers import Tokenizer
 
     key = ("file", path)
     if key not in _LOADED:
-        _LOADED[key] = ChunkEncoder(Tokenizer.from_file(path))
+        _LOADED[key] = Encoder(Tokenizer.from_file(path))
     return _LOADED[key]
 
 
-def token_bytes(encoder: ChunkEncoder) -> list[bytes]:
+def token_bytes(tokenizer) -> list[bytes]:
     """The bytes of each id: the character table, reversed."""
     back = {c: b for b, c in enumerate(byte_characters())}
-    size = encoder.tokenizer.get_vocab_size()
-    out = [b""] * size
-    for token, i in encoder.tokenizer.get_vocab().items():
+    out = [b""] * tokenizer.get_vocab_size()
+    for token, i in tokenizer.get_vocab().items():
         out[i] = bytes(back[c] for c in token)
     return out
 
@@ -129,6 +166,14 @@ def decode_bytes(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
+def decode_rows(ids: np.ndarray, ends: np.ndarray, table: pa.Array) -> Iterator[memoryview]:
+    """Bytes of rows of ids that lie one after another."""
+    taken = table.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:][ends]
+    data = memoryview(taken.buffers()[2] or b"")
+    return (data[a:b] for a, b in zip(at, at[1:]))
+
+
 def character_offsets(ids: np.ndarray, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each token in characters. A character split over several tokens belongs to
     each of them."""
@@ -161,12 +206,11 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         from tablecloak.llm import byte_bpe as b
 
         encoder = b.rank_encoder(path, pattern)
-        table = b.token_bytes(encoder)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                ids = [np.frombuffer(encoder.ids_bytes(x), "<u4") for x in part.column(1).to_pylist()]
-                spans = [b.character_offsets(x, table) for x in ids]
+            for at, found, ends in encoder.batches(batch.column(1)):
+                part = batch.slice(at, len(ends) - 1)
+                ids = np.split(found, ends[1:-1])
+                spans = [b.character_offsets(x, encoder.table) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
                      pa.array([s for s, _ in spans], pa.list_(pa.int64())),
@@ -184,7 +228,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tablecloak.llm import byte_bpe as b
 
-        table = b.token_bytes(b.rank_encoder(path, pattern))
+        table = b.rank_encoder(path, pattern).table
         for batch in batches:
             texts = ["".join(b.decode_pieces([x or []], table)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
@@ -203,17 +247,14 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc
         from tablecloak.llm import byte_bpe as b
 
         encoder = b.rank_encoder(path, pattern)
-        table = b.token_bytes(encoder)
+        table = pa.array(encoder.table, pa.large_binary())
         for batch in batches:
-            counts, encoded, decoded = [], [], []
-            for x in batch.column(1):
-                data = encoder.ids_bytes(x.as_py())
-                counts.append(len(data) // 4)
-                encoded.append(hashlib.sha256(data).hexdigest())
-                decoded.append(hashlib.sha256(b.decode_bytes(np.frombuffer(data, "<u4"), table)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()),
-                 pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, ids, ends in encoder.batches(batch.column(1)):
+                encoded = [hashlib.sha256(x).hexdigest() for x in np.split(ids, ends[1:-1])]
+                decoded = [hashlib.sha256(x).hexdigest() for x in b.decode_rows(ids, ends, table)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(encoded)), pa.array(np.diff(ends)), pa.array(encoded, pa.string()),
+                     pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(

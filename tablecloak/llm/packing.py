@@ -162,7 +162,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", co
         task, first, group = TaskContext.get().partitionId(), 0, 0
         names = [key, *(x.split()[0] for x in p.SCHEMA.split(", ")[1:])]
         types = pa.schema(list(zip(names, [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()])))
-        closing = np.array([closing_id], "<u4").tobytes()
+        closing = np.array([closing_id], "<u4")
 
         def flush():
             nonlocal first, group
@@ -172,8 +172,9 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", co
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], names)
 
         for batch in batches:
-            for doc, x in zip(batch.column(0), batch.column(1)):
-                packer.add(doc.as_py(), np.frombuffer(encoder.ids_bytes(x.as_py()) + closing, "<u4"))
+            for at, found, ends in encoder.batches(batch.column(1)):
+                for k, ids in enumerate(np.split(found, ends[1:-1])):
+                    packer.add(batch.column(0)[at + k].as_py(), np.concatenate((ids, closing)))
                 if len(packer.ready) >= 64 * step_sequences:
                     yield flush()
         packer.close()
