@@ -12,10 +12,9 @@ the shingles), and no bucket is expanded into all its pairs:
 1. each member is compared with its bucket's smallest id, and confirmed links are joined up;
 2. buckets that still hold several components compare members with another representative;
 3. what is left is compared across components only: members outside a bucket's largest component
-   against the other components, after the sketches rule out pairs far below the threshold.
+   against the others, where their rarest shingles meet (exact, see `_pairs_across`).
 A pair within one component needs no comparison, so no component is lost. With 42 bands of six a
-pair at similarity 0.8 shares no bucket with probability 3e-6, and the sketch test of step 3 (five
-standard deviations) drops it with 1e-6; both fall steeply above 0.8.
+pair at similarity 0.8 shares no bucket with probability 3e-6, which falls steeply above 0.8.
 
 Edge cases: null, empty and blank texts have empty sets, link with nothing and are kept; a text of
 fewer words than a shingle is one shingle; rows of one id are one node and get the same component;
@@ -25,13 +24,12 @@ long texts are hashed in parts; other columns are ignored, so their names may cl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecloak.llm.common import Scratch, ship
@@ -180,9 +178,8 @@ def _sums(x: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """`id, n, key1, key2, bands, sketch`: the size and a 128-bit digest of the set, the bucket of each
-    band, and the last bytes of the coordinates as eight planes of bits. Without words: n is 0, no
-    bands."""
+    """`id, n, key1, key2, bands`: the size and a 128-bit digest of the set, and the bucket of each band.
+    Without words n is 0 and there are no bands."""
     ship(docs.sparkSession)
     t = bands * rows
 
@@ -199,19 +196,13 @@ def sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands))
                 for r in range(rows):
                     key = m.mix(key * m._BASE + banded[:, :, r])
-                low = np.zeros((n, -(-t // 64) * 64), np.uint8)
-                low[:, :t] = (sketch & m._U(255)).astype(np.uint8)
-                planes = np.packbits(np.unpackbits(low[:, :, None], 2).transpose(0, 2, 1), 2).reshape(n, -1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, n), pa.array(size.astype(np.int64)),
                      pa.array(m._sums(m.mix(value), doc, n).view(np.int64)),
                      pa.array(m._sums(m.mix(value ^ m._BASE), doc, n).view(np.int64)),
-                     m._lists(key, size == 0),
-                     m._lists(planes.view(np.uint64), size == 0)],
-                    ["id", "n", "key1", "key2", "bands", "sketch"])
+                     m._lists(key, size == 0)], ["id", "n", "key1", "key2", "bands"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>, "
-                                "sketch array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>")
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -267,33 +258,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def _equal_bytes(a: Column, b: Column, groups: int) -> Column:
-    """How many of the bytes of two bit-sliced sketches are equal; plane p of 64 bytes is long
-    `p * groups + g`."""
-    def differing(g: int) -> Column:
-        return F.bit_count(reduce(Column.bitwiseOR, [a[p * groups + g].bitwiseXOR(b[p * groups + g])
-                                                     for p in range(8)]))
-
-    return F.lit(64 * groups) - reduce(add, [differing(g) for g in range(groups)])
-
-
-def _pairs_across(unsettled: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket, once each: under their first common band."""
-    t = bands * rows
-    groups = -(-t // 64)
-    p = percent / 100
-    least = int(t * p - 5 * (t * p * (1 - p)) ** 0.5) + 64 * groups - t
-    a = unsettled.filter("comp != main").select(*[F.col(c).alias(f"{c}_a") for c in unsettled.columns])
-    b = unsettled.select(*[F.col(c).alias(f"{c}_b") for c in unsettled.columns])
-    shared = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i])
-                          for i in range(bands)])
-    near = ((F.col("comp_a") != F.col("comp_b"))
-            & ((F.col("comp_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b")))
+def _pairs_across(open_docs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components that may reach the similarity, of which one is `minor`.
+
+    Shingles have one order, rare ones first. All that two sets have in common comes after the first
+    common shingle in either, so for a link that shingle is followed by enough others in both; it
+    lies among the first, rare ones, and only these are joined."""
+    rows = scratch.keep(sets.join(open_docs.select("id"), "id", "left_semi")
+                        .select("id", F.explode("shingles").alias("shingle")))
+    times = scratch.keep(rows.groupBy("shingle").agg(F.count("*").alias("times")))
+    ordered = rows.join(times, "shingle").groupBy("id").agg(
+        F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("s")).withColumn("n", F.size("s"))
+    first = F.expr(f"slice(s, 1, n - CAST(ceil({percent} * n / 100) AS INT) + 1)")
+    heads = scratch.keep(ordered.select("id", "n", F.posexplode(first).alias("at", "x")).filter("x.times > 1")
+                         .select("id", F.col("x.shingle").alias("shingle"), "n", (F.col("n") - F.col("at")).alias("rest"))
+                         .join(open_docs, "id"))
+    a = heads.filter("minor").select(*[F.col(c).alias(f"{c}_a") for c in heads.columns])
+    b = heads.select(*[F.col(c).alias(f"{c}_b") for c in heads.columns])
+    near = ((F.col("comp_a") != F.col("comp_b")) & (~F.col("minor_b") | (F.col("id_a") < F.col("id_b")))
             & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            & (_equal_bytes(F.col("sketch_a"), F.col("sketch_b"), groups) >= least)
-            & (shared == F.col("bucket_a")))
-    return (a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & near)
-            .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+            & ((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))))
+    return (a.join(b, (F.col("shingle_a") == F.col("shingle_b")) & near)
+            .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
 
 
 def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -311,7 +297,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     table = scratch.keep(sketch_table(source, shingle_words, bands, rows))
     members = table.filter("n > 0 AND id IS NOT NULL")
     classes = scratch.keep(members.groupBy("key1", "key2", "n").agg(
-        F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+        F.min("id").alias("id"), F.any_value("bands").alias("bands")))
 
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     shared = scratch.keep(buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size"))
@@ -348,9 +334,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     counted = now.join(several, "bucket").groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = scratch.keep(counted.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("most"))
                         .select("bucket", F.col("most.comp").alias("main")))
-    wide = classes.select("id", "n", "bands", "sketch")
-    unsettled = scratch.keep(now.join(main, "bucket").join(wide, "id"))
-    rest = scratch.keep(_pairs_across(unsettled, bands, rows, percent))
+    open_docs = scratch.keep(now.join(main, "bucket").groupBy("id", "comp").agg(
+        F.max(F.col("comp") != F.col("main")).alias("minor")))
+    rest = scratch.keep(_pairs_across(open_docs, sets, percent, scratch))
     last = scratch.keep(_linked(rest, sets, percent))
     if not last.isEmpty():
         edges = scratch.keep(edges.union(last))
