@@ -132,10 +132,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: str
 
 def filter_quality(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows that neither the base rules nor the policy reject, with their own columns. The ledger is
-    computed beside them in the same pass, under a name that the rows cannot have."""
+    computed beside them in the same pass. The running number (which is never negative) keeps the
+    optimizer from moving the filter below the projections, where it would copy the measurements
+    into every rule that uses them."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    judged = judge(packed, "_row", "_text", policy)
-    return judged.filter("kept").select("_row.*")
+    judged = judge(packed, "_row", "_text", policy).withColumn("_n", F.monotonically_increasing_id())
+    return judged.filter("kept AND _n >= 0").select("_row.*")
 
 
 def ablations(rows: DataFrame, policies: dict | None = None) -> DataFrame:
