@@ -34,7 +34,7 @@ LEAST_RATIO = 0.5
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: Bounds of the training samples: documents for ordinary words, numbers whose digests are random.
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 500
 SAMPLE_DIGESTS = 4000
 SPAN_ARRAY = "array<struct<start:int,no:int,end:int,kind:string,value:string>>"
 
@@ -83,7 +83,8 @@ def random_strings(spark: SparkSession, count: int = SAMPLE_DIGESTS) -> DataFram
 def ordinary_strings(docs: DataFrame, key: str, text: str, count: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Labelled sample of ordinary identifiers: words of a bounded number of documents (first by a hash of
     the id), plain and joined to their successor the ways that identifiers are."""
-    sample = docs.select(F.col(key), F.col(text).alias("t")).orderBy(F.xxhash64(key), F.col(key)).limit(count)
+    chosen = docs.select(key).orderBy(F.xxhash64(key), F.col(key)).limit(count).distinct()
+    sample = docs.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(chosen), key, "left_semi")
     found = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,15}(?![A-Za-z0-9])"), F.lit(0))
     worded = sample.select(found.alias("w"))
     joined = F.transform("w", lambda x, i: F.array(
