@@ -108,7 +108,12 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     hashed = counted.withColumn("_h", F.when(F.col("n_words") > WINDOW, _windows(
         w, F.col("n_words"), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)]))))
     repeats = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _repeat_words()).otherwise(0)
-    return hashed.withColumn("n_repeat_words", repeats).select(key, *[F.col(m).cast("bigint").alias(m) for m in MEASURES])
+    counted = hashed.withColumn("n_repeat_words", repeats)
+    # a running number is never negative; that one is asked for keeps the optimizer from moving filters
+    # below the measurements, where it would copy them into every rule that uses them
+    there = F.monotonically_increasing_id() >= 0
+    return counted.select(key, *[(F.when(there, F.col(m)) if m == "n_words" else F.col(m)).cast("bigint").alias(m)
+                                 for m in MEASURES])
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,12 +137,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: str
 
 def filter_quality(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows that neither the base rules nor the policy reject, with their own columns. The ledger is
-    computed beside them in the same pass. The running number (which is never negative) keeps the
-    optimizer from moving the filter below the projections, where it would copy the measurements
-    into every rule that uses them."""
+    computed beside them in the same pass."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    judged = judge(packed, "_row", "_text", policy).withColumn("_n", F.monotonically_increasing_id())
-    return judged.filter("kept AND _n >= 0").select("_row.*")
+    return judge(packed, "_row", "_text", policy).filter("kept").select("_row.*")
 
 
 def ablations(rows: DataFrame, policies: dict | None = None) -> DataFrame:
