@@ -6,7 +6,7 @@ Audit rows hold text only: `seq` (line order), `timestamp` (ISO-8601 Z), `action
 
 from __future__ import annotations
 
-import re
+import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,34 +19,66 @@ from tablecloak.functions.schedules import next_fire
 ACTIONS = ("backup", "restore", "scrub_bypass", "restore_into",
            "vault_set", "vault_delete", "vault_get")
 OUTCOMES = ("success", "failure")
-TAIL_ROWS = 500
 DAY, WEEK = 86400, 604800
 
 
-def _date_bound(value: str | None, end_of_day: bool) -> str | None:
-    """A bare date covers the whole day; anything that is no date is no filter."""
-    if not value:
-        return None
-    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
-        return value + ("T23:59:59Z" if end_of_day else "T00:00:00Z")
-    return value if re.match(r"\d{4}-\d{2}-\d{2}T", value) else None
+Moment = dt.date | str | None
+
+
+def as_moment(value: Moment) -> dt.date | None:
+    """A date or a time from ISO text; text that is neither is no bound."""
+    if not isinstance(value, str):
+        return value
+    for read in (dt.date.fromisoformat, dt.datetime.fromisoformat):
+        try:
+            return read(value)
+        except ValueError:
+            continue
+    return None
+
+
+def within(time: Column, first: Moment, last: Moment) -> Column:
+    """Times from `first` to `last`; a bound without a time of day takes in its whole day. Text in
+    ISO form sorts like time, so the bounds reach the scan."""
+    cond, low, high = F.lit(True), as_moment(first), as_moment(last)
+    if low is not None:
+        cond = cond & (time >= _utc_text(low))
+    if isinstance(high, dt.datetime):
+        cond = cond & (time <= _utc_text(high))
+    elif high is not None:
+        cond = cond & (time < _utc_text(high + dt.timedelta(days=1)))
+    return cond
+
+
+def _utc_text(moment: dt.date) -> str:
+    if isinstance(moment, dt.datetime):
+        if moment.tzinfo is not None:
+            moment = moment.astimezone(dt.timezone.utc)
+        return f"{moment:%Y-%m-%dT%H:%M:%SZ}"
+    return f"{moment:%Y-%m-%d}T00:00:00Z"
 
 
 def entry_text(audit: DataFrame) -> Column:
-    """An entry as JSON text with sorted keys and without absent ones, `{"a": "1", "b": "2"}`."""
+    """An entry as JSON text with sorted keys and without absent ones, `{"a": "1", "b": "2"}`; fields
+    in the map `extras` are part of it."""
 
-    def quoted(name: str) -> Column:
-        one = F.to_json(F.array(F.col(f"`{name}`").cast("string")))
-        return F.substring(one, F.lit(2), F.length(one) - 2)
+    def field(key: Column, value: Column) -> Column:
+        one, name = F.to_json(F.array(value)), F.to_json(F.array(key))
+        text = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(": "),
+                        F.substring(one, F.lit(2), F.length(one) - 2))
+        return F.struct(key.alias("k"), text.alias("t"))
 
-    parts = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f'"{c}": '), quoted(c)))
-             for c in sorted(audit.columns) if c != "seq"]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    fields = F.array_compact(F.array(*[
+        F.when(F.col(f"`{c}`").isNotNull(), field(F.lit(c), F.col(f"`{c}`").cast("string")))
+        for c in sorted(audit.columns) if c not in ("seq", "extras")]))
+    if "extras" in audit.columns:
+        more = F.transform(F.map_entries("extras"), lambda e: field(e["key"], e["value"]))
+        fields = F.sort_array(F.concat(fields, F.coalesce(more, F.slice(fields, 1, 0))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda x: x["t"]), ", "), F.lit("}"))
 
 
 def audit_filter(audit: DataFrame, action: str | None = None, outcome: str | None = None,
-                 from_ts: str | None = None, to_ts: str | None = None,
-                 regex: str | None = None) -> Column:
+                 from_ts: Moment = None, to_ts: Moment = None, regex: str | None = None) -> Column:
     """All given conditions; the cheap ones come first."""
     if action and action not in ACTIONS:
         raise ValueError(f"unknown action '{action}'")
@@ -57,18 +89,17 @@ def audit_filter(audit: DataFrame, action: str | None = None, outcome: str | Non
         cond = cond & (F.col("action") == action)
     if outcome:
         cond = cond & (F.col("outcome") == outcome)
-    if lower := _date_bound(from_ts, False):
-        cond = cond & (F.col("timestamp") >= lower)
-    if upper := _date_bound(to_ts, True):
-        cond = cond & (F.col("timestamp") <= upper)
+    cond = cond & within(F.col("timestamp"), from_ts, to_ts)
     if regex:
         cond = cond & entry_text(audit).rlike(regex)
     return cond
 
 
-def audit_search(audit: DataFrame, limit: int = 100, **filters: str | None) -> DataFrame:
-    """The newest `limit` matching entries. Spark keeps `limit` rows per task, no full sort."""
-    return audit.filter(audit_filter(audit, **filters)).orderBy(F.desc("seq")).limit(limit)
+def audit_search(audit: DataFrame, limit: int | None = None, **filters: str | None) -> DataFrame:
+    """The matching entries, newest first; with `limit` the newest so many, of which Spark keeps
+    `limit` rows per task without a full sort."""
+    found = audit.filter(audit_filter(audit, **filters)).orderBy(F.desc("seq"))
+    return found if limit is None else found.limit(limit)
 
 
 def audit_counts(audit: DataFrame, **filters: str | None) -> DataFrame:
@@ -77,11 +108,11 @@ def audit_counts(audit: DataFrame, **filters: str | None) -> DataFrame:
 
 
 def _tail(audit: DataFrame, rows: int | None) -> DataFrame:
-    """The last `rows` lines of the log (its own meaning of recent), or all of them."""
+    """All of the log, or its last `rows` lines where a caller asks for a recent part."""
     if rows is None:
         return audit
-    last = audit.agg(F.max("seq").alias("last")).first()["last"]
-    return audit.filter(F.col("seq") > (last if last is not None else 0) - rows)
+    last = audit.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
+    return audit.filter(F.col("seq") > last - rows)
 
 
 def _baseline_keys(action: str) -> list[str]:
@@ -89,7 +120,7 @@ def _baseline_keys(action: str) -> list[str]:
     return ["db_host", "database"] if action == "backup" else []
 
 
-def last_duration(audit: DataFrame, action: str, tail_rows: int | None = TAIL_ROWS) -> DataFrame:
+def last_duration(audit: DataFrame, action: str, tail_rows: int | None = None) -> DataFrame:
     """Duration of the last successful entry that has a whole-number duration."""
     ok = _tail(audit, tail_rows).filter(
         (F.col("action") == action) & (F.col("outcome") == "success")
@@ -98,7 +129,7 @@ def last_duration(audit: DataFrame, action: str, tail_rows: int | None = TAIL_RO
     return ok.groupBy(*_baseline_keys(action)).agg(value.alias("duration_sec"))
 
 
-def last_size(audit: DataFrame, action: str, tail_rows: int | None = TAIL_ROWS) -> DataFrame:
+def last_size(audit: DataFrame, action: str, tail_rows: int | None = None) -> DataFrame:
     """Size of the last successful entry with any size; NULL when that one is no number."""
     ok = _tail(audit, tail_rows).filter(
         (F.col("action") == action) & (F.col("outcome") == "success") & F.col("size").isNotNull())
@@ -211,8 +242,16 @@ def freshness_summary(cards: DataFrame) -> DataFrame:
 
 
 def bypass_report(audit: DataFrame) -> DataFrame:
-    """Restores for which the masking gate did not run, per pair."""
-    return (audit.filter(F.col("action") == "scrub_bypass").groupBy("db_host", "database")
+    """Restores for which the masking gate did not run, per source host and target. Such entries name
+    the host (`host`, or `db_host` in older lines) and what was restored into: a `target` database, a
+    container (`into_container`), or the `database` itself."""
+    def first(*names: str) -> Column:
+        there = [F.col(c) for c in names if c in audit.columns]
+        return F.coalesce(*there, F.lit(None).cast("string"))
+
+    return (audit.filter(F.col("action") == "scrub_bypass")
+            .groupBy(first("host", "db_host").alias("host"),
+                     first("target", "into_container", "database").alias("target"))
             .agg(F.count("*").alias("bypasses"), F.max("timestamp").alias("last_bypass")))
 
 
@@ -253,22 +292,18 @@ def notify_filter(events: DataFrame, on: str = "failure") -> DataFrame:
     optional = {c: F.col(c) if c in events.columns else F.lit(None).cast("string")
                 for c in ("file", "error", "target_db", "size")}
     pair = F.concat(F.col("database"), F.lit("@"), F.col("db_host"))
-    error = F.coalesce(optional["error"], F.lit("Unknown error"))
+    error = F.coalesce(optional["error"], F.lit("no reason given"))
     size = human_size(F.coalesce(coerce_int(optional["size"]), F.lit(0)))
     target = F.coalesce(optional["target_db"], F.col("database"))
     backup, good = F.col("action") == "backup", F.col("outcome") == "success"
     base = F.element_at(F.split(F.coalesce(optional["file"], F.lit("")), "/"), -1)
-    title = (F.when(backup & good, F.concat(F.lit("Backup Complete: "), F.col("database")))
-             .when(backup, F.concat(F.lit("Backup Failed: "), F.col("database")))
-             .when(good, F.concat(F.lit("Restore Complete: "), target))
-             .otherwise(F.lit("Restore failed")))
+    what = F.when(backup, F.lit("backup")).otherwise(F.lit("restore"))
+    title = F.concat(what, F.when(good, F.lit(" ok: ")).otherwise(F.lit(" FAILED: ")),
+                     F.when(backup, F.col("database")).otherwise(target))
     message = (
-        F.when(backup & good, F.concat(F.lit("Database "), pair, F.lit(" backed up successfully ("),
-                                       size, F.lit(")")))
-        .when(backup, F.concat(F.lit("Failed to backup "), pair, F.lit(": "), error))
-        .when(good, F.concat(F.lit("Database "), target, F.lit(" restored successfully from "),
-                             F.coalesce(optional["file"], F.lit(""))))
-        .otherwise(F.concat(F.lit("Failed to restore "), target, F.lit(" from "), base,
-                            F.lit(": "), error)))
+        F.when(backup & good, F.concat(pair, F.lit(" is stored, "), size))
+        .when(backup, F.concat(pair, F.lit(" is not stored. "), error))
+        .when(good, F.concat(target, F.lit(" is loaded from "), F.coalesce(optional["file"], F.lit(""))))
+        .otherwise(F.concat(target, F.lit(" is not loaded from "), base, F.lit(". "), error)))
     return (events.filter(F.col("action").isin("backup", "restore") & _wanted(F.col("outcome"), on))
             .select(*events.columns, title.alias("title"), message.alias("message")))

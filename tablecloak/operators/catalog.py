@@ -131,8 +131,11 @@ def retention_preview(catalog: DataFrame, now: str, keep: int | None = None,
 
 def retention_scheduled(catalog: DataFrame, schedules: DataFrame, key: str = "path") -> DataFrame:
     """Each pair's own `keep` from its schedule; pairs without one lose nothing. Of several
-    schedules of a pair the lowest `keep` counts."""
-    keep = schedules.groupBy(*PAIR).agg(F.min("keep").alias("keep"))
+    schedules of a pair the highest `keep` counts, so no schedule loses what it asks for. A
+    disabled schedule does not run and deletes nothing."""
+    if "enabled" in schedules.columns:
+        schedules = schedules.filter(F.coalesce("enabled", F.lit(True)))
+    keep = schedules.groupBy(*PAIR).agg(F.max("keep").alias("keep"))
     return _beyond_newest(catalog, keep, key)
 
 

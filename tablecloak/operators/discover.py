@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tablecloak.operators.masking import EMAIL_DOMAIN, EMAIL_LOCAL
 from tablecloak.operators.skew import salted_join
+from tablecloak.session import cut_lineage
+
+# Levels of JSON that one plan walks; deeper ones follow from what it wrote.
+LEVELS = 8
 
 # Column-name patterns as pattern:strategy[:parameter], first match wins.
 DEFAULT_DICTIONARY = """
@@ -275,13 +279,14 @@ def deep_scan_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     return _found(df, flags, ("table", "column", "category"))
 
 
-def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str] = (),
+def json_leaves(df: DataFrame, col: str, keep: Sequence[str] = (),
                 wanted: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Leaves of a JSON column at any depth up to `max_depth` as `(path, value)` text.
+    """Leaves of a JSON column at any depth as `(path, value)` text.
 
-    Array positions are written `[*]`. Deeper values are returned whole as JSON text, and text
-    that is no valid JSON as one leaf, so nothing escapes a scan. `wanted` is a condition on
-    JSON text; parts without it are left out as early as possible.
+    Array positions are written `[*]`; text that is no valid JSON is one leaf, and so is an empty
+    object or array. `wanted` is a condition on JSON text; parts without it are left out as early
+    as possible. A few levels are walked in one plan; what they give is written once and walked on
+    while anything nested is left.
     """
 
     def step(suffix: Column, v: Column) -> Column:
@@ -301,9 +306,16 @@ def json_leaves(df: DataFrame, col: str, max_depth: int = 8, keep: Sequence[str]
     value = F.coalesce(F.try_parse_json(F.col(col)), F.col(col).cast("variant"))
     level = prune(df.filter(F.col(col).isNotNull())
                   .select(*keep, F.lit("$").alias("path"), value.alias("v")))
-    for _ in range(max_depth):
-        level = prune(level.select(*keep, F.explode(F.coalesce(fields, items, itself)).alias("_c"))
-                      .select(*keep, "_c.path", "_c.v"))
+    parts = F.coalesce(fields, items)
+    children = F.when(F.size(parts) > 0, parts).otherwise(itself)
+    nested = True
+    while nested:
+        for _ in range(LEVELS):
+            level = prune(level.select(*keep, F.explode(children).alias("_c")).select(*keep, "_c.path", "_c.v"))
+        # variants cannot be checkpointed as rows of a table everywhere, so they travel as JSON text
+        level = cut_lineage(level.select(*keep, "path", F.to_json("v").alias("_j"))).select(
+            *keep, "path", F.parse_json("_j").alias("v"))
+        nested = not level.filter(F.size(parts) > 0).isEmpty()
     is_text = F.schema_of_variant("v") == "STRING"
     text = F.when(is_text, F.col("v").try_cast("string")).otherwise(F.to_json("v"))
     return level.select(*keep, "path", text.alias("value"))
@@ -313,7 +325,7 @@ def _any_category(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [has_category(text, cat) for cat in CATEGORIES])
 
 
-def deep_scan_json(df: DataFrame, table: str, cols: Sequence[str], max_depth: int = 8) -> DataFrame:
+def deep_scan_json(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     """`(table, column, path, category, count)` over the leaves of JSON columns.
 
     A finding in a leaf also shows in the JSON text around it (escapes only add characters the
@@ -323,7 +335,7 @@ def deep_scan_json(df: DataFrame, table: str, cols: Sequence[str], max_depth: in
     for c in cols:
         cats = F.filter(F.array(*[F.when(has_category("value", cat), F.lit(cat))
                                   for cat in CATEGORIES]), lambda x: x.isNotNull())
-        parts.append(json_leaves(df, c, max_depth, wanted=_any_category)
+        parts.append(json_leaves(df, c, wanted=_any_category)
                      .select(F.lit(table).alias("table"), F.lit(c).alias("column"), "path",
                              F.explode(cats).alias("category")))
     return (reduce(DataFrame.unionByName, parts)
@@ -347,14 +359,16 @@ def kv_scan(df: DataFrame, key_col: str, value_col: str,
 
 
 def framework_fingerprint(catalog: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Databases that hold every signature table `(framework, table)` of a framework.
+    """Databases (of a host, where the catalogue names hosts) that hold every signature table
+    `(framework, table)` of a framework.
 
     Rows that are no signature table leave at the join, and repeated rows (one per column)
     are combined before the shuffle of the count.
     """
+    keys = [c for c in ("host", "database") if c in catalog.columns]
     wanted = signatures.distinct()
     sizes = wanted.groupBy("framework").agg(F.count("*").alias("needed"))
-    hits = (catalog.select("database", "table").join(wanted, "table")
-            .groupBy("database", "framework").agg(F.count_distinct("table").alias("found")))
+    hits = (catalog.select(*keys, "table").join(wanted, "table")
+            .groupBy(*keys, "framework").agg(F.count_distinct("table").alias("found")))
     return (hits.join(sizes, "framework").filter(F.col("found") == F.col("needed"))
-            .select("database", "framework"))
+            .select(*keys, "framework"))

@@ -35,28 +35,42 @@ def manifest_rows(spark: SparkSession, manifest: Mapping, database: str) -> Data
     return local_rows(spark, rows, MANIFEST_COLUMNS)
 
 
+def _shared_keys(catalog: DataFrame, manifest: DataFrame) -> list[str]:
+    """What names a table on both sides. A catalogue of several hosts needs a manifest that names
+    them, or equal names of two hosts would be taken for one table."""
+    hosts = ["host" in df.columns for df in (catalog, manifest)]
+    if any(hosts) and not all(hosts):
+        raise ValueError("catalogue and manifest must both name hosts, or neither")
+    return [*(["host"] if all(hosts) else []), "database", "table"]
+
+
+def _scope(drift: DataFrame, *keys: str) -> list[str]:
+    return [c for c in ("host", *keys) if c in drift.columns]
+
+
 def schema_drift(catalog: DataFrame, manifest: DataFrame,
                  dictionary: Sequence[str] | None = None) -> DataFrame:
-    """One row per finding: `database, table, kind, column, type, pattern, suggested`.
+    """One row per finding: `[host,] database, table, kind, column, type, pattern, suggested`.
 
-    Catalogue and manifest rows meet in one union that is shuffled once by table; the
-    per-column merge and the per-table flags both reuse that partitioning. A table's columns
-    are few, so no partition key is hot. Names are matched before the shuffle, which carries
-    the position of the match only.
+    Tables are told apart by host where both sides name hosts. Catalogue and manifest rows meet
+    in one union that is shuffled once by table; the per-column merge and the per-table flags
+    both reuse that partitioning. A table's columns are few, so no partition key is hot. Names
+    are matched before the shuffle, which carries the position of the match only.
     """
     none = F.lit(None)
+    keys = _shared_keys(catalog, manifest)
     live = add_hit(catalog, "column", dictionary).select(
-        "database", "table", "column", "type", "hit", F.lit(True).alias("live"),
+        *keys, "column", "type", "hit", F.lit(True).alias("live"),
         F.lit(False).alias("declared"), F.lit(False).alias("no_pii"))
     said = manifest.select(
-        "database", "table", "column", none.cast("string").alias("type"), none.cast("int").alias("hit"),
+        *keys, "column", none.cast("string").alias("type"), none.cast("int").alias("hit"),
         F.lit(False).alias("live"), F.lit(True).alias("declared"),
         F.coalesce("no_pii", F.lit(False)).alias("no_pii"))
-    per_column = (live.unionByName(said).repartition("database", "table")
-                  .groupBy("database", "table", "column")
+    per_column = (live.unionByName(said).repartition(*keys)
+                  .groupBy(*keys, "column")
                   .agg(F.max("type").alias("type"), F.max("hit").alias("hit"), F.max("live").alias("live"),
                        F.max("declared").alias("declared"), F.max("no_pii").alias("no_pii")))
-    w = W.partitionBy("database", "table")
+    w = W.partitionBy(*keys)
     flagged = (per_column
                .withColumn("known", F.max("declared").over(w))
                .withColumn("table_no_pii", F.max("no_pii").over(w))
@@ -73,7 +87,7 @@ def schema_drift(catalog: DataFrame, manifest: DataFrame,
         .when(matched, NEW_TABLE))
     named = F.col("kind").isin(NEW_COLUMN, NEW_TABLE)
     return (flagged.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-            .select("database", "table", "kind", "column",
+            .select(*keys, "kind", "column",
                     F.when(named, F.col("type")).alias("type"),
                     F.when(named | (F.col("kind") == WARNING), F.col("pattern")).alias("pattern"),
                     F.when(named, suggestion("strategy", "param")).alias("suggested")))
@@ -86,14 +100,15 @@ def drift_ok(drift: DataFrame) -> DataFrame:
 
 def drift_ok_by_database(drift: DataFrame, databases: DataFrame) -> DataFrame:
     """The same per database, including those without any finding."""
-    per = drift.groupBy("database").agg(F.bool_and(F.col("kind") == WARNING).alias("_ok"))
-    return databases.select("database").distinct().join(per, "database", "left").select(
-        "database", F.coalesce("_ok", F.lit(True)).alias("ok"))
+    keys = _scope(drift, "database")
+    per = drift.groupBy(*keys).agg(F.bool_and(F.col("kind") == WARNING).alias("_ok"))
+    return databases.select(*keys).distinct().join(per, keys, "left").select(
+        *keys, F.coalesce("_ok", F.lit(True)).alias("ok"))
 
 
 def new_tables_grouped(drift: DataFrame) -> DataFrame:
     """Matches of each new table as a nested array (one table's columns)."""
-    return (drift.filter(F.col("kind") == NEW_TABLE).groupBy("database", "table")
+    return (drift.filter(F.col("kind") == NEW_TABLE).groupBy(*_scope(drift, "database", "table"))
             .agg(F.array_sort(F.collect_list(F.struct("column", "type", "pattern", "suggested")))
                  .alias("matches")))
 
@@ -101,7 +116,7 @@ def new_tables_grouped(drift: DataFrame) -> DataFrame:
 def check_manifest_drift(catalog: DataFrame, manifest: Mapping, database: str) -> DataFrame:
     """Drift of one dataset against its driver-side manifest."""
     spark = catalog.sparkSession
-    return schema_drift(catalog.withColumn("database", F.lit(database)),
+    return schema_drift(catalog.drop("host").withColumn("database", F.lit(database)),
                         manifest_rows(spark, manifest, database), manifest_dictionary(manifest))
 
 

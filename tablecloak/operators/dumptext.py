@@ -18,6 +18,8 @@ ANY_WARNING = r"^(mysqldump: )?(Got error|\[?[Ww]arning\]?|Error)"
 FAST_IMPORT = "SET foreign_key_checks=0; SET unique_checks=0;"
 LONG_VARCHAR = r"VARCHAR\((65000|32000)\)"
 PG_MAGIC = "PGDMP"
+HEAD_COMMENTS = r"\A(?:\s*--[^\n]*(?:\n|\z))+"
+EXTENSION = '^(CREATE EXTENSION( IF NOT EXISTS)?|COMMENT ON EXTENSION) "?({names})"?[ ;]'
 
 CHUNK_LINES = 200_000
 
@@ -98,8 +100,7 @@ def drop_extension_statements(lines: DataFrame, names: Sequence[str],
     """
     if not names:
         return lines
-    pattern = ('^(CREATE EXTENSION( IF NOT EXISTS)?|COMMENT ON EXTENSION) "?('
-               + "|".join(names) + ')"?[ ;]')
+    pattern = EXTENSION.replace("{names}", "|".join(names))
     c = F.col("line")
     statement = ((c.startswith("CREATE EXTENSION") | c.startswith("COMMENT ON EXTENSION"))
                  & c.rlike(pattern))
@@ -111,18 +112,24 @@ def drop_extension_statements(lines: DataFrame, names: Sequence[str],
 def copy_block_stats(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Table name and data rows of every COPY block; a block without an end counts as it is.
 
-    Rows are counted per block before the shuffle; the names come from the few COPY lines.
+    Line numbers are dense, so a block's rows are those between its COPY statement and its end. Only
+    COPY and end lines are shuffled, and of them no more than the table's name; a block without
+    an end runs to the file's last line.
     """
-    block = F.coalesce("copy_start", F.when(is_copy_start(), F.col("line_no")))
-    data = F.col("copy_start").isNotNull() & (F.col("line") != COPY_END)
-    counts = (copy_state(lines, chunk_lines).withColumn("_block", block)
-              .filter(F.col("_block").isNotNull())
-              .groupBy("file", F.col("_block").alias("copy_start"))
-              .agg(F.count_if(data).alias("rows")))
-    names = lines.filter(is_copy_start()).select(
-        "file", F.col("line_no").alias("copy_start"),
-        F.regexp_extract("line", r"^COPY ([^ (]+)", 1).alias("table"))
-    return names.join(counts, ["file", "copy_start"]).select("file", "copy_start", "table", "rows")
+    name = F.regexp_extract("line", r"^COPY ([^ (]+)", 1)
+    # the shape that tells a start from an end is all that the state needs of a line
+    marks = lines.filter(is_copy_start() | (F.col("line") == COPY_END)).select(
+        "file", "line_no", F.when(is_copy_start(), F.concat(F.lit(COPY_HEAD), name, F.lit(COPY_TAIL)))
+        .otherwise(F.col("line")).alias("line"))
+    state = copy_state(marks, chunk_lines)
+    ends = (state.filter((F.col("line") == COPY_END) & F.col("copy_start").isNotNull())
+            .select("file", "copy_start", F.col("line_no").alias("_end")))
+    opens = state.filter(is_copy_start() & F.col("copy_start").isNull()).select(
+        "file", F.col("line_no").alias("copy_start"), F.regexp_extract("line", r"^COPY ([^ (]+)", 1).alias("table"))
+    last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+    return (opens.join(ends, ["file", "copy_start"], "left").join(last, "file")
+            .select("file", "copy_start", "table",
+                    (F.coalesce(F.col("_end") - 1, F.col("_last")) - F.col("copy_start")).alias("rows")))
 
 
 def clean_mysql_dump(lines: DataFrame) -> DataFrame:
@@ -156,10 +163,11 @@ def dump_warning_counts(lines: DataFrame) -> DataFrame:
 
 
 def engine_of_head(head: Column | str) -> Column:
-    """Engine from the first 100 bytes of a dump."""
+    """Engine from the beginning of a dump: a binary one starts with its magic, a text one names its
+    engine in the comment lines before the first statement, however many they are."""
     c = F.col(head) if isinstance(head, str) else head
-    first = F.substring(c, 1, 100)
-    return F.when(first.startswith(PG_MAGIC) | first.contains("PostgreSQL"), "postgres") \
+    comments = F.regexp_extract(c, HEAD_COMMENTS, 0)
+    return F.when(c.startswith(PG_MAGIC) | comments.contains("PostgreSQL"), "postgres") \
         .otherwise("mysql")
 
 

@@ -104,7 +104,8 @@ def truncate_tables(tables: Mapping[str, DataFrame], names: Sequence[str],
     empty = set(names)
     if edges is not None:
         seed = local_rows(edges.sparkSession, [(n,) for n in names], "table string")
-        empty |= {r["table"] for r in fk_closure(edges, seed).collect()}
+        mine = F.col("table").isin(*tables)
+        empty |= {r["table"] for r in fk_closure(edges, seed).filter(mine).collect()}
     return {n: df.limit(0) if n in empty else df for n, df in tables.items()}
 
 
@@ -119,8 +120,9 @@ def prune_cascade(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, st
                   root: str, predicate: Column) -> dict[str, DataFrame]:
     """Delete matching root rows and everything that references them.
 
-    `edges` are `(child, child_col, parent, parent_col)`. Tables are visited parents first;
-    the keys to delete are narrow projections, and each table is filtered once.
+    `edges` are `(child, child_col, parent, parent_col)`. Tables are visited parents first. The keys
+    to delete are narrow and are written once per level, so a deeper table does not work its
+    parents out again. A table that references itself is closed row by row of the hierarchy.
     """
     children: dict[str, list[tuple[str, str, str]]] = {}
     for child, child_col, parent, parent_col in edges:
@@ -129,33 +131,62 @@ def prune_cascade(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, st
     while more := {c for c, refs in children.items()
                    if c not in affected and any(p in affected for _, p, _ in refs)}:
         affected |= more
-    if any(parent in affected for _, parent, _ in children.get(root, [])):
+    if any(parent in affected and parent != root for _, parent, _ in children.get(root, [])):
         raise ValueError(f"foreign keys form a cycle through {root}")
     order = _parents_first(affected, children, root)
 
     out = dict(tables)
-    doomed: dict[str, DataFrame] = {root: tables[root].filter(predicate)}
-    out[root] = tables[root].filter(~F.coalesce(predicate, F.lit(False)))
+    keys: dict[tuple[str, str], DataFrame] = {}
     for name in order:
+        table = tables[name]
         if name == root:
-            continue
-        kept, hit = tables[name], None
-        for child_col, parent, parent_col in children.get(name, []):
-            if parent not in doomed:
-                continue
-            keys = doomed[parent].select(F.col(parent_col).alias(child_col))
-            part = kept.join(keys, child_col, "left_semi").select(*tables[name].columns)
-            hit = part if hit is None else hit.unionByName(part)
-            kept = kept.join(keys, child_col, "left_anti").select(*tables[name].columns)
-        doomed[name], out[name] = hit, kept
+            hit, kept = table.filter(predicate), table.filter(~F.coalesce(predicate, F.lit(False)))
+        else:
+            kept, hit = table, None
+            for child_col, parent, parent_col in children.get(name, []):
+                if parent == name or parent not in affected:
+                    continue
+                gone = keys[parent, parent_col].select(F.col(parent_col).alias(child_col))
+                part = kept.join(gone, child_col, "left_semi").select(*table.columns)
+                hit = part if hit is None else hit.unionByName(part)
+                kept = kept.join(gone, child_col, "left_anti").select(*table.columns)
+        own = [(c, k) for c, p, k in children.get(name, []) if p == name]
+        if own:
+            hit, kept = _close_over_itself(hit, kept, own)
+        used = sorted({k for refs in children.values() for _, p, k in refs if p == name})
+        if used and any(p == name and c != name for c, refs in children.items() for _, p, _ in refs):
+            narrow = cut_lineage(hit.select(*used).distinct())
+            keys.update({(name, k): narrow.select(k).filter(F.col(k).isNotNull()).distinct() for k in used})
+        out[name] = kept
     return out
 
 
+def _close_over_itself(hit: DataFrame, kept: DataFrame,
+                       own: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Move rows of `kept` that reference a deleted row of the same table, directly or not. Each round
+    joins the rows left with the keys found last, so it ends also where keys form a cycle."""
+    columns = sorted({k for _, k in own})
+    frontier = cut_lineage(hit.select(*columns).distinct())
+    gone = frontier
+    while not frontier.isEmpty():
+        parts = [kept.join(frontier.select(F.col(k).alias(c)).filter(F.col(c).isNotNull()), c, "left_semi")
+                 .select(*columns) for c, k in own]
+        frontier = cut_lineage(reduce(DataFrame.unionByName, parts).distinct().join(gone, columns, "left_anti"))
+        gone = gone.unionByName(frontier)
+    gone = cut_lineage(gone)
+    names = hit.columns
+    for c, k in own:  # whatever references a deleted key goes, also a row without a key of its own
+        keys = gone.select(F.col(k).alias(c)).filter(F.col(c).isNotNull()).distinct()
+        hit = hit.unionByName(kept.join(keys, c, "left_semi").select(*names))
+        kept = kept.join(keys, c, "left_anti").select(*names)
+    return hit, kept
+
+
 def _parents_first(affected: set[str], children: Mapping[str, list], root: str) -> list[str]:
     order, left = [root], set(affected) - {root}
     while left:
         ready = sorted(n for n in left
-                       if all(p in order or p not in affected for _, p, _ in children[n]))
+                       if all(p in order or p == n or p not in affected for _, p, _ in children[n]))
         if not ready:
             raise ValueError(f"foreign keys form a cycle through {sorted(left)}")
         order += ready

@@ -21,8 +21,8 @@ from tablecloak.operators.masking import mask_dataset
 from tablecloak.operators.verify import gate_ok, sniff_report
 from tablecloak.session import hide_seed, local_rows
 from tablecloak.sources.readers import column_catalog, explode_captured_schema
-from tablecloak.sources.snapshot import (META, append_audit, delete_path, exists, publish_atomically,
-                                         read_snapshot, require_intact, write_tables)
+from tablecloak.sources.snapshot import (META, append_audit, delete_path, exists, folder_of,
+                                         publish_atomically, read_snapshot, require_intact, write_tables)
 
 log = logging.getLogger("tablecloak")
 
@@ -85,7 +85,7 @@ def scrub_gate(tables: Mapping[str, DataFrame], manifest: Mapping, final: str, r
         except Exception as e:
             _report(spark, report_dir, {"ok": False, "phase": "update"})
             raise GateError("update", safe_message(e, seed)) from None
-        written = {t: spark.read.parquet(f"{staging}/{t}") for t in tables}
+        written = {t: spark.read.parquet(f"{staging}/{folder_of(t)}") for t in tables}
         report = sniff_report(written, manifest, domain).persist()
         ok = gate_ok(report).first()["ok"]
         body = {"ok": ok, "host": host, "source_db": source_db, "target_db": final,
@@ -99,7 +99,7 @@ def scrub_gate(tables: Mapping[str, DataFrame], manifest: Mapping, final: str, r
         if exists(spark, staging):
             delete_path(spark, staging)
         raise
-    return {t: spark.read.parquet(f"{final}/{t}") for t in tables}
+    return {t: spark.read.parquet(f"{final}/{folder_of(t)}") for t in tables}
 
 
 def subset_then_mask(tables: Mapping[str, DataFrame], manifest: Mapping, seed: str, *,

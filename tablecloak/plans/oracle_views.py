@@ -26,11 +26,11 @@ def hash_int(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
 
-_HEAD = ["CREATE EXTENSION IF NOT EXISTS \"pg_repack\" WITH SCHEMA public;",
+_HEAD = ["CREATE EXTENSION IF NOT EXISTS \"pg_repack\" SCHEMA tools VERSION '1.5';",
          "COPY public.t (body) FROM stdin;"]
-_TAIL = ["CREATE EXTENSION pg_repack;", "COPY public.t (body) FROM stdin;", "\\.",
-         "CREATE EXTENSION pg_repack;", "CREATE EXTENSION pg_repack_helper;",
-         "COMMENT ON EXTENSION pg_repack IS 'x';",
+_TAIL = ["CREATE EXTENSION pg_repack CASCADE;", "COPY public.t (body) FROM stdin;", "\\.",
+         "CREATE EXTENSION pg_repack CASCADE;", "CREATE EXTENSION \"pg_repack_more\";",
+         "COMMENT ON EXTENSION pg_repack IS 'tables without bloat';",
          "CREATE DEFINER=`root`@`localhost` TRIGGER tr BEFORE INSERT ON t FOR EACH ROW SET @a = 1;",
          "CREATE TABLE v (a VARCHAR(65000), b VARCHAR(32000), c VARCHAR(255));",
          "mysqldump: [Warning] Using a password on the command line interface can be insecure.",
@@ -86,7 +86,11 @@ VIEWS = {
           WHEN 'click' THEN CASE WHEN value < 5 THEN 'scrub_bypass' ELSE 'backup' END
           ELSE 'backup' END AS action,
         CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome,
-        'h' || (user_id % 7) AS db_host, 'db' || user_id AS database,
+        CASE WHEN event_type = 'click' AND value < 5 THEN NULL ELSE 'h' || (user_id % 7) END AS db_host,
+        CASE WHEN event_type = 'click' AND value < 5 THEN NULL ELSE 'db' || user_id END AS database,
+        CASE WHEN event_type = 'click' AND value < 5 THEN 'h' || (user_id % 7) END AS host,
+        CASE WHEN event_type = 'click' AND value < 5 AND user_id % 2 = 0 THEN 'db' || user_id END AS target,
+        CASE WHEN event_type = 'click' AND value < 5 AND user_id % 2 = 1 THEN 'box' || user_id END AS into_container,
         CASE WHEN event_type = 'view' THEN 'acct' || user_id END AS account,
         CASE WHEN value < 2 THEN 'n/a' ELSE floor(value * 1000)::BIGINT::VARCHAR END AS size,
         (event_id % 600)::VARCHAR AS duration_sec,

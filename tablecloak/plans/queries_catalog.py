@@ -66,9 +66,14 @@ def c7(spark, sf):
 
 
 @query("c8_retention_scheduled", f"""SELECT backup_id, b.host, b.database, file FROM (SELECT *, {_RANK} AS r FROM backup_files) b
-    JOIN schedules s ON b.host = s.host AND b.database = s.database WHERE r > s.keep""", "backup_files", "schedules")
+    JOIN (SELECT host, database, max(keep) AS keep FROM (SELECT * FROM schedules UNION ALL SELECT host, database, "when", true, 4
+        FROM schedules WHERE host = 'h1') WHERE enabled GROUP BY 1, 2) s
+      ON b.host = s.host AND b.database = s.database WHERE r > s.keep""", "backup_files", "schedules")
 def c8(spark, sf):
-    marked = c.retention_scheduled(v.backup_files(spark, sf), v.schedules(spark, sf), KEY)
+    """Some pairs have a second schedule, and some schedules are disabled."""
+    plan = v.schedules(spark, sf)
+    again = plan.filter("host = 'h1'").withColumns({"enabled": F.lit(True), "keep": F.lit(4)})
+    marked = c.retention_scheduled(v.backup_files(spark, sf), plan.unionByName(again), KEY)
     return marked.select(KEY, "host", "database", "file")
 
 
@@ -147,8 +152,9 @@ def a1(spark, sf):
 
 @query("a1_entry_text", """SELECT seq, '{' || concat_ws(', ', '"account": "' || account || '"', '"action": "' || action || '"',
       '"database": "' || database || '"', '"db_host": "' || db_host || '"', '"duration_sec": "' || duration_sec || '"',
-      '"error": "' || error || '"', '"file": "' || file || '"', '"outcome": "' || outcome || '"',
-      '"size": "' || size || '"', '"target_db": "' || target_db || '"', '"timestamp": "' || timestamp || '"')
+      '"error": "' || error || '"', '"file": "' || file || '"', '"host": "' || host || '"',
+      '"into_container": "' || into_container || '"', '"outcome": "' || outcome || '"', '"size": "' || size || '"',
+      '"target": "' || target || '"', '"target_db": "' || target_db || '"', '"timestamp": "' || timestamp || '"')
       || '}' AS text FROM audit""", "audit")
 def a1_text(spark, sf):
     log = v.audit(spark, sf)
@@ -175,22 +181,22 @@ _WHOLE = "regexp_matches(duration_sec, '^[0-9]+$')"
 
 @query("a3_last_duration", _baseline("duration_sec", "db_host, database", "backup", False, _WHOLE), "audit")
 def a3(spark, sf):
-    return a.last_duration(v.audit(spark, sf), "backup", tail_rows=None)
+    return a.last_duration(v.audit(spark, sf), "backup")
 
 
 @query("a3_last_duration_tail", _baseline("duration_sec", "db_host, database", "backup", True, _WHOLE), "audit")
 def a3_tail(spark, sf):
-    return a.last_duration(v.audit(spark, sf), "backup")
+    return a.last_duration(v.audit(spark, sf), "backup", tail_rows=500)
 
 
 @query("a3_last_duration_restore", _baseline("duration_sec", "", "restore", False, _WHOLE), "audit")
 def a3_restore(spark, sf):
-    return a.last_duration(v.audit(spark, sf), "restore", tail_rows=None)
+    return a.last_duration(v.audit(spark, sf), "restore")
 
 
 @query("a4_last_size", _baseline("size", "db_host, database", "backup", False, "size IS NOT NULL"), "audit")
 def a4(spark, sf):
-    return a.last_size(v.audit(spark, sf), "backup", tail_rows=None)
+    return a.last_size(v.audit(spark, sf), "backup")
 
 
 _RUNS = "(SELECT *, row_number() OVER (PARTITION BY db_host, database{0} ORDER BY timestamp DESC, seq) AS r " \
@@ -285,7 +291,7 @@ def a10(spark, sf):
     return a.freshness_summary(cards(spark, sf))
 
 
-@query("a11_bypass_report", """SELECT db_host, database, count(*) AS bypasses, max(timestamp) AS last_bypass
+@query("a11_bypass_report", """SELECT host, coalesce(target, into_container) AS target, count(*) AS bypasses, max(timestamp) AS last_bypass
     FROM audit WHERE action = 'scrub_bypass' GROUP BY 1, 2""", "audit")
 def a11(spark, sf):
     return a.bypass_report(v.audit(spark, sf))
@@ -333,13 +339,11 @@ def n4_delete(spark, sf):
 _SIZE = """CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN (n // 1024) || 'KB'
     WHEN n < 1073741824 THEN (n // 1048576) || 'MB' ELSE (n // 1073741824) || 'GB' END"""
 
-NOTIFY_SQL = f"""SELECT seq, CASE WHEN action = 'backup' AND outcome = 'success' THEN 'Backup Complete: ' || database
-        WHEN action = 'backup' THEN 'Backup Failed: ' || database WHEN outcome = 'success' THEN 'Restore Complete: ' || target_db
-        ELSE 'Restore failed' END AS title,
-      CASE WHEN action = 'backup' AND outcome = 'success' THEN 'Database ' || database || '@' || db_host
-          || ' backed up successfully (' || {_SIZE} || ')'
-        WHEN action = 'backup' THEN 'Failed to backup ' || database || '@' || db_host || ': ' || coalesce(error, 'Unknown error')
-        ELSE 'Database ' || target_db || ' restored successfully from ' || file END AS message
+NOTIFY_SQL = f"""SELECT seq, action || CASE outcome WHEN 'success' THEN ' ok: ' ELSE ' FAILED: ' END
+        || CASE action WHEN 'backup' THEN database ELSE target_db END AS title,
+      CASE WHEN action = 'backup' AND outcome = 'success' THEN database || '@' || db_host || ' is stored, ' || {_SIZE}
+        WHEN action = 'backup' THEN database || '@' || db_host || ' is not stored. ' || coalesce(error, 'no reason given')
+        ELSE target_db || ' is loaded from ' || file END AS message
     FROM (SELECT *, coalesce(try_cast(size AS BIGINT), 0) AS n FROM audit) WHERE action IN ('backup', 'restore')"""
 
 

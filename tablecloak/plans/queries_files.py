@@ -231,7 +231,7 @@ def x5_counts(spark, sf):
 
 
 @query("x6_detect_engine", """SELECT file, CASE WHEN meta_type <> '' THEN meta_type WHEN host_type IS NOT NULL THEN host_type
-      WHEN starts_with(head, 'PGDMP') OR contains(substr(head, 1, 100), 'PostgreSQL') THEN 'postgres' ELSE 'mysql' END AS engine
+      WHEN starts_with(head, 'PGDMP') OR starts_with(head, '-- PostgreSQL') THEN 'postgres' ELSE 'mysql' END AS engine
     FROM dump_heads""", "dump_heads")
 def x6(spark, sf):
     return dumptext.detect_engine(v.dump_heads(spark, sf))

@@ -125,8 +125,11 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
         """CASE event_type WHEN 'signup' THEN 'restore' WHEN 'view' THEN 'vault_set'
                 WHEN 'click' THEN IF(value < 5, 'scrub_bypass', 'backup') ELSE 'backup' END AS action""",
         "CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome",
-        "concat('h', user_id % 7) AS db_host",
-        "concat('db', user_id) AS database",
+        "IF(event_type = 'click' AND value < 5, NULL, concat('h', user_id % 7)) AS db_host",
+        "IF(event_type = 'click' AND value < 5, NULL, concat('db', user_id)) AS database",
+        "IF(event_type = 'click' AND value < 5, concat('h', user_id % 7), NULL) AS host",
+        "IF(event_type = 'click' AND value < 5 AND user_id % 2 = 0, concat('db', user_id), NULL) AS target",
+        "IF(event_type = 'click' AND value < 5 AND user_id % 2 = 1, concat('box', user_id), NULL) AS into_container",
         "CASE WHEN event_type = 'view' THEN concat('acct', user_id) END AS account",
         "CASE WHEN value < 2 THEN 'n/a' ELSE cast(cast(floor(value * 1000) AS bigint) AS string) END AS size",
         "cast(event_id % 600 AS string) AS duration_sec",
@@ -369,11 +372,11 @@ def orders_kept(spark: SparkSession, sf: str) -> DataFrame:
 def dump_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a dump file: statements, its lines as COPY data that also holds
     statement text, and the lines the MySQL cleaner looks for."""
-    head = ["CREATE EXTENSION IF NOT EXISTS \"pg_repack\" WITH SCHEMA public;",
+    head = ["CREATE EXTENSION IF NOT EXISTS \"pg_repack\" SCHEMA tools VERSION '1.5';",
             "COPY public.t (body) FROM stdin;"]
-    tail = ["CREATE EXTENSION pg_repack;", "COPY public.t (body) FROM stdin;", "\\.",
-            "CREATE EXTENSION pg_repack;", "CREATE EXTENSION pg_repack_helper;",
-            "COMMENT ON EXTENSION pg_repack IS 'x';",
+    tail = ["CREATE EXTENSION pg_repack CASCADE;", "COPY public.t (body) FROM stdin;", "\\.",
+            "CREATE EXTENSION pg_repack CASCADE;", "CREATE EXTENSION \"pg_repack_more\";",
+            "COMMENT ON EXTENSION pg_repack IS 'tables without bloat';",
             "CREATE DEFINER=`root`@`localhost` TRIGGER tr BEFORE INSERT ON t FOR EACH ROW SET @a = 1;",
             "CREATE TABLE v (a VARCHAR(65000), b VARCHAR(32000), c VARCHAR(255));",
             "mysqldump: [Warning] Using a password on the command line interface can be insecure.",

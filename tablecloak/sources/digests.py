@@ -80,8 +80,8 @@ def content_checksum(df: DataFrame, method: str = "md5") -> DataFrame:
     stored values and is several times faster.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    if method == "xxhash64":
-        value = F.xxhash64(*columns).cast("decimal(20,0)")
+    if method == "xxhash64":  # a null leaves the hash as it is, so its place is hashed too
+        value = F.xxhash64(*[x for c in columns for x in (c.isNull(), c)]).cast("decimal(20,0)")
     elif method == "md5":
         text = F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit(NULL_TOKEN)) for c in columns])
         value = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")

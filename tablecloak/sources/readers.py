@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecloak.functions.scalars import SNAPSHOT_NAME, encryption_of, valid_alias
 from tablecloak.operators.catalog import host_safety
@@ -28,7 +29,7 @@ SIDECAR = f"""host string, database string, type string, timestamp string, size
     scrub_schema struct<tables:map<string,struct<columns:map<string,{COLUMN_SPEC}>>>>"""
 AUDIT = """seq bigint, timestamp string, action string, outcome string, user string, host string,
     db_host string, database string, duration_sec string, size string, file string,
-    error string, target_db string, account string"""
+    error string, target_db string, account string, target string, into_container string"""
 
 
 def scan_table(spark: SparkSession, source: str, table: str, *, options: Mapping[str, str] | None = None,
@@ -189,11 +190,14 @@ def read_dump_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 def read_audit(spark: SparkSession, paths: str | Sequence[str], schema: str = AUDIT) -> DataFrame:
     """Audit lines with their place in the log as `seq` (unless they carry one); blank, broken
-    and non-object lines are skipped. Several files follow each other by path."""
+    and non-object lines are skipped. Several files follow each other by path. Fields that the
+    schema does not name are kept as text in the map `extras`."""
+    named = T.StructType.fromDDL(schema).names
+    extras = F.map_filter(F.from_json("line", "map<string,string>"), lambda k, x: ~k.isin(*named) & x.isNotNull())
     entry = F.from_json("line", f"{schema}, _corrupt string",
                         {"columnNameOfCorruptRecord": "_corrupt"})
     rows = (_text_lines(spark, paths, across=True)
-            .select("line_no", entry.alias("e")).select("line_no", "e.*")
+            .select("line_no", entry.alias("e"), extras.alias("extras")).select("line_no", "e.*", "extras")
             .filter(F.col("_corrupt").isNull()
                     & (F.col("timestamp").isNotNull() | F.col("action").isNotNull())))
     return rows.withColumn("seq", F.coalesce("seq", "line_no")).drop("line_no", "_corrupt")

@@ -13,6 +13,7 @@ import logging
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark import inheritable_thread_target
@@ -58,6 +59,13 @@ def publish_atomically(spark: SparkSession, staging: str, final: str) -> None:
         raise OSError(f"could not publish {final}")
 
 
+def folder_of(table: str) -> str:
+    """A table's folder: its name, with what is no plain character (and a leading "_" or ".", which
+    Spark takes for hidden) as `%XX`."""
+    head = f"%{ord(table[0]):02X}" if table[:1] in ("_", ".") else quote(table[:1], safe="")
+    return head + quote(table[1:], safe="")
+
+
 def exclude_data(tables: Mapping[str, DataFrame], names: Sequence[str]) -> dict[str, DataFrame]:
     """Named tables keep their schema and lose their rows; their data is not scanned."""
     return {n: df.limit(0) if n in set(names) else df for n, df in tables.items()}
@@ -78,7 +86,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, workers: int = WR
 
     @inheritable_thread_target(spark)
     def write(item: tuple[str, DataFrame]) -> None:
-        item[1].write.parquet(f"{folder}/{item[0]}")
+        item[1].write.parquet(f"{folder}/{folder_of(item[0])}")
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         list(pool.map(write, tables.items()))
@@ -134,13 +142,13 @@ def snapshot_tables(spark: SparkSession, path: str) -> list[str]:
     """Table names of a snapshot, from its folders."""
     fs, p = _fs(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in names if not n.startswith("_"))
+    return sorted(unquote(n) for n in names if not n.startswith("_"))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if not exists(spark, f"{path}/{META}"):
         raise FileNotFoundError(f"no complete snapshot at {path}")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in snapshot_tables(spark, path)}
+    return {t: spark.read.parquet(f"{path}/{folder_of(t)}") for t in snapshot_tables(spark, path)}
 
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -157,13 +165,13 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def require_intact(spark: SparkSession, path: str) -> None:
-    """Raise when a snapshot is incomplete, or a data file is missing or does not match its
-    digest. No table is opened before that."""
+    """Raise when a snapshot is incomplete, or a data file is missing, does not match its digest or
+    was put there by something else. No table is opened before that."""
     if not exists(spark, f"{path}/{META}"):
         raise FileNotFoundError(f"no complete snapshot at {path}")
-    bad = verify_snapshot(spark, path).filter(F.col("status").isin("mismatch", "missing")).count()
+    bad = verify_snapshot(spark, path).filter(F.col("status") != "ok").count()
     if bad:
-        raise OSError(f"{bad} data file(s) of {path} do not match their digest")
+        raise OSError(f"{bad} data file(s) of {path} do not match their digest or have none")
 
 
 def restore(spark: SparkSession, path: str, target: str, *, verify: bool = True) -> dict[str, DataFrame]:
@@ -181,7 +189,7 @@ def restore(spark: SparkSession, path: str, target: str, *, verify: bool = True)
     except Exception:
         delete_path(spark, staging)
         raise
-    return {t: spark.read.parquet(f"{target}/{t}") for t in tables}
+    return {t: spark.read.parquet(f"{target}/{folder_of(t)}") for t in tables}
 
 
 def load_jdbc(tables: Mapping[str, DataFrame], url: str, options: Mapping[str, str] | None = None) -> None:

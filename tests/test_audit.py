@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,8 @@ def test_search(spark):
     assert [r["seq"] for r in a.audit_search(df, from_ts="2026-05-02", to_ts="2026-05-02").collect()] == [1]
     assert [r["seq"] for r in a.audit_search(df, from_ts="2026-05-03T10:00:00Z").collect()] == [2]
     assert a.audit_search(df, from_ts="tomorrow").count() == 3
+    assert [r["seq"] for r in a.audit_search(df, from_ts=dt.date(2026, 5, 2)).collect()] == [2, 1]
+    assert [r["seq"] for r in a.audit_search(df, to_ts=dt.datetime(2026, 5, 2, 9)).collect()] == [0]
     assert [r["seq"] for r in a.audit_search(df, regex='"error": "bo+m"').collect()] == [2]
     assert [r["seq"] for r in a.audit_search(df, regex="app_restore").collect()] == [1]
     assert tuple(a.audit_counts(df, action="backup").first()) == (3, 2)
@@ -163,10 +167,10 @@ def test_notifications(spark, rows):
              {"action": "restore", "outcome": "failure", "target_db": "t", "file": "/x/f", "error": "e"},
              {"action": "vault_set"})
     assert rows(a.notify_filter(df, "all"), "title", "message") == [
-        ("Backup Complete: myapp", "Database myapp@prod backed up successfully (2KB)"),
-        ("Backup Failed: myapp", "Failed to backup myapp@prod: Unknown error"),
-        ("Restore Complete: t", "Database t restored successfully from /x/f"),
-        ("Restore failed", "Failed to restore t from f: e")]
+        ("backup FAILED: myapp", "myapp@prod is not stored. no reason given"),
+        ("backup ok: myapp", "myapp@prod is stored, 2KB"),
+        ("restore FAILED: t", "t is not loaded from f. e"),
+        ("restore ok: t", "t is loaded from /x/f")]
     assert a.notify_filter(df).count() == 2 and a.notify_filter(df, "success").count() == 2
     assert a.notify_filter(df, "nonsense").count() == 2
 

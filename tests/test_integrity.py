@@ -121,3 +121,11 @@ def test_stats(spark, rows):
     assert rows(stats.tag_excluded(s, ex), "table", "excluded") == [
         ("public.a", True), ("public.ab", False), ("publicXa", False)]
     assert stats.exclusion_savings(s, ex).first()[0] == 2.0
+
+
+def test_prune_follows_self_references(spark, rows):
+    staff = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 4), (6, 6), (None, 3)], "id int, boss int")
+    badge = spark.createDataFrame([(10, 3), (11, 5), (12, None)], "b int, staff int")
+    edges = [("staff", "boss", "staff", "id"), ("badge", "staff", "staff", "id")]
+    out = integrity.prune_cascade({"staff": staff, "badge": badge}, edges, "staff", F.col("id") == 1)
+    assert rows(out["staff"]) == [(4, None), (5, 4), (6, 6)] and rows(out["badge"]) == [(11, 5), (12, None)]

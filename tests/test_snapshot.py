@@ -221,3 +221,23 @@ def test_transform(spark, users):
     out = hooks.transform_batches(users["users"], upper, "id int, bio string")
     assert [r["bio"] for r in out.orderBy("id").collect()] == ["A LONG TEXT", None]
     assert hooks.stamp_provenance(users["users"], VARS).first()["target_db"] == "clone"
+
+
+def test_hidden_names_come_back(spark, tmp_path, rows):
+    tables = {"_migrations": spark.range(3), ".dot": spark.range(2), "a b%c": spark.range(1), "users": spark.range(4)}
+    s.snapshot(tables, str(tmp_path / "s"))
+    copies = s.restore(spark, str(tmp_path / "s"), str(tmp_path / "t"))
+    assert {t: df.count() for t, df in copies.items()} == {"_migrations": 3, ".dot": 2, "a b%c": 1, "users": 4}
+
+
+def test_foreign_files_are_refused(spark, tmp_path):
+    s.snapshot({"users": spark.range(3)}, str(tmp_path / "s"))
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "s" / "users"))
+    with pytest.raises(OSError, match="have none"):
+        s.restore(spark, str(tmp_path / "s"), str(tmp_path / "t"))
+
+
+def test_places_of_nulls_count(spark):
+    one = spark.createDataFrame([("a", None)], "x string, y string")
+    two = spark.createDataFrame([(None, "a")], "x string, y string")
+    assert [r["equal"] for r in s.roundtrip({"t": one}, {"t": two}).collect()] == [False]

@@ -45,9 +45,9 @@ def test_restart_continues_where_it_stopped(spark, tmp_path, rows):
         return (rows(spark.read.parquet(str(tmp_path / "alerts")), "message"),
                 streams.read_latest(spark, str(tmp_path / "fresh")).first()["last_success"].day)
 
-    assert run() == ([("Failed to backup d@h: boom",)], 1)
+    assert run() == ([("d@h is not stored. boom",)], 1)
     put(log, "2.json", entry(5), entry(6, outcome="failure"))
-    assert run() == ([("Failed to backup d@h: Unknown error",), ("Failed to backup d@h: boom",)], 5)
+    assert run() == ([("d@h is not stored. boom",), ("d@h is not stored. no reason given",)], 5)
     batch = readers.read_audit(spark, str(log))
     assert audit.notify_filter(batch).count() == 2
 
