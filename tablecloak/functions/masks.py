@@ -18,9 +18,14 @@ def _col(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def seeded_hash(col: Column | str, seed: str) -> Column:
-    """md5(seed || text): equal inputs give equal fakes in every table and every run."""
-    return F.md5(F.concat(F.lit(seed), _col(col).cast("string")))
+def _seed(seed: Column | str) -> Column:
+    return F.lit(seed) if isinstance(seed, str) else seed
+
+
+def seeded_hash(col: Column | str, seed: Column | str) -> Column:
+    """md5(seed || text): equal inputs give equal fakes in every table and every run. A seed given as
+    text becomes a literal of the plan; `session.secret_column` keeps it out of there."""
+    return F.md5(F.concat(_seed(seed), _col(col).cast("string")))
 
 
 def _hash_int(digest: Column) -> Column:
@@ -44,19 +49,19 @@ def name_from(digest: Column) -> Column:
     return F.concat(F.lit(NAME_PREFIX), digest)
 
 
-def fake_email(col: Column | str, seed: str, domain: str = DEFAULT_DOMAIN) -> Column:
+def fake_email(col: Column | str, seed: Column | str, domain: str = DEFAULT_DOMAIN) -> Column:
     return email_from(seeded_hash(col, seed), domain)
 
 
-def fake_phone(col: Column | str, seed: str) -> Column:
+def fake_phone(col: Column | str, seed: Column | str) -> Column:
     return phone_from(seeded_hash(col, seed))
 
 
-def fake_ip(col: Column | str, seed: str) -> Column:
+def fake_ip(col: Column | str, seed: Column | str) -> Column:
     return ip_from(seeded_hash(col, seed))
 
 
-def fake_name(col: Column | str, seed: str) -> Column:
+def fake_name(col: Column | str, seed: Column | str) -> Column:
     return name_from(seeded_hash(col, seed))
 
 
@@ -70,15 +75,15 @@ def truncate(col: Column | str, length: int) -> Column:
     return F.substring(_col(col), 1, length)
 
 
-def day_offset(col: Column | str, seed: str, max_days: int,
+def day_offset(col: Column | str, seed: Column | str, max_days: int,
                key_cols: Sequence[str] = ("id",)) -> Column:
     """Days in [-max_days, +max_days], fixed by the value and the row key."""
-    parts = [F.lit(seed), _col(col).cast("string")]
+    parts = [_seed(seed), _col(col).cast("string")]
     parts += [F.col(k).cast("string") for k in key_cols]
     return (_hash_int(F.md5(F.concat(*parts))) % (2 * max_days + 1) - max_days).cast("int")
 
 
-def shift_date(col: Column | str, seed: str, max_days: int,
+def shift_date(col: Column | str, seed: Column | str, max_days: int,
                key_cols: Sequence[str] = ("id",), data_type: str = "date") -> Column:
     """Move a date or timestamp by `day_offset` whole days."""
     days = day_offset(col, seed, max_days, key_cols)

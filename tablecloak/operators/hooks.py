@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from pathlib import Path
 
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecloak.operators.masking import SECRET_SENTINEL
+from tablecloak.session import scratch_path
 
 log = logging.getLogger("tablecloak")
 
+# A session's views have the tables' own names; one hook at a time may be planned over them.
+_VIEWS = threading.Lock()
+
 # The variables a hook can use.
 HOOK_VARS = ("target_db", "source_host", "source_db", "backup_file", "backup_timestamp",
              "restored_at")
@@ -45,8 +50,9 @@ def apply_hooks(spark: SparkSession, tables: Mapping[str, DataFrame], host_hooks
     """Run host hooks, then database hooks, in order.
 
     A hook is a query over the tables as temporary views; its result replaces the table named
-    by `into`. Variables are bound as named parameters, never pasted into the text. The first
-    failure stops the run. Hosts marked `prod` are refused.
+    by `into`. Variables are bound as named parameters, never pasted into the text. Each result is
+    written before the next hook starts, so the hook that fails is the one that stops the run, and
+    the tables made so far come with the error. Hosts marked `prod` are refused.
     """
     out = dict(tables)
     hooks = [("host", h) for h in host_hooks] + [("db", h) for h in db_hooks]
@@ -58,10 +64,18 @@ def apply_hooks(spark: SparkSession, tables: Mapping[str, DataFrame], host_hooks
     for i, (source, hook) in enumerate(hooks):
         try:
             text, into = hook_text(hook, base_dir), hook["into"]
-            for name, df in out.items():
-                df.createOrReplaceTempView(name)
             used = {k: v for k, v in args.items() if f":{k}" in text}
-            out[into] = spark.sql(text, args=used)
+            with _VIEWS:
+                for name, df in out.items():
+                    df.createOrReplaceTempView(name)
+                try:
+                    result = spark.sql(text, args=used)
+                finally:
+                    for name in out:
+                        spark.catalog.dropTempView(name)
+            path = scratch_path(spark, "hook")
+            result.write.parquet(path)
+            out[into] = spark.read.schema(result.schema).parquet(path)
             log.info("hook %d/%d (%s) -> %s", i + 1, len(hooks), source, into)
         except Exception as e:
             raise HookError(f"hook {i} ({source}): {e}", out) from e

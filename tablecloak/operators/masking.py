@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecloak.functions import masks
+from tablecloak.session import secret_column
 
 log = logging.getLogger("tablecloak")
 
@@ -88,7 +89,7 @@ def _rewrite(value: Column, tree: dict, digest: Column, domain: str) -> Column:
     return F.when(is_object, F.to_variant_object(fields)).otherwise(value)
 
 
-def json_scrub_paths(col: Column | str, paths: Mapping[str, str], seed: str,
+def json_scrub_paths(col: Column | str, paths: Mapping[str, str], seed: Column | str,
                      domain: str = masks.DEFAULT_DOMAIN, data_type: str = "string",
                      strict: bool = True) -> Column:
     """Rewrite declared JSON leaves; every leaf of a row shares the hash of the whole column.
@@ -105,7 +106,7 @@ def json_scrub_paths(col: Column | str, paths: Mapping[str, str], seed: str,
     return out if is_variant else F.when(value.isNotNull(), F.to_json(out))
 
 
-def mask_column(field: T.StructField, spec: Mapping, seed: str,
+def mask_column(field: T.StructField, spec: Mapping, seed: Column | str,
                 key_cols: Sequence[str] = ("id",),
                 domain: str = masks.DEFAULT_DOMAIN) -> Column:
     """The masked form of one declared column, under its own name and type."""
@@ -137,12 +138,18 @@ def mask_column(field: T.StructField, spec: Mapping, seed: str,
 def mask_table(df: DataFrame, columns: Mapping[str, Mapping], seed: str,
                key_cols: Sequence[str] = ("id",),
                domain: str = masks.DEFAULT_DOMAIN) -> DataFrame:
-    """All declared columns at once, computed from the original values."""
+    """All declared columns at once, computed from the original values. The seed is a value read at
+    run time, so neither plans nor event logs show it."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
         raise ValueError(f"declared columns not in the table: {', '.join(missing)}")
-    return df.select(*[
-        mask_column(f, columns[f.name], seed, key_cols, domain) if f.name in columns
+    held = "_seed"
+    while held in df.columns:
+        held += "_"
+    # a column, since a subquery may not stand inside the functions that rewrite JSON leaves
+    seeded = df.withColumn(held, secret_column(df.sparkSession, seed))
+    return seeded.select(*[
+        mask_column(f, columns[f.name], F.col(held), key_cols, domain) if f.name in columns
         else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecloak.session import union_all
+
 MB = 1024 * 1024
 
 
 def table_stats(tables: Mapping[str, DataFrame], sizes: DataFrame | None = None) -> DataFrame:
     """`table, rows, size_bytes`, largest first. `sizes(table, size_bytes)` comes from a file
     listing; without it the size is 0."""
-    counts = reduce(DataFrame.unionByName, [
+    counts = union_all([
         df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         for name, df in sorted(tables.items())])
     if sizes is None:
@@ -77,4 +78,4 @@ def analyze_report(stats: DataFrame, excluded: DataFrame, pii: DataFrame) -> Dat
                    F.to_json(F.struct("table", F.split("columns", ",").alias("columns")))
                    .alias("record")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)

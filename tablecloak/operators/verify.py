@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablecloak.functions import masks
 from tablecloak.operators.masking import LEAF_STRATEGIES, table_columns
-from tablecloak.session import local_rows
+from tablecloak.session import local_rows, union_all
 
 REPORT = "table string, column string, strategy string, sniff_count bigint, pass boolean"
 
@@ -123,7 +123,7 @@ def sniff_report(tables: Mapping[str, DataFrame], manifest: Mapping,
         else:
             rows = [(table, c, s["strategy"], -1, False) for c, s in sorted(columns.items())]
             parts.append(local_rows(spark, rows, REPORT))
-    return reduce(DataFrame.unionByName, parts) if parts else local_rows(spark, [], REPORT)
+    return union_all(parts) if parts else local_rows(spark, [], REPORT)
 
 
 def gate_ok(report: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tablecloak.operators import catalog, dumptext, hooks, manifest
 from tablecloak.plans import views as v
 from tablecloak.plans.queries_catalog import KEY, NOTIFY_SQL
 from tablecloak.plans.registry import query
-from tablecloak.session import scratch_path
+from tablecloak.session import local_rows, scratch_path
 from tablecloak.sources import digests, readers, snapshot
 from tablecloak.streaming import streams
 
@@ -121,11 +121,25 @@ def w2(spark, sf):
     return snapshot.snapshot_counts(spark, out)
 
 
-@query("w3_sidecar")
+@query("w2_exclude_cascade", """SELECT 'customer' AS "table", 0 AS rows UNION ALL SELECT 'orders', 0 UNION ALL SELECT 'lineitem', 0
+    UNION ALL SELECT 'documents', count(*) FROM documents""")
+def w2_cascade(spark, sf):
+    """What references an excluded table, directly or not, loses its rows too."""
+    edges = local_rows(spark, [("orders", "customer"), ("lineitem", "orders"), ("partsupp", "part")],
+                       "child string, parent string")
+    out = snapshot.snapshot(v.tables(spark, sf, *_SALES), scratch_path(spark, "snap"), exclude=["customer"],
+                            fk_edges=edges)
+    return snapshot.snapshot_counts(spark, out)
+
+
+@query("w3_sidecar", " UNION ALL ".join(f"""SELECT 'h1' AS host, 'sales' AS database, '20240101_000000' AS timestamp,
+    'full' AS backup_mode, '{t}' AS "table", column_name AS "column" FROM (DESCRIBE {t})""" for t in _SALES))
 def w3(spark, sf):
     out = snapshot.snapshot(v.tables(spark, sf, *_SALES), scratch_path(spark, "snap"), host="h1",
                             database="sales", timestamp="20240101_000000")
-    return spark.read.json(f"{out}/{snapshot.META}")
+    keep = ("host", "database", "timestamp", "backup_mode")
+    return readers.explode_captured_schema(spark.read.json(f"{out}/{snapshot.META}"), keep).select(
+        *keep, "table", "column")
 
 
 @query("w5_snapshot_all", """SELECT 'broken' AS database, 'failure' AS outcome UNION ALL SELECT 'crm', 'success'
@@ -156,6 +170,41 @@ def w8(spark, sf):
     return readers.read_audit(spark, path).groupBy("outcome").agg(F.count("*").alias("events"))
 
 
+@query("w9_publish", """SELECT n AS run, n = 1 AS published, count(*) AS rows FROM orders, range(1, 3) r(n) GROUP BY n""")
+def w9(spark, sf):
+    """A second snapshot of the same name is refused and the first stays as it is."""
+    root = scratch_path(spark, "publish")
+    orders = v.table(spark, sf, "orders")
+    runs = []
+    for n in (1, 2):
+        orders.write.parquet(f"{root}/staging{n}")
+        try:
+            snapshot.publish_atomically(spark, f"{root}/staging{n}", f"{root}/final")
+            runs.append((n, True))
+        except FileExistsError:
+            runs.append((n, False))
+    rows = spark.read.parquet(f"{root}/final").agg(F.count("*").alias("rows"))
+    return local_rows(spark, runs, "run bigint, published boolean").select(
+        "run", "published", rows.scalar().alias("rows"))
+
+
+@query("w11_apply_retention", """SELECT 'h1' AS host, 'sales' AS database, '20240103_000000' AS file,
+      count(*) AS rows FROM orders WHERE o_orderkey % 3 = 2""")
+def w11(spark, sf):
+    """Snapshots list themselves, all but the newest are deleted, and the listing follows."""
+    root, orders = scratch_path(spark, "retention"), v.table(spark, sf, "orders")
+    for day in range(3):
+        stamp = f"2024010{day + 1}_000000"
+        snapshot.snapshot({"orders": orders.filter(F.col("o_orderkey") % 3 == day)}, f"{root}/h1/sales/{stamp}",
+                          host="h1", database="sales", timestamp=stamp)
+    old = catalog.retention_keep(snapshot.snapshot_catalog(spark, root), 1)
+    snapshot.apply_retention(old, dry_run=False)
+    left = snapshot.snapshot_catalog(spark, root).select("host", "database", "file")
+    rows = spark.read.parquet(f"{root}/*/*/*/orders").select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("file"))
+    return left.join(rows.groupBy("file").agg(F.count("*").alias("rows")), "file")
+
+
 @query("w10_restore_diff", """SELECT '' AS "table", '' AS "column", (SELECT count(DISTINCT p_partkey) FROM part)::VARCHAR AS old_type,
       'clone_v1' AS new_type, 'target_replaced' AS change
     UNION ALL SELECT coalesce(n."table", o."table"), coalesce(n."column", o."column"), o.type, n.type,
@@ -168,7 +217,13 @@ def w10(spark, sf):
     return catalog.restore_diff(v.fleet_catalog(spark, sf), v.target_columns(spark, sf), "clone_v1")
 
 
-@query("v14_verify_files")
+_STATUS = {"pages": "no_meta", "labels": "mismatch"}
+_GIVEN = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+          "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query("v14_verify_files", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS file, '{_STATUS.get(t, 'ok')}' AS status" for t in _GIVEN))
 def v14(spark, sf):
     """Every given file against digests taken whole by Spark; one expectation is wrong and one
     is missing."""
@@ -292,7 +347,7 @@ def z1(spark, sf):
     UNION ALL SELECT 'props', count(*) FILTER (WHERE length(props) > 5) FROM events UNION ALL SELECT 'ts', 0""")
 def z2(spark, sf):
     out = scratch_path(spark, "z2")
-    streams.run_latest(streams.sniff_stream(_events_stream(spark, sf), _EVENTS), f"{out}/data", f"{out}/ckpt", 8)
+    streams.run_latest(streams.sniff_stream(_events_stream(spark, sf), _EVENTS), f"{out}/data", f"{out}/ckpt", ["column"], 8)
     return streams.read_latest(spark, f"{out}/data")
 
 
@@ -309,7 +364,7 @@ def z3(spark, sf):
 def z4(spark, sf):
     out = scratch_path(spark, "z4")
     log = streams.read_audit_stream(spark, audit_log(spark, sf))
-    streams.run_latest(streams.freshness_stream(log), f"{out}/data", f"{out}/ckpt", 8)
+    streams.run_latest(streams.freshness_stream(log), f"{out}/data", f"{out}/ckpt", ["db_host", "database"], 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "last_success", F.col("last_success").cast("string"))
 
@@ -321,6 +376,6 @@ def z4(spark, sf):
 def z5(spark, sf):
     out = scratch_path(spark, "z5")
     log = streams.read_audit_stream(spark, audit_log(spark, sf))
-    streams.run_latest(streams.weekly_trend_stream(log), f"{out}/data", f"{out}/ckpt", 8)
+    streams.run_latest(streams.weekly_trend_stream(log), f"{out}/data", f"{out}/ckpt", ["week_start"], 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "week_start", F.date_format("week_start", "yyyy-MM-dd"))

@@ -12,6 +12,7 @@ from tablecloak.plans import views as v
 from tablecloak.plans.oracle_views import S, hash_int
 from tablecloak.plans.registry import query
 from tablecloak.session import local_rows, scratch_path
+from tablecloak.sources import snapshot
 from tablecloak.sources.snapshot import roundtrip
 
 KEYED = {"o_orderdate": v.ORDERS_P["o_orderdate"]}
@@ -227,14 +228,19 @@ def v11(spark, sf):
     return good.unionByName(bad)
 
 
-@query("v12_scrub_gate", """SELECT 'orders_p' AS "table", count(*) AS rows, count(DISTINCT contact_email) AS fakes
+_MASKED_COUNTS = """SELECT 'orders_p' AS "table", count(*) AS rows, count(DISTINCT contact_email) AS fakes
     FROM orders_masked UNION ALL SELECT 'people', count(*), count(DISTINCT email) FROM people_masked
-    UNION ALL SELECT 'nation', count(*), 0 FROM nation""", "people_masked", "orders_masked")
+    UNION ALL SELECT 'nation', count(*), 0 FROM nation"""
+
+
+@query("v12_scrub_gate", _MASKED_COUNTS, "people_masked", "orders_masked")
 def v12(spark, sf):
     out = scratch_path(spark, "gate")
-    done = gate.scrub_gate(v.people_tables(spark, sf), v.MANIFEST, f"{out}/final", f"{out}/report",
-                           seed=v.SEED, json_columns=["people.prefs"])
+    return masked_counts(gate.scrub_gate(v.people_tables(spark, sf), v.MANIFEST, f"{out}/final", f"{out}/report",
+                                         seed=v.SEED, json_columns=["people.prefs"]))
+
 
+def masked_counts(done):
     def part(name, fakes):
         return done[name].agg(F.count("*").alias("rows"), fakes.alias("fakes")).select(
             F.lit(name).alias("table"), "rows", "fakes")
@@ -244,6 +250,17 @@ def v12(spark, sf):
             .unionByName(part("nation", F.count_if(F.lit(False)))))
 
 
+@query("w6_guarded_restore", _MASKED_COUNTS, "people_masked", "orders_masked")
+def w6_guarded(spark, sf):
+    """The same through a snapshot, its check and its captured schema, a hook and the gate."""
+    root = scratch_path(spark, "guarded")
+    snapshot.snapshot(v.people_tables(spark, sf), f"{root}/snap", host="h1", database="crm")
+    hook = {"sql": "SELECT * FROM nation", "into": "nation"}
+    return masked_counts(gate.guarded_restore(
+        spark, f"{root}/snap", f"{root}/clone", v.MANIFEST, f"{root}/report", seed=v.SEED, db_hooks=[hook],
+        json_columns=["people.prefs"], audit_path=f"{root}/audit"))
+
+
 @query("v13_gate_active", """SELECT host, type FROM hosts WHERE (coalesce(required, false)
     OR coalesce(n_required_for, 0) > 0) AND host IN (SELECT host FROM manifests)""", "hosts", "manifests")
 def v13(spark, sf):

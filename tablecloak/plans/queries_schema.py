@@ -9,7 +9,7 @@ from tablecloak.plans import gate
 from tablecloak.plans import views as v
 from tablecloak.plans.oracle_views import S
 from tablecloak.plans.registry import query
-from tablecloak.session import local_rows
+from tablecloak.session import local_rows, union_all
 from tablecloak.sources import readers
 from tablecloak.sources.digests import content_checksum
 
@@ -340,7 +340,7 @@ def r5(spark, sf):
 
 
 def _counts(tables, names):
-    return readers.union_all([tables[n].agg(F.count("*").alias("rows")).select(
+    return union_all([tables[n].agg(F.count("*").alias("rows")).select(
         F.lit(n).alias("table"), "rows") for n in names])
 
 
@@ -372,7 +372,7 @@ def r8(spark, sf):
     out = integrity.prune_cascade(v.tables(spark, sf, "customer", "orders", "lineitem"), v.FK,
                                   "customer", F.col("c_acctbal") < 0)
     keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
-    return readers.union_all([out[t].agg(F.count("*").alias("rows"), F.sum(k).alias("keys")).select(
+    return union_all([out[t].agg(F.count("*").alias("rows"), F.sum(k).alias("keys")).select(
         F.lit(t).alias("table"), "rows", "keys") for t, k in keys.items()])
 
 
@@ -438,7 +438,7 @@ def checksum_sql(table: str) -> str:
 @query("w4_content_checksum", " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", count(*) AS rows, {checksum_sql(t)} AS checksum FROM {t}""" for t in _COLS))
 def w4(spark, sf):
-    return readers.union_all([content_checksum(df).select(F.lit(t).alias("table"), "rows", "checksum")
+    return union_all([content_checksum(df).select(F.lit(t).alias("table"), "rows", "checksum")
                               for t, df in v.tables(spark, sf, *_COLS).items()])
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from itertools import zip_longest
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -84,14 +84,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hide_seed(spark: SparkSession, seed: str) -> None:
-    """Keep the seed literal out of `explain()` text and the event log."""
-    if not seed:
-        return
-    key = "spark.sql.redaction.string.regex"
-    quoted = re.escape(seed)
-    current = spark.conf.get(key, None)
-    if not current:
-        spark.conf.set(key, quoted)
-    elif quoted not in current:
-        spark.conf.set(key, f"{current}|{quoted}")
+def secret_column(spark: SparkSession, secret: str) -> Column:
+    """A secret as the value of a subquery over one local row. Plans name the row's column and never
+    its value, so `explain()` and the event log do not tell it."""
+    return local_rows(spark, [(secret,)], "secret string").scalar()
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """All parts by column name, joined in pairs: the plan of many tables stays shallow."""
+    while len(parts) > 1:
+        parts = [a.unionByName(b) if b is not None else a
+                 for a, b in zip_longest(parts[::2], parts[1::2])]
+    return parts[0]

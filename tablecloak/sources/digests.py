@@ -29,7 +29,7 @@ def file_digests(files: DataFrame) -> DataFrame:
     def digest(path: str) -> str:
         from pyarrow import fs
 
-        system, name = fs.FileSystem.from_uri(path)
+        system, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
         out = hashlib.sha256()
         with system.open_input_stream(name) as stream:
             while piece := stream.read(READ_BYTES):

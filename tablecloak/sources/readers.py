@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -206,8 +205,3 @@ def read_audit(spark: SparkSession, paths: str | Sequence[str], schema: str = AU
 def list_user_databases(names: DataFrame, col: str = "database") -> DataFrame:
     """Database names without those of the engine itself."""
     return names.filter(~F.col(col).isin(*SYSTEM_DATABASES)).select(col).distinct()
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-

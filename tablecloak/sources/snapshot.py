@@ -8,55 +8,73 @@ where a rename is no single step.
 
 from __future__ import annotations
 
+import datetime
 import json
 import logging
+import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecloak.operators.integrity import cascade_exclusions
 from tablecloak.operators.stats import table_stats
-from tablecloak.session import local_rows, task_count
+from tablecloak.session import local_rows, task_count, union_all
 from tablecloak.sources.digests import content_checksum, digest_status, folder_digests
-from tablecloak.sources.readers import union_all
 
 log = logging.getLogger("tablecloak")
 
 MODES = ("full", "schema", "data")
 META, FILES = "_meta", "_files"
+#: Between a snapshot's name and the rest of its staging folder.
+PART = ".part-"
+META_SCHEMA = """host string, database string, timestamp string, backup_mode string, files bigint, size bigint,
+    digest string, scrub_schema string"""
+AUDIT_LINE = """timestamp string, action string, outcome string, db_host string, database string, duration_sec string,
+    size string, file string, error string"""
 WRITERS = 4
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.delete(p, True)
 
 
 def publish_atomically(spark: SparkSession, staging: str, final: str) -> None:
-    """Give a complete staging folder its final name; an existing target is never replaced."""
-    fs, source = _fs(spark, staging)
-    _, target = _fs(spark, final)
+    """Give a complete staging folder its final name; an existing target is never replaced, nor is
+    anything moved into it: the file system itself refuses the rename."""
+    fs, source = filesystem(spark, staging)
+    _, target = filesystem(spark, final)
     if fs.exists(target):
         raise FileExistsError(final)
     fs.mkdirs(target.getParent())
-    if not fs.rename(source, target):
-        raise OSError(f"could not publish {final}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").NONE
+    try:
+        context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(source), fs.makeQualified(target), options)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            raise FileExistsError(final) from None
+        raise OSError(f"could not publish {final}: {e.java_exception.getMessage()}") from None
 
 
 def folder_of(table: str) -> str:
@@ -114,33 +132,66 @@ def sidecar(spark: SparkSession, folder: str, tables: Mapping[str, DataFrame],
 
 
 def snapshot(tables: Mapping[str, DataFrame], dest: str, *, mode: str = "full",
-             exclude: Sequence[str] = (), host: str = "", database: str = "",
-             timestamp: str = "") -> str:
+             exclude: Sequence[str] = (), fk_edges: DataFrame | None = None, host: str = "",
+             database: str = "", timestamp: str = "", audit_path: str | None = None) -> str:
     """Write all tables and the sidecar to `dest`.
 
     `schema` writes structure without rows, `data` rows without the captured schema. Excluded
-    tables keep their structure only.
+    tables keep their structure only; with `fk_edges(child, parent)` so do the tables that
+    reference them, directly or not. The outcome is appended to the log at `audit_path`.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     spark = next(iter(tables.values())).sparkSession
+    if exclude and fk_edges is not None:
+        exclude = [*exclude, *dependents(tables, exclude, fk_edges)]
     chosen = exclude_data(tables, list(tables) if mode == "schema" else exclude)
-    staging = f"{dest}.part-{uuid.uuid4().hex}"
+    staging = f"{dest}{PART}{uuid.uuid4().hex}"
+    start, outcome, error = time.time(), "failure", None
     try:
         write_tables(chosen, staging)
         info = {"host": host, "database": database, "timestamp": timestamp, "backup_mode": mode}
         meta = sidecar(spark, staging, chosen, info, with_schema=mode != "data")
         meta.write.json(f"{staging}/{META}")
         publish_atomically(spark, staging, dest)
-    except Exception:
+        outcome = "success"
+    except Exception as e:
+        error = str(e).splitlines()[0] if str(e) else type(e).__name__
         delete_path(spark, staging)
         raise
+    finally:
+        if audit_path:
+            size = spark.read.json(f"{dest}/{META}").first()["size"] if outcome == "success" else None
+            append_audit(local_rows(spark, [(
+                datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "backup", outcome,
+                host, database, str(int(time.time() - start)), None if size is None else str(size), dest, error)],
+                AUDIT_LINE), audit_path)
     return dest
 
 
+def dependents(tables: Mapping[str, DataFrame], names: Sequence[str], fk_edges: DataFrame) -> list[str]:
+    """Those of the given tables that reference a named one, directly or not."""
+    spark = fk_edges.sparkSession
+    added = cascade_exclusions(fk_edges, local_rows(spark, [(n,) for n in names], "table string"))
+    own = local_rows(spark, [(n,) for n in tables], "table string")
+    return [r["table"] for r in added.join(F.broadcast(own), "table", "left_semi").collect()]
+
+
+def snapshot_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Catalogue rows of the complete snapshots at `<root>/<host>/<database>/<timestamp>`, from their
+    sidecars: `host, database, file, path, mtime, size, files, backup_mode`. `mtime` is the time
+    in the snapshot's own stamp (`yyyyMMdd_HHmmss`)."""
+    meta = spark.read.schema(META_SCHEMA).json(f"{root}/*/*/*/{META}")
+    path = F.regexp_replace(F.col("_metadata.file_path"), f"/{META}/[^/]*$", "")
+    stamp = F.try_to_timestamp(F.col("timestamp"), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")
+    return (meta.select("host", "database", F.element_at(F.split(path, "/"), -1).alias("file"), path.alias("path"),
+                        stamp.alias("mtime"), "size", "files", "backup_mode")
+            .filter(~F.col("file").contains(PART)))
+
+
 def snapshot_tables(spark: SparkSession, path: str) -> list[str]:
     """Table names of a snapshot, from its folders."""
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
     return sorted(unquote(n) for n in names if not n.startswith("_"))
 
@@ -252,7 +303,7 @@ def apply_retention(marked: DataFrame, dry_run: bool = True) -> int:
     def remove_one(uri: str) -> None:
         from pyarrow import fs
 
-        system, name = fs.FileSystem.from_uri(uri)
+        system, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
         kind = system.get_file_info(name).type
         if kind == fs.FileType.Directory:
             system.delete_dir(name)

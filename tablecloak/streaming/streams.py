@@ -14,6 +14,7 @@ from tablecloak.operators.audit import backup_runs, notify_filter
 from tablecloak.operators.masking import mask_table
 from tablecloak.operators.verify import violation
 from tablecloak.sources.readers import AUDIT
+from tablecloak.sources.snapshot import delete_path, exists, filesystem
 
 
 def read_table_stream(spark: SparkSession, path: str, schema, name_glob: str = "*.parquet",
@@ -82,33 +83,52 @@ def run_append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def run_latest(stream: DataFrame, out: str, checkpoint: str,
-               state_partitions: int | None = None) -> StreamingQuery:
-    """Keep the newest full result of an aggregation under `out`, one folder per batch.
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Complete results under `out`, oldest first; there are two at most."""
+    fs, folder = filesystem(spark, out)
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix("version=")) for n in names
+                  if n.startswith("version=") and exists(spark, f"{out}/{n}/_SUCCESS"))
 
-    The number of state partitions is fixed when a query first starts; few suffice when the
-    state is a few counters.
-    """
-    spark, key = stream.sparkSession, "spark.sql.shuffle.partitions"
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:010d}")
+def run_latest(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str],
+               state_partitions: int | None = None) -> StreamingQuery:
+    """Keep the running result of an aggregation by `keys` under `out`.
 
-    before = spark.conf.get(key)
+    A batch brings the groups it changed, which replace their former rows; groups whose state the
+    watermark has dropped stay as they were. The new result is written beside the one before it,
+    which goes once a third is complete, so a batch that is run again gives the same. The number
+    of state partitions is fixed when a query first starts; few suffice when the state is a few
+    counters.
+    """
+    spark, setting = stream.sparkSession, "spark.sql.shuffle.partitions"
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        done = [n for n in _versions(spark, out) if n < batch_id]
+        rows = batch.select("*", F.lit(1).alias("_order"))
+        if done:
+            last = spark.read.schema(batch.schema).parquet(f"{out}/version={done[-1]}")
+            rows = rows.unionByName(last.withColumn("_order", F.lit(0)))
+        newest = F.max_by(F.struct(*batch.columns), "_order").alias("_row")
+        merged = rows.groupBy(*keys).agg(newest).select("_row.*")
+        merged.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        for old in done[:-1]:
+            delete_path(spark, f"{out}/version={old}")
+
+    before = spark.conf.get(setting)
     try:
         if state_partitions:
-            spark.conf.set(key, str(state_partitions))
-        query = (stream.writeStream.outputMode("complete").foreachBatch(save)
+            spark.conf.set(setting, str(state_partitions))
+        query = (stream.writeStream.outputMode("update").foreachBatch(merge)
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return query
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    """The result of the newest batch; the filter on the folder name prunes the rest."""
-    batches = spark.read.parquet(out)
-    newest = batches.agg(F.max("batch")).first()[0]
-    return batches.filter(F.col("batch") == newest).drop("batch")
-
+    """The newest complete result."""
+    return spark.read.parquet(f"{out}/version={_versions(spark, out)[-1]}")

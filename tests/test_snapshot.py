@@ -47,6 +47,55 @@ def test_exclusions(spark, tables, tmp_path):
     assert counts(spark, s.snapshot(tables, str(tmp_path / "snap"), exclude=["u"])) == {"t": 3, "u": 0}
 
 
+def test_exclusions_cascade(spark, tables, tmp_path):
+    edges = spark.createDataFrame([("t", "u"), ("x", "t")], "child string, parent string")
+    path = s.snapshot(tables, str(tmp_path / "snap"), exclude=["u"], fk_edges=edges)
+    assert counts(spark, path) == {"t": 0, "u": 0}
+
+
+def test_publish_never_nests(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(2).write.parquet(f"{tmp_path}/{name}")
+    s.publish_atomically(spark, f"{tmp_path}/a", f"{tmp_path}/new/final")
+    with pytest.raises(FileExistsError):
+        s.publish_atomically(spark, f"{tmp_path}/b", f"{tmp_path}/new/final")
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileExistsError):
+        s.publish_atomically(spark, f"{tmp_path}/b", f"{tmp_path}/empty")
+    with pytest.raises(OSError):
+        s.publish_atomically(spark, f"{tmp_path}/nothing", f"{tmp_path}/other")
+    assert spark.read.parquet(f"{tmp_path}/new/final").count() == 2
+    assert (tmp_path / "b").exists() and not (tmp_path / "a").exists()
+
+
+def test_snapshots_list_themselves_and_are_logged(spark, tables, tmp_path):
+    log = str(tmp_path / "log")
+    for stamp in ("20240101_000000", "20240102_000000"):
+        s.snapshot(tables, f"{tmp_path}/root/h/d/{stamp}", host="h", database="d", timestamp=stamp, audit_path=log)
+    with pytest.raises(FileExistsError):
+        s.snapshot(tables, f"{tmp_path}/root/h/d/20240102_000000", host="h", database="d", audit_path=log)
+    (tmp_path / "root/h/d/20240103_000000/t").mkdir(parents=True)  # no sidecar: not complete
+    rows = s.snapshot_catalog(spark, f"{tmp_path}/root").orderBy("mtime").collect()
+    assert [(r["host"], r["database"], r["file"], str(r["mtime"])) for r in rows] == [
+        ("h", "d", "20240101_000000", "2024-01-01 00:00:00"), ("h", "d", "20240102_000000", "2024-01-02 00:00:00")]
+    assert all(r["size"] > 0 and r["path"].endswith(r["file"]) for r in rows)
+    lines = readers.read_audit(spark, log).collect()
+    assert sorted((r["action"], r["outcome"], r["db_host"]) for r in lines) == [
+        ("backup", "failure", "h"), ("backup", "success", "h"), ("backup", "success", "h")]
+    assert [int(r["size"]) for r in lines if r["outcome"] == "success"] == [r["size"] for r in rows]
+    assert s.apply_retention(s.snapshot_catalog(spark, f"{tmp_path}/root").filter("file < '20240102'"), False) == 1
+    assert [r["file"] for r in s.snapshot_catalog(spark, f"{tmp_path}/root").collect()] == ["20240102_000000"]
+
+
+def test_a_hook_that_fails_at_run_time_stops_there(spark, users):
+    good = {"sql": "SELECT 1 AS one", "into": "made"}
+    bad = {"sql": "SELECT raise_error('boom') AS x FROM users", "into": "late"}
+    with pytest.raises(hooks.HookError, match=r"hook 1 \(host\)") as e:
+        hooks.apply_hooks(spark, users, [good, bad, good], [], {})
+    assert set(e.value.tables) == {*users, "made"}
+    assert not spark.catalog.tableExists("users")
+
+
 def test_failed_write_leaves_nothing(spark, tables, tmp_path):
     bad = dict(tables, x=spark.range(1).select(F.raise_error(F.lit("boom")).cast("string").alias("x")))
     with pytest.raises(Exception, match="boom"):

@@ -1,6 +1,9 @@
 import gzip
 import hashlib
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,14 +167,37 @@ def test_shared_folder_without_setting():
     assert session.shared_root(local) == session.shared_root(local)
 
 
-def test_seed_is_redacted(spark, capsys):
-    from tablecloak.functions import masks
-
-    key = "spark.sql.redaction.string.regex"
-    before = spark.conf.get(key, None)
-    session.hide_seed(spark, "top.secret")
-    session.hide_seed(spark, "top.secret")
-    spark.sql("SELECT 'a' AS c").select(masks.fake_email("c", "top.secret")).explain(True)
-    assert "top.secret" not in capsys.readouterr().out
-    assert spark.conf.get(key).count("top") == 1
-    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+GATE_RUN = """
+import sys
+from tablecloak.plans.gate import scrub_gate
+from tablecloak.session import build_session
+root = sys.argv[1]
+spark = build_session(master="local[2]", **{
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{root}/log", "spark.eventLog.compress": "false",
+    "spark.checkpoint.dir": f"{root}/scratch", "spark.sql.shuffle.partitions": "2"})
+users = spark.range(3).selectExpr("id", "concat('u', id, '@x.org') AS email", "date'2020-01-01' AS dob",
+                                  "to_json(named_struct('a', id)) AS prefs")
+manifest = {"tables": {"users": {"columns": {
+    "email": {"strategy": "fake_email"}, "dob": {"strategy": "shift_date", "max_days": 9},
+    "prefs": {"strategy": "jsonb_scrub_paths", "paths": {"$.a": "fake_name"}}}}}}
+out = scrub_gate({"users": users}, manifest, f"{root}/clone", f"{root}/report", seed=sys.argv[2],
+                 json_columns=["users.prefs"])
+print("first", *out["users"].filter("id = 0").select("email", "prefs").first())
+spark.stop()
+"""
+
+
+def test_the_seed_is_in_no_plan_and_no_event(tmp_path):
+    """A gate in a session of its own with an event log, which must not hold the seed."""
+    (tmp_path / "log").mkdir()
+    done = subprocess.run([sys.executable, "-c", GATE_RUN, str(tmp_path), "Zeb.ra-77"], capture_output=True,
+                          text=True, timeout=300, cwd=Path(__file__).parents[1])
+    assert done.returncode == 0, done.stderr[-3000:]
+    email, prefs = (hashlib.md5(f"Zeb.ra-77{x}".encode()).hexdigest() for x in ("u0@x.org", '{"a":0}'))
+    assert f'first {email}@masked.test {{"a":"Person_{prefs}"}}' in done.stdout
+    events = [p for p in (tmp_path / "log").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    text = "".join(p.read_text() for p in events)
+    assert "SparkListenerSQLExecutionStart" in text and "Person_" in text
+    # the command line of the process is this test's own way to hand the seed over
+    lines = [x for x in text.splitlines() if '"SparkListenerEnvironmentUpdate"' not in x]
+    assert not [x[:200] for x in lines if "Zeb" in x or "ra-77" in x]

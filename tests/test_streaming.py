@@ -26,11 +26,11 @@ def test_mask_and_sniff_streams_equal_batch(spark, tmp_path, rows):
     source = streams.read_table_stream(spark, str(tmp_path / "in"), df.schema, files_per_trigger=2)
     streams.run_append(streams.mask_stream(source, SPEC, "s"), str(tmp_path / "out"), str(tmp_path / "c1"))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(streams.mask_stream(df, SPEC, "s"))
-    streams.run_latest(streams.sniff_stream(source, SPEC), str(tmp_path / "sniff"), str(tmp_path / "c2"))
+    streams.run_latest(streams.sniff_stream(source, SPEC), str(tmp_path / "sniff"), str(tmp_path / "c2"), ["column"])
     got = rows(streams.read_latest(spark, str(tmp_path / "sniff")))
     assert got == [("email", 50), ("note", df.filter("length(note) > 3").count())]
     masked = streams.read_table_stream(spark, str(tmp_path / "out"), df.schema)
-    streams.run_latest(streams.sniff_stream(masked, SPEC), str(tmp_path / "sniff2"), str(tmp_path / "c3"))
+    streams.run_latest(streams.sniff_stream(masked, SPEC), str(tmp_path / "sniff2"), str(tmp_path / "c3"), ["column"])
     assert rows(streams.read_latest(spark, str(tmp_path / "sniff2"))) == [("email", 0), ("note", 0)]
 
 
@@ -41,7 +41,8 @@ def test_restart_continues_where_it_stopped(spark, tmp_path, rows):
     def run():
         stream = streams.read_audit_stream(spark, str(log))
         streams.run_append(streams.alert_stream(stream), str(tmp_path / "alerts"), str(tmp_path / "c"))
-        streams.run_latest(streams.freshness_stream(stream), str(tmp_path / "fresh"), str(tmp_path / "f"))
+        streams.run_latest(streams.freshness_stream(stream), str(tmp_path / "fresh"), str(tmp_path / "f"),
+                           ["db_host", "database"])
         return (rows(spark.read.parquet(str(tmp_path / "alerts")), "message"),
                 streams.read_latest(spark, str(tmp_path / "fresh")).first()["last_success"].day)
 
@@ -56,12 +57,41 @@ def test_weekly_windows(spark, tmp_path):
     log = tmp_path / "log"
     put(log, "1.json", entry(7, size="5"), entry(13, size="x"), entry(14, size="7"), entry(14, outcome="failure"))
     stream = streams.read_audit_stream(spark, str(log))
-    streams.run_latest(streams.weekly_trend_stream(stream), str(tmp_path / "out"), str(tmp_path / "c"))
+    streams.run_latest(streams.weekly_trend_stream(stream), str(tmp_path / "out"), str(tmp_path / "c"),
+                       ["week_start"])
     got = streams.read_latest(spark, str(tmp_path / "out")).orderBy("week_start").collect()
     assert [(r["week_start"].strftime("%Y-%m-%d"), r["backups"], r["bytes"]) for r in got] == [
         ("2026-05-07", 2, 5), ("2026-05-14", 1, 7)]  # weeks start on Thursdays, like the epoch
 
 
+def test_late_lines_are_dropped_and_results_merged(spark, tmp_path):
+    log, out = tmp_path / "log", tmp_path / "out"
+
+    def run():
+        stream = streams.weekly_trend_stream(streams.read_audit_stream(spark, str(log)))
+        streams.run_latest(stream, str(out), str(tmp_path / "c"), ["week_start"], 2)
+        rows = streams.read_latest(spark, str(out)).orderBy("week_start").collect()
+        return [(r["week_start"].strftime("%m-%d"), r["backups"], r["bytes"]) for r in rows]
+
+    put(log, "1.json", entry(7, size="5"), entry(30, size="7"))
+    assert run() == [("05-07", 1, 5), ("05-28", 1, 7)]
+    put(log, "2.json", entry(8, size="9"), entry(31, size="1"))  # the week of the 7th is closed
+    assert run() == [("05-07", 1, 5), ("05-28", 2, 8)]
+    put(log, "3.json", entry(31, size="1", timestamp="2026-06-11T10:00:00Z"))
+    assert run() == [("05-07", 1, 5), ("05-28", 2, 8), ("06-11", 1, 1)]
+    assert len([p for p in out.iterdir() if p.name.startswith("version=")]) <= 2
+
+
+def test_null_groups_are_merged(spark, tmp_path, rows):
+    log = tmp_path / "log"
+    for day in (1, 2):
+        put(log, f"{day}.json", entry(day), entry(day, user="u"))
+        stream = streams.read_audit_stream(spark, str(log)).groupBy("user").count()
+        streams.run_latest(stream, str(tmp_path / "o"), str(tmp_path / "c"), ["user"], 2)
+    got = streams.read_latest(spark, str(tmp_path / "o")).collect()
+    assert sorted((r["user"] or "", r["count"]) for r in got) == [("", 2), ("u", 2)]
+
+
 def test_masks_are_the_batch_expression(spark):
     df = spark.createDataFrame([("a@b.co", "n")], "email string, note string")
     assert streams.mask_stream(df, SPEC, "s").first()["email"] == df.select(
