@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,18 +53,22 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"article", "aside", "body", "div", "section", "main", "table", "ul", "ol", "dl", "blockquote", "footer", "header",
          "nav", "form", "figure"}
-TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A quote counts only after "=", as in browsers; possessive, so that no broken tag is tried twice.
+TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*+(?:>|\Z)"""
+                 r"""|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best",
+                 "marked")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.best = self
         self.marked = False
 
 
@@ -92,16 +97,15 @@ class Tree:
     def __init__(self, page: str):
         self.root = self.at = Node("body", None)
         self.open = []  # (tag, node before, in a cut part before, in a link before)
+        self.count = Counter()  # open elements by tag
         self.cut, self.link = False, False
         end = 0
-        skip_to = None
-        for m in TAG.finditer(page):
-            if skip_to is not None:
-                if m.start() < skip_to:
-                    continue
-                end, skip_to = skip_to, None
+        while m := TAG.search(page, end):
             if m.start() > end:
                 self.text(page[end:m.start()])
+            if m.end() == len(page) and page[-1] != ">" and not page.startswith("<!--", m.start()):
+                end = m.start()  # a tag without an end is text
+                break
             end = m.end()
             closing, tag, attributes = m[1], m[2], m[3]
             if tag is None:
@@ -111,11 +115,8 @@ class Tree:
                 self.close(tag)
             elif tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, end)
-                if stop is None:
-                    end = len(page)
-                    break
-                stop_end = page.find(">", stop.start())
-                skip_to = end = len(page) if stop_end < 0 else stop_end + 1
+                stop_end = page.find(">", stop.start()) if stop else -1
+                end = len(page) if stop_end < 0 else stop_end + 1
             else:
                 self.start(tag, attributes)
         if end < len(page):
@@ -139,7 +140,8 @@ class Tree:
         elif tag in CLOSES:
             self.close_open(CLOSES[tag])
         self.open.append((tag, self.at, self.cut, self.link))
-        if not self.cut and is_cut(tag, attributes, any(t in ("article", "main") for t, *_ in self.open)):
+        self.count[tag] += 1
+        if not self.cut and is_cut(tag, attributes, self.count["article"] + self.count["main"] > 0):
             self.cut = True
         if tag == "a":
             self.link = True
@@ -151,10 +153,13 @@ class Tree:
             self.pop()
 
     def pop(self) -> None:
-        _, self.at, self.cut, self.link = self.open.pop()
+        tag, self.at, self.cut, self.link = self.open.pop()
+        self.count[tag] -= 1
 
     def close_open(self, tags: set) -> None:
-        """Close the outermost open element of the kinds within the nearest scope."""
+        """Close the nearest open element of the kinds within the nearest scope."""
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             tag = self.open[k][0]
             if tag in tags:
@@ -165,6 +170,8 @@ class Tree:
                 return
 
     def close(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -216,20 +223,23 @@ def weigh(nodes: list[Node]) -> None:
 
     for node in nodes:
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags)
-    for node in nodes:
+    for node in reversed(nodes):
         own = links = runs = 0
+        inside = []
         for child in node.children:
             if isinstance(child, Node):
                 node.total += child.density
+                inside.append(child.best)
             else:
                 size = len(child[0].strip())
                 own, links, runs = own + size, links + size * child[1], runs + (child[1] and size > 0)
         node.total += density(own, 1, links, runs)
+        node.best = max((node, *inside), key=lambda n: n.total)
 
 
 def mark(nodes: list[Node]) -> None:
     """Mark the subtrees of main text."""
-    best = max(nodes, key=lambda n: n.total)
+    best = nodes[0].best
     if not best.chars:
         return
     threshold, node = best.density, best
@@ -240,10 +250,9 @@ def mark(nodes: list[Node]) -> None:
     for node in nodes:  # parents come first
         if node.parent is not None and node.parent.marked:
             node.marked = True
-        elif not node.marked and node.chars and node.density >= threshold:
-            inside = max(in_order(node), key=lambda n: n.total)
-            if inside.total:
-                article(inside).marked = True
+        elif not node.marked and node.chars and node.density >= threshold and node.best.total:
+            if not node.best.marked:
+                node.best.marked = article(node.best).marked = True
 
 
 def article(node: Node) -> Node:

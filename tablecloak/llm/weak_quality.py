@@ -197,18 +197,23 @@ def vote_patterns(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sample_features(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """`id, pattern, x`, one row per id: of repeated rows the first by pattern and features."""
+    kind = docs.schema[key].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tablecloak.llm import near_dup as n
         from tablecloak.llm import weak_quality as w
 
         for batch in batches:
-            for _, data, offsets in n.text_chunks(batch.column(1)):
+            for at, data, offsets in n.text_chunks(batch.column(1)):
                 m = w.measure_chunk(data, offsets)
                 x = w.features(data, offsets, m)
-                yield pa.RecordBatch.from_arrays([pa.array(w.pattern_of(w.votes(m))), pa.array(
-                    [r.tobytes() for r in x], pa.binary())], ["pattern", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(x)), pa.array(w.pattern_of(w.votes(m))),
+                     pa.array([r.tobytes() for r in x], pa.binary())], ["id", "pattern", "x"])
 
-    return _texts(docs, key, text).mapInArrow(run, "pattern bigint, x binary")
+    found = _texts(docs, key, text).mapInArrow(run, f"id {kind}, pattern bigint, x binary")
+    return found.groupBy("id").agg(F.min(F.struct("pattern", "x")).alias("_f")).select("id", "_f.*").orderBy("id")
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -167,6 +168,9 @@ def test_classifier_on_odd_rows(spark):
     kept = {r.doc_id: r.kept for r in got}
     assert not any(kept[i] for i in (0, 1, 2, 4)) and kept[3] and kept[None] and kept[20]
     assert weak_quality.label_quality(docs.limit(0)).count() == 0
+    # ids that fill a third of the table do not enlarge the sample
+    many = docs.union(docs.filter("doc_id IS NOT NULL").limit(1).crossJoin(spark.range(300)).drop("id"))
+    assert weak_quality._sample_features(many, "doc_id", "text").groupBy("id").count().filter("count > 1").isEmpty()
     model = weak_quality.fit(docs)
     same = weak_quality.filter_quality(docs, model)
     assert same.columns == docs.columns and same.count() == sum(r.kept for r in got)
@@ -211,11 +215,21 @@ def test_main_text_without_an_article():
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("  ", ""), ("plain &lt;text&gt;", "plain <text>"), ("<p>a<p>b", "a\n\nb"), ("<p>a</b></i>b</p>", "ab"),
     ("<script>if (a < b) x();</script>", ""), ("<p>one<script>never closed", "one"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
-    ("<table><tr><td>x<td>y</table>", "x\n\ny"), ("<!-- open <p>never", ""), ("<div>" * 3000 + "deep", "deep"), ("<head><p>text", "text")])
+    ("<table><tr><td>x<td>y</table>", "x\n\ny"), ("<!-- open <p>never", ""), ("<div>" * 3000 + "deep", "deep"), ("<head><p>text", "text"),
+    ("<p don't>it's one</p><p>two</p>", "it's one\n\ntwo"), ("<p title='a > b'>kept</p>", "kept"), ("end <a href=1", "end <a href=1"),
+    ("<div data-id='nav' data-role=navigation title='class=ad'>kept</div>", "kept"), ("<div id=nav>cut</div><p>kept", "kept"),
+    ("<script>x<y =\"</script><p>one</p><p class=\"z\">two</p>", "one\n\ntwo")])
 def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "text", "<b>" * 20000 + "<p>text</p>" * 20000,
+                                  "<div>" * 2000 + "text" + "</section>" * 50000, "text<a href=\"x" * 20000, "text<!" * 50000])
+def test_broken_pages_take_linear_time(page):
+    start = time.time()
+    assert html_text.main_text(page).startswith("text") and time.time() - start < 20
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (3, "v", "<p>é</p>" * 9000, "z")],
                                   "page_id bigint, url string, html string, text string")
