@@ -1,8 +1,9 @@
 """Documents to training sequences: classifier, rules, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Edge cases are
-those of the operators: a document without words is rejected by the classifier, null ids and texts
-pass through the other stages without links or spans, and an empty table gives no sequences.
+those of the operators: a document without words (so also a null text) is rejected by the classifier,
+a row with a null id passes the later stages without links, rows of one id stay or go together
+where duplicates are removed, and an empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows whose id is kept. Rejected ids may be few or many, so sizes decide on the join."""
-    return docs.join(verdict.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The rows whose id is kept, and those without an id, which no verdict names and which are not moved.
+    Rejected ids may be few or many, so sizes decide on the join."""
+    kept = verdict.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ A pair within one component needs no comparison, so no component is lost. With 4
 pair at similarity 0.8 shares no bucket with probability 3e-6, which falls steeply above 0.8.
 
 Edge cases: null, empty and blank texts have empty sets, link with nothing and are kept; a text of
-fewer words than a shingle is one shingle; rows of one id are one node and get the same component;
-long texts are hashed in parts; other columns are ignored, so their names may clash; an empty table gives an empty result.
+fewer words than a shingle is one shingle; rows of one id and one text are one node, and rows of one id
+with different texts are judged each by its text; long texts are hashed in parts; other columns are ignored, so their names may clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -67,11 +67,12 @@ def test_components_of_a_large_loose_group(spark):
 
 def test_near_duplicates_of_odd_rows(spark):
     texts = [(5, "A b"), (3, "a B"), (9, None), (8, ""), (7, " \n"), (2, "one"), (1, "ONE"), (4, "É x"), (6, "é x"),
-             (10, "a b"), (10, "a b"), (None, "a b")]
+             (10, "a b"), (10, "a b"), (None, "a b"), (11, "a b"), (11, "x y z")]
     docs = spark.createDataFrame([(*r, 1) for r in texts], "doc_id bigint, text string, component_id int")
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, shingle_words=2).collect())
     assert got == [(-1, None, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 3, False), (6, 6, True),
-                   (7, 7, True), (8, 8, True), (9, 9, True), (10, 3, False), (10, 3, False)]
+                   (7, 7, True), (8, 8, True), (9, 9, True), (10, 3, False), (10, 3, False),
+                   (11, 3, False), (11, 11, True)]
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -278,8 +279,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     good = "Plain words stand in a row here and make one quite long and honest sentence"
     rows = [(1, good, "en"), (2, good, "en"), (3, None, "en"), (4, "", "en"), (5, "### " * 50, "en"), (None, good + " of its own kind, with more", "en")]
     path = str(tmp_path / "documents.parquet")
-    spark.createDataFrame(rows, "doc_id bigint, text string, id string").write.parquet(path)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string")
+    docs.write.parquet(path)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, None}
+    alike = docs.filter("text IS NOT NULL AND text <> ''")
+    left = corpus_pipeline.deduplicate(spark, alike.union(alike.filter("doc_id IS NULL")), str(tmp_path))
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 5] and left.columns == docs.columns
     empty = str(tmp_path / "none" / "documents.parquet")
     spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint").write.parquet(empty)
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
