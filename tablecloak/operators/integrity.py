@@ -171,7 +171,8 @@ def _close_over_itself(hit: DataFrame, kept: DataFrame,
     while not frontier.isEmpty():
         parts = [kept.join(frontier.select(F.col(k).alias(c)).filter(F.col(c).isNotNull()), c, "left_semi")
                  .select(*columns) for c, k in own]
-        frontier = cut_lineage(reduce(DataFrame.unionByName, parts).distinct().join(gone, columns, "left_anti"))
+        # a set difference takes NULLs as equal, so a row with a key of NULL is not found twice
+        frontier = cut_lineage(reduce(DataFrame.unionByName, parts).subtract(gone))
         gone = gone.unionByName(frontier)
     gone = cut_lineage(gone)
     names = hit.columns

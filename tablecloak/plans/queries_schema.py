@@ -238,6 +238,19 @@ def d12(spark, sf):
     return discover.deep_scan_json(v.part_json(spark, sf), "part", ["doc"])
 
 
+_NEST = "".join(f".l{i}" for i in range(1, 13))
+
+
+@query("d12_deep_scan_json_deep", f"""SELECT 'part' AS "table", 'doc' AS "column", path, category, count(*) AS count FROM (
+      SELECT '${_NEST}.mail' AS path, 'email' AS category FROM part
+      UNION ALL SELECT '${_NEST}.keys[*][*]', 'aws_key' FROM part WHERE p_size > 10
+      UNION ALL SELECT '${_NEST}.other', 'email' FROM part WHERE p_type = 'PROMO')
+    GROUP BY path, category""")
+def d12_deep(spark, sf):
+    """Leaves below twelve levels of objects, and arrays in arrays."""
+    return discover.deep_scan_json(v.part_json_deep(spark, sf), "part", ["doc"])
+
+
 _CATEGORY_SQL = {
     "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "stripe_key": "sk_live_[0-9A-Za-z]{8,}",
     "aws_key": "AKIA[0-9A-Z]{16}", "slack_token": "xox[abprs]-[0-9A-Za-z-]{8,}",
@@ -376,6 +389,23 @@ def r8(spark, sf):
         F.lit(t).alias("table"), "rows", "keys") for t, k in keys.items()])
 
 
+@query("r8_prune_self", """WITH RECURSIVE tree AS (SELECT c_custkey, c_custkey // 4 AS referrer FROM customer),
+      gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3
+        UNION SELECT t.c_custkey FROM tree t JOIN gone g ON t.referrer = g.c_custkey)
+    SELECT 'customer' AS "table", count(*) AS rows, sum(c_custkey)::BIGINT AS keys
+      FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)
+    UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders
+      WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)""")
+def r8_self(spark, sf):
+    """Customers refer each other: a customer goes with its referrer, and orders go with customers."""
+    found = v.tables(spark, sf, "customer", "orders")
+    found["customer"] = found["customer"].withColumn("referrer", F.expr("nullif(c_custkey div 4, 0)"))
+    edges = [("customer", "referrer", "customer", "c_custkey"), ("orders", "o_custkey", "customer", "c_custkey")]
+    out = integrity.prune_cascade(found, edges, "customer", F.col("c_custkey") % 7 == 3)
+    return union_all([out[t].agg(F.count("*").alias("rows"), F.sum(k).alias("keys")).select(
+        F.lit(t).alias("table"), "rows", "keys") for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"))])
+
+
 @query("r9_subset_then_mask", f"""SELECT o_orderkey, md5({S} || contact_email) || '@masked.test' AS contact_email
     FROM orders_p WHERE o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 900 DAY
       AND o_custkey IN (SELECT c_custkey FROM customers_kept)""", "orders_p", "customers_kept")

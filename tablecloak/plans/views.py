@@ -412,6 +412,16 @@ def part_json(spark: SparkSession, sf: str) -> DataFrame:
            IF(p_type = 'PROMO', concat('p', p_partkey, '@promo.example'), 'b'), '"]}') END AS doc""")
 
 
+def part_json_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON whose leaves lie below twelve objects."""
+    opened, closed = "".join(f'{{"l{i}":' for i in range(1, 13)), "}" * 12
+    return table(spark, sf, "part").selectExpr(
+        "p_partkey",
+        f"""concat('{opened}{{"mail":"o', p_partkey, '@corp.example","keys":[["',
+           IF(p_size > 10, concat('AKIA', lpad(cast(p_partkey AS string), 16, '0')), 'none'), '"]],"other":"',
+           IF(p_type = 'PROMO', concat('p', p_partkey, '@promo.example'), 'b'), '"}}{closed}') AS doc""")
+
+
 def engine_sidecars(spark: SparkSession, sf: str) -> DataFrame:
     """Engine, version text and extensions of one snapshot per order."""
     return table(spark, sf, "orders").selectExpr(

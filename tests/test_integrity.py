@@ -129,3 +129,11 @@ def test_prune_follows_self_references(spark, rows):
     edges = [("staff", "boss", "staff", "id"), ("badge", "staff", "staff", "id")]
     out = integrity.prune_cascade({"staff": staff, "badge": badge}, edges, "staff", F.col("id") == 1)
     assert rows(out["staff"]) == [(4, None), (5, 4), (6, 6)] and rows(out["badge"]) == [(11, 5), (12, None)]
+
+
+def test_prune_ends_on_a_cycle_with_a_null_key(spark, rows):
+    parts = spark.createDataFrame([(1, None, 2, None), (2, None, 1, None), (3, "c", None, "c"), (4, None, None, "c"),
+                                   (5, "e", 1, None)], "id int, code string, after int, like string")
+    edges = [("parts", "after", "parts", "id"), ("parts", "like", "parts", "code")]
+    out = integrity.prune_cascade({"parts": parts}, edges, "parts", F.col("id") == 1)
+    assert rows(out["parts"], "id") == [(3,), (4,)]
