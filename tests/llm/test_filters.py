@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import duckdb
 import pytest
@@ -155,6 +156,44 @@ def test_licences_of_odd_rows(spark):
     assert [got[i].n_matches for i in (3, 4, 5)] == [1, 2, 1] and got[3].dice == got[4].dice == 1.0
 
 
+def test_notices_within_lines_wrapped_and_full_texts(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0"].replace("Public ", "Public\n")
+    mit = next(t for n, t in licenses.TEXTS if t.startswith("Permission"))
+    bsd = {n: t for n, t in licenses.TEXTS if n.startswith("BSD")}
+    fill = "some other words stand here " * 40
+    texts = ["This project is released under the MIT License.", "Released under the MIT License. See LICENSE for details.",
+             f"{fill}\n{gpl}\n{fill}", f"Copyright 2020 A\n\n{mit}:\n\n{fill}", bsd["BSD-2-Clause"] + " " + fill, bsd["BSD-3-Clause"] + " " + fill,
+             fill + "Released under the\n * MIT License. " + fill + "_Released under the MIT License_", fill + "released under mit " + fill]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].license for i in range(len(texts))] == ["MIT", "MIT", "GPL-3.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "MIT", None]
+    assert [got[i].dice for i in range(7)] == [1.0] * 7 and got[6].n_matches == 2
+
+
+def plain_best(text, known, threshold):
+    found = re.findall(r"[a-z0-9]+", text.lower())
+    pairs, best = [f"{a} {b}" for a, b in zip(found, found[1:])], None
+    for name, body in known.items():
+        want = Counter(p.rsplit("#", 1)[0] for p in licenses.template_bigrams(body))
+        for i in range(len(pairs)):
+            for j in range(i + 1, len(pairs) + 1):
+                common, total = (Counter(pairs[i:j]) & want).total(), j - i + want.total()
+                if 200 * common >= threshold * total:
+                    best = min(best or (0, ""), (-2 * common / total, name))
+    return best
+
+
+def test_windows_against_all_windows(spark):
+    pick = random.Random(5)
+    known = {"x": "a b c a b d", "y": "b c d e a b c", "z": "c c c c"}
+    texts = [" ".join(pick.choice("abcde") for _ in range(pick.randint(0, 40))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in licenses.scan(docs, templates=known).collect():
+        want = plain_best(texts[r.doc_id], known, licenses.THRESHOLD)
+        assert (r.license, r.dice) == ((want[1], pytest.approx(-want[0])) if want else (None, None))
+        assert (r.n_matches > 0) == bool(want)
+
+
 def test_size_bounds_lose_nothing():
     for threshold in (50, 80, 95):
         for size in range(1, 40):
