@@ -4,6 +4,7 @@ say the same."""
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,15 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """The list is the table `blocklist` (url) beside the pages; without one, that of the SQL."""
     pages = table(spark, sf, "pages").select("page_id", "url")
-    return url_filter.judge_urls(pages, url_filter.listed_urls(pages))
+    try:
+        listed = url_filter.listed_of(table(spark, sf, "blocklist"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listed = url_filter.listed_urls(pages)
+    return url_filter.judge_urls(pages, listed)
 
 
 def op3(spark: SparkSession, sf: str) -> DataFrame:

@@ -111,12 +111,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
         on_list.alias("listed"))
 
 
+def listed_of(urls: DataFrame, url: str = "url") -> DataFrame:
+    """`canonical`: the entries of a blocklist of urls, each of which then blocks all variants of its page."""
+    return urls.select(canonical(host_of(F.col(url)), path_of(F.col(url))).alias("canonical")).distinct()
+
+
 #: Words in a host's labels that mark a listed site (fixed values).
 LISTED_SITES = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
 
 
 def listed_urls(pages: DataFrame, url: str = "url") -> DataFrame:
-    """`canonical`: the urls of the pages on listed sites, as a blocklist would hold them."""
+    """`canonical`: the urls of the pages on listed sites, as the SQL has them. With this list `listed` says only
+    whether the host has one of the words."""
     host = host_of(F.col(url))
     on_site = reduce(Column.__or__, [F.contains(host, F.lit(s)) for s in LISTED_SITES])
     return pages.filter(on_site).select(canonical(host, path_of(F.col(url))).alias("canonical")).distinct()

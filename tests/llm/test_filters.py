@@ -144,6 +144,18 @@ def test_empty_list_and_empty_pages(spark):
     assert url_filter.judge_urls(pages.limit(0), none).count() == 0
 
 
+def test_a_list_table_blocks_other_variants(spark, tmp_path):
+    urls = ["http://bad.net/p", "https://www.bad.net/p.html?x=1", "https://m.BAD.net/p/#z", "http://bad.net/q", "http://spam-farm.net/", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    word = [r.listed for r in queries.op2(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert word == [False] * 4 + [True, False]  # no list table: the words of the SQL
+    listed = spark.createDataFrame([("http://www.bad.net/p/",), (None,), ("no scheme",)], "url string")
+    listed.write.parquet(f"{tmp_path}/blocklist.parquet")
+    got = queries.op2(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [r.listed for r in got] == [True] * 3 + [False] * 3
+    assert [r.verdict for r in got] == ["block"] * 3 + ["allow"] * 3
+
+
 # licences
 
 def test_licences_of_odd_rows(spark):
