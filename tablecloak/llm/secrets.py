@@ -3,7 +3,9 @@
 Two bigram models over the characters of keys (letters, digits, `+ / = _ -`, and one class for a
 string's edge) give the log-likelihood ratio of a candidate per character. They are trained by
 counting adjacent characters of labelled samples: digests of numbers in several alphabets are
-random, words of documents are ordinary. The table of ratios (one per pair of characters, so of
+random, words of documents in the usual spellings of identifiers and paths are ordinary. The ratio alone
+decides: its mean from 20 characters on, its sum for shorter candidates, where pairs of number characters
+speak for nothing, as the samples have no ordinary numbers. The table of ratios (one per pair of characters, so of
 fixed size) is the only thing that reaches the driver, and goes into the plan as a literal.
 
 Spans are found without Python: a text is split at the matches of a pattern, and the running
@@ -28,20 +30,24 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Strings that the models judge.
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
-#: Ratio per character, in nats, from which a candidate counts as random.
+CANDIDATE = r"[A-Za-z0-9+/=_-]{8,}"
+#: Ratio per character, in nats, from which a candidate counts as random; shorter ones than LONG need in
+#: all what one of that length needs.
 LEAST_RATIO = 0.5
+LONG = 20
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: Bounds of the training samples: documents for ordinary words, numbers whose digests are random.
 SAMPLE_DOCUMENTS = 500
 SAMPLE_DIGESTS = 4000
+#: Shares of single characters and of an even spread in the ordinary model.
+SINGLE, EVEN = 0.02, 0.005
 SPAN_ARRAY = "array<struct<start:int,no:int,end:int,kind:string,value:string>>"
 
 
-def spans(text: Column, pattern: str, kind: str, least: tuple[int, int] = (0, 0)) -> Column:
+def spans(text: Column, pattern: str, kind: str, least: tuple[int, int] = (0, 0), judge=None) -> Column:
     """Array of (start, kind_no, end, kind, value) of the leftmost matches that do not overlap; `least` is
-    a group and the length it must have. The text must have a match."""
+    a group and the length it must have, `judge` says of a match whether it is taken."""
     group, size = least
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -54,6 +60,7 @@ def spans(text: Column, pattern: str, kind: str, least: tuple[int, int] = (0, 0)
         own = F.struct(start.alias("start"), F.lit(number).alias("no"), end.alias("end"), F.lit(kind).alias("kind"),
                        x["hit"].alias("value"))
         taken = x["hit"].isNotNull() & (F.char_length(x["part"]) >= size)
+        taken = taken if judge is None else F.when(taken, judge(x["hit"])).otherwise(False)
         return F.struct(F.coalesce(end, start).alias("at"),
                         F.when(taken, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
 
@@ -90,23 +97,32 @@ def ordinary_strings(docs: DataFrame, key: str, text: str, count: int = SAMPLE_D
     joined = F.transform("w", lambda x, i: F.array(
         x, F.concat_ws("_", x, F.get("w", i + 1)), F.concat_ws("-", x, F.get("w", i + 1)),
         F.concat(F.lower(x), F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))),
-        F.concat(x, F.pmod(F.xxhash64(x), F.lit(100)).cast("string"))))
+        F.concat(x, F.pmod(F.xxhash64(x), F.lit(100)).cast("string")),
+        F.upper(x), F.concat_ws("_", F.upper(x), F.upper(F.get("w", i + 1))),
+        F.concat(*[F.initcap(F.coalesce(F.get("w", i + k), F.lit(""))) for k in range(3)]),
+        F.concat_ws("/", x, F.get("w", i + 1), F.get("w", i + 2)), F.concat_ws("/", F.lit(""), x, F.get("w", i + 1))))
     return worded.select(F.explode(F.flatten(joined)).alias("s"))
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> dict[str, float]:
-    """Log-likelihood ratio of each pair of characters, with half a count added to every pair."""
+    """Log-likelihood ratio of each pair of characters. Half a count is added to every pair of the random sample;
+    the ordinary model is mixed with its single characters and an even spread, as words of other texts have
+    pairs that the sample has not."""
     counts = _pair_counts(random, "r").join(_pair_counts(ordinary, "o"), "pair", "full").select(
         "pair", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
     known = "^" + ALPHABET
     seen = {x.pair: (x.r, x.o) for x in counts.filter(
         F.col("pair").rlike(r"\A[A-Za-z0-9+/=_^-]{2}\z")).collect()}  # at most one row per pair of the alphabet
     out = {}
+    ordinary_n = sum(o for _, o in seen.values())
+    single = {b: sum(seen.get(a + b, (0, 0))[1] for a in known) / max(ordinary_n, 1) for b in known}
     for a in known:
-        totals = [sum(seen.get(a + b, (0, 0))[k] + 0.5 for b in known) for k in (0, 1)]
+        total_r, total_o = (sum(seen.get(a + b, (0, 0))[k] + 0.5 * (k == 0) for b in known) for k in (0, 1))
         for b in known:
             r, o = seen.get(a + b, (0, 0))
-            out[a + b] = math.log((r + 0.5) / totals[0]) - math.log((o + 0.5) / totals[1])
+            even = EVEN / len(known)
+            likely = (1 - SINGLE - EVEN) * o / max(total_o, 1) + SINGLE * single[b] + even
+            out[a + b] = math.log((r + 0.5) / total_r) - math.log(likely)
     return out
 
 
@@ -125,6 +141,15 @@ def ratio_of(value: Column, ratios: dict[str, float]) -> Column:
     return total / size
 
 
+def is_random(value: Column, ratios: dict[str, float], least_ratio: float = LEAST_RATIO) -> Column:
+    """Whether the ratio of a candidate is that of a random string."""
+    number = set("^0123456789+/=_-")
+    plain = {pair: min(r, 0.0) if set(pair) <= number else r for pair, r in ratios.items()}
+    size = F.char_length(value)
+    return F.when(size >= LONG, ratio_of(value, ratios) >= least_ratio).otherwise(
+        ratio_of(value, plain) * (size + 1) >= least_ratio * (LONG + 1))
+
+
 def find(docs: DataFrame, ratios: dict[str, float], key: str = "doc_id", text: str = "text",
          least_ratio: float = LEAST_RATIO) -> DataFrame:
     """`key, spans`: all spans by start, then kind. Candidates of the models that touch a base span or
@@ -133,14 +158,14 @@ def find(docs: DataFrame, ratios: dict[str, float], key: str = "doc_id", text: s
     t = F.col("_t")
     found = base.select(
         key, spans(t, ASSIGN, "assign", (2, ASSIGN_LEAST)).alias("_a"), spans(t, ACCESS, "access").alias("_k"),
-        spans(t, HEX, "hex").alias("_h"), spans(t, CANDIDATE, "markov").alias("_m"))
+        spans(t, HEX, "hex").alias("_h"), spans(
+            t, CANDIDATE, "markov", judge=lambda value: is_random(value, ratios, least_ratio)).alias("_m"))
     joined = found.select(key, F.concat("_a", "_k", "_h").alias("_b"), "_m")
 
-    def is_secret(m: Column) -> Column:
-        apart = ~F.exists("_b", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return apart & m["value"].rlike("[0-9]") & (ratio_of(m["value"], ratios) >= least_ratio)
+    def apart(m: Column) -> Column:
+        return ~F.exists("_b", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
 
-    return joined.select(key, F.sort_array(F.concat("_b", F.filter("_m", is_secret))).alias("spans"))
+    return joined.select(key, F.sort_array(F.concat("_b", F.filter("_m", apart))).alias("spans"))
 
 
 def span_text(found: Column) -> Column:

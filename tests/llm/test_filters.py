@@ -272,6 +272,19 @@ def test_models_tell_random_strings_from_identifiers(spark, ratios):
     assert counts.get((1, True), 0) >= 190 and counts.get((0, True), 0) <= 0.05 * max(len(names), 1)
 
 
+def test_secrets_without_digits_and_short_ones_are_reported(spark, ratios):
+    pick, letters = random.Random(4), string.ascii_letters
+    forms = ((letters, 20), (letters, 32), (letters + string.digits, 20), (letters, 12), (letters + string.digits, 16))
+    rows = [(100 * k + i, "a " + "".join(pick.choice(a) for _ in range(n)) + " z") for k, (a, n) in enumerate(forms) for i in range(100)]
+    plain = ["see /usr/share/common/licenses/files", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "getInternalConnectionManager", "555-5793 4668350087416800",
+             "2024-01-15 12/31/2023", "AbstractConnectionFactory", "category psychology JavascriptObjectNotation XMLHttpRequest"]
+    rows += [(1000 + i, t) for i, t in enumerate(plain)]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, text string"), ratios).collect()}
+    for k, (_, n) in enumerate(forms):
+        assert sum(got[100 * k + i] == f"markov:2:{n + 2}" for i in range(100)) >= (98 if n >= 20 else 90)
+    assert [got[1000 + i] for i in range(len(plain))] == [""] * len(plain)
+
+
 def test_added_spans_keep_off_base_spans(spark, ratios):
     text = "key Zx8Qw71LmT0pVr93KdYb2Nc5 and token=Zx8Qw71LmT0pVr93KdYb2Nc5 plain"
     spans = secrets.report(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), ratios).first().spans
