@@ -7,7 +7,7 @@ when every bin is filled; from round t on a round sends all members to one bin o
 rounds always do. Equal coordinates estimate the Jaccard similarity with concentration like that of
 t independent hash functions, in time near the size of the set instead of t times it.
 
-Bands of `rows` coordinates make buckets. Links are confirmed on the full sets (52-bit hashes of
+Bands of `rows` coordinates make buckets. Links are confirmed on the full sets (54-bit hashes of
 the shingles), and no bucket is expanded into all its pairs:
 1. each member is compared with its bucket's smallest id, and confirmed links are joined up;
 2. buckets that still hold several components compare members with another representative;
@@ -36,9 +36,9 @@ from tablecloak.llm.common import Scratch, ship
 
 BANDS, ROWS = 42, 6
 #: Bytes of text hashed at once; a longer text is taken alone and its words are hashed in parts.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 #: Bits that number the documents hashed at once; a shingle's hash has the others.
-DOC_BITS = 12
+DOC_BITS = 10
 #: Ids that are broadcast to pick documents; beyond it the two sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -161,6 +161,7 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         end = min(end, at + (1 << DOC_BITS))
         yield at, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on and share an executor's memory
 
 
 def _lists(rows: np.ndarray, empty: np.ndarray) -> pa.Array:
