@@ -8,8 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecloak.llm import (ann, byte_bpe, html_text, licenses, near_dup, packing, quality_rules, secrets,
-                            url_filter, weak_quality)
+from tablecloak.llm import (ann, byte_bpe, fill_middle, html_text, licenses, mixing, near_dup, packing, phrases,
+                            quality_rules, secrets, url_filter, weak_quality)
 from tablecloak.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -71,8 +71,22 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
 
 
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf, "documents"))
+
+
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 QUERIES = {"op1_quality_rules": op1, "op2_url_filters": op2, "op3_near_dedup": op3, "op4_byte_bpe": op4,
            "op5_license_scan": op5, "op6_secret_scan": op6, "op7_nearest_neighbours": op7,
-           "op8_quality_classifier": op8, "op9_packing": op9, "op10_html_extraction": op10}
+           "op8_quality_classifier": op8, "op9_packing": op9, "op10_html_extraction": op10,
+           "op11_fill_middle": op11, "op12_phrases": op12, "op13_source_mix": op13}
 ORACLES = {"op1_quality_rules": quality_rules.SQL, "op2_url_filters": url_filter.SQL,
-           "op5_license_scan": licenses.SQL}
+           "op5_license_scan": licenses.SQL, "op11_fill_middle": fill_middle.SQL, "op12_phrases": phrases.SQL,
+           "op13_source_mix": mixing.SQL}
