@@ -8,8 +8,8 @@ from tablecloak.operators import catalog, dumptext, hooks, manifest
 from tablecloak.plans import views as v
 from tablecloak.plans.queries_catalog import KEY, NOTIFY_SQL
 from tablecloak.plans.registry import query
-from tablecloak.session import local_rows, scratch_path
-from tablecloak.sources import digests, readers, snapshot
+from tablecloak.session import cut_lineage, local_rows, scratch_path
+from tablecloak.sources import audit_log, digests, readers, snapshot
 from tablecloak.streaming import streams
 
 
@@ -57,7 +57,7 @@ def s5(spark, sf):
     return rows.select("path", "host", "database", "size", "file", "complete", "encryption", "safety")
 
 
-def audit_log(spark, sf) -> str:
+def audit_text(spark, sf) -> str:
     """The audit view as JSON lines, with blank, broken and non-object lines in between."""
     path = scratch_path(spark, "audit")
     log = v.audit(spark, sf)
@@ -70,7 +70,7 @@ def audit_log(spark, sf) -> str:
 @query("s6_read_audit", """SELECT seq, timestamp, action, outcome, db_host, database, account, size, duration_sec, error
     FROM audit""", "audit")
 def s6(spark, sf):
-    return readers.read_audit(spark, audit_log(spark, sf)).select(
+    return readers.read_audit(spark, audit_text(spark, sf)).select(
         "seq", "timestamp", "action", "outcome", "db_host", "database", "account", "size",
         "duration_sec", "error")
 
@@ -80,7 +80,7 @@ def s6(spark, sf):
 def s7(spark, sf):
     """Documents written as text files and read back line by line with their numbers."""
     path = scratch_path(spark, "dump")
-    v.table(spark, sf, "documents").select("text").repartition(4).write.text(path)
+    v.table(spark, sf, "documents").select("text").write.text(path)
     lines = readers.read_dump_lines(spark, path)
     per_file = lines.groupBy("file").agg(
         F.count("*").alias("n"), F.max("line_no").alias("last"), F.min("line_no").alias("first"),
@@ -170,6 +170,25 @@ def w8(spark, sf):
     return readers.read_audit(spark, path).groupBy("outcome").agg(F.count("*").alias("events"))
 
 
+@query("w8_compact_audit", """SELECT outcome, 2 * count(*) AS events, 0::BIGINT AS moved, true AS bounded FROM audit GROUP BY outcome""",
+       "audit")
+def w8_compact(spark, sf):
+    """Many small appends are packed: every line keeps its place, and few files are left."""
+    path = scratch_path(spark, "compact")
+    for half in range(2):
+        audit_log.append_audit(v.audit(spark, sf).drop("seq").repartition(40, "timestamp"), path)
+    before = cut_lineage(readers.read_audit(spark, path))
+    audit_log.compact_audit(spark, path, target_bytes=1 << 20, settled=0)
+    size = before.select(F.length(F.to_json(F.struct(*before.columns))).alias("n")).agg(F.sum("n")).first()[0]
+    few = audit_log.log_files(spark, path) <= 4 + size // (1 << 19)
+    after = readers.read_audit(spark, path)
+    both = before.withColumn("side", F.lit(1)).unionByName(after.withColumn("side", F.lit(-1)))
+    line = F.struct(*[c for c in before.columns if c != "extras"])
+    pairs = both.groupBy("outcome", line.alias("line")).agg(F.sum("side").alias("off"), F.count_if(F.col("side") < 0).alias("n"))
+    return pairs.groupBy("outcome").agg(F.sum("n").alias("events"), F.count_if(F.col("off") != 0).alias("moved"),
+                                        F.lit(few).alias("bounded"))
+
+
 @query("w9_publish", """SELECT n AS run, n = 1 AS published, count(*) AS rows FROM orders, range(1, 3) r(n) GROUP BY n""")
 def w9(spark, sf):
     """A second snapshot of the same name is refused and the first stays as it is."""
@@ -354,7 +373,7 @@ def z2(spark, sf):
 @query("z3_alert_stream", NOTIFY_SQL + " AND outcome = 'failure'", "audit")
 def z3(spark, sf):
     out = scratch_path(spark, "z3")
-    log = streams.read_audit_stream(spark, audit_log(spark, sf))
+    log = streams.read_audit_stream(spark, audit_text(spark, sf))
     streams.run_append(streams.alert_stream(log), f"{out}/data", f"{out}/ckpt")
     return spark.read.parquet(f"{out}/data").select("seq", "title", "message")
 
@@ -363,7 +382,7 @@ def z3(spark, sf):
     FROM audit WHERE action = 'backup' AND outcome = 'success' GROUP BY 1, 2""", "audit")
 def z4(spark, sf):
     out = scratch_path(spark, "z4")
-    log = streams.read_audit_stream(spark, audit_log(spark, sf))
+    log = streams.read_audit_stream(spark, audit_text(spark, sf))
     streams.run_latest(streams.freshness_stream(log), f"{out}/data", f"{out}/ckpt", ["db_host", "database"], 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "last_success", F.col("last_success").cast("string"))
@@ -375,7 +394,7 @@ def z4(spark, sf):
     GROUP BY 1""", "audit")
 def z5(spark, sf):
     out = scratch_path(spark, "z5")
-    log = streams.read_audit_stream(spark, audit_log(spark, sf))
+    log = streams.read_audit_stream(spark, audit_text(spark, sf))
     streams.run_latest(streams.weekly_trend_stream(log), f"{out}/data", f"{out}/ckpt", ["week_start"], 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "week_start", F.date_format("week_start", "yyyy-MM-dd"))

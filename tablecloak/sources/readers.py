@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from tablecloak.functions.scalars import SNAPSHOT_NAME, encryption_of, valid_alias
 from tablecloak.operators.catalog import host_safety
-from tablecloak.session import local_rows
+from tablecloak.operators.prefix import running_total
+from tablecloak.session import cut_lineage, local_rows
+from tablecloak.sources.audit_log import live_files
 
 # Rows of at most about 200 bytes: a file path and three numbers.
 BROADCAST_BLOCKS = 400_000
@@ -151,31 +153,36 @@ def _block_bound(spark: SparkSession, paths: str | Sequence[str]) -> int:
 
 
 def number_lines(lines: DataFrame, blocks: int | None = None, across: bool = False) -> DataFrame:
-    """Line numbers for rows `(file, block, pos, line)`, where `pos` grows inside a block; with
-    `across` they run through all files in order of their paths.
+    """Rows `(file, block, pos, ...)` with `line_no` instead of their place, where `pos` grows inside a block;
+    with `across` the numbers run through all files in order of their paths.
 
     A block is one split of a file, read in order by one task. Its lines are numbered from
-    the lines of the blocks before it: one short row per block is ordered, never the lines.
+    the lines of the blocks before it: one short row per block is ordered, never the lines. Across files
+    the rows of blocks are summed by ranges, so their number may grow as well.
     With a known small bound on `blocks` those rows are broadcast and no line is shuffled.
     """
     starts = lines.groupBy("file", "block").agg(
         F.min("pos").alias("_first"), F.count("*").alias("_n"))
-    order = W.orderBy("file", "block") if across else W.partitionBy("file").orderBy("block")
-    w = order.rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    if across:
+        starts = running_total(starts, ["file", "block"], "_n", "_before")
+    else:
+        w = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    starts = starts.drop("_n")
     if blocks is not None and blocks <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
+    others = [c for c in lines.columns if c not in ("file", "block", "pos")]
     return lines.join(starts, ["file", "block"]).select(
-        "file", (F.col("_before") + F.col("pos") - F.col("_first") + 1).alias("line_no"), "line")
+        "file", (F.col("_before") + F.col("pos") - F.col("_first") + 1).alias("line_no"), *others)
 
 
-def _text_lines(spark: SparkSession, paths: str | Sequence[str], across: bool = False) -> DataFrame:
-    lines = (spark.read.option("lineSep", "\n").text(paths)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.col("value").alias("line"))
-             .withColumn("pos", F.monotonically_increasing_id()))
-    return number_lines(lines, _block_bound(spark, paths), across)
+def _placed_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """`(file, block, pos, line)` of text files."""
+    return (spark.read.option("lineSep", "\n").text(paths)
+            .select(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.col("value").alias("line"))
+            .withColumn("pos", F.monotonically_increasing_id()))
 
 
 def read_dump_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -184,21 +191,29 @@ def read_dump_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     Plain files are split into blocks that many tasks read; only `\\n` ends a line, and bytes
     that are no UTF-8 are kept as they are.
     """
-    return _text_lines(spark, paths)
+    return number_lines(_placed_lines(spark, paths), _block_bound(spark, paths))
 
 
 def read_audit(spark: SparkSession, paths: str | Sequence[str], schema: str = AUDIT) -> DataFrame:
     """Audit lines with their place in the log as `seq` (unless they carry one); blank, broken
-    and non-object lines are skipped. Several files follow each other by path. Fields that the
-    schema does not name are kept as text in the map `extras`."""
+    and non-object lines are skipped. Several files follow each other by path; of a compacted log, by the
+    names that its parts had when they were appended. Fields that the schema does not name are kept as
+    text in the map `extras`.
+
+    The text is read once: parsed lines are written with their place, and numbered from there."""
     named = T.StructType.fromDDL(schema).names
     extras = F.map_filter(F.from_json("line", "map<string,string>"), lambda k, x: ~k.isin(*named) & x.isNotNull())
     entry = F.from_json("line", f"{schema}, _corrupt string",
                         {"columnNameOfCorruptRecord": "_corrupt"})
-    rows = (_text_lines(spark, paths, across=True)
-            .select("line_no", entry.alias("e"), extras.alias("extras")).select("line_no", "e.*", "extras")
-            .filter(F.col("_corrupt").isNull()
-                    & (F.col("timestamp").isNotNull() | F.col("action").isNotNull())))
+    live = live_files(spark, paths) if isinstance(paths, str) else None
+    lines = _placed_lines(spark, paths if live is None else live)
+    if live is not None:
+        lines = lines.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    good = F.col("e._corrupt").isNull() & (F.col("e.timestamp").isNotNull() | F.col("e.action").isNotNull())
+    parsed = lines.select("file", "block", "pos", entry.alias("e"), extras.alias("extras")).select(
+        "file", "block", "pos", F.when(good, F.struct("e.*", "extras")).alias("e"))
+    numbered = number_lines(cut_lineage(parsed), _block_bound(spark, paths if live is None else live), across=True)
+    rows = numbered.filter(F.col("e").isNotNull()).select("line_no", "e.*")
     return rows.withColumn("seq", F.coalesce("seq", "line_no")).drop("line_no", "_corrupt")
 
 

@@ -18,7 +18,6 @@ from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
 import pandas as pd
-from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 from tablecloak.operators.integrity import cascade_exclusions
 from tablecloak.operators.stats import table_stats
 from tablecloak.session import local_rows, task_count, union_all
+from tablecloak.sources.audit_log import append_audit
 from tablecloak.sources.digests import content_checksum, digest_status, folder_digests
+from tablecloak.sources.store import delete_path, exists, filesystem, publish_atomically
 
 log = logging.getLogger("tablecloak")
 
@@ -41,42 +42,6 @@ AUDIT_LINE = """timestamp string, action string, outcome string, db_host string,
 WRITERS = 4
 
 
-def filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = filesystem(spark, path)
-    return fs.exists(p)
-
-
-def delete_path(spark: SparkSession, path: str) -> bool:
-    fs, p = filesystem(spark, path)
-    return fs.delete(p, True)
-
-
-def publish_atomically(spark: SparkSession, staging: str, final: str) -> None:
-    """Give a complete staging folder its final name; an existing target is never replaced, nor is
-    anything moved into it: the file system itself refuses the rename."""
-    fs, source = filesystem(spark, staging)
-    _, target = filesystem(spark, final)
-    if fs.exists(target):
-        raise FileExistsError(final)
-    fs.mkdirs(target.getParent())
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-    options[0] = getattr(hadoop, "Options$Rename").NONE
-    try:
-        context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(source), fs.makeQualified(target), options)
-    except Py4JJavaError as e:
-        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
-            raise FileExistsError(final) from None
-        raise OSError(f"could not publish {final}: {e.java_exception.getMessage()}") from None
-
-
 def folder_of(table: str) -> str:
     """A table's folder: its name, with what is no plain character (and a leading "_" or ".", which
     Spark takes for hidden) as `%XX`."""
@@ -288,11 +253,6 @@ def roundtrip(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame],
                         & F.col("source_checksum").eqNullSafe(F.col("copy_checksum"))).alias("equal"))
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """Append one JSON line per event."""
-    events.write.mode("append").json(path)
-
-
 def apply_retention(marked: DataFrame, dry_run: bool = True) -> int:
     """Delete marked snapshots (rows with a `path`) and their sidecars in parallel tasks; return
     how many were marked. A repeated or retried run finds less to do and is safe."""
