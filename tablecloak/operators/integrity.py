@@ -122,7 +122,8 @@ def prune_cascade(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, st
 
     `edges` are `(child, child_col, parent, parent_col)`. Tables are visited parents first. The keys
     to delete are narrow and are written once per level, so a deeper table does not work its
-    parents out again. A table that references itself is closed row by row of the hierarchy.
+    parents out again. Tables that reference each other in a cycle, or one that references itself, are
+    one component of the graph and are closed together, row by row.
     """
     children: dict[str, list[tuple[str, str, str]]] = {}
     for child, child_col, parent, parent_col in edges:
@@ -131,65 +132,82 @@ def prune_cascade(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, st
     while more := {c for c, refs in children.items()
                    if c not in affected and any(p in affected for _, p, _ in refs)}:
         affected |= more
-    if any(parent in affected and parent != root for _, parent, _ in children.get(root, [])):
-        raise ValueError(f"foreign keys form a cycle through {root}")
-    order = _parents_first(affected, children, root)
 
     out = dict(tables)
     keys: dict[tuple[str, str], DataFrame] = {}
-    for name in order:
-        table = tables[name]
-        if name == root:
-            hit, kept = table.filter(predicate), table.filter(~F.coalesce(predicate, F.lit(False)))
-        else:
-            kept, hit = table, None
+    for group in _components(affected, children):
+        hit: dict[str, DataFrame] = {}
+        kept: dict[str, DataFrame] = {}
+        for name in group:
+            table = rest = tables[name]
+            parts = []
+            if name == root:
+                parts, rest = [table.filter(predicate)], table.filter(~F.coalesce(predicate, F.lit(False)))
             for child_col, parent, parent_col in children.get(name, []):
-                if parent == name or parent not in affected:
+                if parent in group or parent not in affected:
                     continue
                 gone = keys[parent, parent_col].select(F.col(parent_col).alias(child_col))
-                part = kept.join(gone, child_col, "left_semi").select(*table.columns)
-                hit = part if hit is None else hit.unionByName(part)
-                kept = kept.join(gone, child_col, "left_anti").select(*table.columns)
-        own = [(c, k) for c, p, k in children.get(name, []) if p == name]
-        if own:
-            hit, kept = _close_over_itself(hit, kept, own)
-        used = sorted({k for refs in children.values() for _, p, k in refs if p == name})
-        if used and any(p == name and c != name for c, refs in children.items() for _, p, _ in refs):
-            narrow = cut_lineage(hit.select(*used).distinct())
-            keys.update({(name, k): narrow.select(k).filter(F.col(k).isNotNull()).distinct() for k in used})
-        out[name] = kept
+                parts.append(rest.join(gone, child_col, "left_semi").select(*table.columns))
+                rest = rest.join(gone, child_col, "left_anti").select(*table.columns)
+            hit[name] = reduce(DataFrame.unionByName, parts) if parts else table.limit(0)
+            kept[name] = rest
+        inner = [(c, col, p, k) for c in group for col, p, k in children.get(c, []) if p in group]
+        if inner:
+            hit, kept = _close_component(hit, kept, inner)
+        for name in group:
+            used = sorted({k for c, refs in children.items() if c not in group for _, p, k in refs if p == name})
+            if used:
+                narrow = cut_lineage(hit[name].select(*used).distinct())
+                keys.update({(name, k): narrow.select(k).filter(F.col(k).isNotNull()).distinct() for k in used})
+            out[name] = kept[name]
     return out
 
 
-def _close_over_itself(hit: DataFrame, kept: DataFrame,
-                       own: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Move rows of `kept` that reference a deleted row of the same table, directly or not. Each round
-    joins the rows left with the keys found last, so it ends also where keys form a cycle."""
-    columns = sorted({k for _, k in own})
-    frontier = cut_lineage(hit.select(*columns).distinct())
-    gone = frontier
-    while not frontier.isEmpty():
-        parts = [kept.join(frontier.select(F.col(k).alias(c)).filter(F.col(c).isNotNull()), c, "left_semi")
-                 .select(*columns) for c, k in own]
-        # a set difference takes NULLs as equal, so a row with a key of NULL is not found twice
-        frontier = cut_lineage(reduce(DataFrame.unionByName, parts).subtract(gone))
-        gone = gone.unionByName(frontier)
-    gone = cut_lineage(gone)
-    names = hit.columns
-    for c, k in own:  # whatever references a deleted key goes, also a row without a key of its own
-        keys = gone.select(F.col(k).alias(c)).filter(F.col(c).isNotNull()).distinct()
-        hit = hit.unionByName(kept.join(keys, c, "left_semi").select(*names))
-        kept = kept.join(keys, c, "left_anti").select(*names)
+def _components(affected: set[str], children: Mapping[str, list]) -> list[list[str]]:
+    """Tables grouped by cycles, parents first: two tables belong together where each is above the other. A group
+    has more tables above it than any group it references, itself counted."""
+    parents = {n: {p for _, p, _ in children.get(n, []) if p in affected} for n in affected}
+    above: dict[str, set[str]] = {}
+    for name in affected:
+        seen, todo = set(), [name]
+        while todo:
+            new = parents[todo.pop()] - seen
+            seen |= new
+            todo += new
+        above[name] = seen
+    groups = {frozenset({n} | {m for m in above[n] if n in above[m]}) for n in affected}
+    return [sorted(g) for g in sorted(groups, key=lambda g: (len(g.union(*(above[n] for n in g))), sorted(g)))]
+
+
+def _close_component(hit: Mapping[str, DataFrame], kept: Mapping[str, DataFrame],
+                     inner: Sequence[tuple[str, str, str, str]]) -> tuple[dict, dict]:
+    """Move rows of `kept` that reference a deleted row of any table of a component, directly or not.
+
+    A fixpoint over all its tables at once: a round joins the key columns of the rows left, which are
+    written once, with the keys that the round before it found in any table. Only new keys go on, so it
+    ends also where rows reference each other in a ring."""
+    tables = sorted({p for _, _, p, _ in inner})
+    own = {t: sorted({k for _, _, p, k in inner if p == t}) for t in tables}
+    refs = {t: [(col, p, k) for c, col, p, k in inner if c == t] for t in tables}
+    narrow = {t: cut_lineage(kept[t].select(*sorted({*own[t], *(col for col, _, _ in refs[t])}))) for t in tables}
+    frontier = {t: cut_lineage(hit[t].select(*own[t]).distinct()) for t in tables}
+    gone = dict(frontier)
+    open_ = {t for t in tables if not frontier[t].isEmpty()}
+    while open_:
+        found = {}
+        for t in tables:
+            parts = [narrow[t].join(frontier[p].select(F.col(k).alias(col)).filter(F.col(col).isNotNull()).distinct(),
+                                    col, "left_semi").select(*own[t]) for col, p, k in refs[t] if p in open_]
+            if parts:  # a set difference takes NULLs as equal, so a row with a key of NULL is not found twice
+                found[t] = cut_lineage(reduce(DataFrame.unionByName, parts).subtract(gone[t]))
+        gone |= {t: gone[t].unionByName(new) for t, new in found.items()}
+        frontier = found
+        open_ = {t for t, new in found.items() if not new.isEmpty()}
+    gone = {t: cut_lineage(rows) for t, rows in gone.items()}
+    hit, kept = dict(hit), dict(kept)
+    for c, col, p, k in inner:  # whatever references a deleted key goes, also a row without a key of its own
+        names = kept[c].columns
+        keys = gone[p].select(F.col(k).alias(col)).filter(F.col(col).isNotNull()).distinct()
+        hit[c] = hit[c].unionByName(kept[c].join(keys, col, "left_semi").select(*names))
+        kept[c] = kept[c].join(keys, col, "left_anti").select(*names)
     return hit, kept
-
-
-def _parents_first(affected: set[str], children: Mapping[str, list], root: str) -> list[str]:
-    order, left = [root], set(affected) - {root}
-    while left:
-        ready = sorted(n for n in left
-                       if all(p in order or p == n or p not in affected for _, p, _ in children[n]))
-        if not ready:
-            raise ValueError(f"foreign keys form a cycle through {sorted(left)}")
-        order += ready
-        left -= set(ready)
-    return order

@@ -406,6 +406,30 @@ def r8_self(spark, sf):
         F.lit(t).alias("table"), "rows", "keys") for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"))])
 
 
+_CYCLE = """SELECT 'c' AS pk, o_custkey AS pid, 'o' AS kind, o_orderkey AS id FROM orders
+    UNION ALL SELECT 'o', c_custkey // 3 * 2, 'c', c_custkey FROM customer WHERE c_custkey % 3 = 0"""
+
+
+@query("r8_prune_cycle", f"""WITH RECURSIVE refs AS ({_CYCLE}),
+      gone AS (SELECT 'c' AS kind, c_custkey AS id FROM customer WHERE c_custkey % 13 = 5
+        UNION SELECT r.kind, r.id FROM refs r JOIN gone g ON r.pk = g.kind AND r.pid = g.id)
+    SELECT 'customer' AS "table", count(*) AS rows, sum(c_custkey)::BIGINT AS keys
+      FROM customer WHERE c_custkey NOT IN (SELECT id FROM gone WHERE kind = 'c')
+    UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT
+      FROM orders WHERE o_orderkey NOT IN (SELECT id FROM gone WHERE kind = 'o')
+    UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT
+      FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM gone WHERE kind = 'o')""")
+def r8_cycle(spark, sf):
+    """Orders belong to customers, and some customers came by an order: two tables in a cycle, and one below."""
+    found = v.tables(spark, sf, "customer", "orders", "lineitem")
+    found["customer"] = found["customer"].withColumn("came_by", F.expr("IF(c_custkey % 3 = 0, c_custkey div 3 * 2, NULL)"))
+    out = integrity.prune_cascade(found, [*v.FK, ("customer", "came_by", "orders", "o_orderkey")], "customer",
+                                  F.col("c_custkey") % 13 == 5)
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    return union_all([out[t].agg(F.count("*").alias("rows"), F.sum(k).alias("keys")).select(
+        F.lit(t).alias("table"), "rows", "keys") for t, k in keys.items()])
+
+
 @query("r9_subset_then_mask", f"""SELECT o_orderkey, md5({S} || contact_email) || '@masked.test' AS contact_email
     FROM orders_p WHERE o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 900 DAY
       AND o_custkey IN (SELECT c_custkey FROM customers_kept)""", "orders_p", "customers_kept")
