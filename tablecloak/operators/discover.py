@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecloak.operators.masking import EMAIL_DOMAIN, EMAIL_LOCAL
 from tablecloak.operators.skew import salted_join
-from tablecloak.session import cut_lineage
+from tablecloak.session import local_rows
 
-# Levels of JSON that one plan walks; deeper ones follow from what it wrote.
-LEVELS = 8
+# Dictionary entries that become branches of one expression; longer lists are looked up by parts of names.
+BRANCHES = 500
+# Characters of the parts by which names and patterns meet.
+GRAM = 3
 
 # Column-name patterns as pattern:strategy[:parameter], first match wins.
 DEFAULT_DICTIONARY = """
@@ -184,9 +186,45 @@ def hit_fields(dictionary: Sequence[str] | None = None) -> dict[str, Column]:
 def add_match(df: DataFrame, name_col: str = "column",
               dictionary: Sequence[str] | None = None) -> DataFrame:
     """Add `pattern`, `strategy`, `param` of the first match (NULL without)."""
+    if dictionary is not None and len(dictionary) > BRANCHES:
+        return add_match_indexed(df, name_col, dictionary_rows(df.sparkSession, dictionary))
     return add_hit(df, name_col, dictionary).withColumns(hit_fields(dictionary)).drop("hit")
 
 
+def dictionary_rows(spark: SparkSession, dictionary: Sequence[str]) -> DataFrame:
+    """`(ord, pattern, strategy, param)` of a dictionary."""
+    rows = [(i, e[0], e[1], e[-1] if len(e) > 2 and e[1] in PARAMETER else None) for i, e in enumerate(_entries(dictionary))]
+    return local_rows(spark, rows, "ord bigint, pattern string, strategy string, param string")
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct parts of `n` characters of a text; one that is shorter has none."""
+    size = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.char_length(text) >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, size)))).otherwise(
+            F.array().cast("array<string>"))
+
+
+def add_match_indexed(df: DataFrame, name_col: str, dictionary: DataFrame) -> DataFrame:
+    """`add_match` for a dictionary of any length, as rows `(ord, pattern, strategy, param)`.
+
+    Each pattern is filed under the part of it that fewest patterns have (GRAM characters, or the whole of a
+    shorter pattern). Distinct names meet the patterns filed under any of their parts, where containment is
+    confirmed, and the first by `ord` counts. A name in many rows is looked up once."""
+    entries = dictionary.filter("pattern IS NOT NULL").select("ord", "pattern", "strategy", "param")
+    parts = entries.select("ord", "pattern", F.explode(F.when(
+        F.char_length("pattern") < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), GRAM))).alias("gram"))
+    common = parts.groupBy("gram").agg(F.count("*").alias("patterns"))
+    filed = parts.join(common, "gram").groupBy("ord", "pattern").agg(F.min(F.struct("patterns", "gram"))["gram"].alias("gram"))
+    index = entries.join(filed, ["ord", "pattern"])
+    names = df.select(normalize_name(name_col).alias("_name")).filter("_name IS NOT NULL").distinct()
+    cut = F.concat(F.array(F.lit("")), *[_grams(F.col("_name"), n) for n in range(1, GRAM + 1)])
+    met = names.select("_name", F.explode(cut).alias("gram")).join(index, "gram").filter(F.contains("_name", F.col("pattern")))
+    first = met.groupBy("_name").agg(F.min(F.struct("ord", "pattern", "strategy", "param")).alias("_m"))
+    return (salted_join(df.withColumn("_name", normalize_name(name_col)), first, ["_name"], [name_col], "left")
+            .select(*df.columns, "_m.pattern", "_m.strategy", "_m.param"))
+
+
 def match_columns(catalog: DataFrame, dictionary: Sequence[str] | None = None) -> DataFrame:
     """Catalogue rows with their first match (NULL without)."""
     return add_match(catalog, "column", dictionary)
@@ -279,46 +317,49 @@ def deep_scan_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     return _found(df, flags, ("table", "column", "category"))
 
 
+def nesting(text: Column) -> Column:
+    """The depth of a JSON text: the most brackets open at once, those in strings aside."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]++", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    deepest = F.aggregate(steps, F.struct(F.lit(0).alias("open"), F.lit(0).alias("most")), lambda at, step: F.struct(
+        (at["open"] + step).alias("open"), F.greatest(at["most"], at["open"] + step).alias("most")))
+    return deepest["most"]
+
+
 def json_leaves(df: DataFrame, col: str, keep: Sequence[str] = (),
                 wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """Leaves of a JSON column at any depth as `(path, value)` text.
 
     Array positions are written `[*]`; text that is no valid JSON is one leaf, and so is an empty
     object or array. `wanted` is a condition on JSON text; parts without it are left out as early
-    as possible. A few levels are walked in one plan; what they give is written once and walked on
-    while anything nested is left.
+    as possible. A document is walked within its row: as many times as it is deep, each part with its path
+    is replaced by what it holds. Nothing is shuffled or written on the way.
     """
 
-    def step(suffix: Column, v: Column) -> Column:
-        return F.struct(F.concat(F.col("path"), suffix).alias("path"), v.alias("v"))
-
-    def prune(level: DataFrame) -> DataFrame:
-        if wanted is None:
-            return level
-        return level.filter(F.exists(F.array(F.to_json("v")), wanted))
-
-    # a value that is neither object nor array fails both casts and stays as it is
-    fields = F.transform(F.map_entries(F.col("v").try_cast("map<string,variant>")),
-                         lambda e: step(F.concat(F.lit("."), e["key"]), e["value"]))
-    items = F.transform(F.col("v").try_cast("array<variant>"), lambda e: step(F.lit("[*]"), e))
-    itself = F.array(F.struct(F.col("path").alias("path"), F.col("v").alias("v")))
-
-    value = F.coalesce(F.try_parse_json(F.col(col)), F.col(col).cast("variant"))
-    level = prune(df.filter(F.col(col).isNotNull())
-                  .select(*keep, F.lit("$").alias("path"), value.alias("v")))
-    parts = F.coalesce(fields, items)
-    children = F.when(F.size(parts) > 0, parts).otherwise(itself)
-    nested = True
-    while nested:
-        for _ in range(LEVELS):
-            level = prune(level.select(*keep, F.explode(children).alias("_c")).select(*keep, "_c.path", "_c.v"))
-        # variants cannot be checkpointed as rows of a table everywhere, so they travel as JSON text
-        level = cut_lineage(level.select(*keep, "path", F.to_json("v").alias("_j"))).select(
-            *keep, "path", F.parse_json("_j").alias("v"))
-        nested = not level.filter(F.size(parts) > 0).isEmpty()
+    def step(path: Column, suffix: Column, v: Column) -> Column:
+        return F.struct(F.concat(path, suffix).alias("path"), v.alias("v"))
+
+    def pruned(parts: Column) -> Column:
+        return parts if wanted is None else F.filter(parts, lambda p: F.exists(F.array(F.to_json(p["v"])), wanted))
+
+    def inside(part: Column) -> Column:
+        # a value that is neither object nor array fails both casts and stays as it is
+        fields = F.transform(F.map_entries(part["v"].try_cast("map<string,variant>")),
+                             lambda e: step(part["path"], F.concat(F.lit("."), e["key"]), e["value"]))
+        items = F.transform(part["v"].try_cast("array<variant>"), lambda e: step(part["path"], F.lit("[*]"), e))
+        held = F.coalesce(fields, items)
+        return F.when(F.size(held) > 0, pruned(held)).otherwise(F.array(part))
+
+    text = F.col(col).cast("string") if df.schema[col].dataType.simpleString() != "variant" else F.to_json(F.col(col))
+    known = df.filter(F.col(col).isNotNull()).select(*keep, F.col(col).alias("_doc"), text.alias("_text"))
+    value = F.coalesce(F.try_parse_json(F.col("_text")), F.col("_doc").cast("variant"))
+    whole = F.array(F.struct(F.lit("$").alias("path"), value.alias("v")))
+    depth = F.sequence(F.lit(0), nesting(F.col("_text")))  # one walk more than needed finds nothing to open
+    leaves = F.aggregate(depth, pruned(whole), lambda parts, _: F.flatten(F.transform(parts, inside)))
+    level = known.select(*keep, F.explode(leaves).alias("_c")).select(*keep, "_c.path", "_c.v")
     is_text = F.schema_of_variant("v") == "STRING"
-    text = F.when(is_text, F.col("v").try_cast("string")).otherwise(F.to_json("v"))
-    return level.select(*keep, "path", text.alias("value"))
+    return level.select(*keep, "path", F.when(is_text, F.col("v").try_cast("string")).otherwise(
+        F.to_json("v")).alias("value"))
 
 
 def _any_category(text: Column) -> Column:

@@ -78,6 +78,20 @@ def d3_by_host(spark, sf):
     return matched.filter(F.col("pattern").isNotNull()).select("host", "table", "column", "pattern")
 
 
+@query("d3_long_dictionary", """SELECT 'K' || o_orderkey || '-Ref' AS "column", arg_min(pattern, ord) AS pattern
+    FROM (SELECT DISTINCT o_orderkey FROM orders) JOIN (SELECT 'k' || c_custkey AS pattern, c_custkey * 7919 % 100003 AS ord FROM customer)
+      ON starts_with('k' || o_orderkey, pattern) GROUP BY o_orderkey""")
+def d3_long(spark, sf):
+    """A dictionary as long as the table of customers, against as many names as there are orders."""
+    entries = v.table(spark, sf, "customer").select(
+        F.expr("c_custkey * 7919 % 100003").alias("ord"), F.concat(F.lit("k"), F.col("c_custkey")).alias("pattern"),
+        F.lit("redact").alias("strategy"), F.lit(None).cast("string").alias("param"))
+    names = v.table(spark, sf, "orders").select("o_orderkey").distinct().select(
+        F.concat(F.lit("K"), F.col("o_orderkey"), F.lit("-Ref")).alias("column"))
+    first = discover.add_match_indexed(names, "column", entries).filter("pattern IS NOT NULL")
+    return first.select("column", "pattern")
+
+
 @query("d4_suggest_strategy", f"""SELECT database, "table", "column", {_SUGGEST} AS suggested
     FROM {_first_match("fleet_catalog")} WHERE pattern IS NOT NULL""", "fleet_catalog")
 def d4(spark, sf):
