@@ -416,9 +416,9 @@ def f10(spark, sf):
         scalars.valid_alias("column").alias("alias"))
 
 
-@query("f11_parse_name_list", """SELECT p_partkey, 3::INTEGER AS n, 'pg_repack|pg_cron|' || replace(p_name, ' ', '_') AS names FROM part""")
+@query("f11_parse_name_list", """SELECT p_partkey, 3::INTEGER AS n, 'zonemap|nightly|' || replace(p_name, ' ', '_') AS names FROM part""")
 def f11(spark, sf):
-    text = F.concat(F.lit(", pg_repack,pg_cron  ,, "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" "))
+    text = F.concat(F.lit(", zonemap,nightly  ,, "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" "))
     names = scalars.parse_name_list(text)
     return v.table(spark, sf, "part").select("p_partkey", F.size(names).alias("n"),
                                              F.array_join(names, "|").alias("names"))

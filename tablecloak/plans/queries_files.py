@@ -256,7 +256,7 @@ def v14(spark, sf):
 
 
 _KEPT = """line_no > 2 AND line_no < n - 8"""
-_DROP = r"""regexp_matches(line, '^(CREATE EXTENSION( IF NOT EXISTS)?|COMMENT ON EXTENSION) "?(pg_repack|pg_cron)"?[ ;]')"""
+_DROP = r"""regexp_matches(line, '^(CREATE EXTENSION( IF NOT EXISTS)?|COMMENT ON EXTENSION) "?(zonemap|nightly)"?[ ;]')"""
 _MARKED = """(SELECT *, max(line_no) OVER (PARTITION BY file) AS n FROM dump_lines)"""
 # lines 2 .. n-9 of each file are a COPY statement, its data and the end marker
 
@@ -276,7 +276,7 @@ def x1_user(spark, sf):
 @query("x2_drop_extension_statements", f"""SELECT file, line_no, line FROM {_MARKED}
     WHERE (line_no >= 2 AND line_no <= n - 9) OR NOT {_DROP}""", "dump_lines")
 def x2(spark, sf):
-    return dumptext.drop_extension_statements(v.dump_lines(spark, sf), ["pg_repack", "pg_cron"])
+    return dumptext.drop_extension_statements(v.dump_lines(spark, sf), ["zonemap", "nightly"])
 
 
 @query("x4_clean_mysql_dump", r"""SELECT file, line_no, regexp_replace(line, 'VARCHAR\((65000|32000)\)', 'TEXT', 'g') AS line

@@ -372,11 +372,11 @@ def orders_kept(spark: SparkSession, sf: str) -> DataFrame:
 def dump_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a dump file: statements, its lines as COPY data that also holds
     statement text, and the lines the MySQL cleaner looks for."""
-    head = ["CREATE EXTENSION IF NOT EXISTS \"pg_repack\" SCHEMA tools VERSION '1.5';",
+    head = ["CREATE EXTENSION IF NOT EXISTS \"zonemap\" SCHEMA tools VERSION '1.5';",
             "COPY public.t (body) FROM stdin;"]
-    tail = ["CREATE EXTENSION pg_repack CASCADE;", "COPY public.t (body) FROM stdin;", "\\.",
-            "CREATE EXTENSION pg_repack CASCADE;", "CREATE EXTENSION \"pg_repack_more\";",
-            "COMMENT ON EXTENSION pg_repack IS 'tables without bloat';",
+    tail = ["CREATE EXTENSION zonemap CASCADE;", "COPY public.t (body) FROM stdin;", "\\.",
+            "CREATE EXTENSION zonemap CASCADE;", "CREATE EXTENSION \"zonemap_more\";",
+            "COMMENT ON EXTENSION zonemap IS 'tables without bloat';",
             "CREATE DEFINER=`root`@`localhost` TRIGGER tr BEFORE INSERT ON t FOR EACH ROW SET @a = 1;",
             "CREATE TABLE v (a VARCHAR(65000), b VARCHAR(32000), c VARCHAR(255));",
             "mysqldump: [Warning] Using a password on the command line interface can be insecure.",

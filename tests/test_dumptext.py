@@ -14,22 +14,22 @@ def text(df):
 
 
 def test_drops_statements_of_named_extensions(spark):
-    df = lines(spark, 'CREATE EXTENSION IF NOT EXISTS "pg_repack" WITH SCHEMA public;', "CREATE EXTENSION pg_repack;",
-               "COMMENT ON EXTENSION pg_repack IS 'x';", "CREATE EXTENSION IF NOT EXISTS pg_trgm;",
-               "CREATE EXTENSION pg_repack_helper;", "CREATE EXTENSION pg_cron;", "CREATE TABLE t (id integer);")
-    assert text(d.drop_extension_statements(df, ["pg_repack", "pg_cron"])) == [
-        "CREATE EXTENSION IF NOT EXISTS pg_trgm;", "CREATE EXTENSION pg_repack_helper;", "CREATE TABLE t (id integer);"]
+    df = lines(spark, 'CREATE EXTENSION IF NOT EXISTS "zonemap" WITH SCHEMA public;', "CREATE EXTENSION zonemap;",
+               "COMMENT ON EXTENSION zonemap IS 'x';", "CREATE EXTENSION IF NOT EXISTS pg_trgm;",
+               "CREATE EXTENSION zonemap_helper;", "CREATE EXTENSION nightly;", "CREATE TABLE t (id integer);")
+    assert text(d.drop_extension_statements(df, ["zonemap", "nightly"])) == [
+        "CREATE EXTENSION IF NOT EXISTS pg_trgm;", "CREATE EXTENSION zonemap_helper;", "CREATE TABLE t (id integer);"]
     assert d.drop_extension_statements(df, []) is df
 
 
 COPY = "COPY public.notes (body) FROM stdin;"
-DATA = "CREATE EXTENSION pg_repack; -- this is table data"
+DATA = "CREATE EXTENSION zonemap; -- this is table data"
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 3, 1000])
 def test_copy_data_passes(spark, chunk):
-    df = lines(spark, "CREATE EXTENSION pg_repack;", COPY, DATA, "\\.", "CREATE EXTENSION pg_repack;")
-    assert text(d.drop_extension_statements(df, ["pg_repack"], chunk)) == [COPY, DATA, "\\."]
+    df = lines(spark, "CREATE EXTENSION zonemap;", COPY, DATA, "\\.", "CREATE EXTENSION zonemap;")
+    assert text(d.drop_extension_statements(df, ["zonemap"], chunk)) == [COPY, DATA, "\\."]
 
 
 def walk(texts):
