@@ -12,7 +12,7 @@ Not every phrase of a shard can be sent round, so a first round finds words and
 in the whole corpus: shards send hashes of theirs with counts, by ranges of the hash, and get back one bit for each. A
 phrase of more words is only extended to while all its pairs are frequent, which every frequent phrase
 fulfils. Equal hashes of different pairs let too much through, never too little, and the sums of the second
-round are over the words themselves.
+round, which shards send by ranges as well, are over the words themselves.
 
 A piece of any length may be cut between two shards: the second begins with the last DEPTH - 1 words of the
 first, and what lies in these words alone is subtracted by a shard of sign -1.
@@ -47,7 +47,7 @@ UNKNOWN = "und"
 SHARD_WORDS = 1 << 20
 ROW_BITS = 21
 #: Hashes whose counts are summed in one task.
-RANGE_KEYS = 1 << 21
+RANGE_KEYS = 1 << 20
 #: Parts that the phrases of a language are ranked in before they meet.
 SALTS = 16
 
@@ -83,13 +83,23 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[pa.Array, np.nd
             last = piece[-1]
 
 
+def squeezed(data: bytes) -> bytes:
+    """Bytes with their length before them, compressed."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def planes(ids: np.ndarray) -> bytes:
     """Numbers as four planes of bytes, of which the upper ones compress well."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return squeezed(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def of_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
+    own = np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(own.T).view("<u4").ravel().astype(np.uint64)
 
 
 @dataclass
@@ -176,13 +186,18 @@ def shards(docs: DataFrame, text: str, lang: str, shard_words: int = SHARD_WORDS
         run, "shard bigint, lang string, sign int, n_words bigint, words array<string>, ids binary")
 
 
+def word_hashes(lang: str, words: pa.Array) -> tuple[np.ndarray, np.uint64]:
+    """Hashes of the words by their numbers, and that of the language."""
+    import xxhash
+
+    return (np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in words.to_pylist())], np.uint64),
+            _U(xxhash.xxh3_64_intdigest(lang)))
+
+
 def local_keys(lang: str, words: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words and pairs of a shard in rising order, their counts, and what they stand for: a
     word's number, or those of a pair with the first in the upper bits."""
-    import xxhash
-
-    each = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in words.to_pylist())], np.uint64)
-    own = _U(xxhash.xxh3_64_intdigest(lang))
+    each, own = word_hashes(lang, words)
     count = np.bincount(ids.astype(np.int64), minlength=len(each))[1:]
     pairs = ids[:-1] << _U(ROW_BITS) | ids[1:]
     pairs = np.sort(pairs[(ids[:-1] != 0) & (ids[1:] != 0)])
@@ -312,15 +327,36 @@ def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == codes
 
 
-def phrase_counts(rows: DataFrame, masks: DataFrame, bits: int, depth: int = DEPTH) -> DataFrame:
-    """`lang, phrase, n_words, f, to_left, to_right`: from each shard the phrases of frequent words and pairs."""
-    def run(own: pa.Table, got: pa.Table) -> pa.Table:
+def packed_phrases(lang: str, words: pa.Array, levels: list, counts: list[np.ndarray], bits: int) -> pa.Table:
+    """`part, lang, phrases, counts`: phrases (word numbers by length) by ranges of their hash; those of a range
+    in order, as their neighbours compress well, with three counts each."""
+    each, own = word_hashes(lang, words)
+    texts, hashes = [], []
+    for ids in levels:
+        parts = [words.take(pa.array(ids[:, j] - 1)) for j in range(ids.shape[1])]
+        texts.append(pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0])
+        h = np.full(len(ids), own)
+        for j in range(ids.shape[1]):
+            h = near_dup.mix(h * near_dup._BASE + each[ids[:, j]])
+        hashes.append(h >> _U(64 - bits) if bits else np.zeros(len(h), np.uint64))
+    rows = pa.table({"part": pa.array(np.concatenate(hashes).astype(np.int32)), "text": pa.concat_arrays(texts)})
+    order = pc.sort_indices(rows, [("part", "ascending"), ("text", "ascending")])
+    part = rows["part"].take(order).to_numpy()
+    text, counts = rows["text"].take(order).combine_chunks(), np.stack(counts)[:, order.to_numpy()]
+    ends = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    blobs = [(int(part[a]), squeezed("\n".join(text[a:b].to_pylist()).encode()), squeezed(counts[:, a:b].tobytes()))
+             for a, b in zip(ends, ends[1:])]
+    return pa.table([pa.array([x[0] for x in blobs], pa.int32()), pa.repeat(pa.scalar(lang), len(blobs)),
+                     *(pa.array([x[k] for x in blobs], pa.binary()) for k in (1, 2))], ["part", "lang", "phrases", "counts"])
+
+
+def phrase_counts(rows: DataFrame, masks: DataFrame, bits: int, least: int, depth: int = DEPTH) -> DataFrame:
+    """`lang, phrase, f, to_left, to_right`: from each shard the phrases of frequent words and pairs, summed; what
+    occurs fewer than `least` times is left out."""
+    def find(own: pa.Table, got: pa.Table) -> pa.Table:
         from tablecloak.llm import phrases as p
 
         own = own.combine_chunks()
-        names = ["lang", "phrase", "n_words", "f", "to_left", "to_right"]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        out = []
         lang, sign = own["lang"][0].as_py(), own["sign"][0].as_py()
         words, ids = own["words"][0].values, p.of_planes(own["ids"][0].as_py())
         keys, _, what = p.local_keys(lang, words, ids)
@@ -334,25 +370,39 @@ def phrase_counts(rows: DataFrame, masks: DataFrame, bits: int, depth: int = DEP
         pairs = what[split:]
         index = p.Index(ids)
         level = index.words(what[:split].astype(np.int64))
-        for k in range(1, depth + 1):
-            if not len(level.lo):
-                break
-            texts = [words.take(pa.array(level.ids[:, j] - 1)) for j in range(k)]
+        levels, counts = [], []
+        while len(level.lo):
             size = level.hi - level.lo
-            out.append(pa.table([
-                pa.repeat(pa.scalar(lang), len(size)), pc.binary_join_element_wise(*texts, " ") if k > 1 else texts[0],
-                pa.array(np.full(len(size), k, np.int32)),
-                *(pa.array(sign * x.astype(np.int64)) for x in (
-                    size, index.goes_left[level.hi] - index.goes_left[level.lo],
-                    index.goes_right[level.back + size] - index.goes_right[level.back]))], names=names))
-            if k < depth:
-                level = index.extend(level, pairs)
-        return pa.concat_tables(out) if out else pa.schema(list(zip(names, types))).empty_table()
-
-    sums = (rows.select("shard", "lang", "sign", "words", "ids").groupBy("shard").cogroup(masks.groupBy("shard"))
-            .applyInArrow(run, "lang string, phrase string, n_words int, f bigint, to_left bigint, to_right bigint"))
-    return sums.groupBy("lang", "phrase").agg(
-        F.max("n_words").alias("n_words"), *[F.sum(c).alias(c) for c in ("f", "to_left", "to_right")])
+            levels.append(level.ids)
+            counts.append(sign * np.stack((size, index.goes_left[level.hi] - index.goes_left[level.lo],
+                                           index.goes_right[level.back + size] - index.goes_right[level.back])))
+            if len(levels) == depth:
+                break
+            level = index.extend(level, pairs)
+        if not levels:
+            return pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()),
+                              ("counts", pa.binary())]).empty_table()
+        return p.packed_phrases(lang, words, levels, list(np.concatenate(counts, 1).astype("<i8")), bits)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        from tablecloak.llm import phrases as p
+
+        parts = []
+        for row in group.to_pylist():
+            text = pc.split_pattern(pa.array([p.unsqueezed(row["phrases"]).decode()]), "\n").values
+            counts = np.frombuffer(p.unsqueezed(row["counts"]), "<i8").reshape(3, -1)
+            parts.append(pa.table([pa.repeat(pa.scalar(row["lang"]), len(text)), text, *map(pa.array, counts)],
+                                  ["lang", "phrase", "f", "to_left", "to_right"]))
+        sums = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate(
+            [(c, "sum") for c in ("f", "to_left", "to_right")])
+        return sums.filter(pc.greater_equal(sums["f_sum"], least)).select(
+            ["lang", "phrase", "f_sum", "to_left_sum", "to_right_sum"]).rename_columns(
+                ["lang", "phrase", "f", "to_left", "to_right"])
+
+    sent = (rows.select("shard", "lang", "sign", "words", "ids").groupBy("shard").cogroup(masks.groupBy("shard"))
+            .applyInArrow(find, "part int, lang string, phrases binary, counts binary"))
+    sums = sent.groupBy("part").applyInArrow(add_up, "lang string, phrase string, f bigint, to_left bigint, to_right bigint")
+    return sums.withColumn("n_words", F.size(F.split("phrase", " ")))
 
 
 def count_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", least: int = MIN_COUNT,
@@ -365,7 +415,7 @@ def count_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang: s
     keys = rows.agg(F.sum(2 * F.col("n_words"))).first()[0] or 0
     bits = max(0, (int(keys) // RANGE_KEYS).bit_length())
     masks = scratch.keep(frequent_bits(rows, bits, least))
-    found = scratch.keep(phrase_counts(rows, masks, bits, depth).filter(F.col("f") >= least))
+    found = scratch.keep(phrase_counts(rows, masks, bits, least, depth))
     return found, n
 
 
