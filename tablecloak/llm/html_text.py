@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its block elements. Parts that are never main text (navigation, page headers
-and footers, side bars, notices, adverts, forms, scripts, styles, reader comments) are cut by their
-tags, roles and class names. On the rest, each node's density is its characters per tag, adjusted by
+and footers, side bars, scripts, styles) are cut by their tags. Forms and what roles, classes and ids call a
+notice, an advert, a side bar or reader comments are cut too, but not where such an element holds the
+article or most of the text, as layouts are named after their parts ("layout-with-sidebar"); `kept` decides
+that on the whole tree, and where everything would go, nothing of this kind does. On the rest, each node's density is its characters per tag, adjusted by
 its links against those of the whole body; the node with the largest sum of its children's densities
 is the centre. The smallest density on the way from the body to it is the threshold: from the body
 down, each node that reaches it gives the subtree with the largest sum, widened to the article
@@ -35,8 +37,9 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
          "header", "hgroup", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
          "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CUT = {"aside", "button", "canvas", "dialog", "fieldset", "footer", "form", "head", "input", "menu", "nav", "object",
+CUT = {"aside", "button", "canvas", "dialog", "footer", "head", "input", "menu", "nav", "object",
        "option", "select", "svg", "video", "audio", "map", "math", *RAW}
+SOFT_CUT = {"form", "fieldset"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert",
              "alertdialog", "status", "toolbar"}
 CUT_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "banner",
@@ -45,6 +48,12 @@ CUT_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "
              "consent", "gdpr", "notice", "disclaimer", "comment", "comments", "commentlist", "disqus", "replies",
              "respond", "reply", "related", "recommended", "share", "sharing", "social", "subscribe", "newsletter",
              "popup", "modal", "overlay", "pagination", "pager", "widget", "toolbar", "search", "login", "signup"}
+#: Those of them that tell of reader comments, which may be longer than the article.
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "reply"}
+MAIN = ("article", "main")
+#: Times the text outside that an element named like a part to cut must hold to stay, without and with an article around.
+BULK, BULK_INSIDE = 2, 4
+FIRM, SOFT, COMMENT = 0, 1, 2
 #: Names that begin so tell how a page is laid out ("has-sidebar").
 LAYOUT = {"has", "no", "with", "without"}
 #: A start tag closes open elements of these kinds, up to the nearest of SCOPE.
@@ -62,33 +71,35 @@ BLANK = re.compile(r"\s+")
 
 class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best",
-                 "marked")
+                 "marked", "soft")
 
-    def __init__(self, tag: str, parent: "Node | None"):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: "Node | None", soft: int = FIRM):
+        self.tag, self.parent, self.children, self.soft = tag, parent, [], soft
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
         self.marked = False
 
 
-def is_cut(tag: str, attributes: str, inside_main: bool) -> bool:
+def cut_kind(tag: str, attributes: str, inside_main: bool) -> int | None:
+    """None for a part that always goes, SOFT or COMMENT for one that goes by its name, else FIRM."""
     if tag in CUT or (tag == "header" and not inside_main):
-        return True
+        return None
+    kind = SOFT if tag in SOFT_CUT else FIRM
     for name, *value in ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = "".join(value).lower(), name.lower()
-        if name == "role" and value in CUT_ROLES:
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return None
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            return None
+        if name == "role" and value in CUT_ROLES:
+            kind = max(kind, SOFT)
+        if name in ("class", "id") and tag not in ("html", "body", *MAIN):
             for part in value.split():
                 words = re.split(r"[-_]", part)
                 if words[0] not in LAYOUT and (part in CUT_NAMES or any(w in CUT_NAMES for w in words)):
-                    return True
-    return False
+                    kind = max(kind, COMMENT if COMMENTS.intersection(words) else SOFT)
+    return kind
 
 
 class Tree:
@@ -98,7 +109,7 @@ class Tree:
         self.root = self.at = Node("body", None)
         self.open = []  # (tag, node before, in a cut part before, in a link before)
         self.count = Counter()  # open elements by tag
-        self.cut, self.link = False, False
+        self.cut, self.link, self.named = False, False, False
         end = 0
         while m := TAG.search(page, end):
             if m.start() > end:
@@ -141,13 +152,15 @@ class Tree:
             self.close_open(CLOSES[tag])
         self.open.append((tag, self.at, self.cut, self.link))
         self.count[tag] += 1
-        if not self.cut and is_cut(tag, attributes, self.count["article"] + self.count["main"] > 0):
-            self.cut = True
+        if not self.cut:
+            kind = cut_kind(tag, attributes, self.count["article"] + self.count["main"] > 0)
+            self.cut = kind is None or kind != FIRM and tag not in BLOCK
         if tag == "a":
             self.link = True
         if tag in BLOCK and not self.cut:
-            node = Node(tag, self.at)
+            node = Node(tag, self.at, kind)
             self.at.children.append(node)
+            self.named = self.named or kind != FIRM
             self.at = node
         if attributes and attributes.rstrip().endswith("/") and tag not in BLOCK:
             self.pop()
@@ -195,6 +208,54 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def kept(nodes: list[Node]) -> set[Node]:
+    """Of the elements with a name of a part to cut, those that hold the article or most of the text, and the ones
+    around them."""
+    holder, room = {}, {}  # the nearest named element, and the outermost article, that a node is in
+    readers = set()  # nodes among reader comments
+    free, links, size = Counter(), Counter(), Counter()  # characters of holders outside and in links, and of articles
+    for node in nodes:  # parents come first
+        up = node.parent
+        holder[node] = node if node.soft else holder.get(up)
+        room[node] = room.get(up) or (node if node.tag in MAIN else None)
+        if node.soft == COMMENT or up in readers:
+            readers.add(node)
+        for child in node.children:
+            if not isinstance(child, Node):
+                n = len(BLANK.sub(" ", clean(child[0])).strip())
+                (links if child[1] else free)[holder[node]] += n
+                if room[node] is not None and holder[node] is holder[room[node]] and not child[1]:
+                    size[room[node]] += n
+
+    named = [n for n in nodes if n.soft and n not in readers and free[n] > links[n]]
+    firm = max((n for n in size if holder[n] is None), key=lambda n: size[n], default=None)
+    if firm is not None:
+        inside = max((n for n in named if room[n] is firm), key=lambda n: free[n], default=None)
+        chosen = inside if inside is not None and free[inside] >= BULK_INSIDE * size[firm] else None
+    else:
+        chosen = max((n for n in size if n not in readers), key=lambda n: size[n], default=None)
+        if chosen is None:
+            heavy = max(named, key=lambda n: free[n], default=None)
+            chosen = heavy if heavy is not None and free[heavy] >= BULK * free[None] else None
+    out = set()
+    while chosen is not None:
+        out |= {chosen} if chosen.soft else set()
+        chosen = chosen.parent
+    if not any(free[h] + links[h] for h in (None, *out)):
+        out = {n for n in nodes if n.soft and n not in readers}
+        if not any(free[h] + links[h] for h in out):
+            out = {n for n in nodes if n.soft}
+    return out
+
+
+def drop_named(nodes: list[Node]) -> list[Node]:
+    """The nodes that stay once named parts are cut."""
+    stay = kept(nodes)
+    for parent in {n.parent for n in nodes if n.soft and n not in stay}:
+        parent.children = [c for c in parent.children if not isinstance(c, Node) or not c.soft or c in stay]
+    return in_order(nodes[0])
+
+
 def weigh(nodes: list[Node]) -> None:
     """Characters, tags and links of each subtree, then densities and sums of densities."""
     for node in reversed(nodes):
@@ -297,6 +358,8 @@ def main_text(page: str | None) -> str:
         return ""
     tree = Tree(page)
     nodes = in_order(tree.root)
+    if tree.named:
+        nodes = drop_named(nodes)
     weigh(nodes)
     mark(nodes)
     return "\n\n".join(blocks(tree.root))
