@@ -23,8 +23,14 @@ from pyspark.sql import functions as F
 from tablecloak.llm.common import SPACE, words
 
 WINDOW = 5
+#: Words of a block in which different words are counted, and the least words of a text's last block. The share of
+#: different words in a whole text falls with its length, that in blocks does not.
+BLOCK, LEAST_BLOCK = 200, 50
+#: Scripts written without spaces, and the ranges of their punctuation.
+SPACELESS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+WIDE_SIGNS = r"\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
-            "n_bangs", "n_distinct")
+            "n_bangs", "n_distinct", "n_spaceless", "n_block_words", "n_block_distinct")
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,8 @@ RULES = (
     Rule(6, "capitals", "2 * n_upper > word_chars"),
     Rule(7, "exclamations", "10 * n_bangs > 3 * n_words"),
     Rule(8, "few_distinct_words", "n_words >= 50 AND 10 * n_distinct < n_words"),
+    Rule(9, "few_words_in_blocks", "10 * n_block_distinct < n_block_words"),
+    Rule(10, "long_spaced_words", "word_chars - n_spaceless > 20 * n_words"),
 )
 BASE_RULES = ("few_words", "repeated_words")
 #: Policies by version: the rules that reject.
@@ -54,8 +62,11 @@ POLICIES = {
     "v2": (*BASE_RULES, "symbols", "duplicate_lines"),
     "v3": (*BASE_RULES, "symbols", "duplicate_lines", "long_words", "short_words", "capitals", "exclamations",
            "few_distinct_words"),
+    # in place of long_words and few_distinct_words those that hold for every script and length
+    "v4": (*BASE_RULES, "symbols", "duplicate_lines", "short_words", "capitals", "exclamations", "few_words_in_blocks",
+           "long_spaced_words"),
 }
-CURRENT = "v3"
+CURRENT = "v4"
 
 
 def policy_mask(rules) -> int:
@@ -93,6 +104,17 @@ def _repeat_words() -> Column:
     return F.get(F.transform(F.array(placed), covered), 0)
 
 
+def _blocks(w: Column, n: Column) -> Column:
+    """The blocks of a text's words, its last one only if it is long enough."""
+    starts = F.when(n >= LEAST_BLOCK, F.sequence(F.lit(1), n - LEAST_BLOCK + 1, F.lit(BLOCK))).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(w, i, BLOCK))
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
+
+
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and the measurements of each document."""
     base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -104,7 +126,11 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         _count(t, "#*$%&|<>").alias("n_symbols"), F.size("_l").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         _count(t, r"\p{Lu}").alias("n_upper"),
-        _count(t, "!").alias("n_bangs"), F.size(F.array_distinct(w)).alias("n_distinct"))
+        _count(t, "!").alias("n_bangs"), F.size(F.array_distinct(w)).alias("n_distinct"),
+        _count(t, "".join(rf"\p{{Is{s}}}" for s in SPACELESS) + WIDE_SIGNS).alias("n_spaceless"))
+    counted = counted.withColumn("_b", _blocks(w, F.col("n_words"))).withColumns({
+        "n_block_words": _total(F.transform("_b", F.size)),
+        "n_block_distinct": _total(F.transform("_b", lambda b: F.size(F.array_distinct(b))))})
     hashed = counted.withColumn("_h", F.when(F.col("n_words") > WINDOW, _windows(
         w, F.col("n_words"), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)]))))
     repeats = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _repeat_words()).otherwise(0)
@@ -170,12 +196,16 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 cov AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM
         (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
-m AS (SELECT p.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(t, '[^{"".join(rf"\p{{{s}}}" for s in SPACELESS)}{WIDE_SIGNS}]+', '', 'g'))::BIGINT AS n_spaceless,
+             coalesce(list_sum(list_transform(b, lambda x: len(x))), 0)::BIGINT AS n_block_words,
+             coalesce(list_sum(list_transform(b, lambda x: len(list_distinct(x)))), 0)::BIGINT AS n_block_distinct,
              len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper,
              length(regexp_replace(t, '[^!]+', '', 'g'))::BIGINT AS n_bangs, len(list_distinct(w))::BIGINT AS n_distinct
-      FROM p LEFT JOIN cov USING (doc_id))"""
+      FROM (SELECT *, list_transform(range(1, len(w) - {LEAST_BLOCK} + 2, {BLOCK}), lambda i: w[i:i + {BLOCK} - 1]) AS b FROM p)
+      LEFT JOIN cov USING (doc_id))"""
 _BITS = " + ".join(f"CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
 LEDGER_CTES = f"{_PARTS}, g AS (SELECT *, ({_BITS})::BIGINT AS failure_bits FROM m)"
 SQL = f"""WITH {LEDGER_CTES.strip()}
