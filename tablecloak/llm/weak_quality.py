@@ -4,7 +4,9 @@ Overlapping heuristics each vote junk, good or abstain. Expectation-maximisation
 vote patterns in the whole table (at most 3 to the number of labellers rows) estimates the share of good
 rows and of each kind of junk, and how each labeller votes on them. The posteriors label a bounded sample
 (SAMPLE documents, first by a hash of the id), on which a linear scorer over hashed features is fitted:
-class trigrams of the characters and buckets of the measurements. The scorer then judges every row.
+class trigrams of the characters and buckets of the measurements. The scorer then judges every row (of fewer
+than WORDS words the posterior does). No measure depends on the length of a text or on its script: different
+words are counted in blocks, and characters of scripts without spaces make no long words.
 
 Edge cases: null, empty and blank texts have no words; all labellers but the one on length abstain,
 and such rows are not kept; repeated rows are judged each on their own; a text of any length is
@@ -29,22 +31,34 @@ SAMPLE = 4000
 FEATURES = 1024
 JUNK, GOOD, ABSTAIN = 1, 0, 2
 #: Measurements per document.
-MEASURES = ("words", "letters", "upper", "digits", "symbols", "bangs", "bars", "distinct", "distinct_pairs", "pairs")
+MEASURES = ("words", "letters", "upper", "digits", "symbols", "bangs", "bars", "spaced", "block_words", "block_distinct",
+            "block_pairs", "block_places")
+#: Words of a block in which different words and pairs are counted (their share in a whole text falls with its
+#: length), and the least words of a text's last block but for its only one.
+BLOCK, LEAST_BLOCK = 200, 20
+#: Words from which on a text is scored.
+WORDS = 4
+#: Rows that the prior of a class weighs as much as.
+PRIOR = 5
+#: First bytes (and ranges of second bytes) of characters of scripts without spaces in UTF-8.
+WIDE_LEADS = range(0xE3, 0xEA)
+WIDE_SECONDS = {0xE0: range(0xB8, 0xBC), 0xE1: (0x80, 0x81, 0x82, 0x9E, 0x9F)}
+WIDE = 8
 #: Labellers: name, numerator, denominator, least words; junk above or below, good below or above.
 LABELLERS = (
     ("symbols", "symbols", "words", 1, (">", 0.3), ("<", 0.05)),
     ("capitals", "upper", "letters", 3, (">", 0.5), ("<", 0.2)),
     ("exclamations", "bangs", "words", 1, (">", 0.3), ("<", 0.05)),
     ("bars", "bars", "words", 1, (">", 0.3), ("<", 0.05)),
-    ("distinct_words", "distinct", "words", 20, ("<", 0.08), (">", 0.2)),
-    ("distinct_pairs", "distinct_pairs", "pairs", 20, ("<", 0.35), (">", 0.6)),
-    ("word_length", "letters", "words", 3, (">", 20.0), ("<", 14.0)),
+    ("distinct_words", "block_distinct", "block_words", 20, ("<", 0.08), (">", 0.2)),
+    ("distinct_pairs", "block_pairs", "block_places", 20, ("<", 0.35), (">", 0.6)),
+    ("word_length", "spaced", "words", 3, (">", 20.0), ("<", 14.0)),
     ("length", "words", "one", 0, ("<", 1.0), (">", 8.0)),
 )
 
 
 def _class_table() -> np.ndarray:
-    """Ten classes of bytes; a part of a character beyond ASCII counts as a small letter."""
+    """Ten classes of bytes; a character beyond ASCII counts as a small letter."""
     out = np.full(256, 1, np.int64)
     out[:128] = 8
     for k, characters in enumerate(("", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789",
@@ -57,16 +71,52 @@ def _class_table() -> np.ndarray:
 CLASS = _class_table()
 
 
+def character_kinds(data: np.ndarray) -> np.ndarray:
+    """The class of the character that begins at each byte, -1 within a character; WIDE for scripts without spaces."""
+    kind = CLASS[data]
+    kind[(data & 0xC0) == 0x80] = -1
+    wide = (data >= WIDE_LEADS[0]) & (data <= WIDE_LEADS[-1])
+    for first, seconds in WIDE_SECONDS.items():
+        at = np.flatnonzero(data[:-1] == first)
+        wide[at[np.isin(data[at + 1], list(seconds))]] = True
+    kind[wide] = WIDE
+    return kind
+
+
+def in_blocks(word: np.ndarray, doc: np.ndarray, per_doc: np.ndarray) -> dict[str, np.ndarray]:
+    """By document: words in blocks and pairs that begin with them, and how many of each block differ."""
+    n = len(per_doc)
+    blocks = -(-per_doc // BLOCK)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    block = np.repeat(np.cumsum(blocks) - blocks, per_doc) + place // BLOCK
+    size = np.bincount(block, minlength=int(blocks.sum()))
+    counted = (size[block] >= LEAST_BLOCK) | (place < BLOCK)
+    of = np.repeat(np.arange(n), blocks)  # the document of each block
+    follows = counted.copy()
+    follows[:-1] &= doc[1:] == doc[:-1]
+    follows[-1:] = False
+    pair = near_dup.mix(word * near_dup._BASE + np.roll(word, -1))
+    out = {"block_words": np.bincount(doc[counted], minlength=n),
+           "block_places": np.maximum(np.bincount(doc[follows], minlength=n), 1)}
+    for name, value, there in (("block_distinct", word, counted), ("block_pairs", pair, follows)):
+        both = np.sort(block[there].astype(np.uint64) << np.uint64(40) | value[there] >> np.uint64(24))
+        new = both[np.concatenate((np.ones(min(1, len(both)), bool), both[1:] != both[:-1]))]
+        out[name] = np.bincount(of[(new >> np.uint64(40)).astype(np.int64)], minlength=n)
+    return out
+
+
 def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Measurements of documents that lie one after another."""
+    """Measurements of documents that lie one after another, in characters and words."""
     n = len(offsets) - 1
+    kind = character_kinds(data)
+    begins = kind >= 0
     doc = np.repeat(np.arange(n) * 10, np.diff(offsets))
-    count = np.bincount(doc + CLASS[data], minlength=n * 10).reshape(n, 10).T
+    count = np.bincount(doc[begins] + kind[begins], minlength=n * 10).reshape(n, 10).T
     word, in_doc, words = near_dup.word_table(data, offsets)
-    distinct = [np.bincount(near_dup.shingles(word, in_doc, words, k)[1], minlength=n) for k in (1, 2)]
-    return {"words": words, "letters": count[1] + count[2], "upper": count[2], "digits": count[3],
-            "symbols": count[6], "bangs": count[7], "bars": count[9], "distinct": distinct[0],
-            "distinct_pairs": distinct[1], "pairs": np.maximum(words - 1, 1), "one": np.ones(n, np.int64)}
+    spaced = count[1] + count[2]
+    return {"words": words, "letters": spaced + count[WIDE], "upper": count[2], "digits": count[3],
+            "symbols": count[6], "bangs": count[7], "bars": count[9], "spaced": spaced,
+            "one": np.ones(n, np.int64), **in_blocks(word, in_doc, words)}
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
@@ -92,10 +142,12 @@ def features(data: np.ndarray, offsets: np.ndarray, m: dict[str, np.ndarray]) ->
     n = len(offsets) - 1
     out = np.zeros((n, FEATURES), np.float32)
     if len(data) >= 3:
-        kinds = CLASS[data]
+        kinds = character_kinds(data)
+        kinds[kinds == WIDE] = 1  # letters like any others
+        doc = np.repeat(np.arange(n), np.diff(offsets))[kinds >= 0]
+        kinds = kinds[kinds >= 0]
         code = kinds[:-2] * 100 + kinds[1:-1] * 10 + kinds[2:]
         place = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
-        doc = np.repeat(np.arange(n), np.diff(offsets))
         same = doc[:-2] == doc[2:]
         out += np.bincount(doc[:-2][same] * FEATURES + place[same], minlength=n * FEATURES).reshape(n, FEATURES)
         out /= np.maximum(out.sum(1, keepdims=True), 1)
@@ -123,39 +175,43 @@ class LabelModel:
         p = np.exp(log - log.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
+    def junk(self) -> np.ndarray:
+        """The classes that are a kind of junk: their own labeller blames most of their rows."""
+        own = np.array([self.likely[k][k + 1, JUNK] for k in range(len(self.likely))])
+        return np.concatenate(([False], own > 0.5))
+
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """Probability of junk of any kind."""
-        return 1 - self.classes(v)[:, 0]
+        return self.classes(v)[:, self.junk()].sum(1)
 
     def accuracies(self) -> dict[str, tuple[float, float]]:
         """Per labeller how often a vote on good, and on junk, is right."""
-        junk = self.share[1:] / self.share[1:].sum()
-        return {name: (float(self.likely[k][0, GOOD]), float(junk @ self.likely[k][1:, JUNK]))
+        kinds = self.junk()
+        good, bad = (self.share * x / max((self.share * x).sum(), 1e-12) for x in (~kinds, kinds))
+        return {name: (float(good @ self.likely[k][:, GOOD]), float(bad @ self.likely[k][:, JUNK]))
                 for k, (name, *_) in enumerate(LABELLERS)}
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
     """Expectation-maximisation over vote patterns. Labellers look for different faults, so one class of
     junk could not explain that most of them find a document good; each kind starts from the rows
-    whose first junk vote is its labeller's. Abstaining tells nothing about the class."""
+    whose first junk vote is its labeller's. Abstaining tells nothing about the class. Votes alone cannot tell a
+    fault that one labeller sees from false alarms that meet no other vote; the start reads both as junk."""
     v = votes_of(patterns)
-    k_all = len(LABELLERS)
     junk = v == JUNK
-    p = np.full((len(v), 1 + k_all), 0.02 / k_all)
+    p = np.full((len(v), 1 + len(LABELLERS)), 0.02 / len(LABELLERS))
     p[np.arange(len(v)), np.where(junk.any(1), 1 + junk.argmax(1), 0)] = 0.98
-    total = counts.sum()
-    pseudo = 0.001 * total + 1
+    k_all = v.shape[1]
+    said = np.stack([(v == x).astype(float) for x in (GOOD, JUNK)])  # votes x patterns x labellers
+    # the prior: a labeller seldom blames a row but for its own kind of junk
+    lean = np.full((k_all, 1 + k_all, 2), (0.99, 0.01))
+    lean[np.arange(k_all), 1 + np.arange(k_all)] = (0.01, 0.99)
     for _ in range(rounds):
         weight = counts[:, None] * p
-        share = weight.sum(0) + pseudo / 10
+        share = weight.sum(0) + PRIOR / 10
+        seen = np.stack([x.T @ weight for x in said], 2)
         likely = np.ones((k_all, 1 + k_all, 3))
-        for k in range(k_all):
-            for c in range(1 + k_all):
-                seen = np.array([weight[v[:, k] == x, c].sum() for x in (GOOD, JUNK)])
-                # the prior: a labeller seldom blames a good row, and its own kind it does blame
-                made_up, lean = ((total, (0.999, 0.001)) if c == 0 else
-                                 (pseudo, (0.1, 0.9) if c == k + 1 else (0.5, 0.5)))
-                likely[k, c, :2] = (seen + made_up * np.array(lean)) / (seen.sum() + made_up)
+        likely[:, :, :2] = (seen + PRIOR * lean) / (seen.sum(2, keepdims=True) + PRIOR)
         model = LabelModel(share / share.sum(), likely)
         new = model.classes(v)
         if np.abs(new - p).max() < 1e-9:
@@ -251,7 +307,7 @@ def classify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             for at, data, offsets in n.text_chunks(batch.column(1)):
                 m = w.measure_chunk(data, offsets)
                 v = w.votes(m)
-                score = w.scores(model.weights, w.features(data, offsets, m))
+                score = w.judged(model, data, offsets, m, v)
                 letters = ["".join("gj-"[i] for i in r) for r in v]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(v)), pa.array(letters), pa.array(model.labels.posterior(v)),
@@ -278,7 +334,7 @@ def filter_quality(docs: DataFrame, model: Model | None, text: str = "text") ->
         for batch in batches:
             for at, data, offsets in n.text_chunks(batch.column(place)):
                 m = w.measure_chunk(data, offsets)
-                kept = (w.scores(model.weights, w.features(data, offsets, m)) < 0.5) & (m["words"] > 0)
+                kept = (w.judged(model, data, offsets, m, w.votes(m)) < 0.5) & (m["words"] > 0)
                 yield batch.slice(at, len(kept)).filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
@@ -288,6 +344,13 @@ def scores(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x @ weights[:-1] + weights[-1]).astype(float), -30, 30)))
 
 
+def judged(model: Model, data: np.ndarray, offsets: np.ndarray, m: dict[str, np.ndarray], v: np.ndarray) -> np.ndarray:
+    """The scorer's probability of junk. A text of fewer words than WORDS has too few trigrams to score, so there it
+    is the label model's."""
+    score = scores(model.weights, features(data, offsets, m))
+    return np.where(m["words"] < WORDS, model.labels.posterior(v), score)
+
+
 def label_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Fit on the rows and judge all of them."""
     return classify(docs, fit(docs, key, text, sample), key, text)

@@ -188,6 +188,49 @@ def test_label_model_finds_accuracies():
     assert ((model.posterior(votes) > 0.5) == junk).mean() > 0.98
 
 
+@pytest.mark.parametrize("false_alarms", [0.002, 0.01])
+def test_label_model_tells_false_alarms_from_junk(false_alarms):
+    """Junk that several labellers see, and good rows that each of them blames now and then."""
+    pick, k = np.random.default_rng(5), len(weak_quality.LABELLERS)
+    junk = pick.random(40000) < 0.2
+    right = np.linspace(0.6, 0.9, k)
+    votes = np.where(junk[:, None], pick.random((40000, k)) < right, pick.random((40000, k)) < false_alarms).astype(int)
+    patterns, counts = np.unique(weak_quality.pattern_of(votes), return_counts=True)
+    model = weak_quality.fit_labels(patterns, counts.astype(float))
+    assert max(abs(good - (1 - false_alarms)) for good, _ in model.accuracies().values()) < 0.02
+    assert ((model.posterior(votes) > 0.5) == junk).mean() > 0.95
+
+
+def zipf_text(n):
+    pick = random.Random(1)
+    known = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randint(2, 9))) for _ in range(9000)]
+    words = pick.choices(known, [1 / (i + 2) for i in range(9000)], k=n)
+    return " ".join(w + ("." if i % 12 == 11 else "") for i, w in enumerate(words))
+
+
+def chinese_text():
+    pick = random.Random(2)
+    return "。\n".join("".join(chr(0x4E00 + int(pick.paretovariate(1) * 40) % 5000) for _ in range(pick.randint(8, 40)))
+                       for _ in range(60))
+
+
+def test_length_and_script_reject_nothing(spark):
+    """A long text of a language with finitely many words, and one of a script without spaces, are as clean as others."""
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    both = spark.createDataFrame([(-1, zipf_text(150_000)), (-2, chinese_text())], "doc_id bigint, text string")
+    assert all(r.kept and not r.base_failed for r in quality_rules.judge(both).collect())
+    judged = weak_quality.classify(both, weak_quality.fit(docs)).collect()
+    assert all(r.kept and "j" not in r.votes for r in judged)
+
+
+def test_blocks_of_words():
+    texts = ["a b a b", "x " * 450, " ".join(map(str, range(230))), "", "one"]
+    data = "".join(texts).encode()
+    m = weak_quality.measure_chunk(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    assert m["block_words"].tolist() == [4, 450, 230, 0, 1] and m["block_distinct"].tolist() == [2, 3, 230, 0, 1]
+    assert m["block_pairs"].tolist() == [2, 3, 229, 0, 0] and m["block_places"].tolist() == [3, 449, 229, 1, 1]
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>var t="</p>";</script></head><body>
@@ -224,7 +267,37 @@ def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20000 + "text", "<b>" * 20000 + "<p>text</p>" * 20000,
+BODY = "<h1>Title</h1>" + "".join(f"<p>Sentence {i} of the article has a fair number of words in it.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout-with-sidebar"><article>{}</article><div class="sidebar">Links to other things</div></div>',
+    '<form id="aspnetForm"><div class="menu">Home</div>{}<input></form>', '<div class="page-search">{}</div><p>c</p>',
+    '<div id="main-content" class="post social-post">{}<div class="comments"><p>' + "a reader writes " * 200 + "</p></div></div>",
+    '<main><div class="widget-area">{}</div></main>', '<div class="comments-on"><div class="promo-box"><article>{}</article></div></div>',
+    '<div role="search"><div class="ad-free">{}</div></div>'])
+def test_layouts_named_after_their_parts(page):
+    want = html_text.main_text(f"<article>{BODY}</article>").split("\n\n")
+    got = html_text.main_text(f"<body><nav>n</nav>{page.format(BODY)}<footer>f</footer></body>").split("\n\n")
+    assert [x for x in got if x != "c"] == want and len(want) == 13
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_layouts(seed):
+    """Wrappers of any name around the article, parts of any name beside it: the blocks of the article remain."""
+    rng = random.Random(seed)
+    names = sorted(html_text.CUT_NAMES - html_text.COMMENTS)
+    name = lambda: rng.choice(names) if rng.random() < 0.6 else rng.choice(["wrap", "content", "page", "col-8"])
+    body = BODY if rng.random() < 0.5 else f"<article>{BODY}</article>"
+    for _ in range(rng.randint(0, 4)):
+        side = [f'<div class="{rng.choice(names)}"><a href="#">one</a> <a href="#">two</a> more</div>' for _ in range(rng.randint(0, 2))]
+        tag = rng.choice(["div", "div", "section", "form"])
+        body = f'{"".join(side)}<{tag} class="{name()}" id="{name()}">{body}</{tag}><ul class="{rng.choice(names)}"><li><a href="#">x</a></ul>'
+    page = f'<html><head><title>t</title></head><body class="{name()}"><header>Head</header>{body}<section class="comments">{"A comment of a reader. " * 60}</section></body></html>'
+    assert html_text.main_text(page).split("\n\n") == html_text.main_text(f"<article>{BODY}</article>").split("\n\n")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "text", "<div class=ad>" * 20000 + "text", "<div class=reply><div id=nav>" * 9000 + "text", "<b>" * 20000 + "<p>text</p>" * 20000,
                                   "<div>" * 2000 + "text" + "</section>" * 50000, "text<a href=\"x" * 20000, "text<!" * 50000])
 def test_broken_pages_take_linear_time(page):
     start = time.time()
