@@ -1,9 +1,11 @@
 """Hierarchical packing of documents into training sequences of several context sizes.
 
-A document's remainder below the longest context goes to the shortest tier that holds it. Each
-long window starts with the longest waiting piece and its gap is filled from ever shorter tiers;
-only where no waiting piece fits is one cut. When a task ends, the tokens left fill windows of
-the shorter context sizes (powers of two), so no window needs padding. Sequences are dealt to
+A document's remainder below the longest context goes to the shortest tier that holds it. Each tier
+is packed into windows of its own size: a window starts with the longest piece that waits in its tier, and its
+gap is filled with the longest waiting piece that fits, from its own and ever shorter tiers. A part of the shorter
+pieces is left for the gaps of the longer windows. Pieces wait by length, so whatever fits is found; only
+where no waiting piece fits is one cut. When a task ends, the tokens left fill windows of
+ever shorter context sizes (powers of two), so no window needs padding. Sequences are dealt to
 step groups in order of their attention cost, back and forth, which evens out the groups.
 
 Documents are packed within the task that encodes them: ids are never shuffled, a task holds a
@@ -19,6 +21,7 @@ exactly one piece.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,8 +37,8 @@ TIERS = (128, 256, 512, 1024, 2048)
 CLOSING_ID = 1
 #: Tokens that may wait in a task before windows are packed.
 WAITING = 64 * CONTEXT
-#: Pieces of a tier that are looked at for one that fits a gap.
-LOOK = 32
+#: Windows of its own that a shorter tier gets at most: one in so many of those that its tokens would fill.
+SHARE = 2
 STEP_SEQUENCES = 8
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, sequence_length int, tier int, step_group bigint")
@@ -62,14 +65,28 @@ class TierPacker:
     ready: list[tuple[int, list[Piece]]] = field(default_factory=list)
 
     def __post_init__(self):
-        self.pools = {t: deque() for t in sorted(self.tiers)}
+        self.tiers = tuple(sorted(self.tiers))
+        self.pieces: dict[int, deque[Piece]] = {}
+        self.lengths: list[int] = []  # of waiting pieces, rising
         self.waiting = 0
 
     def _wait(self, piece: Piece) -> None:
         n = len(piece.ids)
-        self.pools[next(t for t in self.pools if t >= n)].append(piece)
+        if n not in self.pieces:
+            self.pieces[n] = deque()
+            insort(self.lengths, n)
+        self.pieces[n].append(piece)
         self.waiting += n
 
+    def _take(self, place: int) -> Piece:
+        """The piece that waits longest of those of one length."""
+        n = self.lengths[place]
+        piece = self.pieces[n].popleft()
+        if not self.pieces[n]:
+            del self.pieces[n], self.lengths[place]
+        self.waiting -= n
+        return piece
+
     def add(self, doc: int, ids: np.ndarray) -> None:
         whole = len(ids) // self.context * self.context
         for k in range(0, whole, self.context):
@@ -77,31 +94,33 @@ class TierPacker:
         if whole < len(ids):
             self._wait(Piece(doc, whole, ids[whole:], len(ids)))
         if self.waiting > WAITING:
-            while self.waiting > WAITING // 2:
+            self._pack_tiers()
+
+    def _pack_tiers(self) -> None:
+        """Windows of each tier from its own pieces, the longest tier first, until half of the tokens wait."""
+        while self.waiting > WAITING // 2:
+            for size, below in zip(self.tiers[::-1], (*self.tiers[-2::-1], 0)):
+                own = self.lengths[bisect_right(self.lengths, below):bisect_right(self.lengths, size)]
+                tokens = sum(n * len(self.pieces[n]) for n in own)
+                for _ in range(-(-tokens // size) if size == self.context else tokens // size // SHARE):
+                    if self.waiting >= size and self.waiting > WAITING // 2:
+                        self._window(size)
+            if self.waiting > WAITING // 2:
                 self._window(self.context)
 
-    def _take(self, gap: int) -> Piece:
-        """A waiting piece for the gap, from the longest tier that has one which fits; else the head
-        of a piece of the shortest tier."""
-        for tier in reversed(self.pools):
-            pool = self.pools[tier]
-            for k in range(min(LOOK, len(pool))):
-                if len(pool[k].ids) <= gap:
-                    piece = pool[k]
-                    del pool[k]
-                    self.waiting -= len(piece.ids)
-                    return piece
-        pool = next(p for p in self.pools.values() if p)
-        piece = pool.popleft()
-        self.waiting -= len(piece.ids)
-        head, tail = piece.cut(gap)
+    def _fitting(self, gap: int) -> Piece:
+        """The longest waiting piece that fits the gap, else the head of the shortest one."""
+        place = bisect_right(self.lengths, gap) - 1
+        if place >= 0:
+            return self._take(place)
+        head, tail = self._take(0).cut(gap)
         self._wait(tail)
         return head
 
     def _window(self, size: int) -> None:
         pieces, gap = [], size
         while gap:
-            pieces.append(self._take(gap))
+            pieces.append(self._fitting(gap))
             gap -= len(pieces[-1].ids)
         self.ready.append((size, pieces))
 
