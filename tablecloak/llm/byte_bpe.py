@@ -31,6 +31,8 @@ JOINED = 2000
 BUILT_IN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space (of Unicode, and the separators) before a space.
 _UNSAFE = (r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
+#: An empty chunk, or one that ends in white space.
+_ENDING = r"(?:^|[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\z"
 
 _LOADED: dict[tuple, "Encoder"] = {}
 
@@ -76,7 +78,8 @@ class Encoder:
     A chunk is a space with what follows up to the next space. Where no white space stands before a
     space, no match of the pattern crosses the start of a chunk, so a text's ids are those of its
     chunks. Distinct chunks are encoded many at a time, as one text, and cut by the bytes of the
-    tokens. Texts with white space before a space are encoded one by one."""
+    tokens; those that are empty or end in white space, which only end a text, are encoded one by one, as are texts
+    with white space before a space."""
 
     def __init__(self, tokenizer):
         tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
@@ -87,15 +90,24 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks, one after another, and the count of each."""
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, where each chunk's begin, and their count."""
+        last = pc.match_substring_regex(chunks, _ENDING).to_numpy(zero_copy_only=False)
+        joined, lone = chunks.filter(pa.array(~last)), chunks.filter(pa.array(last))
         ids = [np.zeros(0, "<u4")]
-        for k in range(0, len(chunks), JOINED):
-            ids += self.ids([" " + " ".join(chunks.slice(k, JOINED).to_pylist())])
+        for k in range(0, len(joined), JOINED):
+            ids += self.ids([" " + " ".join(joined.slice(k, JOINED).to_pylist())])
         ids = np.concatenate(ids)
-        ends = np.cumsum(pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        ends = np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right")
-        return ids, np.diff(at, prepend=0)
+        alone = self.ids([" " + x for x in lone.to_pylist()])
+        counts = np.zeros(len(chunks), np.int64)
+        starts = np.zeros(len(chunks), np.int64)
+        counts[~last] = np.diff(at, prepend=0)
+        starts[~last] = np.concatenate(([0], at))[:len(at)]
+        counts[last] = [len(x) for x in alone]
+        starts[last] = len(ids) + np.cumsum(counts[last]) - counts[last]
+        return np.concatenate((ids, *alone)), starts, counts
 
     def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Runs of rows: the first row, the ids of all, and where each row's begin and end."""
@@ -116,12 +128,11 @@ class Encoder:
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = len(coded.dictionary)
-        ids, counts = self._chunks(coded.dictionary)
+        ids, starts, counts = self._chunks(coded.dictionary)
         # a text's first chunk has no space before it, and some texts are one chunk
         first = coded.dictionary.take(pa.array(codes[bounds[:-1]])).to_pylist()
         whole = alone.to_pylist()
         heads = self.ids([t.as_py() if w else f for t, w, f in zip(texts, whole, first)])
-        starts = np.cumsum(counts) - counts
         starts = np.concatenate((starts, len(ids) + np.cumsum([0] + [len(h) for h in heads[:-1]])))
         counts = np.concatenate((counts, [len(h) for h in heads]))
         ids = np.concatenate((ids, *heads)).astype("<u4")
