@@ -14,7 +14,8 @@ double precision on the original vectors, added up in order of the coordinates.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do those of another dimension than most (ties: the larger); ties of scores go to the smaller id;
-repeated rows of an id are one candidate; fewer candidates than `k` give all of them; other columns
+of several rows of an id, candidates or queries, only the one
+with the smallest vector counts; fewer candidates than `k` give all of them; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -222,11 +223,12 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     if found.m is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     d, shards = found.m.d, max(1, round(found.total / shard))
-    rows_, queries_ = (plain(x).filter(F.size("v") == d) for x in (rows, queries))
+    # one row for each id, so that an id belongs to one class and the smallest id names it
+    rows_, queries_ = (plain(x).filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")) for x in (rows, queries))
 
     # the smallest ids of each class; the rank limit acts before the shuffle, so a hot class stays small
     in_class = Window.partitionBy("v").orderBy("id")
-    best = rows_.distinct().withColumn("r", F.row_number().over(in_class)).filter(F.col("r") <= k + 1)
+    best = rows_.withColumn("r", F.row_number().over(in_class)).filter(F.col("r") <= k + 1)
     classes = scratch.keep(best.groupBy("v").agg(F.min("id").alias("class"), F.sort_array(F.collect_list("id")).alias("ids")))
     dealt = classes.select("class", "v", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int").alias("shard"))
 
@@ -248,7 +250,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
 
     # every block of queries meets every shard
     blocks = max(1, -(-queries_.count() // BLOCK))
-    asked = queries_.dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = queries_.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

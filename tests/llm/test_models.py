@@ -137,6 +137,13 @@ def test_neighbours_of_odd_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_counts_once(spark):
+    rows = [(1, [0.0, 1.0]), (1, [1.0, 0.0]), (20, [0.5, 0.0]), (20, [1.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 20 = 0")).collect())
+    assert got == [(1, 2, 0.5), (2, 1, 0.0), (3, 3, 0.0)]
+
+
 def test_many_copies_and_unequal_norms_over_shards(spark):
     pick = np.random.default_rng(2)
     vectors = pick.normal(size=(400, 8)) * pick.uniform(0.1, 5, (400, 1))
