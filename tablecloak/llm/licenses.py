@@ -16,7 +16,7 @@ of bounded number and size, sent to every executor; the work is one pass over th
 
 Edge cases: null, empty and blank texts have no units and no licence; ties go to the template first
 by name; repeated lines count each in `n_matches`, as do windows that share no word; rows
-of one id are judged together, by line number; long texts
+of one id are judged each by its text, also those without an id; long texts
 are split into lines whole; only the named columns are read; an empty table gives an empty result.
 """
 
@@ -245,19 +245,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     texts = [*TEMPLATES.items(), *TEXTS] if templates is None else list(templates.items())
     known = [(name, pairs) for name, body in texts if (pairs := template_bigrams(body))]
     # a unit at the threshold holds a window at the threshold, so no unit is lost
-    likely = docs.select(F.col(key), F.col(text)).filter(F.lower(text).rlike(hint(known, threshold)))
+    own = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))  # rows of one id and text are alike
+    texts_ = docs.select(own.alias("_own"), F.col(text).alias("_text"))
+    likely = texts_.filter(F.lower("_text").rlike(hint(known, threshold)))
     # no filter on the windows: it would be moved below and score them once more
-    windows = likely.select(key, windows_of(unit_words(F.col(text)), known, threshold).alias("_f"))
+    windows = likely.select("_own", windows_of(unit_words(F.col("_text")), known, threshold).alias("_f"))
     top = F.array_min(F.transform("_f", lambda x: F.struct((-x["dice"]).alias("order"), x["license"].alias("license"),
                                                           x["dice"].alias("dice"))))
     none = F.lit(None)
-    rows = windows.select(key, top.alias("b"), apart(F.col("_f")).alias("w"), none.cast("int").alias("unit_no"))
-    units = matches(likely, key, text, templates, threshold).select(
-        key, none.cast("struct<order:double,license:string,dice:double>").alias("b"), none.cast("int").alias("w"), "unit_no")
-    best = rows.unionByName(units).groupBy(key).agg(
+    rows = windows.select("_own", top.alias("b"), apart(F.col("_f")).alias("w"), none.cast("int").alias("unit_no"))
+    units = matches(likely, "_own", "_text", templates, threshold).select(
+        "_own", none.cast("struct<order:double,license:string,dice:double>").alias("b"), none.cast("int").alias("w"), "unit_no")
+    best = rows.unionByName(units).groupBy(F.col("_own").alias("_mine")).agg(
         F.min("b").alias("b"), F.greatest(F.max("w"), F.count_distinct("unit_no")).alias("n"))
-    return docs.select(key).join(best, key, "left").select(
-        key, F.col("b.license").alias("license"), F.col("b.dice").alias("dice"),
+    return texts_.select("_own").join(best, F.col("_own").eqNullSafe(F.col("_mine")), "left").select(
+        F.col("_own.key").alias(key), F.col("b.license").alias("license"), F.col("b.dice").alias("dice"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"))
 
 

@@ -303,3 +303,11 @@ def test_empty_training_and_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     ratios = queries.secret_ratios(none)
     assert secrets.report(none, ratios).count() == 0
+
+
+def test_licences_of_rows_without_an_id_and_of_one_id(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(None, mit), (1, mit), (1, f"x\n{apache}\ny\n{apache}"), (None, apache), (2, None), (3, mit), (3, mit)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, license string")
+    got = sorted((str(r.doc_id), r.license, r.n_matches) for r in licenses.scan(docs).collect() if r.doc_id != 2)
+    assert got == [("1", "Apache-2.0", 2), ("1", "MIT", 1), ("3", "MIT", 1), ("3", "MIT", 1), ("None", "Apache-2.0", 1), ("None", "MIT", 1)]
