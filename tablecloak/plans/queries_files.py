@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablecloak.functions import scalars
 from tablecloak.operators import catalog, dumptext, hooks, manifest
 from tablecloak.plans import views as v
 from tablecloak.plans.queries_catalog import KEY, NOTIFY_SQL
@@ -398,3 +399,48 @@ def z5(spark, sf):
     streams.run_latest(streams.weekly_trend_stream(log), f"{out}/data", f"{out}/ckpt", ["week_start"], 8)
     return streams.read_latest(spark, f"{out}/data").withColumn(
         "week_start", F.date_format("week_start", "yyyy-MM-dd"))
+
+
+@query("z2_violation_alerts", """SELECT 'event_type' AS "column", count(*) AS sniff_count FROM events
+    UNION ALL SELECT 'props', count(*) FILTER (WHERE length(props) > 5) FROM events""")
+def z2_alerts(spark, sf):
+    """One alert for each column that ever broke its post-condition; here all events come in one batch."""
+    out = scratch_path(spark, "z2a")
+    streams.run_alerts(streams.violation_alerts(_events_stream(spark, sf), _EVENTS), f"{out}/data", f"{out}/ckpt", 8)
+    return spark.read.parquet(f"{out}/data").select("column", "sniff_count")
+
+
+_RUNS = """(SELECT db_host, database, outcome, replace(timestamp, 'Z', '')::TIMESTAMP AS ts FROM audit
+    WHERE action = 'backup' AND outcome IN ('success', 'failure') AND db_host IS NOT NULL AND database IS NOT NULL)"""
+
+
+@query("z4_staleness_alerts", f"""SELECT db_host, database, 'stale' AS state, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_success,
+      strftime(max(ts) + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS at FROM {_RUNS} WHERE outcome = 'success' GROUP BY 1, 2
+    HAVING max(ts) + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {_RUNS})""", "audit")
+def z4_alerts(spark, sf):
+    """Pairs whose timer the log's own time has passed, without an event of theirs."""
+    out = scratch_path(spark, "z4a")
+    log = streams.read_audit_stream(spark, audit_text(spark, sf))
+    streams.run_alerts(streams.staleness_alerts(log), f"{out}/data", f"{out}/ckpt", 8)
+    when = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_success", "at")]
+    return spark.read.parquet(f"{out}/data").select("db_host", "database", "state", *when)
+
+
+_HALF = """(SELECT seq, size, ts, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week FROM (SELECT seq, size,
+      replace(timestamp, 'Z', '')::TIMESTAMP AS ts FROM audit WHERE action = 'backup' AND outcome = 'success'))"""
+
+
+@query("z5_late_lines", f"""SELECT fate, count(*) AS lines, coalesce(sum(try_cast(size AS BIGINT)), 0)::BIGINT AS bytes FROM (
+      SELECT *, CASE WHEN seq % 2 = 1 AND week + INTERVAL 7 DAY <= (SELECT max(ts) FROM {_HALF} WHERE seq % 2 = 0) - INTERVAL 7 DAY
+        THEN 'late' ELSE 'counted' END AS fate FROM {_HALF}) GROUP BY fate""", "audit")
+def z5_late(spark, sf):
+    """Half of the log comes a batch after the other: what it has for closed weeks is kept apart."""
+    out = scratch_path(spark, "z5l")
+    log = v.audit(spark, sf)
+    for half in (0, 1):
+        log.filter(F.col("seq") % 2 == half).write.mode("append").json(f"{out}/log")
+        stream = streams.read_audit_stream(spark, f"{out}/log")
+        streams.run_weekly_trend(stream, f"{out}/trend", f"{out}/ckpt")
+    late = spark.read.parquet(f"{out}/trend/late").select(F.lit("late").alias("fate"), F.lit(1).alias("lines"), scalars.coerce_int("size").alias("bytes"))
+    counted = streams.read_latest(spark, f"{out}/trend/weeks").select(F.lit("counted").alias("fate"), F.col("backups").alias("lines"), "bytes")
+    return late.unionByName(counted).groupBy("fate").agg(F.sum("lines").alias("lines"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tablecloak.functions.masks import DEFAULT_DOMAIN
 from tablecloak.functions.scalars import coerce_int, parse_iso_utc
@@ -25,9 +26,12 @@ def read_table_stream(spark: SparkSession, path: str, schema, name_glob: str = "
     return reader.parquet(path)
 
 
-def read_audit_stream(spark: SparkSession, path: str, schema: str = AUDIT) -> DataFrame:
+def read_audit_stream(spark: SparkSession, path: str, schema: str = AUDIT, files_per_trigger: int | None = None) -> DataFrame:
     """An audit log that grows by files of JSON lines; broken lines are skipped."""
-    return (spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    reader = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.json(path)
             .filter(F.col("timestamp").isNotNull() | F.col("action").isNotNull()))
 
 
@@ -56,6 +60,82 @@ def alert_stream(stream: DataFrame, on: str = "failure") -> DataFrame:
     return notify_filter(stream, on)
 
 
+def violation_alerts(stream: DataFrame, columns: Mapping[str, Mapping], domain: str = DEFAULT_DOMAIN) -> DataFrame:
+    """`(column, sniff_count)`: one alert when the violations of a column first exceed zero, with the count so far.
+
+    Only violating rows are shuffled, and a column's state is one counter, so a column is told of once, also
+    after a restart."""
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    checks = {n: violation(F.col(f"`{n}`"), spec, domain, types[n]) for n, spec in sorted(columns.items())}
+    flags = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items() if c is not None],
+                    F.lit(None).cast("string"))
+
+    # a local class travels with the task, so executors need no copy of this package
+    class FirstViolation(StatefulProcessor):
+        def init(self, handle):
+            self.count = handle.getValueState("count", "n long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            before = self.count.get()[0] if self.count.exists() else 0
+            now = before + sum(len(r) for r in rows)
+            self.count.update((now,))
+            if not before and now:
+                yield pd.DataFrame({"column": [key[0]], "sniff_count": [now]})
+
+        def close(self):
+            pass
+
+    return (stream.select(F.explode(F.array_compact(flags)).alias("column")).groupBy("column")
+            .transformWithStateInPandas(FirstViolation(), "column string, sniff_count long", "update", "None"))
+
+
+def staleness_alerts(stream: DataFrame, stale_after: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """`(db_host, database, state, last_success, at)` as pairs become stale and recover.
+
+    A pair's state is its last success. A timer stands `stale_after` later and moves with each new success;
+    when the log's own time (its newest finished backup, less `late`) passes it, the pair is stale, although no
+    event of its own came. The next success after that is its recovery."""
+    wait = int(stream.sparkSession.sql(f"SELECT CAST(INTERVAL {stale_after} AS INTERVAL DAY TO SECOND) AS i").first()["i"]
+               .total_seconds() * 1000)
+
+    class Staleness(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "success long, stale boolean")
+
+        def _row(self, key, state, last, at):
+            return pd.DataFrame({"db_host": [key[0]], "database": [key[1]], "state": [state],
+                                 "last_success": [pd.Timestamp(last, unit="ms")], "at": [pd.Timestamp(at, unit="ms")]})
+
+        def handleInputRows(self, key, rows, timerValues):
+            newest = max((int(t) for r in rows for t in r["success"].dropna()), default=None)
+            if newest is None:
+                return
+            before, stale = self.last.get() if self.last.exists() else (None, False)
+            if before is not None and newest <= before:
+                return
+            if before is not None and not stale:
+                self.handle.deleteTimer(before + wait)
+            self.last.update((newest, False))
+            self.handle.registerTimer(newest + wait)
+            if stale:
+                yield self._row(key, "recovered", newest, newest)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last, _ = self.last.get()
+            self.last.update((last, True))
+            yield self._row(key, "stale", last, expiredTimerInfo.getExpiryTimeInMs())
+
+        def close(self):
+            pass
+
+    runs = backup_runs(stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    success = F.when(F.col("outcome") == "success", F.unix_millis("ts"))
+    return (runs.select("db_host", "database", "ts", success.alias("success")).groupBy("db_host", "database")
+            .transformWithStateInPandas(Staleness(), "db_host string, database string, state string, last_success timestamp, "
+                                                     "at timestamp", "append", "EventTime"))
+
+
 def freshness_stream(stream: DataFrame) -> DataFrame:
     """Time of the last successful backup of each pair; the state is one row per pair."""
     return (backup_runs(stream).filter(F.col("outcome") == "success")
@@ -74,6 +154,42 @@ def weekly_trend_stream(stream: DataFrame, late: str = "7 days") -> DataFrame:
             .select(F.col("window.start").alias("week_start"), "backups", "bytes"))
 
 
+def run_weekly_trend(stream: DataFrame, out: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
+    """The weekly trend with every line accounted for: `<out>/weeks` holds the weeks, `<out>/late/batch=N` the lines
+    that a batch could not count any more, as their week had closed, or as their time is unreadable.
+
+    A week closes once the log's newest time, as earlier batches saw it, is `late` past its end. The newest time is
+    kept with the result, so a batch that is run again decides alike."""
+    spark = stream.sparkSession
+    ok = (stream.filter((F.col("action") == "backup") & (F.col("outcome") == "success"))
+          .withColumn("ts", parse_iso_utc("timestamp")))
+    week = F.expr("timestampadd(DAY, CAST(7 * floor(datediff(ts, DATE'1970-01-01') / 7) AS INT), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    columns = "week_start timestamp_ntz, backups bigint, bytes bigint, seen timestamp_ntz"
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        done = [n for n in _versions(spark, f"{out}/weeks") if n < batch_id]
+        last = spark.read.schema(columns).parquet(f"{out}/weeks/version={done[-1]}") if done else None
+        seen = last.agg(F.max("seen")).first()[0] if last is not None else None
+        placed = batch.withColumn("week_start", week)
+        open_ = F.lit(True) if seen is None else F.expr(
+            f"week_start + INTERVAL 7 DAYS > TIMESTAMP_NTZ'{seen}' - INTERVAL {late}")
+        counted = F.col("ts").isNotNull() & open_
+        placed.filter(~F.coalesce(counted, F.lit(False))).drop("week_start").write.mode("overwrite").parquet(
+            f"{out}/late/batch={batch_id}")
+        fresh = placed.filter(counted).select(
+            "week_start", F.lit(1).cast("bigint").alias("backups"), F.coalesce(coerce_int("size"), F.lit(0)).cast("bigint").alias("bytes"),
+            F.col("ts").alias("seen"))
+        every = fresh if last is None else fresh.unionByName(last)
+        every.groupBy("week_start").agg(F.sum("backups").alias("backups"), F.sum("bytes").alias("bytes"), F.max("seen").alias(
+            "seen")).write.mode("overwrite").parquet(f"{out}/weeks/version={batch_id}")
+        for old in done[:-1]:
+            delete_path(spark, f"{out}/weeks/version={old}")
+
+    query = (ok.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
 def run_append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write everything available as Parquet and stop; exactly once through the checkpoint."""
     query = (stream.writeStream.outputMode("append").format("parquet")
@@ -83,6 +199,29 @@ def run_append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def run_alerts(stream: DataFrame, out: str, checkpoint: str, state_partitions: int | None = None) -> StreamingQuery:
+    """Run a stream with own state over everything available. Each batch of alerts is written under its own
+    number, so one that is run again replaces itself."""
+    spark = stream.sparkSession
+    settings = {"spark.sql.streaming.stateStore.providerClass":
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {k: spark.conf.get(k) for k in settings}
+    mode = "append" if "at" in stream.columns else "update"
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        query = (stream.writeStream.outputMode(mode)
+                 .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    query.awaitTermination()
+    return query
+
+
 def _versions(spark: SparkSession, out: str) -> list[int]:
     """Complete results under `out`, oldest first; there are two at most."""
     fs, folder = filesystem(spark, out)

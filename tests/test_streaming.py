@@ -96,3 +96,55 @@ def test_masks_are_the_batch_expression(spark):
     df = spark.createDataFrame([("a@b.co", "n")], "email string, note string")
     assert streams.mask_stream(df, SPEC, "s").first()["email"] == df.select(
         masks.fake_email(F.col("email"), "s")).first()[0]
+
+
+def test_a_column_is_told_of_once(spark, tmp_path, rows):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+
+    def run(*notes):
+        spark.createDataFrame([("a@masked.test", n) for n in notes], "email string, note string").write.mode("append").parquet(str(source))
+        stream = streams.read_table_stream(spark, str(source), "email string, note string")
+        streams.run_alerts(streams.violation_alerts(stream, SPEC), out, str(tmp_path / "c"), 2)
+        return rows(spark.read.parquet(out), "column", "sniff_count")
+
+    assert run("ok", None) == []
+    assert run("too long", "longer", "no") == [("note", 2)]
+    assert run("once more") == [("note", 2)]
+
+
+def test_stale_pairs_recover(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+
+    def run():
+        stream = streams.staleness_alerts(streams.read_audit_stream(spark, str(log)))
+        streams.run_alerts(stream, out, str(tmp_path / "c"), 2)
+        return sorted((r["db_host"], r["state"], str(r["last_success"])[:10], str(r["at"])[:10]) for r in spark.read.parquet(out).collect())
+
+    put(log, "1.json", entry(1), entry(1, db_host="h2"), entry(3), entry(2, outcome="failure"))
+    assert run() == []
+    put(log, "2.json", entry(9, db_host="h2"))  # the 1st + 7 days of h2 has moved, the 3rd + 7 days of h is not reached
+    first = run()
+    assert first == [] or first == [("h2", "stale", "2026-05-01", "2026-05-08")]
+    put(log, "3.json", entry(12, db_host="h2", outcome="failure"))
+    assert ("h", "stale", "2026-05-03", "2026-05-10") in run()
+    put(log, "4.json", entry(13))
+    assert ("h", "recovered", "2026-05-13", "2026-05-13") in run()
+    put(log, "5.json", entry(30, db_host="h2"))
+    assert ("h", "stale", "2026-05-13", "2026-05-20") in run()
+
+
+def test_every_line_is_counted_or_kept_apart(spark, tmp_path):
+    log, out = tmp_path / "log", tmp_path / "out"
+
+    def run():
+        streams.run_weekly_trend(streams.read_audit_stream(spark, str(log)), str(out), str(tmp_path / "c"))
+        late = spark.read.parquet(str(out / "late")).orderBy("timestamp").collect()
+        weeks = streams.read_latest(spark, str(out / "weeks")).orderBy("week_start").collect()
+        return [r["timestamp"] for r in late], [(str(r["week_start"])[5:10], r["backups"], r["bytes"]) for r in weeks]
+
+    put(log, "1.json", entry(7, size="5"), entry(30, size="7"), entry(30, outcome="failure"), entry(1, timestamp="soon"))
+    assert run() == (["soon"], [("05-07", 1, 5), ("05-28", 1, 7)])
+    put(log, "2.json", entry(8, size="9"), entry(31, size="1"), entry(22, size="2"))  # the week of the 7th is closed
+    late, weeks = run()
+    assert late == ["2026-05-08T10:00:00Z", "soon"] and weeks == [("05-07", 1, 5), ("05-21", 1, 2), ("05-28", 2, 8)]
+    assert len(late) + sum(n for _, n, _ in weeks) == 6
