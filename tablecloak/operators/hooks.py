@@ -49,7 +49,7 @@ def apply_hooks(spark: SparkSession, tables: Mapping[str, DataFrame], host_hooks
                 safety: str = "local", base_dir: str = ".") -> dict[str, DataFrame]:
     """Run host hooks, then database hooks, in order.
 
-    A hook is a query over the tables as temporary views; its result replaces the table named
+    A hook is a query over the tables as temporary views, which are gone afterwards; its result replaces the table named
     by `into`. Variables are bound as named parameters, never pasted into the text. Each result is
     written before the next hook starts, so the hook that fails is the one that stops the run, and
     the tables made so far come with the error. Hosts marked `prod` are refused.
@@ -66,13 +66,7 @@ def apply_hooks(spark: SparkSession, tables: Mapping[str, DataFrame], host_hooks
             text, into = hook_text(hook, base_dir), hook["into"]
             used = {k: v for k, v in args.items() if f":{k}" in text}
             with _VIEWS:
-                for name, df in out.items():
-                    df.createOrReplaceTempView(name)
-                try:
-                    result = spark.sql(text, args=used)
-                finally:
-                    for name in out:
-                        spark.catalog.dropTempView(name)
+                result = _over_views(spark, text, used, out)
             path = scratch_path(spark, "hook")
             result.write.parquet(path)
             out[into] = spark.read.schema(result.schema).parquet(path)
@@ -82,6 +76,21 @@ def apply_hooks(spark: SparkSession, tables: Mapping[str, DataFrame], host_hooks
     return out
 
 
+def _over_views(spark: SparkSession, text: str, args: Mapping[str, str], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A query over the tables as views. A view of the user that has a table's name is back afterwards."""
+    names = {n.lower() for n in tables}
+    own = {t.name: spark.table(f"`{t.name}`") for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in names}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text, args=args)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in own.items():
+            df.createOrReplaceTempView(name)
+
+
 def stamp_provenance(df: DataFrame, variables: Mapping[str, str]) -> DataFrame:
     """Record on every row where the clone came from."""
     return df.withColumns({k: F.lit(variables.get(k, "")) for k in HOOK_VARS})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import logging
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,8 @@ from tablecloak.functions import masks
 from tablecloak.operators.masking import LEAF_STRATEGIES, table_columns
 from tablecloak.session import local_rows, union_all
 
+log = logging.getLogger("tablecloak")
+
 REPORT = "table string, column string, strategy string, sniff_count bigint, pass boolean"
 
 
@@ -111,19 +116,37 @@ def sniff_table(df: DataFrame, table: str, columns: Mapping[str, Mapping],
 
 def sniff_report(tables: Mapping[str, DataFrame], manifest: Mapping,
                  domain: str = masks.DEFAULT_DOMAIN) -> DataFrame:
-    """One row per declared column of a dataset; declared tables that are absent fail as -1."""
-    parts = []
+    """One row per declared column of a dataset; declared tables that are absent fail as -1, as does a column whose
+    check stops with an error.
+
+    All counts are taken at once, one scan per table. Only if that stops are tables, and then the columns of
+    the one that stops, checked apart. The report has one short row per declared column."""
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
-    for table in sorted(manifest.get("tables", {})):
-        columns = table_columns(manifest, table)
-        if not columns:
-            continue
-        if table in tables:
-            parts.append(sniff_table(tables[table], table, columns, domain))
-        else:
-            rows = [(table, c, s["strategy"], -1, False) for c, s in sorted(columns.items())]
-            parts.append(local_rows(spark, rows, REPORT))
-    return union_all(parts) if parts else local_rows(spark, [], REPORT)
+    declared = {t: table_columns(manifest, t) for t in sorted(manifest.get("tables", {}))}
+    there = {t: columns for t, columns in declared.items() if columns and t in tables}
+    rows = [(t, c, s["strategy"], -1, False) for t, columns in declared.items() if t not in tables
+            for c, s in sorted(columns.items())]
+
+    def checked(parts: Sequence[DataFrame]) -> list[tuple] | None:
+        try:
+            return [tuple(r) for r in union_all(parts).collect()] if parts else []
+        except (PySparkException, Py4JJavaError) as e:
+            log.warning("a check stopped: %s", type(e).__name__)  # its message may show values
+            return None
+
+    found = checked([sniff_table(tables[t], t, columns, domain) for t, columns in there.items()])
+    if found is None:
+        found = []
+        for t, columns in there.items():
+            whole = checked([sniff_table(tables[t], t, columns, domain)])
+            if whole is None:
+                whole = []
+                for c, spec in sorted(columns.items()):
+                    kept = tables[t].select(f"`{c}`") if c in tables[t].columns else tables[t]
+                    one = checked([sniff_table(kept, t, {c: spec}, domain)])
+                    whole += [(t, c, spec["strategy"], -1, False)] if one is None else one
+            found += whole
+    return local_rows(spark, [*found, *rows], REPORT)
 
 
 def gate_ok(report: DataFrame) -> DataFrame:

@@ -218,6 +218,20 @@ def v10_mixed(spark, sf):
     return verify.sniff_report(data, v.MANIFEST)
 
 
+@query("v10_sniff_errors", """SELECT 'customer' AS "table", 'c_mktsegment' AS "column", -1::BIGINT AS sniff_count
+    UNION ALL SELECT 'customer', 'c_name', count(*) FILTER (WHERE length(c_name) > 5) FROM customer
+    UNION ALL SELECT 'nation', 'n_name', count(*) FILTER (WHERE length(n_name) > 5) FROM nation
+    UNION ALL SELECT 'nowhere', 'x', -1""")
+def v10_errors(spark, sf):
+    """A column that cannot be read is -1, and so is a table that is not there; the others are counted."""
+    short = {"strategy": "truncate", "length": 5}
+    data = {"customer": v.table(spark, sf, "customer").withColumn("c_mktsegment", F.raise_error(F.lit("unreadable")).cast("string")),
+            "nation": v.table(spark, sf, "nation")}
+    m = {"tables": {"customer": {"columns": {"c_name": short, "c_mktsegment": short}}, "nation": {"columns": {"n_name": short}},
+                    "nowhere": {"columns": {"x": short}}}}
+    return verify.sniff_report(data, m).select("table", "column", "sniff_count")
+
+
 @query("v11_gate_ok", f"""SELECT 'masked' AS state, bool_and("pass") AS ok
     FROM ({_report_sql("people_masked", "orders_masked")})
     UNION ALL SELECT 'mixed', bool_and("pass") FROM ({_report_sql("people_mixed", "orders_p")})""",

@@ -70,12 +70,6 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataF
     return spark.createDataFrame(data, types)
 
 
-def task_count(spark: SparkSession) -> int:
-    """Tasks for work whose cost does not show in its bytes (such as a list of file names, which
-    Spark would otherwise join into one small partition)."""
-    return 4 * spark.sparkContext.defaultParallelism
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     spark = df.sparkSession

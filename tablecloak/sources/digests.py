@@ -2,58 +2,50 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablecloak.session import task_count
+from tablecloak.session import cut_lineage, local_rows
+from tablecloak.sources.store import filesystem
 
 READ_BYTES = 8 << 20
-# Files up to this size are digested as one value in the JVM; larger ones are streamed.
+# Files up to this size are digested as one value by tasks; larger ones are streamed, so many at a time.
 WHOLE_BYTES = 512 << 20
+STREAMS = 16
 NULL_TOKEN = "\\N"
 
 
-def file_digests(files: DataFrame) -> DataFrame:
-    """Add `sha256` to rows with a `path` (a file URI). A digest is sequential per file, so the
-    parallelism is over files: the list is spread before reading. Files are read piece by
-    piece, so their size does not matter."""
-    columns = files.columns
-    schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())])
-
-    # local functions travel with the task, so executors need no copy of this package
-    def digest(path: str) -> str:
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-        out = hashlib.sha256()
-        with system.open_input_stream(name) as stream:
-            while piece := stream.read(READ_BYTES):
-                out.update(piece)
-        return out.hexdigest()
-
-    def digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(sha256=[digest(p) for p in batch["path"]])[[*columns, "sha256"]]
-
-    spread = files.repartition(task_count(files.sparkSession), "path")
-    return spread.mapInPandas(digest_batches, schema)
+def file_digests(spark: SparkSession, paths: Sequence[str], whole_bytes: int = WHOLE_BYTES, names: str = "*") -> DataFrame:
+    """`path, length, sha256` of files or folders. Files are read by Spark's own reader, one task for several, or, above
+    `whole_bytes`, piece by piece as one stream each: a digest has no parts that could be taken apart. Both go through the
+    file system that Spark uses, so every scheme and credential that Hadoop knows works at every size."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", names).load(list(paths)))
+    small = files.filter(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select("path", "length").collect()
+    if not large:
+        return small
+    with ThreadPoolExecutor(STREAMS) as pool:
+        digests = list(pool.map(lambda r: (r.path, r.length, stream_digest(spark, r.path)), large))
+    return small.unionByName(local_rows(spark, digests, "path string, length bigint, sha256 string"))
+
+
+def stream_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any size, read through Hadoop in a buffer."""
+    fs, p = filesystem(spark, path)
+    stream = fs.open(p, READ_BYTES)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def folder_digests(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """`path, length, sha256` of the Parquet files below a folder. The size limit is pushed into
-    the listing, so the content of a large file is never loaded as one value; a look at the
-    listing tells whether any file needs to be streamed."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.parquet").load(folder))
-    small = files.filter(F.col("length") <= whole_bytes).select(
-        "path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > whole_bytes).select("path", "length")
-    return small if large.isEmpty() else small.unionByName(file_digests(large))
+    """`path, length, sha256` of the Parquet files below a folder."""
+    return file_digests(spark, [folder], whole_bytes, "*.parquet")
 
 
 def digest_status(known: Column, expected: Column, actual: Column) -> Column:
@@ -62,15 +54,17 @@ def digest_status(known: Column, expected: Column, actual: Column) -> Column:
             .when(expected == actual, "ok").otherwise("mismatch"))
 
 
-def verify_files(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+def verify_files(files: DataFrame, sidecars: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Recompute digests of listed files and compare them with `sidecars(path, sha256)`. Only
-    files that have an expected digest are read."""
+    files that have an expected digest are read; their names, not their contents, pass the driver."""
     known = sidecars.select("path", F.col("sha256").alias("expected"), F.lit(True).alias("_meta"))
-    joined = files.select("path").join(known, "path", "left")
-    checked = file_digests(joined.filter(F.col("expected").isNotNull()))
-    rest = joined.filter(F.col("expected").isNull()).withColumn("sha256", F.lit(None).cast("string"))
+    joined = cut_lineage(files.select("path").join(known, "path", "left"))
+    read = [r.path for r in joined.filter(F.col("expected").isNotNull()).select("path").distinct().collect()]
+    spark = files.sparkSession
+    actual = (file_digests(spark, read, whole_bytes).select("path", "sha256") if read
+              else local_rows(spark, [], "path string, sha256 string"))
     status = digest_status(F.col("_meta"), F.col("expected"), F.col("sha256"))
-    return checked.unionByName(rest).select("path", status.alias("status"), "expected", "sha256")
+    return joined.join(actual, "path", "left").select("path", status.alias("status"), "expected", "sha256")
 
 
 def content_checksum(df: DataFrame, method: str = "md5") -> DataFrame:

@@ -13,18 +13,17 @@ import json
 import logging
 import time
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecloak.operators.integrity import cascade_exclusions
 from tablecloak.operators.stats import table_stats
-from tablecloak.session import local_rows, task_count, union_all
+from tablecloak.session import local_rows, shared_root, union_all
 from tablecloak.sources.audit_log import append_audit
 from tablecloak.sources.digests import content_checksum, digest_status, folder_digests
 from tablecloak.sources.store import delete_path, exists, filesystem, publish_atomically
@@ -40,6 +39,8 @@ META_SCHEMA = """host string, database string, timestamp string, backup_mode str
 AUDIT_LINE = """timestamp string, action string, outcome string, db_host string, database string, duration_sec string,
     size string, file string, error string"""
 WRITERS = 4
+#: Deletions at a time.
+DELETERS = 16
 
 
 def folder_of(table: str) -> str:
@@ -253,30 +254,38 @@ def roundtrip(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame],
                         & F.col("source_checksum").eqNullSafe(F.col("copy_checksum"))).alias("equal"))
 
 
-def apply_retention(marked: DataFrame, dry_run: bool = True) -> int:
-    """Delete marked snapshots (rows with a `path`) and their sidecars in parallel tasks; return
-    how many were marked. A repeated or retried run finds less to do and is safe."""
+def apply_retention(marked: DataFrame, dry_run: bool = True, journal: str | None = None) -> int:
+    """Delete marked snapshots (rows with a `path`) and their sidecars; return how many were marked.
+
+    The marks are written to a journal before anything goes, and taken from it when all are gone, so a
+    run that stops half-way is finished by the next one. A snapshot loses its sidecar first: what a stopped run
+    leaves counts as incomplete. Deletions go through Hadoop; the journal lies in the shared folder unless
+    another is named. A repeated run finds less to do and is safe."""
+    spark = marked.sparkSession
     if dry_run:
         return marked.count()
-
-    # local functions travel with the task, so executors need no copy of this package
-    def remove_one(uri: str) -> None:
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-        kind = system.get_file_info(name).type
-        if kind == fs.FileType.Directory:
-            system.delete_dir(name)
-        elif kind == fs.FileType.File:
-            system.delete_file(name)
-
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                for suffix in ("", ".meta.json", ".globals.sql"):
-                    remove_one(path + suffix)
-            yield pd.DataFrame({"marked": [len(batch)]})
-
-    spread = marked.select("path").repartition(task_count(marked.sparkSession), "path")
-    removed = spread.mapInPandas(remove, "marked bigint")
-    return removed.agg(F.coalesce(F.sum("marked"), F.lit(0))).first()[0]
+    root = journal or f"{shared_root(spark)}/tablecloak/retention"
+    finish_retention(spark, root)
+    run = f"{root}/{uuid.uuid4().hex}"
+    marked.select("path").write.parquet(run)
+    n = spark.read.schema("path string").parquet(run).count()
+    finish_retention(spark, root)
+    return n
+
+
+def finish_retention(spark: SparkSession, journal: str) -> int:
+    """Delete what open journals name; returns how many journals were closed."""
+    fs, folder = filesystem(spark, journal)
+    runs = [s.getPath().toString() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    runs = [r for r in runs if exists(spark, f"{r}/_SUCCESS")]
+    for run in runs:
+        names = (r.path for r in spark.read.schema("path string").parquet(run).distinct().toLocalIterator())
+        with ThreadPoolExecutor(DELETERS) as pool:
+            list(pool.map(lambda path: _delete_snapshot(spark, path), names))
+        delete_path(spark, run)
+    return len(runs)
+
+
+def _delete_snapshot(spark: SparkSession, path: str) -> None:
+    for part in (f"{path}.meta.json", f"{path}/{META}", path, f"{path}.globals.sql"):
+        delete_path(spark, part)

@@ -133,6 +133,33 @@ def test_snapshot_all_goes_on(spark, tables, tmp_path):
     assert out.filter("error LIKE '%boom%'").count() == 1
 
 
+def test_a_retention_that_stops_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    root, journal = tmp_path / "root", str(tmp_path / "journal")
+    for n in "abcd":
+        (root / n / "t").mkdir(parents=True)
+        (root / n / "t" / "f").write_text("x")
+        (root / n / s.META).write_text("{}")
+    marked = spark.createDataFrame([(f"file://{root}/{n}",) for n in "abc"], "path string")
+    real, calls = s.delete_path, []
+
+    def stops(spark_, path):
+        calls.append(path)
+        if len(calls) == 4:
+            raise OSError("the machine is gone")
+        return real(spark_, path)
+
+    monkeypatch.setattr(s, "DELETERS", 1)
+    monkeypatch.setattr(s, "delete_path", stops)
+    with pytest.raises(OSError):
+        s.apply_retention(marked, dry_run=False, journal=journal)
+    left = [n for n in "abc" if (root / n / "t").exists()]
+    assert left and not any((root / n / s.META).exists() and not (root / n / "t").exists() for n in "abc")
+    monkeypatch.setattr(s, "delete_path", real)
+    assert s.apply_retention(marked.limit(0), dry_run=False, journal=journal) == 0
+    assert [p.name for p in sorted(root.iterdir())] == ["d"]
+    assert s.finish_retention(spark, journal) == 0
+
+
 def test_retention_deletes_snapshots_and_sidecars(spark, tmp_path):
     for n in ("a", "b"):
         for suffix in ("", ".meta.json"):
@@ -290,3 +317,15 @@ def test_places_of_nulls_count(spark):
     one = spark.createDataFrame([("a", None)], "x string, y string")
     two = spark.createDataFrame([(None, "a")], "x string, y string")
     assert [r["equal"] for r in s.roundtrip({"t": one}, {"t": two}).collect()] == [False]
+
+
+def test_hooks_leave_the_views_of_the_user(spark):
+    users = spark.createDataFrame([(1,), (2,)], "id int")
+    spark.createDataFrame([(9,)], "id int").createOrReplaceTempView("users")
+    out = hooks.apply_hooks(spark, {"Users": users}, [{"sql": "SELECT * FROM users WHERE id > 1", "into": "big"}], [], {})
+    assert [r.id for r in out["big"].collect()] == [2]
+    assert [r.id for r in spark.table("users").collect()] == [9]
+    spark.catalog.dropTempView("users")
+    with pytest.raises(hooks.HookError):
+        hooks.apply_hooks(spark, {"users": users}, [{"sql": "SELECT nothing FROM users", "into": "x"}], [], {})
+    assert not spark.catalog.tableExists("users")
