@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 
 from tablecloak.functions import masks
 from tablecloak.operators.masking import LEAF_STRATEGIES, table_columns
-from tablecloak.session import local_rows, union_all
+from tablecloak.session import cut_lineage, local_rows, union_all
 
 log = logging.getLogger("tablecloak")
 
+#: Buckets of each level of a digest tree, and those that are broadcast.
+BUCKETS, BROADCAST_BUCKETS = 4096, 1_000_000
 REPORT = "table string, column string, strategy string, sniff_count bigint, pass boolean"
 
 
@@ -175,6 +177,38 @@ def restore_drill(counts: DataFrame, expected: DataFrame) -> DataFrame:
         .otherwise("ok").alias("status"))
 
 
+def locate_differences(source: DataFrame, copy: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """`keys` and `difference`: `lost` (only in the source), `added` (only in the copy), or `changed`.
+
+    A tree of digests of three levels: rows are hashed once and fall into buckets by a hash of their key; buckets
+    whose digests agree are done, those that differ are split again, and only rows of parts that still differ are
+    shuffled and compared by key. What is written and read on the way are keys and two hashes. Keys may be null;
+    of rows that share a key the multisets are compared."""
+    columns = [c for c in source.columns if c not in keys]
+    if sorted(source.columns) != sorted(copy.columns):
+        raise ValueError("the copy has other columns than the source")
+
+    def hashed(df: DataFrame, side: int) -> DataFrame:
+        value = F.xxhash64(*[x for c in [*keys, *columns] for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+        key = F.xxhash64(*[x for c in keys for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+        return df.select(*[F.col(f"`{c}`") for c in keys], F.lit(side).alias("_side"), key.alias("_key"), value.alias("_value"))
+
+    rows = cut_lineage(hashed(source, 1).unionByName(hashed(copy, -1)))
+    signed = F.sum(F.col("_side") * F.col("_value").cast("decimal(20,0)"))
+    differs = (F.sum("_side") != 0) | (signed != 0)
+    coarse = F.pmod("_key", F.lit(buckets))
+    fine = F.pmod(F.shiftright("_key", 32), F.lit(buckets))
+    for level in ((coarse,), (coarse, fine)):
+        names = [f"_b{i}" for i in range(len(level))]
+        parts = rows.select("_side", "_value", *[b.alias(n) for b, n in zip(level, names)])
+        open_ = cut_lineage(parts.groupBy(*names).agg(differs.alias("_d")).filter("_d").select(*names))
+        few = open_.count() <= BROADCAST_BUCKETS
+        rows = rows.withColumns(dict(zip(names, level))).join(F.broadcast(open_) if few else open_, names, "left_semi").drop(*names)
+    mine, theirs = F.count_if(F.col("_side") > 0), F.count_if(F.col("_side") < 0)
+    kind = F.when(theirs == 0, "lost").when(mine == 0, "added").otherwise("changed")
+    return rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(differs.alias("_d"), kind.alias("difference")).filter("_d").drop("_d")
+
+
 def drill_passed(drill: DataFrame) -> DataFrame:
     """At least one table, and no expectation broken."""
     return drill.agg(

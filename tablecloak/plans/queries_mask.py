@@ -304,6 +304,18 @@ def v15(spark, sf):
     return verify.restore_drill(counts, expected.withColumn("min_rows", F.lit(1).cast("bigint")))
 
 
+@query("v15_locate_differences", """SELECT c_custkey, CASE WHEN c_custkey < 0 THEN 'added' WHEN c_custkey % 89 = 5 THEN 'lost' ELSE 'changed' END AS difference
+    FROM (SELECT c_custkey FROM customer WHERE c_custkey % 89 = 5 OR c_custkey % 97 = 3
+      UNION ALL SELECT -c_custkey FROM customer WHERE c_custkey % 101 = 7)""")
+def v15_locate(spark, sf):
+    """A copy with changed, lost and added rows, told by key."""
+    source = v.table(spark, sf, "customer")
+    changed = source.filter("c_custkey % 89 != 5").withColumn(
+        "c_name", F.when(F.col("c_custkey") % 97 == 3, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))
+    added = source.filter("c_custkey % 101 = 7").withColumn("c_custkey", -F.col("c_custkey"))
+    return verify.locate_differences(source, changed.unionByName(added), ["c_custkey"])
+
+
 @query("v16_mask_stability", """SELECT count(*) AS "values",
       count(*) FILTER (WHERE a.s IS NOT NULL AND b.s IS NOT NULL) AS shared, 0::BIGINT AS unstable
     FROM (SELECT DISTINCT email AS s FROM people) a
