@@ -9,7 +9,7 @@ from tablecloak.operators import catalog, dumptext, hooks, manifest
 from tablecloak.plans import views as v
 from tablecloak.plans.queries_catalog import KEY, NOTIFY_SQL
 from tablecloak.plans.registry import query
-from tablecloak.session import cut_lineage, local_rows, scratch_path
+from tablecloak.session import cut_lineage, local_rows, scratch_path, union_all
 from tablecloak.sources import audit_log, digests, readers, snapshot
 from tablecloak.streaming import streams
 
@@ -22,6 +22,17 @@ def s1(spark, sf):
         "l_orderkey", "l_linenumber", "l_quantity")
 
 
+@query("s1_balanced_ranges", """SELECT count(*) AS rows, sum(l_orderkey)::BIGINT AS keys, 8::BIGINT AS ranges, true AS balanced
+    FROM lineitem""")
+def s1_ranges(spark, sf):
+    """Ranges of a skewed key (the square of the order's) that hold about as many rows each, and every row once."""
+    lines = readers.scan_table(spark, sf, "lineitem.parquet").withColumn("skewed", F.col("l_orderkey") * F.col("l_orderkey"))
+    parts = [lines.filter(p).agg(F.lit(i).alias("range"), F.count("*").alias("rows"), F.sum("l_orderkey").alias("keys"))
+             for i, p in enumerate(readers.balanced_predicates(lines, "skewed", 8))]
+    return union_all(parts).agg(F.sum("rows").alias("rows"), F.sum("keys").alias("keys"), F.count("*").alias("ranges"),
+                                (F.max("rows") * 8 < F.sum("rows") * 1.2).alias("balanced"))
+
+
 @query("s2_column_catalog", """SELECT 't' || p_partkey AS "table", name AS "column", 'text' AS type, p_size > 10 AS nullable,
     (slot + 1)::INTEGER AS ordinal FROM slots WHERE p_type <> 'PROMO'""", "slots")
 def s2(spark, sf):

@@ -35,13 +35,16 @@ AUDIT = """seq bigint, timestamp string, action string, outcome string, user str
 
 def scan_table(spark: SparkSession, source: str, table: str, *, options: Mapping[str, str] | None = None,
                partition_column: str | None = None, lower: int | None = None,
-               upper: int | None = None, partitions: int = 8) -> DataFrame:
+               upper: int | None = None, partitions: int = 8, predicates: Sequence[str] | None = None) -> DataFrame:
     """A table of a database (`jdbc:` URL) or a Parquet folder (`<source>/<table>[.parquet]`).
 
-    Give a JDBC read a numeric partition column with its bounds, or one task reads it all.
+    Give a JDBC read a numeric partition column with its bounds, or, where its values lie unevenly,
+    `predicates` (one task each, see `balanced_predicates`); else one task reads it all.
     """
     if not source.startswith("jdbc:"):
         return spark.read.parquet(f"{source.rstrip('/')}/{table}")
+    if predicates is not None:
+        return spark.read.jdbc(source, table, predicates=list(predicates), properties=dict(options or {}))
     reader = spark.read.format("jdbc").option("url", source).option("dbtable", table)
     if partition_column is not None:
         reader = reader.options(partitionColumn=partition_column, lowerBound=str(lower),
@@ -49,6 +52,34 @@ def scan_table(spark: SparkSession, source: str, table: str, *, options: Mapping
     return reader.options(**(options or {})).load()
 
 
+def balanced_predicates(sample: DataFrame, column: str, partitions: int = 8, accuracy: int = 10_000) -> list[str]:
+    """Conditions that cut a table into ranges of about equal numbers of rows, each row in exactly one.
+
+    The bounds are quantiles of the column's values, from a sketch of bounded size that each task builds of its
+    rows, so a skewed key gives narrow ranges where rows are many. A value is never split. Rows without a
+    value are the first range's. `sample` holds numbers, dates or times: the table itself, an earlier snapshot of it,
+    or its keys."""
+    kind = sample.schema[column].dataType.simpleString()
+    shares = [i / partitions for i in range(1, partitions)]
+    values = F.col(f"`{column}`") if kind not in ("date", "timestamp_ntz", "timestamp") else F.unix_micros(
+        F.col(f"`{column}`").cast("timestamp"))
+    if not shares:
+        return ["1 = 1"]
+    found = sample.select(values.alias("v")).agg(F.percentile_approx("v", shares, accuracy).alias("q")).first().q or []
+    bounds = sorted(set(found))
+    if kind in ("date", "timestamp_ntz", "timestamp"):
+        texts = sample.sparkSession.range(1).select(*[
+            F.date_format(F.timestamp_micros(F.lit(b)), "yyyy-MM-dd HH:mm:ss.SSSSSS") for b in bounds]).first()
+        literals = [f"{'DATE' if kind == 'date' else 'TIMESTAMP'} '{t[:10] if kind == 'date' else t}'" for t in texts]
+    else:
+        literals = [str(b) for b in bounds]
+    if not literals:
+        return ["1 = 1"]
+    first = f"{column} < {literals[0]} OR {column} IS NULL"
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(literals, literals[1:])]
+    return [first, *inner, f"{column} >= {literals[-1]}"]
+
+
 def column_catalog(tables: Mapping[str, DataFrame], json_columns: Sequence[str] = ()) -> DataFrame:
     """One row per column from the schemas alone; nothing is scanned. `json_columns` names
     text columns that hold JSON, as `table.column`."""

@@ -201,3 +201,14 @@ def test_the_seed_is_in_no_plan_and_no_event(tmp_path):
     # the command line of the process is this test's own way to hand the seed over
     lines = [x for x in text.splitlines() if '"SparkListenerEnvironmentUpdate"' not in x]
     assert not [x[:200] for x in lines if "Zeb" in x or "ra-77" in x]
+
+
+@pytest.mark.parametrize("make", ["cast(pow(id, 3) AS bigint)", "IF(id % 3 = 0, 7, id)", "timestamp_micros(id * id * 1000000)",
+                                  "date_add(DATE'2020-01-01', cast(id * id / 1000 AS int))", "cast(NULL AS int)"])
+def test_balanced_ranges_hold_every_row_once(spark, make):
+    df = spark.range(3000).selectExpr("id", f"IF(id % 50 = 1, NULL, {make}) AS k")
+    sizes = [df.filter(p).count() for p in readers.balanced_predicates(df, "k", 6)]
+    assert sum(sizes) == 3000
+    if "IF" not in make and "NULL" not in make:
+        assert len(sizes) == 6 and max(sizes) < 650
+    assert readers.balanced_predicates(df.limit(0), "k") == ["1 = 1"]
