@@ -119,6 +119,7 @@ class Encoder:
             end = max(at + 1, int(np.searchsorted(sizes, done + PORTION, "right")))
             yield from ((at + k, ids, ends) for k, ids, ends in self._portion(texts.slice(at, end - at)))
             at = end
+        pa.default_memory_pool().release_unused()  # workers live on and share an executor's memory
 
     def _portion(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         alone = pc.match_substring_regex(texts, _UNSAFE)
@@ -126,11 +127,12 @@ class Encoder:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = parts.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = len(coded.dictionary)
-        ids, starts, counts = self._chunks(coded.dictionary)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        dictionary, known = coded.dictionary, len(coded.dictionary)
+        del parts, coded  # as large as the texts, and done with
+        ids, starts, counts = self._chunks(dictionary)
         # a text's first chunk has no space before it, and some texts are one chunk
-        first = coded.dictionary.take(pa.array(codes[bounds[:-1]])).to_pylist()
+        first = dictionary.take(pa.array(codes[bounds[:-1]])).to_pylist()
         whole = alone.to_pylist()
         heads = self.ids([t.as_py() if w else f for t, w, f in zip(texts, whole, first)])
         starts = np.concatenate((starts, len(ids) + np.cumsum([0] + [len(h) for h in heads[:-1]])))
