@@ -38,8 +38,8 @@ MEASURES = ("words", "letters", "upper", "digits", "symbols", "bangs", "bars", "
 BLOCK, LEAST_BLOCK = 200, 20
 #: Words from which on a text is scored.
 WORDS = 4
-#: Rows that the prior of a class weighs as much as.
-PRIOR = 5
+#: Rows that the prior of a kind of junk, and that of the good class, weigh as much as.
+PRIOR, GOOD_PRIOR = 5, 100
 #: First bytes (and ranges of second bytes) of characters of scripts without spaces in UTF-8.
 WIDE_LEADS = range(0xE3, 0xEA)
 WIDE_SECONDS = {0xE0: range(0xB8, 0xBC), 0xE1: (0x80, 0x81, 0x82, 0x9E, 0x9F)}
@@ -195,7 +195,8 @@ class LabelModel:
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
     """Expectation-maximisation over vote patterns. Labellers look for different faults, so one class of
     junk could not explain that most of them find a document good; each kind starts from the rows
-    whose first junk vote is its labeller's. Abstaining tells nothing about the class. Votes alone cannot tell a
+    whose first junk vote is its labeller's. Abstaining tells nothing, but that a row is hardly the kind of junk
+    that the labeller looks for. Votes alone cannot tell a
     fault that one labeller sees from false alarms that meet no other vote; the start reads both as junk."""
     v = votes_of(patterns)
     junk = v == JUNK
@@ -206,12 +207,16 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> L
     # the prior: a labeller seldom blames a row but for its own kind of junk
     lean = np.full((k_all, 1 + k_all, 2), (0.99, 0.01))
     lean[np.arange(k_all), 1 + np.arange(k_all)] = (0.01, 0.99)
+    lean[:, 0] = (0.999, 0.001)
+    rows = np.full((1, 1 + k_all, 1), float(PRIOR))
+    rows[0, 0] = GOOD_PRIOR
     for _ in range(rounds):
         weight = counts[:, None] * p
         share = weight.sum(0) + PRIOR / 10
         seen = np.stack([x.T @ weight for x in said], 2)
         likely = np.ones((k_all, 1 + k_all, 3))
-        likely[:, :, :2] = (seen + PRIOR * lean) / (seen.sum(2, keepdims=True) + PRIOR)
+        likely[:, :, :2] = (seen + rows * lean) / (seen.sum(2, keepdims=True) + rows)
+        likely[np.arange(k_all), 1 + np.arange(k_all), ABSTAIN] = 0.01  # a kind of junk is what its labeller sees
         model = LabelModel(share / share.sum(), likely)
         new = model.classes(v)
         if np.abs(new - p).max() < 1e-9:
