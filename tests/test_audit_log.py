@@ -46,18 +46,18 @@ def test_numbers_of_five_thousand_files(spark, tmp_path):
     assert sorted(got) == [(i + 1 + blank(i), f"{i}-0") for i in range(5000)]
 
 
-def test_ten_thousand_appends_become_few_files(spark, tmp_path):
+def test_two_thousand_appends_become_few_files(spark, tmp_path):
     log = tmp_path / "log"
-    fill(log, 10_000, lines=1)
+    fill(log, 2_000, lines=1)
     path = str(log)
-    before = [(i + 2 + i // 7, f"{i}-0") for i in range(10_000)]
+    before = [(i + 2 + i // 7, f"{i}-0") for i in range(2_000)]
     size = sum(f.stat().st_size for f in log.iterdir())
     plain = sorted(x for x in os.listdir(log))
-    assert audit_log.compact_audit(spark, path, target_bytes=100_000, settled=0) == 10_000
-    assert audit_log.log_files(spark, path) <= size // 100_000 + 2
+    assert audit_log.compact_audit(spark, path, target_bytes=20_000, settled=0) == 2_000
+    assert audit_log.log_files(spark, path) <= size // 20_000 + 2
     assert set(plain) <= set(os.listdir(log))  # readers of before still find what they chose
     assert audit_log.vacuum_audit(spark, path, grace=3600) == 0
-    assert audit_log.vacuum_audit(spark, path, grace=0) == 10_000
+    assert audit_log.vacuum_audit(spark, path, grace=0) == 2_000
     assert seen(spark, path) == before and not [x for x in os.listdir(log) if x.endswith(".json")]
 
 
