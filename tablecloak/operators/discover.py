@@ -158,16 +158,18 @@ def add_hit(df: DataFrame, name_col: str = "column",
     """Add `hit`: the 1-based position of the first dictionary entry contained in a name, or one
     past the last entry.
 
-    Two projections and no join: the name is normalised once, then one CASE expression stops at
-    the first entry that is contained.
+    No join: the name is normalised once, then one CASE expression stops at the first entry that is
+    contained. The position leaves an explode of one element, so that a later filter on it, or on what
+    is looked up by it, reads the value; pushed below, it would work out the CASE again and normalise
+    the name in each of its branches.
     """
     entries = _entries(dictionary)
     cases = " ".join(f"WHEN contains(_name, {_quoted(e[0])}) THEN {i}"
                      for i, e in enumerate(entries, start=1))
     nothing = len(entries) + 1
     return (df.withColumn("_name", normalize_name(name_col))
-            .withColumn("hit", F.expr(f"CASE WHEN _name IS NULL THEN {nothing} {cases} ELSE {nothing} END"))
-            .drop("_name"))
+            .withColumn("_hit", F.expr(f"CASE WHEN _name IS NULL THEN {nothing} {cases} ELSE {nothing} END"))
+            .withColumn("hit", F.explode(F.array("_hit"))).drop("_name", "_hit"))
 
 
 def hit_fields(dictionary: Sequence[str] | None = None) -> dict[str, Column]:

@@ -187,10 +187,12 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _slots(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
-    """`last - first + 1` different names per part, chosen by part and slot."""
+    """`last - first + 1` different names per part, chosen by part and slot. The parts are dealt over the
+    tasks first, as their file may be a single split."""
     names = F.array(*[F.lit(n) for n in NAMES])
     index = (F.col("p_partkey") + F.col("slot") * 5) % len(NAMES)
     return (table(spark, sf, "part")
+            .select("p_partkey", "p_brand", "p_type", "p_size").repartition("p_partkey")
             .select("p_partkey", "p_brand", "p_type", "p_size",
                     F.explode(F.sequence(F.lit(first), F.lit(last))).alias("slot"))
             .withColumn("name", F.element_at(names, index.cast("int") + 1)))
