@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecloak.operators.masking import EMAIL_DOMAIN, EMAIL_LOCAL
-from tablecloak.operators.skew import salted_join
+from tablecloak.operators.skew import salted_join, spread_join
 from tablecloak.session import local_rows
 
 # Dictionary entries that become branches of one expression; longer lists are looked up by parts of names.
 BRANCHES = 500
-# Characters of the parts by which names and patterns meet.
-GRAM = 3
+# First characters, and slots of the fixed set, by which parts of names that start no pattern are left out.
+HEAD = 4
+STARTS = 1 << 20
 
 # Column-name patterns as pattern:strategy[:parameter], first match wins.
 DEFAULT_DICTIONARY = """
@@ -199,31 +200,46 @@ def dictionary_rows(spark: SparkSession, dictionary: Sequence[str]) -> DataFrame
     return local_rows(spark, rows, "ord bigint, pattern string, strategy string, param string")
 
 
-def _grams(text: Column, n: Column | int) -> Column:
-    """The distinct parts of `n` characters of a text; one that is shorter has none."""
-    size = F.lit(n) if isinstance(n, int) else n
-    return F.when(F.char_length(text) >= size, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, size)))).otherwise(
-            F.array().cast("array<string>"))
+def _start(size: Column, text: Column) -> Column:
+    """A slot of STARTS for a text by its size and first characters."""
+    return F.pmod(F.xxhash64(size, F.substring(text, 1, HEAD)), F.lit(STARTS)).cast("int")
+
+
+def contained_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """`_name` with the row of `patterns` for every place where it contains one; names and patterns are
+    distinct and not NULL.
+
+    The parts of a name as long as any pattern meet the patterns by equality, so the work grows with the
+    names and not with names times patterns. Parts that begin like no pattern of their size are left out
+    before the shuffle, by a set of fixed size. The sizes of patterns are no more than their longest."""
+    known = patterns.select("pattern", F.char_length("pattern").alias("size"))
+    sizes = known.agg(F.coalesce(F.array_sort(F.collect_set("size")), F.array().cast("array<int>")).alias("sizes")).scalar()
+    slots = known.select(_start(F.col("size"), F.col("pattern")).alias("slot")).select(
+        F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, slot % 64)").alias("bits"))
+    empty = patterns.sparkSession.range(STARTS // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    filled = slots.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = filled.agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("words")).scalar()
+    at, size, slot = F.col("at"), F.col("size"), F.col("slot")
+    pieces = (names.select("_name", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("_name"), F.lit(1)))).alias("at"))
+              .withColumn("sizes", sizes).select("_name", "at", F.explode("sizes").alias("size"))
+              .filter((at + size - 1 <= F.char_length("_name")) & ((size > 0) | (at == 1)))
+              .select("_name", F.substring("_name", at, size).alias("pattern"))
+              .withColumn("slot", _start(F.char_length("pattern"), F.col("pattern")))
+              .filter(F.getbit(F.get(words, (slot / 64).cast("int")), slot % 64) == 1).select("_name", "pattern"))
+    return salted_join(pieces, patterns.hint("merge"), ["pattern"], ["_name"])
 
 
 def add_match_indexed(df: DataFrame, name_col: str, dictionary: DataFrame) -> DataFrame:
     """`add_match` for a dictionary of any length, as rows `(ord, pattern, strategy, param)`.
 
-    Each pattern is filed under the part of it that fewest patterns have (GRAM characters, or the whole of a
-    shorter pattern). Distinct names meet the patterns filed under any of their parts, where containment is
-    confirmed, and the first by `ord` counts. A name in many rows is looked up once."""
-    entries = dictionary.filter("pattern IS NOT NULL").select("ord", "pattern", "strategy", "param")
-    parts = entries.select("ord", "pattern", F.explode(F.when(
-        F.char_length("pattern") < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), GRAM))).alias("gram"))
-    common = parts.groupBy("gram").agg(F.count("*").alias("patterns"))
-    filed = parts.join(common, "gram").groupBy("ord", "pattern").agg(F.min(F.struct("patterns", "gram"))["gram"].alias("gram"))
-    index = entries.join(filed, ["ord", "pattern"])
-    names = df.select(normalize_name(name_col).alias("_name")).filter("_name IS NOT NULL").distinct()
-    cut = F.concat(F.array(F.lit("")), *[_grams(F.col("_name"), n) for n in range(1, GRAM + 1)])
-    met = names.select("_name", F.explode(cut).alias("gram")).join(index, "gram").filter(F.contains("_name", F.col("pattern")))
-    first = met.groupBy("_name").agg(F.min(F.struct("ord", "pattern", "strategy", "param")).alias("_m"))
-    return (salted_join(df.withColumn("_name", normalize_name(name_col)), first, ["_name"], [name_col], "left")
+    Distinct names meet the patterns they contain (`contained_patterns`), and the first by `ord` counts. A
+    name in many rows is looked up once."""
+    index = (dictionary.filter("ord IS NOT NULL AND pattern IS NOT NULL").groupBy("pattern")
+             .agg(F.min(F.struct("ord", "pattern", "strategy", "param")).alias("_m")))
+    named = df.withColumn("_name", normalize_name(name_col))
+    met = contained_patterns(named.select("_name").filter("_name IS NOT NULL").distinct(), index)
+    first = met.groupBy("_name").agg(F.min("_m").alias("_m"))
+    return (spread_join(named, first, ["_name"], [name_col])
             .select(*df.columns, "_m.pattern", "_m.strategy", "_m.param"))
 
 
@@ -233,16 +249,18 @@ def match_columns(catalog: DataFrame, dictionary: Sequence[str] | None = None) -
 
 
 def match_columns_by_host(catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same with one dictionary per host, joined on the host as a sorted array.
+    """The same with one dictionary per host.
 
-    A dictionary is at most the defaults plus a host's own list, so the array stays small.
+    Distinct names meet the distinct patterns of all hosts once; a host's names then look up which of the
+    patterns they contain are its own. No dictionary is put together in one row, copied or broadcast.
     """
-    entries = dictionary.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "pattern", "strategy", "param"))).alias("_d"))
-    hit = F.filter("_d", lambda e: F.contains("_name", e["pattern"]))
+    entries = dictionary.filter("pattern IS NOT NULL")
     named = catalog.withColumn("_name", normalize_name("column"))
-    return (salted_join(named, entries, ["host"], catalog.columns, "left")
-            .withColumn("_m", F.try_element_at(hit, F.lit(1)))
+    asked = named.select("host", "_name").filter("host IS NOT NULL AND _name IS NOT NULL").distinct()
+    met = contained_patterns(asked.select("_name").distinct(), entries.select("pattern").distinct())
+    first = (asked.hint("merge").join(met, "_name").join(entries.hint("merge"), ["host", "pattern"])
+             .groupBy("host", "_name").agg(F.min(F.struct("ord", "pattern", "strategy", "param")).alias("_m")))
+    return (spread_join(named, first, ["host", "_name"], catalog.columns)
             .select(*catalog.columns, "_m.pattern", "_m.strategy", "_m.param"))
 
 

@@ -25,3 +25,15 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
+                salts: int = SALTS) -> DataFrame:
+    """A left join as `salted_join` makes it, for a `small` that may have as many rows as `big`.
+
+    A row of `small` is repeated only for the parts that its key has in `big`, so both sides of the join
+    together never exceed the rows of `big` twice. Sizes guessed before the run do not make Spark send
+    the keys to the driver."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = small.join(left.select(*on, "_salt").distinct().hint("merge"), list(on))
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
