@@ -351,8 +351,8 @@ def json_leaves(df: DataFrame, col: str, keep: Sequence[str] = (),
     """Leaves of a JSON column at any depth as `(path, value)` text.
 
     Array positions are written `[*]`; text that is no valid JSON is one leaf, and so is an empty
-    object or array. `wanted` is a condition on JSON text; parts without it are left out as early
-    as possible. A document is walked within its row: as many times as it is deep, each part with its path
+    object or array. `wanted` is a condition on JSON text; parts without it are left out where a
+    document branches, and at last. A document is walked within its row: as many times as it is deep, each part with its path
     is replaced by what it holds. Nothing is shuffled or written on the way.
     """
 
@@ -367,15 +367,17 @@ def json_leaves(df: DataFrame, col: str, keep: Sequence[str] = (),
         fields = F.transform(F.map_entries(part["v"].try_cast("map<string,variant>")),
                              lambda e: step(part["path"], F.concat(F.lit("."), e["key"]), e["value"]))
         items = F.transform(part["v"].try_cast("array<variant>"), lambda e: step(part["path"], F.lit("[*]"), e))
-        held = F.coalesce(fields, items)
-        return F.when(F.size(held) > 0, pruned(held)).otherwise(F.array(part))
+        # a lambda's variable is worked out once; what a part alone holds needs no test after that of the part
+        kept = F.transform(F.array(F.coalesce(fields, items)), lambda held: F.when(F.size(held) > 1, pruned(held))
+                           .when(F.size(held) == 1, held).otherwise(F.array(part)))
+        return F.get(kept, F.lit(0))
 
     text = F.col(col).cast("string") if df.schema[col].dataType.simpleString() != "variant" else F.to_json(F.col(col))
     known = df.filter(F.col(col).isNotNull()).select(*keep, F.col(col).alias("_doc"), text.alias("_text"))
     value = F.coalesce(F.try_parse_json(F.col("_text")), F.col("_doc").cast("variant"))
     whole = F.array(F.struct(F.lit("$").alias("path"), value.alias("v")))
     depth = F.sequence(F.lit(0), nesting(F.col("_text")))  # one walk more than needed finds nothing to open
-    leaves = F.aggregate(depth, pruned(whole), lambda parts, _: F.flatten(F.transform(parts, inside)))
+    leaves = pruned(F.aggregate(depth, pruned(whole), lambda parts, _: F.flatten(F.transform(parts, inside))))
     level = known.select(*keep, F.explode(leaves).alias("_c")).select(*keep, "_c.path", "_c.v")
     is_text = F.schema_of_variant("v") == "STRING"
     return level.select(*keep, "path", F.when(is_text, F.col("v").try_cast("string")).otherwise(

@@ -415,9 +415,9 @@ def part_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_json_deep(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON whose leaves lie below twelve objects."""
+    """JSON whose leaves lie below twelve objects. The parts are dealt over the tasks first."""
     opened, closed = "".join(f'{{"l{i}":' for i in range(1, 13)), "}" * 12
-    return table(spark, sf, "part").selectExpr(
+    return table(spark, sf, "part").select("p_partkey", "p_size", "p_type").repartition("p_partkey").selectExpr(
         "p_partkey",
         f"""concat('{opened}{{"mail":"o', p_partkey, '@corp.example","keys":[["',
            IF(p_size > 10, concat('AKIA', lpad(cast(p_partkey AS string), 16, '0')), 'none'), '"]],"other":"',
