@@ -59,7 +59,7 @@ def d2(spark, sf):
 @query("d3_match_columns", f"""SELECT database, "table", "column", pattern
     FROM {_first_match("fleet_catalog")}""", "fleet_catalog")
 def d3(spark, sf):
-    return discover.match_columns(v.fleet_catalog(spark, sf)).select(
+    return discover.match_columns(v.fleet_catalog(spark, sf, dealt=True)).select(
         "database", "table", "column", "pattern")
 
 
@@ -72,7 +72,7 @@ def d3(spark, sf):
         AND NOT (h.excludes AND d.pattern IN ('address', 'addr', 'pan')))
     GROUP BY host, "table", "column" """, "hosts", "fleet_catalog")
 def d3_by_host(spark, sf):
-    columns = v.fleet_catalog(spark, sf).withColumn(
+    columns = v.fleet_catalog(spark, sf, dealt=True).withColumn(
         "host", F.replace("database", F.lit("db"), F.lit("h")))
     matched = discover.match_columns_by_host(columns, discover.fleet_dictionary(v.hosts(spark, sf)))
     return matched.filter(F.col("pattern").isNotNull()).select("host", "table", "column", "pattern")
@@ -95,14 +95,14 @@ def d3_long(spark, sf):
 @query("d4_suggest_strategy", f"""SELECT database, "table", "column", {_SUGGEST} AS suggested
     FROM {_first_match("fleet_catalog")} WHERE pattern IS NOT NULL""", "fleet_catalog")
 def d4(spark, sf):
-    matched = discover.match_columns(v.fleet_catalog(spark, sf)).filter("pattern IS NOT NULL")
+    matched = discover.match_columns(v.fleet_catalog(spark, sf, dealt=True)).filter("pattern IS NOT NULL")
     return discover.suggest_strategy(matched).select("database", "table", "column", "suggested")
 
 
 @query("d5_pii_summary", f"""SELECT database, "table", string_agg("column", ',' ORDER BY "column") AS columns
     FROM {_first_match("fleet_catalog")} WHERE pattern IS NOT NULL GROUP BY 1, 2""", "fleet_catalog")
 def d5(spark, sf):
-    return discover.pii_summary(v.fleet_catalog(spark, sf))
+    return discover.pii_summary(v.fleet_catalog(spark, sf, dealt=True))
 
 
 _DRIFT = f"""(SELECT database, "table", "column", kind,
@@ -177,7 +177,7 @@ def d9(spark, sf):
     FROM {_first_match("fleet_catalog")} WHERE pattern IS NOT NULL OR type IN ('json', 'jsonb')
     GROUP BY 1, 2""", "fleet_catalog")
 def d10(spark, sf):
-    return discover.draft_manifest(v.fleet_catalog(spark, sf))
+    return discover.draft_manifest(v.fleet_catalog(spark, sf, dealt=True))
 
 
 _KNOWN = "['fake_email','fake_phone','fake_ip','fake_name','redact','truncate','shift_date','passthrough','jsonb_scrub_paths']"
@@ -486,7 +486,7 @@ def t4(spark, sf):
       || string_agg('"' || "column" || '"', ',' ORDER BY "column") || ']}}'
       FROM {_first_match("fleet_catalog")} WHERE pattern IS NOT NULL GROUP BY "table" """, "stats", "fleet_catalog")
 def t5(spark, sf):
-    summary = discover.pii_summary(v.fleet_catalog(spark, sf).drop("database"))
+    summary = discover.pii_summary(v.fleet_catalog(spark, sf, dealt=True).drop("database"))
     return stats.analyze_report(stats.clean_stats(v.table_sizes(spark, sf)),
                                 v.excluded_stats(spark, sf), summary)
 

@@ -186,13 +186,13 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
         "concat('h', s_suppkey) AS host")
 
 
-def _slots(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
-    """`last - first + 1` different names per part, chosen by part and slot. The parts are dealt over the
-    tasks first, as their file may be a single split."""
+def _slots(spark: SparkSession, sf: str, first: int, last: int, dealt: bool = False) -> DataFrame:
+    """`last - first + 1` different names per part, chosen by part and slot. `dealt`: parts are dealt over
+    the tasks first, as their file may be a single split."""
     names = F.array(*[F.lit(n) for n in NAMES])
     index = (F.col("p_partkey") + F.col("slot") * 5) % len(NAMES)
-    return (table(spark, sf, "part")
-            .select("p_partkey", "p_brand", "p_type", "p_size").repartition("p_partkey")
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    return ((part.repartition("p_partkey") if dealt else part)
             .select("p_partkey", "p_brand", "p_type", "p_size",
                     F.explode(F.sequence(F.lit(first), F.lit(last))).alias("slot"))
             .withColumn("name", F.element_at(names, index.cast("int") + 1)))
@@ -202,12 +202,12 @@ def _database() -> Column:
     return F.concat(F.lit("db"), F.substring("p_brand", 7, 3))
 
 
-def fleet_catalog(spark: SparkSession, sf: str) -> DataFrame:
+def fleet_catalog(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
     """Eight columns per part, a part being a table and its brand a database."""
     kind = (F.when(F.col("name") == "prefs_json", "jsonb").when(F.col("name") == "settings", "json")
             .when(F.col("name").isin("qty", "price", "weight"), "integer")
             .when(F.col("name") == "dob", "date").otherwise("text"))
-    return _slots(spark, sf, 0, 7).select(
+    return _slots(spark, sf, 0, 7, dealt).select(
         _database().alias("database"), F.concat(F.lit("t"), F.col("p_partkey")).alias("table"),
         F.col("name").alias("column"), kind.alias("type"),
         (F.col("p_size") > 10).alias("nullable"))
