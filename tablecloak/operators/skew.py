@@ -32,8 +32,8 @@ def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     """A left join as `salted_join` makes it, for a `small` that may have as many rows as `big`.
 
     A row of `small` is repeated only for the parts that its key has in `big`, so both sides of the join
-    together never exceed the rows of `big` twice. Sizes guessed before the run do not make Spark send
-    the keys to the driver."""
+    together never exceed the rows of `big` twice. No size guessed from files makes Spark send a side to the
+    driver: the keys, or `big` itself where a filter on the result turns this into an inner join."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.join(left.select(*on, "_salt").distinct().hint("merge"), list(on))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    return left.hint("merge").join(right, [*on, "_salt"], "left").drop("_salt")
