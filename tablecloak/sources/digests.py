@@ -12,17 +12,19 @@ from tablecloak.session import cut_lineage, local_rows
 from tablecloak.sources.store import filesystem
 
 READ_BYTES = 8 << 20
-# Files up to this size are digested as one value by tasks; larger ones are streamed, so many at a time.
-WHOLE_BYTES = 512 << 20
+# Files up to this size are digested as one value by tasks, which takes some four times the size in memory; larger ones are
+# streamed, so many at a time.
+WHOLE_BYTES = 64 << 20
 STREAMS = 16
 NULL_TOKEN = "\\N"
 
 
-def file_digests(spark: SparkSession, paths: Sequence[str], whole_bytes: int = WHOLE_BYTES, names: str = "*") -> DataFrame:
+def file_digests(spark: SparkSession, paths: Sequence[str], whole_bytes: int = WHOLE_BYTES, names: str = "*",
+                 recursive: bool = True) -> DataFrame:
     """`path, length, sha256` of files or folders. Files are read by Spark's own reader, one task for several, or, above
     `whole_bytes`, piece by piece as one stream each: a digest has no parts that could be taken apart. Both go through the
     file system that Spark uses, so every scheme and credential that Hadoop knows works at every size."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
              .option("pathGlobFilter", names).load(list(paths)))
     small = files.filter(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
     large = files.filter(F.col("length") > whole_bytes).select("path", "length").collect()

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablecloak import session
 from tablecloak.operators import audit
+from tablecloak.plans.queries import QUERIES
 from tablecloak.sources import digests, readers
 
 
@@ -130,6 +132,27 @@ def test_verify_files(spark, tmp_path):
     assert got == {"a.bin": "ok", "b.bin": "mismatch", "c.bin": "no_checksum", "d.bin": "no_meta"}
 
 
+def test_given_files_of_any_size_are_verified(spark, tmp_path):
+    """A file longer than Spark reads as one value is digested piece by piece, also for what is expected of it."""
+    for t in ("orders", "labels", "pages", "lineitem"):
+        (tmp_path / f"{t}.parquet").write_bytes(t.encode() * 1000)
+    os.truncate(tmp_path / "lineitem.parquet", digests.WHOLE_BYTES + 1)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "part.parquet").write_bytes(b"part")
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, str(digests.WHOLE_BYTES))
+    try:
+        got = {r["file"]: r["status"] for r in QUERIES["v14_verify_files"](spark, str(tmp_path)).collect()}
+        digest = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in digests.file_digests(spark, [str(tmp_path)], recursive=False).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got == {"orders.parquet": "ok", "lineitem.parquet": "ok", "labels.parquet": "mismatch", "pages.parquet": "no_meta",
+                   "part.parquet": "no_meta"}
+    assert set(digest) == set(got) - {"part.parquet"}
+    with (tmp_path / "lineitem.parquet").open("rb") as f:
+        assert digest["lineitem.parquet"] == hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def test_large_and_small_files_have_equal_digests(spark, tmp_path, rows):
     spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
     whole = digests.folder_digests(spark, str(tmp_path))
